@@ -43,3 +43,55 @@ a AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_i
              CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM k)
 SELECT doc_id, size, source_size, target, (size * (epochs + (size > 0 AND ahead + size / 2.0 <= target - epochs * source_size)::INT))::BIGINT AS taken FROM a
 """
+
+_TREE = r"""array_to_string([left(md5(x), 8) || '=' || x FOR x IN
+  [array_to_string([left(md5(p), 8) FOR p IN regexp_extract_all(s, '[^.!?]{0,80}[.!?]+|[^.!?]{1,80}')], '.') FOR s IN string_split(TEXT, chr(10))]], ';')"""
+_LEAVES = "list_distinct(regexp_split_to_array(regexp_replace(X, '[0-9a-f]{8}=', '', 'g'), '[.;]'))"
+_NEAR = f"CASE WHEN md5(a) = md5(Y) THEN 1.0::DOUBLE ELSE len(list_intersect({_LEAVES.replace('X', 'a')}, {_LEAVES.replace('X', 'Y')}))::DOUBLE / greatest(len({_LEAVES.replace('X', 'a')}), len({_LEAVES.replace('X', 'Y')})) END"
+MERKLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS nxt FROM d),
+e AS (SELECT *, left(text, length(text) - length(text) // 2) || left(nxt, length(text) // 2) AS edited FROM n),
+t AS (SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {_TREE.replace("TEXT", "text")} AS a, {_TREE.replace("TEXT", "edited")} AS b, {_TREE.replace("TEXT", "nxt")} AS c FROM e)
+SELECT doc_id, n_chars, edited_sha256, md5(a) || '|' || a AS fingerprint, md5(b) || '|' || b AS edited_fingerprint, {_NEAR.replace("Y", "b")} AS near_edited, {_NEAR.replace("Y", "c")} AS near_next FROM t
+"""
+
+_EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+"
+_IP = "[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+"
+_CARD = "[0-9](?:[\\x20-]?[0-9])+"
+_PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
+_IBAN = "\\b[A-Z]{2}[0-9]{2}(?:[\\x20-]?[A-Z0-9]){11,30}"
+
+
+def _kind(kind: str, pattern: str, valid: str, score: str) -> str:
+    return f"""{kind} AS (SELECT r, '{kind}' AS kind, i, m[i] AS v, (list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0))::INT AS s,
+  lower(right(g[i], 40) || ' ' || left(g[i + 1], 40)) AS near
+  FROM (SELECT r, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM d), unnest(range(1, len(m) + 1)) AS t(i)),
+{kind}_ok AS (SELECT r, kind, s, s + length(v) AS e, v, {score} AS score FROM {kind} WHERE {valid})"""
+
+
+def _score(kind: str) -> str:
+    from .pii import LOWER as lower
+    from .pii import RAISE, SCORES
+
+    return f"round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, {SCORES[kind]}::DOUBLE + CASE WHEN regexp_matches(near, '\\b(?:{RAISE[kind]})') THEN 0.3::DOUBLE ELSE 0 END - CASE WHEN regexp_matches(near, '\\b(?:{lower[kind]})') THEN 0.3::DOUBLE ELSE 0 END)), 3)"
+
+
+_D = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"length({_D}) BETWEEN 13 AND 19 AND list_sum([CASE WHEN (length({_D}) - j) % 2 = 0 THEN {_D}[j]::INT ELSE {_D}[j]::INT * 2 - CASE WHEN {_D}[j]::INT > 4 THEN 9 ELSE 0 END END FOR j IN range(1, length({_D}) + 1)]) % 10 = 0"
+_I = "regexp_replace(v, '[^A-Z0-9]', '', 'g')"
+_MOD97 = f"list_reduce([CASE WHEN unicode(c) >= 65 THEN unicode(c) - 55 ELSE unicode(c) - 48 END FOR c IN string_split({_I}[5:] || {_I}[1:4], '')], lambda a, x: (a * CASE WHEN x >= 10 THEN 100 ELSE 10 END + x) % 97, 0) = 1"
+PII = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+{_kind("email", _EMAIL, "true", _score("email"))},
+{_kind("ip", _IP, "list_bool_and([x::HUGEINT <= 255 FOR x IN string_split(v, '.')])", _score("ip"))},
+{_kind("card", _CARD, _LUHN, _score("card"))},
+{_kind("phone", _PHONE, f"length({_D}) BETWEEN 9 AND 15", _score("phone"))},
+{_kind("iban", _IBAN, _MOD97, _score("iban"))},
+s AS (SELECT 1 AS k, * FROM email_ok UNION ALL SELECT 2, * FROM ip_ok UNION ALL SELECT 3, * FROM card_ok UNION ALL SELECT 4, * FROM phone_ok UNION ALL SELECT 5, * FROM iban_ok WHERE score >= 0.5),
+o AS (SELECT r, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2, count(*) FILTER (WHERE k = 3) AS n3, count(*) FILTER (WHERE k = 4) AS n4, count(*) FILTER (WHERE k = 5) AS n5,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (WHERE k < 5) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans, max(score) AS top_score FROM s GROUP BY r)
+SELECT doc_id, coalesce(n1, 0)::BIGINT AS n_email, coalesce(n2, 0)::BIGINT AS n_ip, coalesce(n3, 0)::BIGINT AS n_card, coalesce(n4, 0)::BIGINT AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n5, 0)::BIGINT AS n_iban, top_score
+FROM d LEFT JOIN o USING (r)
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, mixing, oracles
+from . import decontaminate, linededup, merkle, mixing, oracles, pii
 from .common import benchmark, documents, labels
 
 
@@ -10,6 +10,14 @@ def op1_decontamination(spark, sf_dir):
     return decontaminate.hit_report(documents(spark, sf_dir), benchmark(spark, sf_dir))
 
 
+def op5_pii(spark, sf_dir):
+    return pii.pii_report(documents(spark, sf_dir))
+
+
+def op8_merkle(spark, sf_dir):
+    return merkle.fingerprint_report(documents(spark, sf_dir))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir), mixing.quality_weights(labels(spark, sf_dir)))
 
@@ -18,10 +26,12 @@ def op10_line_dedup(spark, sf_dir):
     return linededup.line_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op9_mixing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op5_pii, op8_merkle, op9_mixing, op10_line_dedup)}
 
 ORACLE_SQL = {
     "op1_decontamination": oracles.DECONTAMINATION,
+    "op5_pii": oracles.PII,
+    "op8_merkle": oracles.MERKLE,
     "op9_mixing": oracles.MIXING,
     "op10_line_dedup": oracles.LINE_DEDUP,
 }
