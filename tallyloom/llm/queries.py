@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, linededup, merkle, mixing, oracles, pii, toxicity
+from . import decontaminate, langid, linededup, merkle, mixing, oracles, pii, simhash, toxicity
 from .common import benchmark, documents, labels
 
 
@@ -22,6 +22,10 @@ def op6_language(spark, sf_dir):
     return langid.language_report(documents(spark, sf_dir))
 
 
+def op7_simhash(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_merkle(spark, sf_dir):
     return merkle.fingerprint_report(documents(spark, sf_dir))
 
@@ -34,7 +38,7 @@ def op10_line_dedup(spark, sf_dir):
     return linededup.line_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_toxicity, op5_pii, op6_language, op8_merkle, op9_mixing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_toxicity, op5_pii, op6_language, op7_simhash, op8_merkle, op9_mixing, op10_line_dedup)}
 
 ORACLE_SQL = {
     "op1_decontamination": oracles.DECONTAMINATION,
