@@ -80,26 +80,30 @@ def sample_features(rows: DataFrame, n_toxic: int, n_clean: int, fit_each: int)
     share = F.when(F.col("toxic") >= 1, F.lit(min(1.0, fit_each / max(n_toxic, 1)))).otherwise(F.lit(min(1.0, fit_each / max(n_clean, 1))))
     drawn = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < share * (1 << 20)).select("text", "toxic")
     got = drawn.mapInArrow(pick, "toxic int, slots binary").toArrow()
-    order = sorted(range(len(got)), key=lambda i: (got["slots"][i].as_py(), got["toxic"][i].as_py()))  # the fit does not depend on the order of tasks
-    return [np.frombuffer(got["slots"][i].as_py(), np.int32) for i in order], np.array([got["toxic"][i].as_py() >= 1 for i in order], np.float64)
+    rows = sorted(zip(got["slots"].to_pylist(), got["toxic"].to_pylist()))  # the fit does not depend on the order of tasks
+    return [np.frombuffer(x, np.int32) for x, _ in rows], np.array([y >= 1 for _, y in rows], np.float64)
 
 
 def fit(features: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, rounds: int = 150, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights by place (ratio included) and intercept: accelerated gradient descent on the logistic loss."""
-    lengths = np.array([len(f) for f in features])
-    flat = np.concatenate(features) if len(features) else np.zeros(0, np.int32)
-    scale = 1 / np.sqrt(np.maximum(np.add.reduceat(np.append(ratio[flat] ** 2, 0), np.minimum(np.cumsum(lengths) - lengths, len(flat))) * (lengths > 0), 1e-9))
-    value = ratio[flat] * np.repeat(scale, lengths)
-    row = np.repeat(np.arange(len(features)), lengths)
+    square = ratio**2
+    scale = np.array([1 / np.sqrt(max(square[f].sum(), 1e-9)) for f in features])  # rows of unit length
+    blocks = [(i, np.array([len(f) for f in features[i : i + 200]])) for i in range(0, len(features), 200)]
     weight, bias = np.zeros(SLOTS), 0.0
     ahead, bias_ahead, t = weight, bias, 1.0
-    step = 4.0 / 2  # rows have unit length, and the intercept adds one
+    step = 4.0 / 2  # the intercept adds one to a row's length
     balance = np.where(toxic == 1, 0.5 / max(toxic.mean(), 1e-9), 0.5 / max(1 - toxic.mean(), 1e-9)) / len(toxic)
     for _ in range(rounds):
-        z = np.bincount(row, weights=ahead[flat] * value, minlength=len(features)) + bias_ahead
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) * balance
-        gradient = np.bincount(flat, weights=value * error[row], minlength=SLOTS) + ridge / len(toxic) * ahead
-        new, new_bias = ahead - step * gradient, bias_ahead - step * error.sum()
+        scaled, gradient, slope = ahead * ratio, np.zeros(SLOTS), 0.0
+        for i, lengths in blocks:  # a block's rows at a time, to hold little memory
+            end = i + len(lengths)
+            flat = np.concatenate(features[i:end])
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            z = scale[i:end] * np.bincount(row, weights=scaled[flat], minlength=len(lengths)) + bias_ahead
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[i:end]) * balance[i:end]
+            gradient += np.bincount(flat, weights=(error * scale[i:end])[row], minlength=SLOTS)
+            slope += error.sum()
+        new, new_bias = ahead - step * (gradient * ratio + ridge / len(toxic) * ahead), bias_ahead - step * slope
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, bias_ahead = new + (t - 1) / t_new * (new - weight), new_bias + (t - 1) / t_new * (new_bias - bias)
         weight, bias, t = new, new_bias, t_new
@@ -118,7 +122,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_each: int = 2000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, fit_each: int = 1500) -> Model:
     rows = labelled(docs, labels)
     counts = class_counts(rows).toArrow().to_pandas()  # at most SLOTS + 1 rows
     totals = counts[counts["slot"] == -1]
@@ -136,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_each: int = 2000) -> Model:
     return Model(weight, ratio, bias + float(np.log(n_toxic / n_clean)))  # the fit weighs both classes alike
 
 
-def toxicity_report(docs: DataFrame, labels: DataFrame, fit_each: int = 2000) -> DataFrame:
+def toxicity_report(docs: DataFrame, labels: DataFrame, fit_each: int = 1500) -> DataFrame:
     """(doc_id, held_out, score, predicted); learns from labelled documents that are not held out."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs.filter(~held_out(5, 0)), labels.filter(~held_out(5, 0)), fit_each))
 
