@@ -1,8 +1,57 @@
-"""Corpus pipeline (stages are added as their operators are)."""
+"""Corpus pipeline over `documents`: five stages, each on all that the one before kept.
 
-STAGES: list = []
+1. language: documents without a recognised language go.
+2. lines: lines that many documents repeat stay in one of them.
+3. near duplicates: of each group linked by SimHash the smallest doc_id stays.
+4. decontamination: documents that hold a benchmark window go.
+5. mixing: sources are sampled to target weights; `taken` says how many words the mix takes of a document
+   (more than `size` where it is repeated).
+
+Every stage takes any rows with the columns of documents: null texts count as empty (stage 1 drops them,
+having no letters), extra columns pass through, an empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyloom.llm import common, decontaminate, langid, linededup, mixing, simhash
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_known(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.drop_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, common.benchmark(spark, sf_dir))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.take(docs, mixing.quality_weights(common.labels(spark, sf_dir)))
+
+
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mix", mix)]
+
+#: The first stage learns its prototypes, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; what each keeps is written to the shared folder and read again."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    place = f"{shared.rstrip('/')}/corpus-{spark.range(1).selectExpr('uuid() AS u').first()[0]}"
+    docs = common.documents(spark, sf_dir)
+    for number, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{place}/{number}-{name}")
+        docs = spark.read.parquet(f"{place}/{number}-{name}")
+    return docs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, linededup, merkle, mixing, oracles, pii, simhash, toxicity
+from . import decontaminate, langid, linededup, merkle, mixing, oracles, pii, simhash, substring_bwt, substring_sam, toxicity
 from .common import benchmark, documents, labels
 
 
@@ -10,10 +10,18 @@ def op1_decontamination(spark, sf_dir):
     return decontaminate.hit_report(documents(spark, sf_dir), benchmark(spark, sf_dir))
 
 
+def op2_substring_bwt(spark, sf_dir):
+    return substring_bwt.removal_report(documents(spark, sf_dir))
+
+
 def op3_toxicity(spark, sf_dir):
     return toxicity.toxicity_report(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op4_substring_automaton(spark, sf_dir):
+    return substring_sam.removal_report(documents(spark, sf_dir))
+
+
 def op5_pii(spark, sf_dir):
     return pii.pii_report(documents(spark, sf_dir))
 
@@ -38,7 +46,21 @@ def op10_line_dedup(spark, sf_dir):
     return linededup.line_report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_toxicity, op5_pii, op6_language, op7_simhash, op8_merkle, op9_mixing, op10_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_substring_bwt,
+        op3_toxicity,
+        op4_substring_automaton,
+        op5_pii,
+        op6_language,
+        op7_simhash,
+        op8_merkle,
+        op9_mixing,
+        op10_line_dedup,
+    )
+}
 
 ORACLE_SQL = {
     "op1_decontamination": oracles.DECONTAMINATION,
