@@ -46,10 +46,30 @@ class Features:
                 yield found[self.scratch[found] == order]
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of labelled documents."""
-    marks = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return docs.select("doc_id", F.col("text").cast("string")).join(marks, "doc_id")
+def labelled(docs: DataFrame, labels: DataFrame, most_sent: int = 8_000_000) -> DataFrame:
+    """(doc_id, text, toxic) of labelled documents.
+
+    Up to `most_sent` labels go to the tasks as sorted numbers, so that no text is shuffled; more are joined.
+    """
+    marks = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    if marks.count() > most_sent:
+        return docs.join(marks, "doc_id")
+    table = marks.toArrow()
+    ids = table["doc_id"].to_numpy()
+    order = np.argsort(ids)
+    sent = docs.sparkSession.sparkContext.broadcast((ids[order], table["toxic"].to_numpy()[order]))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, toxic = sent.value
+        for b in batches:
+            own = b.column("doc_id").to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1) if len(known) else np.zeros(0, np.int64)
+            here = np.flatnonzero(known[at] == own) if len(known) else at
+            kept = b.take(pa.array(here))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(toxic[at[here]])], ["doc_id", "text", "toxic"])
+
+    return docs.filter("doc_id IS NOT NULL").mapInArrow(mark, "doc_id long, text string, toxic int")
 
 
 def class_counts(rows: DataFrame) -> DataFrame:
