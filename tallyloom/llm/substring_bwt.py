@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -105,10 +104,10 @@ def repeated_windows(pieces: list[np.ndarray], weights: np.ndarray) -> list[np.n
         cuts = [0, len(pieces) // 2, len(pieces)]
     ends = np.append(first, len(data))
     shards = [transform(np.arange(ends[x], ends[y]), symbols, begins, rounds) for x, y in zip(cuts[:-1], cuts[1:])]
-    empty = Transform(np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, bool))
     # the order of a merged transform is final only if refined to the pieces' ends; the last merge needs a window's depth
-    joint = reduce(lambda x, y: merge(x, y, rounds)[0], shards[:-1], empty) if len(shards) > 2 else (shards[0] if len(shards) == 2 else empty)
-    joint, interval = merge(joint, shards[-1], ROUNDS)
+    while len(shards) > 2:
+        shards = [merge(*shards[i : i + 2], rounds)[0] if i + 1 < len(shards) else shards[i] for i in range(0, len(shards), 2)]
+    joint, interval = merge(*(shards if len(shards) == 2 else [Transform(*(x[:0] for x in (shards[0].suffix, shards[0].symbol, shards[0].has))), shards[0]]), ROUNDS)
     # windows: suffixes with enough bytes left; only such can share an interval
     windows = np.flatnonzero(left[joint.suffix] >= LENGTH)
     place, number = joint.suffix[windows], interval[windows]
