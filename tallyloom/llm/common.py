@@ -100,7 +100,14 @@ class RollingHash:
     def grams(self, length: int) -> np.ndarray:
         """Of all stretches of `length` symbols."""
         n = len(self.sums) - length
-        return mix((self.sums[length:] - self.sums[:n]) * self.inverse[:n]) if n > 0 else np.zeros(0, np.uint64)
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        found = self.sums[length:] - self.sums[:n]
+        found *= self.inverse[:n]
+        found ^= found >> np.uint64(32)
+        found *= np.uint64(0x9FB21C651E98DF25)
+        found ^= found >> np.uint64(32)
+        return found
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])

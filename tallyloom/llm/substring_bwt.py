@@ -27,7 +27,7 @@ from . import common, repeats
 LENGTH = 200
 BLOCK = 50
 ROUNDS = LENGTH // BLOCK
-SHARD_UNITS = 1 << 15
+SHARD_UNITS = 1 << 16
 
 BYTES = repeats.Units(LENGTH, 32, lambda data, off: (data, off), np.uint8)
 
