@@ -1,5 +1,502 @@
-"""The registered queries over the ledgers, and their SQL."""
+"""The registered queries over the driver's tables, one for each operator; their SQL is in `ledger_sql`.
 
+Doubles are rounded in both, as sums depend on the order of rows in their last digits.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import parsing, scalars
+from ..operators import cards, cleaning, metrics, presentation, regime, resample, scoring, series
+from ..sources import adapters, reports
+from . import evaluate, ledger_sql
+from .config import EvalConfig
+
+CONFIG = EvalConfig(seed="7", mc_iterations=20)
+SUPPLIERS = EvalConfig(seed="7", mc_iterations=20, start_balance=1_000_000.0)
+KEY = "strategy_id"
+STRONG, BASE = ("error",), ("error", "view")
 FLAGSHIP = "strategy_overview"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+DIGITS = 9
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = dict(ledger_sql.SQL)
+
+
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Doubles to `digits` places; -0 becomes 0."""
+
+    def cut(name: str, kind: str):
+        if kind == "double":
+            return (F.round(name, digits) + F.lit(0.0)).alias(name)
+        if kind == "array<double>":
+            return F.transform(name, lambda x: F.round(x, digits) + F.lit(0.0)).alias(name)
+        return F.col(name)
+
+    return df.select(*(cut(n, k) for n, k in df.dtypes))
+
+
+def query(f: Callable) -> Callable:
+    QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ledger(spark: SparkSession, sf_dir: str, losing: tuple[str, ...] = STRONG) -> DataFrame:
+    return adapters.events_ledger(table(spark, sf_dir, "events"), losing)
+
+
+def trades(spark: SparkSession, sf_dir: str, losing: tuple[str, ...] = STRONG) -> DataFrame:
+    return cleaning.clean(ledger(spark, sf_dir, losing), CONFIG).trades
+
+
+def facts(spark: SparkSession, sf_dir: str, losing: tuple[str, ...] = STRONG) -> DataFrame:
+    return metrics.trade_facts(trades(spark, sf_dir, losing), CONFIG)
+
+
+def supplier_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.clean(adapters.lineitem_ledger(table(spark, sf_dir, "lineitem")), SUPPLIERS).trades
+
+
+def spoilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events ledger with every fault that cleaning knows, by the remainder of the event's number."""
+    rows = ledger(spark, sf_dir)
+    every = lambda n: F.col("row_idx") % n == 0
+    rows = rows.select(
+        KEY,
+        "row_idx",
+        "position_id",
+        "deal_id",
+        F.when(every(17), None).when(every(19), "Adjustment fee").otherwise(F.col("symbol")).alias("symbol"),
+        "timestamp",
+        F.when(every(23), "hold").otherwise(F.col("side")).alias("side"),
+        F.when(every(29), None).when(every(31), -1.0).otherwise(F.col("quantity")).alias("quantity"),
+        "entry_price",
+        F.when(every(37), 0.0).otherwise(F.col("exit_price")).alias("exit_price"),
+        F.when(every(22), F.lit(5.0)).alias("gross_pnl"),
+        F.when(every(3), -0.5).alias("commission"),
+        F.when(every(5), -0.25).alias("swap"),
+        F.when(every(11), None).when(every(41), F.col("pnl") * 50).otherwise(F.col("pnl")).alias("pnl"),
+        "balance",
+    )
+    return rows.unionByName(rows.filter(every(13)).withColumn("row_idx", F.col("row_idx") + 1_000_000_000))
+
+
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.flagged(spoilt(spark, sf_dir))
+
+
+def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flags(spark, sf_dir).filter(~F.col("adjustment") & F.col("reason").isNull()).drop("adjustment", "reason")
+
+
+def unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.deduplicated(kept(spark, sf_dir)).drop("copies")
+
+
+# ---- sources and parsing
+
+
+@query
+def ingest_alias_resolve(spark, sf_dir):
+    names = ["Close Time", "P&L", "Net P&L", "Order ID", "Lots", "Price In", "Rollover", "Comment", "Sell Price", "Balance", "profit_loss", "account_value", "close_time", "Fees"]
+    return spark.createDataFrame([(n, reports.canonical_html(n), reports.canonical_table(n)) for n in names], "name string, html string, plain string")
+
+
+@query
+def ingest_number_parse_us(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders")
+    return rows.select("o_orderkey", parsing.number(F.concat(F.lit("$ "), F.format_number("o_totalprice", 2))).alias("value"))
+
+
+@query
+def ingest_number_parse_eu(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders")
+    return rows.select("o_orderkey", parsing.number(F.concat(F.lit("-"), F.translate(F.format_number("o_totalprice", 2), ",.", ".,"), F.lit(" EUR"))).alias("value"))
+
+
+@query
+def ingest_timestamp_parse(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    text = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "dd.MM.yyyy HH:mm:ss")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("ts", "d/M/yyyy HH:mm:ss"))
+    return rows.select("event_id", parsing.time(text).cast("timestamp_ntz").alias("at"))
+
+
+@query
+def ingest_side_coerce(spark, sf_dir):
+    words = F.element_at(F.create_map(*map(F.lit, ("view", " Buy", "click", "SHORT", "signup", "+1", "error", "-1", "purchase", "hold"))), F.col("event_type"))
+    return table(spark, sf_dir, "events").select(parsing.side(words).alias("side")).groupBy("side").agg(F.count("*").alias("n"))
+
+
+@query
+def ingest_excel_serial(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    days = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1899-12-30").cast("date")).cast("double")
+    return rows.select("l_orderkey", "l_linenumber", parsing.serial_time(days + 0.25).cast("timestamp_ntz").alias("at"))
+
+
+@query
+def ingest_sha256(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return reports.file_info(found).select("path", "format", "sha256")
+
+
+def _read_back(spark, sf_dir, kind: str, style: str = "us", separator: str = ","):
+    bronze = ledger(spark, sf_dir, BASE)
+    if kind == "xlsx":
+        found = reports.render_xlsx(bronze)
+    else:
+        found = reports.render(reports.as_text(bronze, style), kind, separator)
+    rows = cleaning.coerced(reports.read_reports(found, F.col("strategy_id")))
+    return rows.select("strategy_id", "deal_id", "symbol", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "side", "quantity", "entry_price", "exit_price", "pnl")
+
+
+@query
+def ingest_csv_roundtrip(spark, sf_dir):
+    return _read_back(spark, sf_dir, "csv", "eu", ";")
+
+
+@query
+def ingest_html_roundtrip(spark, sf_dir):
+    return _read_back(spark, sf_dir, "html")
+
+
+@query
+def ingest_xlsx_roundtrip(spark, sf_dir):
+    return _read_back(spark, sf_dir, "xlsx")
+
+
+# ---- cleaning
+
+
+@query
+def clean_adjustments(spark, sf_dir):
+    return flags(spark, sf_dir).groupBy(KEY).agg(F.count_if("adjustment").alias("adjustments"), F.count("*").alias("n"))
+
+
+@query
+def clean_required_rejects(spark, sf_dir):
+    found = cleaning.clean(spoilt(spark, sf_dir), CONFIG).rejects
+    return found.select(KEY, "row_idx", "rejection_reason")
+
+
+@query
+def clean_dedup(spark, sf_dir):
+    return cleaning.deduplicated(kept(spark, sf_dir)).select(KEY, "row_idx", "copies")
+
+
+@query
+def clean_sort_seq(spark, sf_dir):
+    bronze = adapters.lineitem_ledger(table(spark, sf_dir, "lineitem"))
+    return cleaning.numbered(bronze).groupBy(KEY).agg(F.max("seq").alias("n"), F.sum(F.col("seq") * F.col("row_idx")).alias("weighted"), F.max_by("deal_id", "seq").alias("last_deal"))
+
+
+@query
+def clean_negative_flip(spark, sf_dir):
+    return cleaning.flipped(unique(spark, sf_dir)).select(KEY, "row_idx", "side", "quantity", "flipped")
+
+
+@query
+def clean_pnl_impute(spark, sf_dir):
+    return cleaning.imputed(cleaning.flipped(unique(spark, sf_dir))).select(KEY, "row_idx", "pnl", "imputed")
+
+
+@query
+def clean_pnl_impute_lines(spark, sf_dir):
+    rows = supplier_trades(spark, sf_dir)
+    return rows.groupBy(KEY).agg(F.count("*").alias("n"), F.round(F.sum("pnl"), 5).alias("pnl"), F.round(F.sum("commission"), 5).alias("commission"), F.count_if(F.col("pnl") > 0).alias("won"))
+
+
+@query
+def clean_zero_duration(spark, sf_dir):
+    rows = cleaning.numbered(adapters.lineitem_ledger(table(spark, sf_dir, "lineitem")))
+    return cleaning.gapped(rows).groupBy(KEY).agg(F.count_if((F.col("duration_seconds") == 1.0) & (F.col("seq") > 1)).alias("tied"))
+
+
+@query
+def clean_mad_cap(spark, sf_dir):
+    rows = cleaning.capped(cleaning.imputed(cleaning.flipped(unique(spark, sf_dir))), CONFIG.mad_cap_factor)
+    return rows.select(KEY, "row_idx", "median", "mad", "capped_pnl", "is_outlier")
+
+
+@query
+def clean_balance(spark, sf_dir):
+    return cleaning.balanced(cleaning.imputed(cleaning.flipped(cleaning.numbered(unique(spark, sf_dir)))), CONFIG.start_balance).select(KEY, "seq", "balance_after")
+
+
+@query
+def clean_gap_duration(spark, sf_dir):
+    return cleaning.gapped(cleaning.numbered(unique(spark, sf_dir))).select(KEY, "seq", "duration_seconds")
+
+
+@query
+def clean_report(spark, sf_dir):
+    return cleaning.clean(spoilt(spark, sf_dir), CONFIG).report
+
+
+# ---- series
+
+
+@query
+def trade_returns(spark, sf_dir):
+    return facts(spark, sf_dir).select(KEY, "seq", "balance_before", F.round("R", 9).cast("decimal(20,9)").cast("string").alias("ret"))
+
+
+@query
+def equity_curve(spark, sf_dir):
+    return series.equity_curve(trades(spark, sf_dir), CONFIG).select(KEY, "seq", F.col("t").cast("timestamp_ntz").alias("t"), "balance", "peak", "dd")
+
+
+@query
+def equity_mtm(spark, sf_dir):
+    return series.marked_equity(trades(spark, sf_dir), CONFIG).groupBy(KEY).agg(F.count("*").alias("points"), F.max("balance").alias("high"), F.min("dd").alias("mtm_max_drawdown"), F.sum("balance").alias("total")).select(KEY, "points", *(F.round(c, 6).alias(c) for c in ("high", "mtm_max_drawdown")), F.round("total", 4).alias("total"))
+
+
+@query
+def equity_mtm_ties(spark, sf_dir):
+    """Suppliers' ledgers, whose trades of one day overlap."""
+    rows = cleaning.clean(adapters.lineitem_ledger(table(spark, sf_dir, "lineitem")).filter("strategy_id < 10"), SUPPLIERS).trades
+    return metrics.marked_drawdown(rows, SUPPLIERS).withColumn("mtm_max_drawdown", F.round("mtm_max_drawdown", 6))
+
+
+@query
+def monthly_returns(spark, sf_dir):
+    """Suppliers' ledgers, which span years."""
+    return series.monthly_returns(series.equity_curve(supplier_trades(spark, sf_dir), SUPPLIERS))
+
+
+# ---- metrics
+
+
+@query
+def strategy_overview(spark, sf_dir):
+    return evaluate.overview(ledger(spark, sf_dir), CONFIG)
+
+
+@query
+def metrics_basic(spark, sf_dir):
+    return metrics.basic(trades(spark, sf_dir))
+
+
+@query
+def metrics_growth(spark, sf_dir):
+    return metrics.growth(facts(spark, sf_dir), CONFIG).select(KEY, "n", "days", "net_pnl", "total_return", "cagr", "cagr_flagged_insufficient", "mean_return_per_trade", "median_return_per_trade")
+
+
+@query
+def metrics_moments(spark, sf_dir):
+    return metrics.growth(facts(spark, sf_dir), CONFIG).select(KEY, "skew_returns", "excess_kurtosis_returns")
+
+
+@query
+def metrics_drawdown(spark, sf_dir):
+    return metrics.drawdown(facts(spark, sf_dir), CONFIG)
+
+
+@query
+def metrics_drawdown_lines(spark, sf_dir):
+    rows = supplier_trades(spark, sf_dir)
+    return metrics.drawdown(series.with_equity(rows, SUPPLIERS), SUPPLIERS)
+
+
+@query
+def metrics_dd_duration(spark, sf_dir):
+    return metrics.drawdown_duration(facts(spark, sf_dir))
+
+
+def _risk(spark, sf_dir, losing=STRONG):
+    f = facts(spark, sf_dir, losing)
+    return metrics.risk_adjusted(f, metrics.growth(f, CONFIG), metrics.drawdown(f, CONFIG), CONFIG)
+
+
+@query
+def metrics_risk_adj(spark, sf_dir):
+    return _risk(spark, sf_dir).select(KEY, "trades_per_year", "rf_per_trade", "sharpe_per_trade", "sharpe_ratio", "sortino_ratio", "calmar_ratio", "omega_ratio", "romad")
+
+
+@query
+def metrics_tail(spark, sf_dir):
+    return metrics.tails(facts(spark, sf_dir))
+
+
+@query
+def metrics_streaks(spark, sf_dir):
+    return metrics.streaks(trades(spark, sf_dir))
+
+
+@query
+def metrics_runs_z(spark, sf_dir):
+    return metrics.runs_test(trades(spark, sf_dir))
+
+
+@query
+def metrics_behavioural(spark, sf_dir):
+    rows = supplier_trades(spark, sf_dir)
+    return metrics.behavioural(rows, series.monthly_returns(series.equity_curve(rows, SUPPLIERS))).select(KEY, "best_trade", "worst_trade", "months", "profitable_month_fraction", "monthly_volatility")
+
+
+@query
+def cusum_full(spark, sf_dir):
+    return regime.cusum(facts(spark, sf_dir), CONFIG)
+
+
+@query
+def regime_halves(spark, sf_dir):
+    return regime.halves(facts(spark, sf_dir))
+
+
+@query
+def regime_flag(spark, sf_dir):
+    return regime.regime_check(facts(spark, sf_dir, BASE), CONFIG).select(KEY, "threshold_hit", "regime_unstable")
+
+
+@query
+def psr(spark, sf_dir):
+    return _risk(spark, sf_dir).select(KEY, "probabilistic_sharpe_ratio")
+
+
+@query
+def expected_max_sharpe(spark, sf_dir):
+    return spark.createDataFrame([(n, round(scalars.expected_max_sharpe(n), 6)) for n in (1, 2, 7, 10, 25, 50)], "n_trials int, reference double")
+
+
+@query
+def dsr(spark, sf_dir):
+    return _risk(spark, sf_dir).select(KEY, "deflated_sharpe_ratio")
+
+
+@query
+def norm_cdf(spark, sf_dir):
+    values = table(spark, sf_dir, "events").select("event_id", ((F.col("value") - 50) / 25).alias("x"))
+    return values.select("event_id", scalars.normal_cdf(F.col("x")).alias("p"))
+
+
+@query
+def norm_sigmoid(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", scalars.sigmoid(F.col("value"), 50.0, 0.1).alias("up"), scalars.falling_sigmoid(F.col("value"), 50.0, 0.1).alias("down"))
+
+
+@query
+def norm_piecewise(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", scalars.piecewise(F.col("value"), scoring.COUNT_ANCHORS).alias("y"))
+
+
+@query
+def shown_metrics(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "win_rate").otherwise("expectancy").alias("metric"), "value")
+    return rows.select("event_id", scalars.shown(F.col("metric"), F.col("value")).alias("text"))
+
+
+# ---- resampling
+
+
+def _mc(spark, sf_dir, test: str):
+    rows = trades(spark, sf_dir)
+    fallen = metrics.drawdown(series.with_equity(rows, CONFIG), CONFIG)
+    return resample.run_tests(rows, CONFIG, drawdowns=fallen, tests=(test,)).drop("test")
+
+
+@query
+def mc_bootstrap(spark, sf_dir):
+    return _mc(spark, sf_dir, "a")
+
+
+@query
+def mc_permutation(spark, sf_dir):
+    return _mc(spark, sf_dir, "b")
+
+
+@query
+def mc_stationary(spark, sf_dir):
+    return _mc(spark, sf_dir, "c")
+
+
+@query
+def mc_moving_block(spark, sf_dir):
+    return _mc(spark, sf_dir, "mb")
+
+
+@query
+def mc_correlation_flag(spark, sf_dir):
+    rows = trades(spark, sf_dir)
+    return resample.correlation(resample.run_tests(rows, CONFIG, tests=("a", "c", "mb")))
+
+
+# ---- score
+
+
+def _scalars(spark, sf_dir, losing=STRONG):
+    return evaluate.evaluate(ledger(spark, sf_dir, losing), CONFIG).metrics
+
+
+@query
+def score_knockouts(spark, sf_dir):
+    return scoring.score(_scalars(spark, sf_dir, BASE)).select(KEY, "status", F.col("knockout_reason").alias("reason"), "final_score", "label")
+
+
+@query
+def score_categories(spark, sf_dir):
+    return scoring.with_categories(_scalars(spark, sf_dir)).select(KEY, *(f"cat_{c}" for c in scoring.WEIGHTS))
+
+
+@query
+def score_penalties(spark, sf_dir):
+    return scoring.with_penalties(_scalars(spark, sf_dir, BASE)).select(KEY, *(f"pen_{c}" for c in scoring.penalties()), "penalty_product")
+
+
+@query
+def score_final(spark, sf_dir):
+    return scoring.score(_scalars(spark, sf_dir)).select(KEY, "status", "raw_score", "final_score", "label")
+
+
+@query
+def overfit_estimate(spark, sf_dir):
+    return scoring.overfitting(_scalars(spark, sf_dir)).drop("summary")
+
+
+# ---- cards and presentation
+
+
+def _cards(spark, sf_dir):
+    created = F.timestamp_seconds(F.lit(1_735_689_600) + F.col("strategy_id") * 60)
+    return cards.cards(scoring.score(_scalars(spark, sf_dir)), F.concat(F.lit(" User #"), F.col("strategy_id").cast("string")), created, CONFIG.seed)
+
+
+@query
+def card_json_roundtrip(spark, sf_dir):
+    found = _cards(spark, sf_dir)
+    return cards.from_json(cards.as_json(found), found.schema).select("id", "strategy_id", "strategy_name", "seed", F.col("basic.total_trades").alias("total_trades"), F.col("basic.profit_factor").alias("profit_factor"), F.col("scoring.status").alias("status"))
+
+
+@query
+def card_list(spark, sf_dir):
+    return cards.listing(_cards(spark, sf_dir)).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+@query
+def compare_cards(spark, sf_dir):
+    found = _cards(spark, sf_dir)
+    ids = [r[0] for r in found.filter("strategy_id IN ('0', '1', '2')").orderBy("strategy_id").select("id").collect()]
+    return cards.compare(found, ids).filter("metric LIKE 'basic.%' OR metric LIKE 'drawdown.%' OR metric = 'final_score'").withColumns({c: F.round(c, 6) for c in ("baseline", "value", "delta_pct")})
+
+
+@query
+def pnl_histogram(spark, sf_dir):
+    return presentation.pnl_histogram(series.equity_curve(trades(spark, sf_dir), CONFIG))
+
+
+@query
+def monthly_heatmap(spark, sf_dir):
+    return presentation.monthly_heatmap(series.monthly_returns(series.equity_curve(supplier_trades(spark, sf_dir), SUPPLIERS)))
+
+
+@query
+def portfolio_by_symbol_side(spark, sf_dir):
+    return trades(spark, sf_dir).cube("symbol", "side").agg(F.count("*").alias("n"), F.sum("capped_pnl").alias("pnl"))
