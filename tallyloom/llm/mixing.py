@@ -48,7 +48,7 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tupl
     return settled.select("source", "source_size", "n", F.round(target, 6).alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, share: float = 1.5, most: float = 2.0, seed: int = 9, rows_each: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, share: float = 1.5, most: float = 2.0, seed: int = 9, rows_each: int = 2_000) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of each document.
 
     quality: (doc_id, weight), weights above 0; documents it lacks weigh 1.
