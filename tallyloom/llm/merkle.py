@@ -54,7 +54,7 @@ def changed_sections(mark_a: Column, mark_b: Column) -> Column:
     )
 
 
-def with_next(docs: DataFrame, bytes_each: int = 16 << 20) -> DataFrame:
+def with_next(docs: DataFrame, bytes_each: int = 2 << 20) -> DataFrame:
     """(doc_id, text, next_text): the text of the next document in descending doc_id, after the last that of the first.
 
     Documents are cut into ranges of doc_id, by percentiles, and each range is ordered by itself; the first
