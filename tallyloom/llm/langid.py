@@ -191,14 +191,25 @@ def language_report(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", held_out(4, 2).alias("held_out"), F.col("text").cast("string")).mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.05) -> DataFrame:
-    """The documents whose language is recognised, all columns as they are."""
+def keep_known(docs: DataFrame, deviations: float = 3.0, least_letters: int = 40) -> DataFrame:
+    """The documents whose language is not rejected, all columns as they are.
+
+    Rejected are texts without letters, and texts of `least_letters` or more whose cosine with the nearest
+    prototype is within `deviations` of what random vectors have, 1 / sqrt(dimensions). Shorter texts cannot
+    be judged and stay.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(Model(train(docs.filter(~held_out(4, 2)))))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundler = Bundler()
         for b in batches:
-            names, scores = sent.value.predict(b.column("text").to_pylist(), bundler)
-            yield b.filter(pa.array([n != UNKNOWN and s >= min_score for n, s in zip(names, scores)], pa.bool_()))
+            texts = b.column("text").to_pylist()
+            names, scores = sent.value.predict(texts, bundler)
+            yield b.filter(pa.array([not rejected(*x) for x in zip(texts, names, scores)], pa.bool_()))
+
+    def rejected(text: str | None, name: str, score: float) -> bool:
+        if name != UNKNOWN:
+            return score < deviations / np.sqrt(DIMENSIONS) and len(text) >= least_letters and sum(map(str.isalpha, text)) >= least_letters
+        return not any(map(str.isalpha, text or "")) or bool(sent.value.names)
 
     return docs.mapInArrow(keep, docs.schema)
