@@ -1,7 +1,7 @@
 """Cleaning of bronze ledgers: nine steps from raw rows to trades, rejects and a report.
 
-Text columns go through the parsers, typed columns are taken as they are. Every step is a projection, a
-grouped aggregate or a window over one strategy, so strategies are cleaned side by side.
+Text columns go through the parsers, typed columns are taken as they are. Duplicates are one grouped
+aggregate; all later steps are projections and windows over a strategy, so rows are dealt by strategy once.
 """
 
 from __future__ import annotations
@@ -127,10 +127,9 @@ def imputed(rows: DataFrame) -> DataFrame:
 
 def capped(rows: DataFrame, factor: float) -> DataFrame:
     """pnl clamped to the median by `factor` median absolute deviations: median, mad, capped_pnl, is_outlier."""
-    medians = rows.groupBy(*KEY).agg(F.percentile("pnl", F.lit(0.5)).alias("median"))
-    rows = rows.join(medians, KEY)
-    spread = rows.groupBy(*KEY).agg(F.percentile(F.abs(F.col("pnl") - F.col("median")), F.lit(0.5)).alias("mad"))
-    rows = rows.join(spread, KEY)
+    whole = by_strategy()
+    rows = rows.withColumn("median", F.percentile("pnl", F.lit(0.5)).over(whole))
+    rows = rows.withColumn("mad", F.percentile(F.abs(F.col("pnl") - F.col("median")), F.lit(0.5)).over(whole))
     cap = F.when(F.col("mad") * factor > 0, F.col("mad") * factor).otherwise(1e-9)
     return rows.withColumns(
         {
@@ -178,12 +177,16 @@ def report_of(flags: DataFrame, trades: DataFrame) -> DataFrame:
     return joined.select(*KEY, "rows_received", "adjustments_ignored", "rows_rejected", (F.col("kept") - F.coalesce("trades", zero)).alias("duplicates_removed"), F.coalesce("outliers_tagged", zero).alias("outliers_tagged"), F.coalesce("trades", zero).alias("trades"))
 
 
+def rejects_of(flags: DataFrame) -> DataFrame:
+    """Rejected rows with their reason."""
+    return flags.filter(F.col("reason").isNotNull()).select(*KEY, "row_idx", *CANONICAL, F.col("reason").alias("rejection_reason"))
+
+
 def clean(bronze: DataFrame, config: EvalConfig) -> Cleaned:
     """Trades, rejected rows with their reason, and the report, of a bronze ledger."""
     flags = flagged(bronze)
     trades = trades_of(flags, config)
-    rejects = flags.filter(F.col("reason").isNotNull()).select(*KEY, "row_idx", *CANONICAL, F.col("reason").alias("rejection_reason"))
-    return Cleaned(trades, rejects, report_of(flags, trades))
+    return Cleaned(trades, rejects_of(flags), report_of(flags, trades))
 
 
 def write_rejects(rejects: DataFrame, path: str) -> None:

@@ -6,12 +6,12 @@ then a grouped aggregate of it, or of it joined with a strategy's scalars.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import expected_max_sharpe, normal_cdf
 from ..plans.config import DAYS_A_YEAR, EPS, MOST_PROFIT_FACTOR, EvalConfig
-from .cleaning import KEY, in_order
+from .cleaning import KEY, by_strategy, in_order, running
 from .series import curve_points, islands, marked_equity, monthly_returns, with_equity, with_returns
 
 DAY = 86_400.0
@@ -109,9 +109,9 @@ def growth(facts: DataFrame, config: EvalConfig) -> DataFrame:
 def drawdown_duration(facts: DataFrame) -> DataFrame:
     """(strategy_id, max_drawdown_duration_days): the longest run under water, from its first to its last trade."""
     under = F.col("dd") < 0
-    runs = islands(facts, under, "_run").filter(under).groupBy(*KEY, "_run").agg(((F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp"))) / (DAY * 1e6)).alias("_days"))
-    longest = runs.groupBy(*KEY).agg(F.max("_days").alias("_days"))
-    return facts.select(*KEY).distinct().join(longest, KEY, "left").select(*KEY, F.coalesce("_days", F.lit(0.0)).alias("max_drawdown_duration_days"))
+    at = F.when(under, F.unix_micros("timestamp"))
+    runs = islands(facts, under, "_run").groupBy(*KEY, "_run").agg(((F.max(at) - F.min(at)) / (DAY * 1e6)).alias("_days"))
+    return runs.groupBy(*KEY).agg(F.coalesce(F.max("_days"), F.lit(0.0)).alias("max_drawdown_duration_days"))
 
 
 def drawdown(facts: DataFrame, config: EvalConfig) -> DataFrame:
@@ -137,35 +137,41 @@ def marked_drawdown(trades: DataFrame, config: EvalConfig) -> DataFrame:
     return marked_equity(trades, config).groupBy(*KEY).agg(F.min("dd").alias("mtm_max_drawdown"))
 
 
-def rates(grown: DataFrame, config: EvalConfig) -> DataFrame:
-    """(strategy_id, n, trades_per_year, rf_per_trade, annualiser) from the growth group."""
+def with_rates(facts: DataFrame, config: EvalConfig) -> DataFrame:
+    """Adds n, trades_per_year, rf_per_trade and annualiser of the strategy to each trade."""
+    whole = by_strategy()
+    at = F.unix_micros("timestamp")
+    days = F.floor((F.max(at).over(whole) - F.min(at).over(whole)) / (DAY * 1e6))
+    rows = facts.withColumns({"n": F.count("*").over(whole), "_days": days})
     n = F.col("n").cast("double")
-    per_year = F.when(n >= 2, n * DAYS_A_YEAR / F.greatest(F.lit(1.0), F.col("days").cast("double"))).otherwise(n)
-    free = F.when((n >= 10) & (per_year > EPS), F.pow(F.lit(1.0 + config.rf_annual), 1.0 / per_year) - 1.0).otherwise(0.0)
-    return grown.select(*KEY, "n", per_year.alias("trades_per_year"), free.alias("rf_per_trade"), F.when(n >= 10, F.sqrt(per_year)).otherwise(1.0).alias("annualiser"))
+    per_year = F.when(n >= 2, n * DAYS_A_YEAR / F.greatest(F.lit(1.0), F.col("_days").cast("double"))).otherwise(n)
+    rows = rows.withColumn("trades_per_year", per_year).drop("_days")
+    yearly = (F.col("n") >= 10) & (F.col("trades_per_year") > EPS)
+    free = F.when(yearly, F.pow(F.lit(1.0 + config.rf_annual), 1.0 / F.col("trades_per_year")) - 1.0).otherwise(0.0)
+    return rows.withColumns({"rf_per_trade": free, "annualiser": F.when(F.col("n") >= 10, F.sqrt("trades_per_year")).otherwise(1.0)})
 
 
 def tails(facts: DataFrame) -> DataFrame:
     """(strategy_id, p5, p95, tail_ratio, var_95, cvar_95): extremes instead of percentiles below ten trades."""
-    a = facts.groupBy(*KEY).agg(F.count("*").alias("_n"), F.percentile("R", F.array(F.lit(0.05), F.lit(0.95))).alias("_p"), F.min("R").alias("_lo"), F.max("R").alias("_hi"))
+    whole = by_strategy()
+    rows = facts.withColumns({"_n": F.count("*").over(whole), "_p": F.percentile("R", F.array(F.lit(0.05), F.lit(0.95))).over(whole), "_lo": F.min("R").over(whole), "_hi": F.max("R").over(whole)})
     pick = lambda i, edge: F.when(F.col("_n") >= 10, F.col("_p")[i]).when(F.col("_n") >= 2, F.col(edge)).otherwise(0.0)
-    a = a.select(*KEY, pick(0, "_lo").alias("p5"), pick(1, "_hi").alias("p95"))
-    low = facts.join(a, KEY).groupBy(*KEY).agg(F.avg(F.when(F.col("R") <= F.col("p5"), F.col("R"))).alias("_tail"))
-    return a.join(low, KEY).select(*KEY, "p5", "p95", (F.abs("p95") / _guard(F.abs("p5"))).alias("tail_ratio"), (-F.col("p5")).alias("var_95"), F.coalesce(-F.col("_tail"), F.lit(0.0)).alias("cvar_95"))
+    rows = rows.select(*KEY, "R", pick(0, "_lo").alias("p5"), pick(1, "_hi").alias("p95"))
+    a = rows.groupBy(*KEY, "p5", "p95").agg(F.avg(F.when(F.col("R") <= F.col("p5"), F.col("R"))).alias("_tail"))
+    return a.select(*KEY, "p5", "p95", (F.abs("p95") / _guard(F.abs("p5"))).alias("tail_ratio"), (-F.col("p5")).alias("var_95"), F.coalesce(-F.col("_tail"), F.lit(0.0)).alias("cvar_95"))
 
 
 def risk_adjusted(facts: DataFrame, grown: DataFrame, fallen: DataFrame, config: EvalConfig) -> DataFrame:
     """Sharpe (with the small-sample correction), Sortino, Calmar, Omega, RoMaD, tails, PSR and DSR."""
-    scale = rates(grown, config)
     over = F.col("R") - F.col("rf_per_trade")
-    a = facts.join(scale.drop("n"), KEY).groupBy(*KEY).agg(
+    a = with_rates(facts, config).groupBy(*KEY, "n", "trades_per_year", "rf_per_trade", "annualiser").agg(
         F.avg(over).alias("_mu"),
         F.stddev_samp(over).alias("_sigma"),
         F.stddev_samp(F.least(over, F.lit(0.0))).alias("_down"),
         F.sum(F.greatest(over, F.lit(0.0))).alias("_up_sum"),
         F.sum(F.greatest(-over, F.lit(0.0))).alias("_down_sum"),
     )
-    a = a.join(scale, KEY).join(grown.drop("n"), KEY).join(fallen.select(*KEY, "max_drawdown"), KEY).join(tails(facts), KEY)
+    a = a.join(grown.drop("n"), KEY).join(fallen.select(*KEY, "max_drawdown"), KEY).join(tails(facts), KEY)
     n = F.col("n").cast("double")
     a = a.withColumn("sharpe_per_trade", F.when(F.coalesce("_sigma", F.lit(0.0)) > EPS, F.col("_mu") / F.col("_sigma")).otherwise(0.0))
     small = F.when(n < 30, F.sqrt(n / 30.0)).otherwise(1.0)
@@ -202,25 +208,26 @@ def psr(reference: Column) -> Column:
 
 def streaks(trades: DataFrame) -> DataFrame:
     """(strategy_id, max_win_streak, max_loss_streak, streak_ratio); ties break both."""
-    out = None
-    for name, inside in (("max_win_streak", F.col("capped_pnl") > 0), ("max_loss_streak", F.col("capped_pnl") < 0)):
-        runs = islands(trades, inside, "_run").groupBy(*KEY, "_run").agg(F.count_if(inside).alias("_length"))
-        longest = runs.groupBy(*KEY).agg(F.max("_length").alias(name))
-        out = longest if out is None else out.join(longest, KEY)
+    sign = F.signum("capped_pnl")
+    rows = trades.withColumn("_s", sign).withColumn("_new", F.coalesce(F.col("_s") != F.lag("_s").over(in_order()), F.lit(True)))
+    rows = rows.withColumn("_run", F.sum(F.col("_new").cast("int")).over(running()))
+    runs = rows.groupBy(*KEY, "_run", "_s").agg(F.count("*").alias("_length"))
+    longest = lambda s, name: F.coalesce(F.max(F.when(F.col("_s") == s, F.col("_length"))), F.lit(0).cast("long")).alias(name)
+    out = runs.groupBy(*KEY).agg(longest(1, "max_win_streak"), longest(-1, "max_loss_streak"))
     return out.withColumn("streak_ratio", F.col("max_win_streak") / F.greatest(F.lit(1), F.col("max_loss_streak")))
 
 
 def runs_test(trades: DataFrame) -> DataFrame:
     """(strategy_id, runs, runs_z): sign changes among wins and losses against their expected number."""
-    signs = trades.filter("capped_pnl <> 0").select(*KEY, "seq", F.signum("capped_pnl").alias("_s"))
-    signs = signs.withColumn("_new", F.coalesce(F.col("_s") != F.lag("_s").over(in_order()), F.lit(True)))
-    a = signs.groupBy(*KEY).agg(F.count_if("_new").alias("runs"), F.count_if(F.col("_s") > 0).alias("_w"), F.count_if(F.col("_s") < 0).alias("_l"))
+    rows = trades.withColumn("_s", F.when(F.col("capped_pnl") != 0, F.signum("capped_pnl")))
+    before = F.last("_s", True).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_new", F.col("_s").isNotNull() & F.coalesce(F.col("_s") != before, F.lit(True)))
+    a = rows.groupBy(*KEY).agg(F.count_if("_new").alias("runs"), F.count_if(F.col("_s") > 0).alias("_w"), F.count_if(F.col("_s") < 0).alias("_l"))
     w, lost = F.col("_w").cast("double"), F.col("_l").cast("double")
-    mean = 1 + 2 * w * lost / (w + lost)
+    mean = 1 + 2 * w * lost / F.greatest(w + lost, F.lit(1.0))
     variance = (mean - 1) * (mean - 2) / F.greatest(w + lost - 1, F.lit(1.0))
     z = F.when((w > 0) & (lost > 0) & (variance > EPS), (F.col("runs") - mean) / F.sqrt(F.greatest(variance, F.lit(EPS)))).otherwise(0.0)
-    a = a.select(*KEY, "runs", z.alias("runs_z"))
-    return trades.select(*KEY).distinct().join(a, KEY, "left").select(*KEY, F.coalesce("runs", F.lit(0)).alias("runs"), F.coalesce("runs_z", F.lit(0.0)).alias("runs_z"))
+    return a.select(*KEY, "runs", z.alias("runs_z"))
 
 
 def behavioural(trades: DataFrame, monthly: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.config import EPS, EvalConfig
-from .cleaning import KEY
+from .cleaning import KEY, by_strategy
 
 
 def cusum_fold(values: Column, k: float, h: float) -> Column:
@@ -43,8 +43,7 @@ def cusum(rows: DataFrame, config: EvalConfig) -> DataFrame:
 
 def halves(facts: DataFrame) -> DataFrame:
     """(strategy_id, n, mean and Sharpe gap between first and second half, standard error); the middle goes to the second."""
-    n = facts.groupBy(*KEY).agg(F.count("*").alias("n"))
-    rows = facts.join(n, KEY).withColumn("_first", F.col("seq") <= F.floor(F.col("n") / 2))
+    rows = facts.withColumn("n", F.count("*").over(by_strategy())).withColumn("_first", F.col("seq") <= F.floor(F.col("n") / 2))
     part = lambda f, first: f(F.when(F.col("_first") == first, F.col("R")))
     a = rows.groupBy(*KEY, "n").agg(
         F.count_if("_first").alias("_n1"),

@@ -312,7 +312,7 @@ def metrics_dd_duration(spark, sf_dir):
 
 
 def _risk(spark, sf_dir, losing=STRONG):
-    f = facts(spark, sf_dir, losing)
+    f = evaluate.shared(facts(spark, sf_dir, losing))
     return metrics.risk_adjusted(f, metrics.growth(f, CONFIG), metrics.drawdown(f, CONFIG), CONFIG)
 
 
@@ -338,7 +338,7 @@ def metrics_runs_z(spark, sf_dir):
 
 @query
 def metrics_behavioural(spark, sf_dir):
-    rows = supplier_trades(spark, sf_dir)
+    rows = evaluate.shared(supplier_trades(spark, sf_dir))
     return metrics.behavioural(rows, series.monthly_returns(series.equity_curve(rows, SUPPLIERS))).select(KEY, "best_trade", "worst_trade", "months", "profitable_month_fraction", "monthly_volatility")
 
 
@@ -354,7 +354,7 @@ def regime_halves(spark, sf_dir):
 
 @query
 def regime_flag(spark, sf_dir):
-    return regime.regime_check(facts(spark, sf_dir, BASE), CONFIG).select(KEY, "threshold_hit", "regime_unstable")
+    return regime.regime_check(evaluate.shared(facts(spark, sf_dir, BASE)), CONFIG).select(KEY, "threshold_hit", "regime_unstable")
 
 
 @query
@@ -398,7 +398,7 @@ def shown_metrics(spark, sf_dir):
 
 
 def _mc(spark, sf_dir, test: str):
-    rows = trades(spark, sf_dir)
+    rows = evaluate.shared(trades(spark, sf_dir))
     fallen = metrics.drawdown(series.with_equity(rows, CONFIG), CONFIG)
     return resample.run_tests(rows, CONFIG, drawdowns=fallen, tests=(test,)).drop("test")
 
@@ -425,7 +425,7 @@ def mc_moving_block(spark, sf_dir):
 
 @query
 def mc_correlation_flag(spark, sf_dir):
-    rows = trades(spark, sf_dir)
+    rows = evaluate.shared(trades(spark, sf_dir))
     return resample.correlation(resample.run_tests(rows, CONFIG, tests=("a", "c", "mb")))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ class Evaluation:
     trades: DataFrame
     rejects: DataFrame
     report: DataFrame
+    facts: DataFrame
     metrics: DataFrame
     resampled: DataFrame
     scored: DataFrame
@@ -25,26 +27,32 @@ class Evaluation:
     monthly: DataFrame
 
 
-def scalars(trades: DataFrame, report: DataFrame, config: EvalConfig) -> tuple[DataFrame, DataFrame]:
-    """All metrics with resampling outcomes and the report's counts, and the resampling summaries.
+def shared(df: DataFrame) -> DataFrame:
+    """The frame, kept on first use for the branches that start from it (on disk where memory is short)."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
-    A dozen branches start from the trades with their series, and several from the metrics, so both are settled.
-    """
-    found = settle(metrics.all_metrics(settle(metrics.trade_facts(trades, config)), config))
-    resampled = resample.run_tests(trades, config, found.select("strategy_id", "trades_per_year"), found.select("strategy_id", "max_drawdown"))
+
+def scalars(facts: DataFrame, report: DataFrame, config: EvalConfig) -> tuple[DataFrame, DataFrame]:
+    """All metrics with resampling outcomes and the report's counts, and the resampling summaries."""
+    found = settle(metrics.all_metrics(facts, config))
+    resampled = resample.run_tests(facts, config, found.select("strategy_id", "trades_per_year"), found.select("strategy_id", "max_drawdown"))
     counts = report.select("strategy_id", "rows_received", "outliers_tagged")
     return found.join(resample.correlation(resampled), "strategy_id", "left").join(counts, "strategy_id"), resampled
 
 
 def evaluate(bronze: DataFrame, config: EvalConfig) -> Evaluation:
-    """Everything an evaluation yields; nothing runs before one of the frames is used.
+    """Everything an evaluation yields; cleaning and metrics run at once, the rest when it is used.
 
+    Trades are settled, dealt by strategy once and kept with their series (on disk where memory is short): a
+    dozen branches start from them, and none has to shuffle them again. `facts.unpersist()` frees them.
     """
-    cleaned = cleaning.clean(bronze, config)
-    trades = cleaned.trades
-    joined, resampled = scalars(trades, report := settle(cleaned.report), config)
-    equity = series.equity_curve(trades, config)
-    return Evaluation(trades, cleaned.rejects, report, joined, resampled, scoring.score(joined), scoring.overfitting(joined), equity, series.monthly_returns(equity))
+    flags = cleaning.flagged(bronze)
+    trades = settle(cleaning.trades_of(flags, config))
+    facts = shared(metrics.trade_facts(trades.repartition("strategy_id"), config))
+    report = settle(cleaning.report_of(flags, trades))
+    joined, resampled = scalars(facts, report, config)
+    equity = series.curve_points(facts, config)
+    return Evaluation(trades, cleaning.rejects_of(flags), report, facts, joined, resampled, scoring.score(joined), scoring.overfitting(joined), equity, series.monthly_returns(equity))
 
 
 def scorecards(evaluation: Evaluation, name: Column, created: Column, config: EvalConfig) -> DataFrame:
@@ -53,8 +61,7 @@ def scorecards(evaluation: Evaluation, name: Column, created: Column, config: Ev
 
 def overview(bronze: DataFrame, config: EvalConfig) -> DataFrame:
     """(strategy_id, total_trades, win_rate, profit_factor, max_drawdown, total_return): the shortest useful answer."""
-    trades = cleaning.clean(bronze, config).trades
-    facts = series.with_equity(trades, config)
+    facts = shared(series.with_equity(cleaning.clean(bronze, config).trades, config))
     fallen = metrics.drawdown(facts, config).select("strategy_id", "max_drawdown", "recovery_factor")
-    net = trades.groupBy("strategy_id").agg((F.sum("capped_pnl") / config.start_balance).alias("total_return"))
-    return metrics.basic(trades).select("strategy_id", "total_trades", "win_rate", "profit_factor").join(fallen, "strategy_id").join(net, "strategy_id")
+    net = facts.groupBy("strategy_id").agg((F.sum("capped_pnl") / config.start_balance).alias("total_return"))
+    return metrics.basic(facts).select("strategy_id", "total_trades", "win_rate", "profit_factor").join(fallen, "strategy_id").join(net, "strategy_id")
