@@ -262,8 +262,7 @@ def equity_mtm(spark, sf_dir):
 @query
 def equity_mtm_ties(spark, sf_dir):
     """Suppliers' ledgers, whose trades of one day overlap."""
-    rows = cleaning.clean(adapters.lineitem_ledger(table(spark, sf_dir, "lineitem")).filter("strategy_id < 10"), SUPPLIERS).trades
-    return metrics.marked_drawdown(rows, SUPPLIERS).withColumn("mtm_max_drawdown", F.round("mtm_max_drawdown", 6))
+    return metrics.marked_drawdown(supplier_trades(spark, sf_dir), SUPPLIERS).withColumn("mtm_max_drawdown", F.round("mtm_max_drawdown", 6))
 
 
 @query
@@ -484,7 +483,7 @@ def card_list(spark, sf_dir):
 def compare_cards(spark, sf_dir):
     found = _cards(spark, sf_dir)
     ids = [r[0] for r in found.filter("strategy_id IN ('0', '1', '2')").orderBy("strategy_id").select("id").collect()]
-    return cards.compare(found, ids).filter("metric LIKE 'basic.%' OR metric LIKE 'drawdown.%' OR metric = 'final_score'").withColumns({c: F.round(c, 6) for c in ("baseline", "value", "delta_pct")})
+    return cards.compare(found, ids).withColumns({c: F.round(c, 6) for c in ("baseline", "value", "delta_pct")})
 
 
 @query

@@ -125,7 +125,7 @@ add("equity_curve", f"WITH {facts()}, {CURVE} SELECT * FROM curve", "balance pea
 add("equity_mtm", f"WITH {trades()}, {SPAN}, {MARKED.replace('START', '10000.0::DOUBLE')} SELECT strategy_id, count(*) AS points, round(max(balance), 6) AS high, round(min((balance - peak) / CASE WHEN peak > 0 THEN peak ELSE 1 END), 6) AS mtm_max_drawdown, round(sum(balance), 4) AS total FROM mpk GROUP BY 1", "high mtm_max_drawdown total")
 add(
     "equity_mtm_ties",
-    f"""WITH {LINES}, gap AS (SELECT *, epoch_us(timestamp)::DOUBLE AS x, epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (PARTITION BY strategy_id ORDER BY seq) AS g FROM ltrades WHERE strategy_id < 10),
+    f"""WITH {LINES}, gap AS (SELECT *, epoch_us(timestamp)::DOUBLE AS x, epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (PARTITION BY strategy_id ORDER BY seq) AS g FROM ltrades),
 span AS (SELECT strategy_id, capped_pnl, x, x - CASE WHEN g > 0 THEN g ELSE 1000000 END AS e FROM gap), {MARKED.replace('START', '1000000.0::DOUBLE')}
 SELECT strategy_id, round(min((balance - peak) / CASE WHEN peak > 0 THEN peak ELSE 1 END), 6) AS mtm_max_drawdown FROM mpk GROUP BY 1""",
     "mtm_max_drawdown",
@@ -166,9 +166,10 @@ def cdf(x: str) -> str:
     return f"CASE WHEN {x} > 7 THEN 1.0::DOUBLE WHEN {x} < -7 THEN 0.0::DOUBLE WHEN {x} = 0 THEN 0.5::DOUBLE ELSE 0.5::DOUBLE + sign({x}) * exp(-{x} * {x} / 2) / sqrt(2 * pi()) * {series} END"
 
 
-def psr(reference: str) -> str:
-    return f"""ps AS (SELECT strategy_id, n, 1 - skew_returns * sharpe_per_trade + (excess_kurtosis_returns + 2) / 4 * sharpe_per_trade * sharpe_per_trade AS d, sharpe_per_trade - ({reference}) AS gap FROM risk),
-pz AS (SELECT strategy_id, CASE WHEN n >= 2 AND d > 1e-9 THEN gap / sqrt(d / (n - 1)) END AS z FROM ps), pv AS (SELECT strategy_id, CASE WHEN z IS NOT NULL THEN {cdf('z')} END AS p FROM pz)"""
+def psr(reference: str, name: str = "pv") -> str:
+    """CTE `name` (strategy_id, p)."""
+    return f"""{name}_s AS (SELECT strategy_id, n, 1 - skew_returns * sharpe_per_trade + (excess_kurtosis_returns + 2) / 4 * sharpe_per_trade * sharpe_per_trade AS d, sharpe_per_trade - ({reference}) AS gap FROM risk),
+{name}_z AS (SELECT strategy_id, CASE WHEN n >= 2 AND d > 1e-9 THEN gap / sqrt(d / (n - 1)) END AS z FROM {name}_s), {name} AS (SELECT strategy_id, CASE WHEN z IS NOT NULL THEN {cdf('z')} END AS p FROM {name}_z)"""
 
 
 #: Expected maximum of 2 trials, from the rational approximation.
@@ -322,14 +323,28 @@ CARD_ID = "'user-' || strategy_id || '-' || strftime(to_timestamp(1735689600 + s
 add("card_json_roundtrip", f"WITH RECURSIVE {everything()}, {CATEGORIES}, {PENALTIES}, {SCORED} SELECT {CARD_ID} AS id, strategy_id::VARCHAR AS strategy_id, ' User #' || strategy_id AS strategy_name, '7' AS seed, total_trades, profit_factor, status FROM scored", "profit_factor")
 add("card_list", f"WITH RECURSIVE {everything()}, {CATEGORIES}, {PENALTIES}, {SCORED} SELECT {CARD_ID} AS id, ' User #' || strategy_id AS strategy_name, (to_timestamp(1735689600 + strategy_id * 60) AT TIME ZONE 'UTC') AS created_at, total_trades, final_score, label, status FROM scored")
 _BASICS = ("total_trades", "win_count", "loss_count", "tie_count", "win_rate", "loss_rate", "average_win", "average_loss", "profit_factor", "payoff_ratio", "expectancy", "expectancy_per_risk", "long_count", "short_count", "long_win_rate", "short_win_rate")
-_FALLS = ("max_drawdown", "average_drawdown", "ulcer_index", "recovery_factor")
-_LONG = " UNION ALL ".join([f"SELECT strategy_id, id, '{g}.{c}' AS metric, {c}::DOUBLE AS value FROM w" for g, cs in (("basic", _BASICS), ("drawdown", (*_FALLS, "max_drawdown_duration_days", "mtm_max_drawdown"))) for c in cs] + ["SELECT strategy_id, id, 'final_score', final_score::DOUBLE FROM w"])
+_CARD = {
+    "basic": _BASICS,
+    "growth": ("net_pnl", "total_return", "cagr", "cagr_flagged_insufficient", "mean_return_per_trade", "median_return_per_trade", "skew_returns", "excess_kurtosis_returns"),
+    "drawdown": ("max_drawdown", "average_drawdown", "ulcer_index", "recovery_factor", "max_drawdown_duration_days", "mtm_max_drawdown"),
+    "risk_adj": ("trades_per_year", "rf_per_trade", "sharpe_per_trade", "sharpe_ratio", "sortino_ratio", "calmar_ratio", "omega_ratio", "romad", "tail_ratio", "var_95", "cvar_95", "probabilistic_sharpe_ratio", "deflated_sharpe_ratio", "dsr_n_trials"),
+    "behav": ("max_win_streak", "max_loss_streak", "streak_ratio", "runs", "runs_z", "best_trade", "worst_trade", "months", "profitable_month_fraction", "monthly_volatility"),
+}
+_LONG = " UNION ALL ".join(
+    [f"SELECT strategy_id, id, '{g}.{c}' AS metric, {c}::DOUBLE AS value FROM w" for g, cs in _CARD.items() for c in cs]
+    + [f"SELECT strategy_id, id, 'cat.{c}', CASE WHEN status = 'SCORED' THEN cat_{c} END FROM w" for c in CATS]
+    + ["SELECT strategy_id, id, 'final_score', final_score::DOUBLE FROM w", "SELECT strategy_id, id, 'raw_score', coalesce(raw_score, 0) FROM w"]
+)
 add(
     "compare_cards",
     f"""WITH RECURSIVE {everything()}, {CATEGORIES}, {PENALTIES}, {SCORED},
 isl AS (SELECT *, sum((dd >= 0)::INT) OVER (PARTITION BY strategy_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM facts), du AS (SELECT strategy_id, run, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 86400e6::DOUBLE AS d FROM isl WHERE dd < 0 GROUP BY ALL),
-w AS (SELECT *, {CARD_ID} AS id, coalesce((SELECT max(d) FROM du WHERE du.strategy_id = scored.strategy_id), 0) AS max_drawdown_duration_days, max_drawdown AS mtm_max_drawdown FROM scored WHERE strategy_id IN (0, 1, 2)), l AS ({_LONG})
-SELECT l.metric, l.id, b.value AS baseline, l.value, CASE WHEN l.strategy_id <> 0 AND abs(b.value) > 1e-9 THEN (l.value - b.value) / abs(b.value) * 100 END AS delta_pct FROM l JOIN l b ON b.metric = l.metric AND b.strategy_id = 0""",
+{psr('0', 'plain')},
+w AS (SELECT * REPLACE (coalesce(months, 0) AS months, coalesce(runs, 0) AS runs, coalesce(runs_z, 0) AS runs_z), {CARD_ID} AS id, coalesce((SELECT max(d) FROM du WHERE du.strategy_id = scored.strategy_id), 0) AS max_drawdown_duration_days, max_drawdown AS mtm_max_drawdown,
+  max_win_streak / greatest(1, max_loss_streak) AS streak_ratio, p AS probabilistic_sharpe_ratio, dsr AS deflated_sharpe_ratio, 2 AS dsr_n_trials
+  FROM scored JOIN (SELECT strategy_id, net_pnl, total_return, cagr, cagr_flagged_insufficient, mean_return_per_trade, median_return_per_trade FROM growth) USING (strategy_id) JOIN behave USING (strategy_id) JOIN (SELECT strategy_id, var_95 FROM tails) USING (strategy_id) JOIN plain USING (strategy_id)
+  WHERE strategy_id IN (0, 1, 2)), l AS ({_LONG})
+SELECT b.metric, l.id, b.value AS baseline, l.value, CASE WHEN l.strategy_id <> 0 AND abs(b.value) > 1e-9 THEN (l.value - b.value) / abs(b.value) * 100 END AS delta_pct FROM l JOIN l b ON b.metric = l.metric AND b.strategy_id = 0 WHERE b.value IS NOT NULL""",
     "baseline value delta_pct",
     6,
 )
