@@ -100,5 +100,5 @@ def compare(found: DataFrame, ids: list[str]) -> DataFrame:
     long = values(found.filter(F.col("id").isin(ids)))
     base = long.filter(F.col("id") == ids[0]).select("metric", F.col("value").alias("baseline"))
     change = F.when((F.col("id") != ids[0]) & (F.abs("baseline") > 1e-9), (F.col("value") - F.col("baseline")) / F.abs("baseline") * 100)
-    every = found.filter(F.col("id").isin(ids)).select("id").crossJoin(F.broadcast(base)) if len(ids) <= 100 else found.filter(F.col("id").isin(ids)).select("id").join(base, F.lit(True))
+    every = base.withColumn("id", F.explode(F.array(*map(F.lit, ids)))).join(found.select("id"), "id", "left_semi")
     return every.join(long, ["id", "metric"], "left").select("metric", "id", "baseline", "value", change.alias("delta_pct"))

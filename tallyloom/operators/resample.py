@@ -15,6 +15,7 @@ from .cleaning import KEY
 
 PERCENTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
 MEASURES = ("total_return", "max_drawdown", "sharpe_ratio", "profit_factor")
+PLACES = 4096
 PATH = [*KEY, "test", "iteration"]
 
 
@@ -28,7 +29,9 @@ def _grid(trades: DataFrame, iterations: int) -> DataFrame:
     """(strategy_id, n, iteration, k): k from 0 to n - 1 for each iteration."""
     n = trades.groupBy(*KEY).agg(F.count("*").alias("n"))
     cells = n.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    return cells.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    # places come in two steps, so that no row holds an array as long as a history
+    cells = cells.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PLACES))))
+    return cells.withColumn("k", F.explode(F.sequence(F.col("block") * PLACES, F.least(F.col("n"), (F.col("block") + 1) * PLACES) - 1))).drop("block")
 
 
 def _paths(trades: DataFrame, positions: DataFrame, test: str) -> DataFrame:
