@@ -151,6 +151,18 @@ class Patterns:
         return np.cumsum(change)[:-1] > 0, items
 
 
+#: The tables a worker built last, by the items they are of; tasks that follow in the same worker use them again.
+_built: list[tuple[list, int, Patterns]] = []
+
+
+def patterns_of(items: list[tuple], window: int) -> Patterns:
+    for known, width, patterns in _built:
+        if known is items and width == window:
+            return patterns
+    _built[:] = [*_built[-1:], (items, window, Patterns(items, window))]
+    return _built[-1][2]
+
+
 def item_blocks(items: DataFrame, block_bytes: int) -> list[list[tuple]]:
     """Items in blocks of about `block_bytes` of text, as many as it takes; a block is all that is held at once."""
     items = items.select("item_id", F.col("text").cast("string"))
@@ -164,16 +176,14 @@ def item_blocks(items: DataFrame, block_bytes: int) -> list[list[tuple]]:
 def _mark(docs: DataFrame, items: list[tuple], window: int, keep: list[str]) -> DataFrame:
     """Adds the hits of a block of items: columns __hits (flags of words, packed) and __items."""
     sent = docs.sparkSession.sparkContext.broadcast([tuple(x) for x in items])
-    made: list[Patterns] = []
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Patterns(sent.value, window))
+        patterns = patterns_of(sent.value, window)
         for b in batches:
             n_words, flags, names = [], [], []
             for _, _, data, off in common.chunks(b.column("text")):
                 words = Words(data, off)
-                hit, items = made[0].hits(words)
+                hit, items = patterns.hits(words)
                 any_hit = np.add.reduceat(np.append(hit, False), words.first[:-1]) * (np.diff(words.first) > 0)
                 for i, (x, y) in enumerate(zip(words.first[:-1], words.first[1:])):
                     flags.append(np.packbits(hit[x:y]).tobytes() if any_hit[i] else None)
