@@ -33,7 +33,7 @@ _letters: list[np.ndarray] = []
 def letter_table() -> np.ndarray:
     """For each code point its small letter's code point, 32 for all that are no letters."""
     if not _letters:
-        _letters.append(np.array([ord(c.lower()[0]) if (c := chr(i)).isalpha() else 32 for i in range(0x110000)], np.uint32))
+        _letters.append(np.fromiter((ord(c.lower()[0]) if (c := chr(i)).isalpha() else 32 for i in range(0x110000)), np.uint32, 0x110000))
     return _letters[0]
 
 
@@ -47,7 +47,7 @@ def letter_vectors(points: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarr
 class Bundler:
     """Trigram vectors, kept as they are met, up to a bound."""
 
-    def __init__(self, dimensions: int = DIMENSIONS, kept: int = 20_000):
+    def __init__(self, dimensions: int = DIMENSIONS, kept: int = 8_000):
         self.dimensions, self.kept = dimensions, kept
         self.codes, self.vectors = np.zeros(0, np.int64), np.zeros((0, dimensions), np.float32)
 
@@ -109,7 +109,7 @@ def _number(values: np.ndarray, below: int = 0x110000) -> tuple[np.ndarray, np.n
     return np.flatnonzero(seen), place[values]
 
 
-def text_groups(texts: list[str], limit: int = common.CHUNK_BYTES, most: int = 512) -> Iterator[tuple[int, int]]:
+def text_groups(texts: list[str], limit: int = common.CHUNK_BYTES // 4, most: int = 256) -> Iterator[tuple[int, int]]:
     first, size = 0, 0
     for i, t in enumerate(texts):
         if i > first and (size + len(t) > limit or i - first >= most):
