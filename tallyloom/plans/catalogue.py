@@ -399,7 +399,9 @@ def shown_metrics(spark, sf_dir):
 def _mc(spark, sf_dir, test: str):
     rows = evaluate.shared(trades(spark, sf_dir))
     fallen = metrics.drawdown(series.with_equity(rows, CONFIG), CONFIG)
-    return resample.run_tests(rows, CONFIG, drawdowns=fallen, tests=(test,)).drop("test")
+    out = resample.run_tests(rows, CONFIG, drawdowns=fallen, tests=(test,)).drop("test")
+    points = [(m, i, round(p * 100)) for m in resample.MEASURES for i, p in enumerate(resample.PERCENTILES)]
+    return out.select("*", *(F.col(m)[i].alias(f"{m}_p{p}") for m, i, p in points)).drop(*resample.MEASURES)
 
 
 @query

@@ -269,9 +269,10 @@ s_{test} AS (SELECT strategy_id, count(*) AS iterations, {', '.join(f"[round(q,
 
 INFERRED = "yr AS (SELECT strategy_id, count(*) * 365.25::DOUBLE / greatest(1, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 86400e6::DOUBLE) AS y FROM trades GROUP BY 1)"
 WHOLE_DAYS = "yr AS (SELECT strategy_id, trades_per_year AS y FROM risk)"
+_POINTS = ", ".join(f"s.{m}[{i + 1}] AS {m}_p{p}" for m in ("total_return", "max_drawdown", "sharpe_ratio", "profit_factor") for i, p in enumerate((0, 5, 25, 50, 75, 95, 100)))
 for _name, _t in (("mc_bootstrap", "a"), ("mc_permutation", "b"), ("mc_stationary", "c"), ("mc_moving_block", "mb")):
     _twice = "(SELECT avg((m.max_drawdown < 2 * f.max_drawdown)::INT) FROM m_b m JOIN fallen f USING (strategy_id) WHERE m.strategy_id = s.strategy_id)" if _t == "b" else "NULL::DOUBLE"
-    add(_name, f"WITH {facts()}, {FALLEN}, {INFERRED}, {CELLS}, {resampled(_t)} SELECT s.*, {_twice} AS mdd_2x_probability FROM s_{_t} s", "robustness_rate sharpe_stability mean_sharpe mdd_2x_probability")
+    add(_name, f"WITH {facts()}, {FALLEN}, {INFERRED}, {CELLS}, {resampled(_t)} SELECT s.* EXCLUDE (total_return, max_drawdown, sharpe_ratio, profit_factor), {_POINTS}, {_twice} AS mdd_2x_probability FROM s_{_t} s", "robustness_rate sharpe_stability mean_sharpe mdd_2x_probability")
 CORRELATION = """corr AS (SELECT strategy_id, a.robustness_rate AS iid, c.robustness_rate AS crr, mb.robustness_rate AS brr, a.sharpe_stability AS ast, c.sharpe_stability AS cst,
   CASE WHEN abs(a.max_drawdown[2]) < 1e-9 THEN abs(c.max_drawdown[2]) > 0.005 ELSE abs(c.max_drawdown[2]) > 1.5 * abs(a.max_drawdown[2]) END AS flag FROM s_a a JOIN s_c c USING (strategy_id) JOIN s_mb mb USING (strategy_id)),
 picked AS (SELECT strategy_id, flag AS correlation_flag, CASE WHEN flag THEN 'test_c' ELSE 'test_a' END AS effective_test, CASE WHEN flag THEN crr ELSE iid END AS robustness_rate, CASE WHEN flag THEN cst ELSE ast END AS sharpe_stability, iid AS iid_robustness_rate, brr AS block_robustness_rate, iid - brr AS block_vs_iid_gap FROM corr)"""
