@@ -47,25 +47,25 @@ def letter_vectors(points: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarr
 class Bundler:
     """Trigram vectors, kept as they are met, up to a bound."""
 
-    def __init__(self, dimensions: int = DIMENSIONS, kept: int = 8_000):
+    def __init__(self, dimensions: int = DIMENSIONS, kept: int = 20_000):
         self.dimensions, self.kept = dimensions, kept
-        self.codes, self.vectors = np.zeros(0, np.int64), np.zeros((0, dimensions), np.float32)
+        self.codes, self.vectors = np.zeros(0, np.int64), np.zeros((0, dimensions), np.int8)
 
     def _trigram_vectors(self, codes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.codes, codes)
         new = codes[(at == len(self.codes)) | (np.append(self.codes, -1)[at] != codes)]
         if len(new):
             if len(self.codes) + len(new) > self.kept:
-                self.codes, self.vectors, new = np.zeros(0, np.int64), np.zeros((0, self.dimensions), np.float32), codes
+                self.codes, self.vectors, new = np.zeros(0, np.int64), np.zeros((0, self.dimensions), np.int8), codes
             bound = np.ones((len(new), self.dimensions), np.int8)
             for place in range(3):
                 points, which = np.unique((new >> (21 * (2 - place))) & 0x1FFFFF, return_inverse=True)
                 bound *= np.roll(letter_vectors(points, self.dimensions), 2 - place, axis=1)[which]
             every = np.concatenate([self.codes, new])
             order = np.argsort(every)
-            self.codes, self.vectors = every[order], np.concatenate([self.vectors, bound.astype(np.float32)])[order]
+            self.codes, self.vectors = every[order], np.concatenate([self.vectors, bound])[order]
             at = np.searchsorted(self.codes, codes)
-        return self.vectors[at] if len(codes) != len(self.codes) else self.vectors
+        return self.vectors[at]
 
     def bundles(self, texts: list[str], groups: np.ndarray | None = None, n_groups: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """The bundle of each text, or of each group of texts; and whether each text has a letter."""
@@ -93,9 +93,9 @@ class Bundler:
         place[order] = np.arange(len(order))
         counts = np.bincount(row * len(full) + place[column], minlength=rows * len(full)).reshape(rows, len(full))
         out = np.zeros((rows, self.dimensions))
-        for i in range(0, len(full), self.kept // 2):  # parts, so that the vectors held are bounded
-            part = full[order[i : i + self.kept // 2]]
-            out += counts[:, i : i + self.kept // 2].astype(np.float32) @ self._trigram_vectors(part)
+        for i in range(0, len(full), 4096):  # parts, so that the vectors held are bounded
+            vectors = self._trigram_vectors(full[order[i : i + 4096]]).astype(np.float32)
+            out += counts[:, i : i + 4096].astype(np.float32) @ vectors
         return out, known
 
 
@@ -109,7 +109,7 @@ def _number(values: np.ndarray, below: int = 0x110000) -> tuple[np.ndarray, np.n
     return np.flatnonzero(seen), place[values]
 
 
-def text_groups(texts: list[str], limit: int = common.CHUNK_BYTES // 4, most: int = 256) -> Iterator[tuple[int, int]]:
+def text_groups(texts: list[str], limit: int = common.CHUNK_BYTES, most: int = 512) -> Iterator[tuple[int, int]]:
     first, size = 0, 0
     for i, t in enumerate(texts):
         if i > first and (size + len(t) > limit or i - first >= most):
