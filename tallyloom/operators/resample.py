@@ -16,6 +16,8 @@ from .cleaning import KEY
 PERCENTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
 MEASURES = ("total_return", "max_drawdown", "sharpe_ratio", "profit_factor")
 PLACES = 4096
+#: Trades, of all strategies, up to which they go to the places of the paths; beyond, both are dealt by place.
+BROADCAST_TRADES = 1_000_000
 PATH = [*KEY, "test", "iteration"]
 
 
@@ -29,33 +31,39 @@ def _grid(trades: DataFrame, iterations: int) -> DataFrame:
     """(strategy_id, n, iteration, k): k from 0 to n - 1 for each iteration."""
     n = trades.groupBy(*KEY).agg(F.count("*").alias("n"))
     cells = n.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    # few bytes that become many rows: dealt by path in a set number of partitions, which are not coalesced
+    cells = cells.repartition(int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY, "iteration")
     # places come in two steps, so that no row holds an array as long as a history
     cells = cells.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PLACES))))
     return cells.withColumn("k", F.explode(F.sequence(F.col("block") * PLACES, F.least(F.col("n"), (F.col("block") + 1) * PLACES) - 1))).drop("block")
 
 
-def _paths(trades: DataFrame, positions: DataFrame, test: str) -> DataFrame:
-    """(strategy_id, test, iteration, k, pnl) from (strategy_id, iteration, k, pos)."""
+def _paths(trades: DataFrame, positions: DataFrame, test: str, join: str = "shuffle_hash") -> DataFrame:
+    """(strategy_id, test, iteration, k, pnl) from (strategy_id, iteration, k, pos).
+
+    join: the hint for the trades. Left to itself, Spark takes the places, which come of few bytes, for the
+    smaller side, and broadcasts them.
+    """
     pnl = trades.select(*KEY, (F.col("seq") - 1).cast("long").alias("pos"), F.col("capped_pnl").alias("pnl"))
-    return positions.join(pnl, [*KEY, "pos"]).select(*KEY, F.lit(test).alias("test"), "iteration", "k", "pnl")
+    return positions.join(pnl.hint(join), [*KEY, "pos"]).select(*KEY, F.lit(test).alias("test"), "iteration", "k", "pnl")
 
 
-def bootstrap(trades: DataFrame, config: EvalConfig) -> DataFrame:
+def bootstrap(trades: DataFrame, config: EvalConfig, join: str = "shuffle_hash") -> DataFrame:
     """Test A: as many trades, drawn with replacement."""
     sid = F.col("strategy_id")
     positions = _grid(trades, config.mc_iterations).withColumn("pos", draw(config.seed, "a", sid, F.col("iteration"), F.col("k")) % F.col("n"))
-    return _paths(trades, positions, "a")
+    return _paths(trades, positions, "a", join)
 
 
-def permutation(trades: DataFrame, config: EvalConfig) -> DataFrame:
+def permutation(trades: DataFrame, config: EvalConfig, join: str = "shuffle_hash") -> DataFrame:
     """Test B: the trades in another order."""
     order = Window.partitionBy(*KEY, "iteration").orderBy("u", "k")
     cells = _grid(trades, config.mc_iterations).withColumn("u", draw(config.seed, "b", F.col("strategy_id"), F.col("iteration"), F.col("k")))
     positions = cells.select(*KEY, "iteration", F.col("k").alias("pos"), (F.row_number().over(order) - 1).cast("long").alias("k"))
-    return _paths(trades, positions, "b")
+    return _paths(trades, positions, "b", join)
 
 
-def stationary(trades: DataFrame, config: EvalConfig) -> DataFrame:
+def stationary(trades: DataFrame, config: EvalConfig, join: str = "shuffle_hash") -> DataFrame:
     """Test C: blocks of random length, sqrt(n) on average, from random starts, wrapping at the end."""
     sid, i, k = F.col("strategy_id"), F.col("iteration"), F.col("k")
     cells = _grid(trades, config.mc_iterations)
@@ -63,7 +71,7 @@ def stationary(trades: DataFrame, config: EvalConfig) -> DataFrame:
     cells = cells.withColumns({"begin": F.when(new, draw(config.seed, "c", sid, i, k) % F.col("n")), "since": F.when(new, k)})
     upto = Window.partitionBy(*KEY, "iteration").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     pos = (F.last("begin", True).over(upto) + k - F.last("since", True).over(upto)) % F.col("n")
-    return _paths(trades, cells.withColumn("pos", pos), "c")
+    return _paths(trades, cells.withColumn("pos", pos), "c", join)
 
 
 def block_length(n: Column, config: EvalConfig) -> Column:
@@ -72,12 +80,12 @@ def block_length(n: Column, config: EvalConfig) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.least(wanted, n))
 
 
-def moving_block(trades: DataFrame, config: EvalConfig) -> DataFrame:
+def moving_block(trades: DataFrame, config: EvalConfig, join: str = "shuffle_hash") -> DataFrame:
     """Blocks of fixed length from random starts, wrapping at the end, cut to the history's length."""
     length = block_length(F.col("n"), config)
     cells = _grid(trades, config.mc_iterations).withColumn("length", length)
     begin = draw(config.seed, "mb", F.col("strategy_id"), F.col("iteration"), F.floor(F.col("k") / F.col("length"))) % F.col("n")
-    return _paths(trades, cells.withColumn("pos", (begin + F.col("k") % F.col("length")) % F.col("n")), "mb")
+    return _paths(trades, cells.withColumn("pos", (begin + F.col("k") % F.col("length")) % F.col("n")), "mb", join)
 
 
 TESTS = {"a": bootstrap, "b": permutation, "c": stationary, "mb": moving_block}
@@ -150,9 +158,10 @@ def run_tests(trades: DataFrame, config: EvalConfig, per_year: DataFrame | None
     per_year = inferred_rate(trades) if per_year is None else per_year
     if config.mc_iterations == 0:
         return summaries(path_metrics(_paths(trades, trades.limit(0).select(*KEY, F.lit(0).alias("iteration"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("pos")), "a"), per_year, config), drawdowns)
+    join = "broadcast" if trades.count() <= BROADCAST_TRADES else "shuffle_hash"
     paths = None
     for t in tests:
-        made = TESTS[t](trades, config)
+        made = TESTS[t](trades, config, join)
         paths = made if paths is None else paths.unionByName(made)
     return summaries(path_metrics(paths, per_year, config), drawdowns)
 

@@ -1,6 +1,9 @@
 """The registered queries over the driver's tables, one for each operator; their SQL is in `ledger_sql`.
 
 Doubles are rounded in both, as sums depend on the order of rows in their last digits.
+
+The SQL of the resampling and score queries makes 20 paths, so the queries of those names make 20 as well.
+`WHOLE` has each of them again, named `<query>_whole`, with the default number of paths and no SQL.
 """
 
 from __future__ import annotations
@@ -18,12 +21,14 @@ from .config import EvalConfig
 
 CONFIG = EvalConfig(seed="7", mc_iterations=20)
 SUPPLIERS = EvalConfig(seed="7", mc_iterations=20, start_balance=1_000_000.0)
+FULL = EvalConfig(seed="7")
 KEY = "strategy_id"
 STRONG, BASE = ("error",), ("error", "view")
 FLAGSHIP = "strategy_overview"
 DIGITS = 9
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = dict(ledger_sql.SQL)
 
 
@@ -45,6 +50,13 @@ def query(f: Callable) -> Callable:
     return f
 
 
+def resampling_query(f: Callable) -> Callable:
+    """Registers f(spark, sf_dir, config) with the paths of the SQL, and as `_whole` with the default number."""
+    QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir, CONFIG))
+    WHOLE[f"{f.__name__}_whole"] = lambda spark, sf_dir: rounded(f(spark, sf_dir, FULL))
+    return f
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -396,94 +408,94 @@ def shown_metrics(spark, sf_dir):
 # ---- resampling
 
 
-def _mc(spark, sf_dir, test: str):
+def _mc(spark, sf_dir, config, test: str):
     rows = evaluate.shared(trades(spark, sf_dir))
-    fallen = metrics.drawdown(series.with_equity(rows, CONFIG), CONFIG)
-    out = resample.run_tests(rows, CONFIG, drawdowns=fallen, tests=(test,)).drop("test")
+    fallen = metrics.drawdown(series.with_equity(rows, config), config)
+    out = resample.run_tests(rows, config, drawdowns=fallen, tests=(test,)).drop("test")
     points = [(m, i, round(p * 100)) for m in resample.MEASURES for i, p in enumerate(resample.PERCENTILES)]
     return out.select("*", *(F.col(m)[i].alias(f"{m}_p{p}") for m, i, p in points)).drop(*resample.MEASURES)
 
 
-@query
-def mc_bootstrap(spark, sf_dir):
-    return _mc(spark, sf_dir, "a")
+@resampling_query
+def mc_bootstrap(spark, sf_dir, config):
+    return _mc(spark, sf_dir, config, "a")
 
 
-@query
-def mc_permutation(spark, sf_dir):
-    return _mc(spark, sf_dir, "b")
+@resampling_query
+def mc_permutation(spark, sf_dir, config):
+    return _mc(spark, sf_dir, config, "b")
 
 
-@query
-def mc_stationary(spark, sf_dir):
-    return _mc(spark, sf_dir, "c")
+@resampling_query
+def mc_stationary(spark, sf_dir, config):
+    return _mc(spark, sf_dir, config, "c")
 
 
-@query
-def mc_moving_block(spark, sf_dir):
-    return _mc(spark, sf_dir, "mb")
+@resampling_query
+def mc_moving_block(spark, sf_dir, config):
+    return _mc(spark, sf_dir, config, "mb")
 
 
-@query
-def mc_correlation_flag(spark, sf_dir):
+@resampling_query
+def mc_correlation_flag(spark, sf_dir, config):
     rows = evaluate.shared(trades(spark, sf_dir))
-    return resample.correlation(resample.run_tests(rows, CONFIG, tests=("a", "c", "mb")))
+    return resample.correlation(resample.run_tests(rows, config, tests=("a", "c", "mb")))
 
 
 # ---- score
 
 
-def _scalars(spark, sf_dir, losing=STRONG):
-    return evaluate.evaluate(ledger(spark, sf_dir, losing), CONFIG).metrics
+def _scalars(spark, sf_dir, config, losing=STRONG):
+    return evaluate.evaluate(ledger(spark, sf_dir, losing), config).metrics
 
 
-@query
-def score_knockouts(spark, sf_dir):
-    return scoring.score(_scalars(spark, sf_dir, BASE)).select(KEY, "status", F.col("knockout_reason").alias("reason"), "final_score", "label")
+@resampling_query
+def score_knockouts(spark, sf_dir, config):
+    return scoring.score(_scalars(spark, sf_dir, config, BASE)).select(KEY, "status", F.col("knockout_reason").alias("reason"), "final_score", "label")
 
 
-@query
-def score_categories(spark, sf_dir):
-    return scoring.with_categories(_scalars(spark, sf_dir)).select(KEY, *(f"cat_{c}" for c in scoring.WEIGHTS))
+@resampling_query
+def score_categories(spark, sf_dir, config):
+    return scoring.with_categories(_scalars(spark, sf_dir, config)).select(KEY, *(f"cat_{c}" for c in scoring.WEIGHTS))
 
 
-@query
-def score_penalties(spark, sf_dir):
-    return scoring.with_penalties(_scalars(spark, sf_dir, BASE)).select(KEY, *(f"pen_{c}" for c in scoring.penalties()), "penalty_product")
+@resampling_query
+def score_penalties(spark, sf_dir, config):
+    return scoring.with_penalties(_scalars(spark, sf_dir, config, BASE)).select(KEY, *(f"pen_{c}" for c in scoring.penalties()), "penalty_product")
 
 
-@query
-def score_final(spark, sf_dir):
-    return scoring.score(_scalars(spark, sf_dir)).select(KEY, "status", "raw_score", "final_score", "label")
+@resampling_query
+def score_final(spark, sf_dir, config):
+    return scoring.score(_scalars(spark, sf_dir, config)).select(KEY, "status", "raw_score", "final_score", "label")
 
 
-@query
-def overfit_estimate(spark, sf_dir):
-    return scoring.overfitting(_scalars(spark, sf_dir)).drop("summary")
+@resampling_query
+def overfit_estimate(spark, sf_dir, config):
+    return scoring.overfitting(_scalars(spark, sf_dir, config)).drop("summary")
 
 
 # ---- cards and presentation
 
 
-def _cards(spark, sf_dir):
+def _cards(spark, sf_dir, config):
     created = F.timestamp_seconds(F.lit(1_735_689_600) + F.col("strategy_id") * 60)
-    return cards.cards(scoring.score(_scalars(spark, sf_dir)), F.concat(F.lit(" User #"), F.col("strategy_id").cast("string")), created, CONFIG.seed)
+    return cards.cards(scoring.score(_scalars(spark, sf_dir, config)), F.concat(F.lit(" User #"), F.col("strategy_id").cast("string")), created, config.seed)
 
 
-@query
-def card_json_roundtrip(spark, sf_dir):
-    found = _cards(spark, sf_dir)
+@resampling_query
+def card_json_roundtrip(spark, sf_dir, config):
+    found = _cards(spark, sf_dir, config)
     return cards.from_json(cards.as_json(found), found.schema).select("id", "strategy_id", "strategy_name", "seed", F.col("basic.total_trades").alias("total_trades"), F.col("basic.profit_factor").alias("profit_factor"), F.col("scoring.status").alias("status"))
 
 
-@query
-def card_list(spark, sf_dir):
+@resampling_query
+def card_list(spark, sf_dir, config):
     return cards.listing(_cards(spark, sf_dir)).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
-@query
-def compare_cards(spark, sf_dir):
-    found = _cards(spark, sf_dir)
+@resampling_query
+def compare_cards(spark, sf_dir, config):
+    found = _cards(spark, sf_dir, config)
     ids = [r[0] for r in found.filter("strategy_id IN ('0', '1', '2')").orderBy("strategy_id").select("id").collect()]
     return cards.compare(found, ids).withColumns({c: F.round(c, 6) for c in ("baseline", "value", "delta_pct")})
 

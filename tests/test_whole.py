@@ -1,0 +1,50 @@
+"""The queries with the default number of paths, and the score and card queries against their SQL, on a few strategies."""
+
+import os
+
+import pytest
+
+import __spark_entry__ as entry
+from tallyloom.plans import catalogue
+
+from .compare import TABLES, connection, rows
+
+SF = "/root/testdata/sf0.001"
+RESAMPLED = {n.removesuffix("_whole") for n in catalogue.WHOLE}
+
+
+@pytest.fixture(scope="module")
+def few(tmp_path_factory):
+    """A folder of tables whose events are those of users 0 to 3; where the folder of a card query has its baseline, user 0."""
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables here")
+    path = tmp_path_factory.mktemp("few")
+    for t in TABLES:
+        if t != "events":
+            os.symlink(f"{SF}/{t}.parquet", path / f"{t}.parquet")
+    connection(SF).sql("SELECT * FROM events WHERE user_id < 4").write_parquet(str(path / "events.parquet"))
+    return str(path)
+
+
+def test_each_resampling_query_is_there_whole():
+    assert {n for n in catalogue.QUERIES if n.startswith(("mc_", "score_", "card_")) or n in ("overfit_estimate", "compare_cards")} == RESAMPLED
+    assert set(catalogue.WHOLE) <= set(entry.queries()) and not set(catalogue.WHOLE) & set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize("name", ["mc_bootstrap", "mc_permutation", "mc_stationary", "mc_moving_block"])
+def test_whole_tests_make_all_paths(spark, few, name):
+    found = {r.strategy_id: r for r in catalogue.WHOLE[f"{name}_whole"](spark, few).collect()}
+    cut = {r.strategy_id: r for r in catalogue.QUERIES[name](spark, few).collect()}
+    assert found and set(found) == set(cut)
+    for i, r in found.items():
+        assert (r.iterations, cut[i].iterations) == (1000, 20)
+        # the 20 paths are the first of the 1000
+        assert r.max_drawdown_p0 <= cut[i].max_drawdown_p0 and r.max_drawdown_p100 >= cut[i].max_drawdown_p100
+
+
+def test_joins_give_the_same_paths(spark, few, monkeypatch):
+    from tallyloom.operators import resample
+
+    whole = rows(catalogue.QUERIES["mc_stationary"](spark, few).toPandas())
+    monkeypatch.setattr(resample, "BROADCAST_TRADES", 0)
+    assert rows(catalogue.QUERIES["mc_stationary"](spark, few).toPandas()) == whole
