@@ -2,8 +2,8 @@
 
 A section is a line; its paragraphs are its sentences, cut at 80 characters where none ends. A leaf is the
 hash of a paragraph, a section's hash that of its leaves, the root that of the sections. The fingerprint
-writes the tree down: `root|section=leaf.leaf;section=leaf...`. Equal roots mean equal texts; where roots
-differ, sections that differ locate the edit, and the share of common leaves is the likeness.
+writes the tree down: `root|section=leaf.leaf;section=leaf...`. Hashes are of 128 bits, so equal roots mean
+equal texts; with fewer digits written, the root is that of the short tree and only as good. Where roots differ, sections that differ locate the edit, and the share of common leaves is the likeness.
 
 Defined results: a null text is an empty one, with one empty section; two empty texts are alike by 1.
 """
@@ -16,19 +16,27 @@ from pyspark.sql import functions as F
 from . import common
 
 PARAGRAPH = r"[^.!?]{0,80}[.!?]+|[^.!?]{1,80}"
+#: Hexadecimal digits of a whole hash.
+DIGITS = 32
 #: Buckets that are told apart by looking through their bounds; more are cut evenly between the bounds.
 BOUNDS = 512
 
 
-def fingerprint(text: Column) -> Column:
-    """The tree of a text, written down."""
+def hashes(text: Column) -> Column:
+    """The hashes of the paragraphs, an array for each section."""
+    return F.transform(F.split(text, "\n", -1), lambda line: F.transform(F.regexp_extract_all(line, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.md5(p.cast("binary"))))
+
+
+def tree(hashed: Column, digits: int = DIGITS) -> Column:
+    """The tree over hashes of paragraphs, written down with so many digits of each hash."""
+    cut = (lambda h: h) if digits == DIGITS else (lambda h: F.left(h, F.lit(digits)))
+    sections = F.transform(hashed, lambda s: F.array_join(F.transform(s, cut), "."))
+    return F.array_join(F.transform(sections, lambda s: F.concat(cut(F.md5(s.cast("binary"))), F.lit("="), s)), ";")
 
-    def section(line: Column) -> Column:
-        return F.array_join(F.transform(F.regexp_extract_all(line, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.left(F.md5(p.cast("binary")), F.lit(8))), ".")
 
-    sections = F.transform(F.split(text, "\n", -1), section)
-    written = F.array_join(F.transform(sections, lambda s: F.concat(F.left(F.md5(s.cast("binary")), F.lit(8)), F.lit("="), s)), ";")
-    return written
+def fingerprint(text: Column, digits: int = DIGITS) -> Column:
+    """The tree of a text, written down."""
+    return tree(hashes(text), digits)
 
 
 def rooted(written: Column) -> Column:
@@ -37,7 +45,7 @@ def rooted(written: Column) -> Column:
 
 
 def leaves(mark: Column) -> Column:
-    return F.array_distinct(F.split(F.regexp_replace(F.substring_index(mark, "|", -1), "[0-9a-f]{8}=", ""), "[.;]", -1))
+    return F.array_distinct(F.split(F.regexp_replace(F.substring_index(mark, "|", -1), "[0-9a-f]+=", ""), "[.;]", -1))
 
 
 def likeness(leaves_a: Column, leaves_b: Column, root_a: Column, root_b: Column) -> Column:
@@ -48,7 +56,7 @@ def likeness(leaves_a: Column, leaves_b: Column, root_a: Column, root_b: Column)
 
 def changed_sections(mark_a: Column, mark_b: Column) -> Column:
     """Numbers, from 0, of the sections of the first fingerprint whose hash the second lacks."""
-    names = lambda m: F.transform(F.split(F.substring_index(m, "|", -1), ";", -1), lambda s: F.left(s, F.lit(8)))
+    names = lambda m: F.transform(F.split(F.substring_index(m, "|", -1), ";", -1), lambda s: F.substring_index(s, "=", 1))
     return F.when(F.left(mark_a, F.lit(32)) == F.left(mark_b, F.lit(32)), F.array().cast("array<int>")).otherwise(
         F.filter(F.transform(names(mark_a), lambda s, i: F.when(~F.array_contains(names(mark_b), s), i)), lambda i: i.isNotNull())
     )
@@ -88,14 +96,19 @@ def with_next(docs: DataFrame, bytes_each: int = 2 << 20) -> DataFrame:
     return both.select("doc_id", "text", F.lead("text").over(down).alias("next_text"), "guest").filter("guest = 0").drop("guest")
 
 
-def fingerprint_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each document."""
+def fingerprint_report(docs: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each document.
+
+    digits: of each hash below the root in the two fingerprints, whose root is taken from what is written; the
+    likenesses come from the whole hashes at any number.
+    """
     pairs = with_next(docs)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     pairs = pairs.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", F.concat(F.left("text", n - half), F.left("next_text", half)).alias("edited"))
-    trees = pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("a"), fingerprint(F.col("edited")).alias("b"), fingerprint(F.col("next_text")).alias("c"))
-    marks = trees.select("doc_id", "n_chars", "edited_sha256", *(rooted(F.col(x)).alias(x) for x in "abc"))
-    marks = marks.select("*", *(leaves(F.col(x)).alias(f"l{x}") for x in "abc"))
-    near = lambda x: likeness(F.col("la"), F.col(f"l{x}"), F.left("a", F.lit(32)), F.left(x, F.lit(32)))
-    return marks.select("doc_id", "n_chars", "edited_sha256", F.col("a").alias("fingerprint"), F.col("b").alias("edited_fingerprint"), near("b").alias("near_edited"), near("c").alias("near_next"))
+    found = pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(hashes(F.col(t)).alias(h) for t, h in (("text", "a"), ("edited", "b"), ("next_text", "c"))))
+    # a section without paragraphs has one empty leaf, as in the written tree
+    flat = lambda h: F.array_distinct(F.flatten(F.transform(h, lambda s: F.when(F.size(s) == 0, F.array(F.lit(""))).otherwise(s))))
+    trees = found.select("*", *(flat(F.col(x)).alias(f"l{x}") for x in "abc"), *(tree(F.col(x), digits).alias(f"t{x}") for x in "ab"))
+    near = lambda x: likeness(F.col("la"), F.col(f"l{x}"), F.col("a"), F.col(x))
+    return trees.select("doc_id", "n_chars", "edited_sha256", rooted(F.col("ta")).alias("fingerprint"), rooted(F.col("tb")).alias("edited_fingerprint"), near("b").alias("near_edited"), near("c").alias("near_next"))

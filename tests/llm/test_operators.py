@@ -346,6 +346,20 @@ def test_merkle_ranges_and_changes(spark):
     assert pair.select(merkle.changed_sections(F.col("a"), F.col("b")), merkle.changed_sections(F.col("a"), F.col("a"))).first()[:] == ([1], [])
 
 
+def test_merkle_tells_texts_of_equal_short_hashes_apart(spark):
+    seen, i, short = {}, 0, lambda t: hashlib.md5(t.encode()).hexdigest()[:8]
+    while (t := f"Paragraph {i}") not in seen and short(t) not in seen:
+        seen[short(t)], i = t, i + 1
+    pair = [(1, seen[short(t)]), (2, t)]
+    assert pair[0][1] != t
+    rows = spark.createDataFrame(pair, "doc_id long, text string")
+    whole = merkle.fingerprint_report(rows).orderBy("doc_id").collect()
+    assert whole[0].fingerprint[:32] != whole[1].fingerprint[:32] and [r.near_next for r in whole] == [0.0, 0.0]
+    assert [r.near_next for r in merkle.fingerprint_report(rows, digits=8).collect()] == [0.0, 0.0]
+    marks = spark.createDataFrame([(whole[0].fingerprint, whole[1].fingerprint)], "a string, b string")
+    assert marks.select(merkle.changed_sections(F.col("a"), F.col("b"))).first()[0] == [0]
+
+
 # ---- 9 mixing
 
 
