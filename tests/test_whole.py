@@ -1,4 +1,4 @@
-"""The queries with the default number of paths, and the score and card queries against their SQL, on a few strategies."""
+"""The queries with the default number of paths, on a few strategies."""
 
 import os
 
@@ -15,7 +15,7 @@ RESAMPLED = {n.removesuffix("_whole") for n in catalogue.WHOLE}
 
 @pytest.fixture(scope="module")
 def few(tmp_path_factory):
-    """A folder of tables whose events are those of users 0 to 3; where the folder of a card query has its baseline, user 0."""
+    """A folder of tables whose events are those of users 0 to 3."""
     if not os.path.isdir(SF):
         pytest.skip("no test tables here")
     path = tmp_path_factory.mktemp("few")
