@@ -1,13 +1,19 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the distinct byte n-grams (3, 4 and 5 bytes, A-Z lower-cased) it holds, hashed to
-`SLOTS` places. The ratio of a place is the log of its smoothed share among toxic texts over that among the
-others, counted over every labelled text that may be learned from. Logistic regression on the features times
-their ratios gives the weights; it is fitted on a bounded sample, `fit_each` texts of each class, drawn by a
-hash of the doc_id, and its intercept is then moved to the shares of the classes in all labelled rows.
-
-Defined results: null and empty texts score by the intercept and an empty feature set; a doc_id with several
-labels counts as toxic if any says so; with one class or none labelled, every text scores the share of
+A text's features are its character n-grams (`GRAMS` code points, A-Z lower-cased, blanks as one kind, a blank
+before and after the text), hashed to `SLOTS` places; a feature's value is log2(1 + its count). The ratio of a
+place is the log of its smoothed share among toxic texts over that among the others, summed over every labelled
+text that may be learned from. Places met less than `LEAST` times or with a ratio within `FLAT` of 0 tell nothing
+and are left out. Logistic regression on the values times their ratios gives the weights; both classes weigh alike
+in the fit, and the intercept is then moved by half the log of the classes' odds, between equal classes and the
+classes as frequent as in the labels.
+
+The regression is fitted on the driver on a sample: `fit_each` texts of each class and `fit_features` features in
+all, drawn by a hash of the doc_id with shares that keep to both bounds on average. Everything else is counted and
+scored in tasks.
+
+Defined results: null and empty texts have no n-gram that tells anything and score by the intercept; a doc_id with
+several labels counts as toxic if any says so; with one class or none labelled, every text scores the share of
 toxic labels (0.5 where there is no label).
 """
 
@@ -21,29 +27,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .decontaminate import LOWER
 from .langid import held_out
 
-BITS = 18
+BITS = 20
 SLOTS = 1 << BITS
-GRAMS = (3, 4, 5)
-
-
-class Features:
-    """Distinct hashed n-grams of texts; the scratch table finds the last of equal places without a sort."""
-
-    def __init__(self):
-        self.scratch = np.zeros(SLOTS, np.int32)
-
-    def of(self, column: pa.Array) -> Iterator[np.ndarray]:
-        for _, _, data, off in common.chunks(column):
-            rolling = common.RollingHash(LOWER[data])
-            slots = [(rolling.grams(n) >> np.uint64(64 - BITS)).astype(np.int32) for n in GRAMS]
-            for a, b in zip(off[:-1], off[1:]):
-                found = np.concatenate([s[a : max(a, b - n + 1)] for n, s in zip(GRAMS, slots)])
-                order = np.arange(len(found), dtype=np.int32)
-                self.scratch[found] = order
-                yield found[self.scratch[found] == order]
+GRAMS = (4, 5, 6)
+LEAST = 3
+FLAT = 0.5
+#: Values of counts, log2(1 + count), in sixteenths: whole numbers, so that sums do not depend on their order.
+VALUES = np.rint(16 * np.log2(1 + np.arange(256))).astype(np.int64)
+#: Small letters for A-Z, a blank for each of \x09-\x0D.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+FOLD[9:14] = 32
+
+
+def grams_of(text: bytes) -> np.ndarray:
+    """The places of a text's n-grams, with repeats."""
+    data = FOLD[np.frombuffer(b" " + text + b" ", np.uint8)]
+    first = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # bytes that begin a code point
+    rolling = common.RollingHash(data)
+    found = [rolling.spans(first[:-n], first[n:]) ^ np.uint64(n) for n in GRAMS if len(first) > n]
+    return (common.mix(np.concatenate(found)) >> np.uint64(64 - BITS)).astype(np.int32) if found else np.zeros(0, np.int32)
+
+
+def features(column: pa.Array, used: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, counts up to 255) of each text, of the places in `used` only where given."""
+    data, off = common.utf8(column)
+    for a, b in zip(off[:-1], off[1:]):
+        found = grams_of(data[a:b].tobytes())
+        places, counts = np.unique(found if used is None else found[used[found]], return_counts=True)
+        yield places, np.minimum(counts, 255)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most_sent: int = 8_000_000) -> DataFrame:
@@ -73,101 +87,116 @@ def labelled(docs: DataFrame, labels: DataFrame, most_sent: int = 8_000_000) ->
 
 
 def class_counts(rows: DataFrame) -> DataFrame:
-    """(slot, toxic, clean): in how many texts of each class a place occurs; place -1 counts the texts."""
+    """(slot, toxic, clean): the sums of a place's values in the texts of each class; place -1 counts the texts, -2 their features."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, features = np.zeros((2, SLOTS + 1), np.int64), Features()
+        sums = np.zeros((2, SLOTS + 2), np.int64)
         for b in batches:
-            for found, toxic in zip(features.of(b.column("text")), b.column("toxic").to_pylist()):
+            for (places, counts), toxic in zip(features(b.column("text")), b.column("toxic").to_pylist()):
                 k = 0 if toxic >= 1 else 1
-                sums[k, found] += 1
+                sums[k, places] += VALUES[counts]
                 sums[k, SLOTS] += 1
+                sums[k, SLOTS + 1] += len(places)
         at = np.flatnonzero(sums.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.where(at == SLOTS, -1, at).astype(np.int32)), pa.array(sums[0, at]), pa.array(sums[1, at])], ["slot", "toxic", "clean"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(at >= SLOTS, SLOTS - 1 - at, at).astype(np.int32)), pa.array(sums[0, at]), pa.array(sums[1, at])], ["slot", "toxic", "clean"])
 
     return rows.select("text", "toxic").mapInArrow(count, "slot int, toxic long, clean long").groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def sample_features(rows: DataFrame, n_toxic: int, n_clean: int, fit_each: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and classes of about `fit_each` texts of each class."""
+def sample_features(rows: DataFrame, shares: tuple[float, float], used: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Features and classes of the texts drawn, with these shares of toxic and clean ones."""
+    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(used))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        mask = np.unpackbits(sent.value, count=SLOTS).astype(bool)
         for b in batches:
-            found = [x.tobytes() for x in features.of(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(found, pa.binary())], ["toxic", "slots"])
+            found = [(places.tobytes(), counts.astype(np.uint8).tobytes()) for places, counts in features(b.column("text"), mask)]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array([x[i] for x in found], pa.binary()) for i in (0, 1))], ["toxic", "slots", "counts"])
 
-    share = F.when(F.col("toxic") >= 1, F.lit(min(1.0, fit_each / max(n_toxic, 1)))).otherwise(F.lit(min(1.0, fit_each / max(n_clean, 1))))
+    share = F.when(F.col("toxic") >= 1, F.lit(shares[0])).otherwise(F.lit(shares[1]))
     drawn = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < share * (1 << 20)).select("text", "toxic")
-    got = drawn.mapInArrow(pick, "toxic int, slots binary").toArrow()
-    rows = sorted(zip(got["slots"].to_pylist(), got["toxic"].to_pylist()))  # the fit does not depend on the order of tasks
-    return [np.frombuffer(x, np.int32) for x, _ in rows], np.array([y >= 1 for _, y in rows], np.float64)
-
-
-def fit(features: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, rounds: int = 150, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights by place (ratio included) and intercept: accelerated gradient descent on the logistic loss."""
-    square = ratio**2
-    scale = np.array([1 / np.sqrt(max(square[f].sum(), 1e-9)) for f in features])  # rows of unit length
-    blocks = [(i, np.array([len(f) for f in features[i : i + 200]])) for i in range(0, len(features), 200)]
-    weight, bias = np.zeros(SLOTS), 0.0
+    got = drawn.mapInArrow(pick, "toxic int, slots binary, counts binary").toArrow()
+    rows = sorted(zip(got["slots"].to_pylist(), got["counts"].to_pylist(), got["toxic"].to_pylist()))  # the fit does not depend on the order of tasks
+    return [(np.frombuffer(x, np.int32), np.frombuffer(n, np.uint8)) for x, n, _ in rows], np.array([y >= 1 for *_, y in rows], np.float64)
+
+
+def fit(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, ratio: np.ndarray, rounds: int = 100, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights by place (ratio included) and intercept: accelerated gradient descent on the logistic loss, both classes alike."""
+    row = np.repeat(np.arange(len(texts)), [len(f) for f, _ in texts])
+    place, column = np.unique(np.concatenate([f for f, _ in texts]), return_inverse=True)
+    x = VALUES[np.concatenate([n for _, n in texts])] * ratio[place][column]
+    x /= np.maximum(np.sqrt(np.bincount(row, weights=x * x, minlength=len(texts))), 1e-9)[row]  # rows of unit length
+    weight, bias = np.zeros(len(place)), 0.0
     ahead, bias_ahead, t = weight, bias, 1.0
     step = 4.0 / 2  # the intercept adds one to a row's length
-    balance = np.where(toxic == 1, 0.5 / max(toxic.mean(), 1e-9), 0.5 / max(1 - toxic.mean(), 1e-9)) / len(toxic)
+    balance = np.where(toxic == 1, 0.5 / max(toxic.sum(), 1), 0.5 / max((1 - toxic).sum(), 1))
     for _ in range(rounds):
-        scaled, gradient, slope = ahead * ratio, np.zeros(SLOTS), 0.0
-        for i, lengths in blocks:  # a block's rows at a time, to hold little memory
-            end = i + len(lengths)
-            flat = np.concatenate(features[i:end])
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            z = scale[i:end] * np.bincount(row, weights=scaled[flat], minlength=len(lengths)) + bias_ahead
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[i:end]) * balance[i:end]
-            gradient += np.bincount(flat, weights=(error * scale[i:end])[row], minlength=SLOTS)
-            slope += error.sum()
-        new, new_bias = ahead - step * (gradient * ratio + ridge / len(toxic) * ahead), bias_ahead - step * slope
+        z = np.bincount(row, weights=x * ahead[column], minlength=len(texts)) + bias_ahead
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) * balance
+        gradient = np.bincount(column, weights=error[row] * x, minlength=len(place))
+        new, new_bias = ahead - step * (gradient + ridge / len(toxic) * ahead), bias_ahead - step * error.sum()
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, bias_ahead = new + (t - 1) / t_new * (new - weight), new_bias + (t - 1) / t_new * (new_bias - bias)
         weight, bias, t = new, new_bias, t_new
-    return weight * ratio, float(bias)
+    out = np.zeros(SLOTS)
+    out[place] = weight * ratio[place]
+    return out, float(bias)
 
 
 class Model:
+    """Weights of places, their squared ratios, and the intercept; without weights every text scores by the intercept."""
+
     def __init__(self, weight: np.ndarray | None, ratio: np.ndarray | None, bias: float):
-        self.weight, self.square, self.bias = weight, None if ratio is None else ratio**2, bias
+        self.used = None if ratio is None else np.flatnonzero(ratio).astype(np.int32)
+        self.weight, self.square = (None, None) if ratio is None else (weight[self.used], ratio[self.used] ** 2)
+        self.bias = bias
+
+    def scorer(self):
+        """A function from a column of texts to scores; the whole tables are laid out once."""
+        if self.used is None:
+            return lambda column: np.full(len(column), 1 / (1 + np.exp(-self.bias)))
+        mask, weight, square = np.zeros(SLOTS, bool), np.zeros(SLOTS), np.zeros(SLOTS)
+        mask[self.used], weight[self.used], square[self.used] = True, self.weight, self.square
+
+        def scores(column: pa.Array) -> np.ndarray:
+            z = [self.bias + (weight[f] * (v := VALUES[n])).sum() / np.sqrt(max((square[f] * v * v).sum(), 1e-9)) for f, n in features(column, mask)]
+            return 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -500, 500)))
 
-    def scores(self, column: pa.Array, features: Features) -> np.ndarray:
-        if self.weight is None:
-            z = np.full(len(column), self.bias)
-        else:
-            z = np.array([self.bias + self.weight[f].sum() / np.sqrt(max(self.square[f].sum(), 1e-9)) for f in features.of(column)])
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        return scores
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_each: int = 1500) -> Model:
+def train(docs: DataFrame, labels: DataFrame, fit_each: int = 1500, fit_features: int = 8_000_000) -> Model:
     rows = labelled(docs, labels)
-    counts = class_counts(rows).toArrow().to_pandas()  # at most SLOTS + 1 rows
+    counts = class_counts(rows).toArrow().to_pandas()  # at most SLOTS + 2 rows
     totals = counts[counts["slot"] == -1]
     n_toxic, n_clean = (int(totals[c].sum()) for c in ("toxic", "clean"))
     if not n_toxic or not n_clean:
         share = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
         return Model(None, None, float(np.log(share / (1 - share))))
+    wide = counts[counts["slot"] == -2]
+    wide = [int(wide[c].sum()) for c in ("toxic", "clean")]
     counts = counts[counts["slot"] >= 0]
-    p, q = np.ones(SLOTS), np.ones(SLOTS)
-    p[counts["slot"]] += counts["toxic"]
-    q[counts["slot"]] += counts["clean"]
-    ratio = np.log((p / (n_toxic + 2)) / (q / (n_clean + 2)))
-    ratio[(p == 1) & (q == 1)] = 0
-    weight, bias = fit(*sample_features(rows, n_toxic, n_clean, fit_each), ratio)
-    return Model(weight, ratio, bias + float(np.log(n_toxic / n_clean)))  # the fit weighs both classes alike
-
-
-def toxicity_report(docs: DataFrame, labels: DataFrame, fit_each: int = 1500) -> DataFrame:
+    p, q = np.zeros(SLOTS), np.zeros(SLOTS)
+    p[counts["slot"]] = counts["toxic"] / 16
+    q[counts["slot"]] = counts["clean"] / 16
+    ratio = np.log(((p + 1) / (n_toxic + 2)) / ((q + 1) / (n_clean + 2)))
+    ratio[(p + q < LEAST) | (np.abs(ratio) < FLAT)] = 0
+    shares = tuple(min(1.0, fit_each / n, fit_features / 2 / max(w, 1)) for n, w in zip((n_toxic, n_clean), wide))
+    texts, toxic = sample_features(rows, shares, ratio != 0)
+    if not ratio.any() or not len(texts):
+        return Model(None, None, float(np.log(n_toxic / n_clean)))
+    weight, bias = fit(texts, toxic, ratio)
+    return Model(weight, ratio, bias + float(np.log(n_toxic / n_clean)) / 2)
+
+
+def toxicity_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """(doc_id, held_out, score, predicted); learns from labelled documents that are not held out."""
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs.filter(~held_out(5, 0)), labels.filter(~held_out(5, 0)), fit_each))
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs.filter(~held_out(5, 0)), labels.filter(~held_out(5, 0)), **options))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        scorer = sent.value.scorer()
         for b in batches:
-            scores = sent.value.scores(b.column("text"), features)
+            scores = scorer(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
