@@ -2,13 +2,12 @@
 
 Pieces of text that share an anchor (see `repeats`) come together in a batch, which is cut into shards. A
 shard's suffixes are sorted and its transform taken: for each suffix, in order, the symbol before it. Symbols
-are blocks of `BLOCK` bytes, so four of them make a window. Two transforms are merged without sorting their
-suffixes again: the interleave, which shard each place of the joint order comes from, starts as one shard
-after the other and is refined by rounds; a round sorts places stably by the symbols that the interleave
-lays out, and is then right for one symbol more. Where neighbours first differ in round h their common
-prefix is h - 1 symbols; places that still agree after all rounds form the intervals of repeated windows.
-
-Symbols are 16-bit hashes of blocks, so intervals are split by the windows' 64-bit hashes in the end.
+are blocks of `BLOCK` bytes, numbered within the batch and told apart by their bytes, so four of them make a
+window. Two transforms are merged without sorting their suffixes again: the interleave, which shard each place
+of the joint order comes from, starts as one shard after the other and is refined by rounds; a round sorts
+places stably by the symbols that the interleave lays out, and is then right for one symbol more. A bound
+between neighbours that first shows in round h stays where it is, and gives their common prefix, h - 1 symbols;
+runs of places whose common prefixes reach a window's four symbols are the intervals of repeated windows.
 
 Defined results: a null text is an empty one; rows are documents of their own, so equal texts repeat each other.
 """
@@ -29,7 +28,32 @@ BLOCK = 50
 ROUNDS = LENGTH // BLOCK
 SHARD_UNITS = 1 << 16
 
-BYTES = repeats.Units(LENGTH, 32, lambda data, off: (data, off), np.uint8)
+BYTES = repeats.Bytes(LENGTH, 32)
+
+
+def block_numbers(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Numbers of the blocks that begin at `places`: equal for blocks of equal bytes, and for those only."""
+    if not len(places):
+        return np.zeros(0, np.int64)
+    hashes = common.RollingHash(data).grams(BLOCK)[places]
+    order = np.argsort(hashes)
+    blocks = np.lib.stride_tricks.sliding_window_view(data, BLOCK)
+    sorted_blocks = np.ascontiguousarray(blocks[places[order]]).view(f"V{BLOCK}").ravel()
+    differs = sorted_blocks[1:] != sorted_blocks[:-1]
+    if np.any(differs & (hashes[order][1:] == hashes[order][:-1])):  # blocks of one hash may alternate
+        order = np.lexsort(blocks[places].T[::-1])
+        sorted_blocks = np.ascontiguousarray(blocks[places[order]]).view(f"V{BLOCK}").ravel()
+        differs = sorted_blocks[1:] != sorted_blocks[:-1]
+    number = np.empty(len(places), np.int64)
+    number[order] = np.append(0, np.cumsum(differs))
+    return number
+
+
+def by_symbol(symbols: np.ndarray) -> np.ndarray:
+    """The stable order of symbols below 2^32, by their halves, which numpy sorts in linear time."""
+    low = np.argsort(symbols.astype(np.uint16), kind="stable")
+    high = (symbols >> 16).astype(np.uint16)
+    return low[np.argsort(high[low], kind="stable")] if high.any() else low
 
 
 class Transform:
@@ -50,15 +74,15 @@ def transform(suffix: np.ndarray, symbols: np.ndarray, begins: np.ndarray, round
     for _ in range(rounds):
         preceding = order - BLOCK
         preceding = preceding[preceding >= begins[order]]
-        preceding = preceding[np.argsort(symbols[preceding].astype(np.uint16), kind="stable")]
+        preceding = preceding[by_symbol(symbols[preceding])]
         order = np.concatenate([last, preceding])
     before = order - BLOCK
     has = before >= begins[order]
-    return Transform(order, symbols[np.where(has, before, order)].astype(np.uint16), has)
+    return Transform(order, np.maximum(symbols[np.where(has, before, order)], 0), has)
 
 
 def merge(a: Transform, b: Transform, rounds: int) -> tuple[Transform, np.ndarray]:
-    """The joint transform and, for each of its places, the number of the interval it is in after `rounds` symbols."""
+    """The joint transform and, for each of its places, the symbols it has in common with the place before, `rounds` at most."""
     n = len(a.suffix) + len(b.suffix)
     ends = n - int(a.has.sum()) - int(b.has.sum())
     of_b = np.zeros(n, bool)
@@ -67,37 +91,38 @@ def merge(a: Transform, b: Transform, rounds: int) -> tuple[Transform, np.ndarra
     head = np.zeros(ends, bool)
     head[len(a.suffix) - int(a.has.sum()) :] = True
     interval = np.zeros(n, np.int64)
-    symbol, has = np.empty(n, np.uint16), np.empty(n, bool)
-    for _ in range(rounds):
+    symbol, has = np.empty(n, np.int64), np.empty(n, bool)
+    prefix = np.full(n, rounds)
+    prefix[:1] = 0
+    for done in range(rounds):
         symbol[~of_b], symbol[of_b] = a.symbol, b.symbol
         has[~of_b], has[of_b] = a.has, b.has
         going = np.flatnonzero(has)
-        going = going[np.argsort(symbol[going], kind="stable")]
+        going = going[by_symbol(symbol[going])]
         letter, old = symbol[going], interval[going]
         differs = np.ones(len(going), bool)
         differs[1:] = (letter[1:] != letter[:-1]) | (old[1:] != old[:-1])
         interval = np.concatenate([np.arange(ends), ends - 1 + np.cumsum(differs)])
         of_b = np.concatenate([head, of_b[going]])
+        fresh = np.flatnonzero((interval[1:] != interval[:-1]) & (prefix[1:] == rounds)) + 1
+        prefix[fresh] = done
     suffix = np.empty(n, np.int64)
     suffix[~of_b], suffix[of_b] = a.suffix, b.suffix
     symbol[~of_b], symbol[of_b] = a.symbol, b.symbol
     has[~of_b], has[of_b] = a.has, b.has
-    return Transform(suffix, symbol.copy(), has.copy()), interval
+    return Transform(suffix, symbol.copy(), has.copy()), prefix
 
 
-def repeated_windows(pieces: list[np.ndarray], weights: np.ndarray) -> list[np.ndarray]:
+def repeated_windows(pieces: list[bytes], weights: np.ndarray) -> list[np.ndarray]:
     """For each piece, which of its windows start elsewhere too."""
     sizes = np.array([len(p) for p in pieces]) + 1  # each piece ends with a place that holds no byte
     first = np.cumsum(sizes) - sizes
-    end = np.zeros(1, np.uint8)
-    data = np.concatenate([x for p in pieces for x in (p, end)])
-    rolling = common.RollingHash(data)
+    data = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
     begins = np.repeat(first, sizes)
     left = np.repeat(first + sizes - 1, sizes) - np.arange(len(data))  # bytes to the piece's end
-    symbols = np.full(len(data), -1, np.int32)
-    blocks = (rolling.grams(BLOCK) >> np.uint64(48)).astype(np.int32)
+    symbols = np.full(len(data), -1, np.int64)
     whole = np.flatnonzero(left >= BLOCK)
-    symbols[whole] = blocks[whole]
+    symbols[whole] = block_numbers(data, whole)
     rounds = int(sizes.max()) // BLOCK + 1
     cuts = [0, *(np.flatnonzero(np.diff(first // SHARD_UNITS)) + 1), len(pieces)] if len(pieces) > 1 else [0, 1]
     if len(cuts) == 2 and len(pieces) > 1:
@@ -107,37 +132,32 @@ def repeated_windows(pieces: list[np.ndarray], weights: np.ndarray) -> list[np.n
     # the order of a merged transform is final only if refined to the pieces' ends; the last merge needs a window's depth
     while len(shards) > 2:
         shards = [merge(*shards[i : i + 2], rounds)[0] if i + 1 < len(shards) else shards[i] for i in range(0, len(shards), 2)]
-    joint, interval = merge(*(shards if len(shards) == 2 else [Transform(*(x[:0] for x in (shards[0].suffix, shards[0].symbol, shards[0].has))), shards[0]]), ROUNDS)
-    # windows: suffixes with enough bytes left; only such can share an interval
+    joint, prefix = merge(*(shards if len(shards) == 2 else [Transform(*(x[:0] for x in (shards[0].suffix, shards[0].symbol, shards[0].has))), shards[0]]), ROUNDS)
+    # a run of common prefixes of a window's length is an interval; only suffixes with a window's bytes left share one
+    group = np.cumsum(prefix < ROUNDS) - 1
     windows = np.flatnonzero(left[joint.suffix] >= LENGTH)
-    place, number = joint.suffix[windows], interval[windows]
-    whole_hash = rolling.spans(place, place + LENGTH)
-    together = number[1:] == number[:-1]
-    if np.any(whole_hash[1:][together] != whole_hash[:-1][together]):
-        order = np.lexsort((whole_hash, number))
-        place, number, whole_hash = place[order], number[order], whole_hash[order]
-    new = np.ones(len(place), bool)
-    new[1:] = (number[1:] != number[:-1]) | (whole_hash[1:] != whole_hash[:-1])
-    group = np.cumsum(new) - 1
+    place, group = joint.suffix[windows], group[windows]
     weight = np.bincount(group, weights=np.repeat(weights, sizes)[place]) if len(place) else np.zeros(0)
     flags = np.zeros(len(data), bool)
     flags[place] = weight[group] >= 2
     return [flags[a : a + n - LENGTH] for a, n in zip(first, sizes)]
 
 
-def removal_report(docs: DataFrame, **options) -> DataFrame:
+def removal_report(docs: DataFrame, batch_units: int = 4 * SHARD_UNITS, **options) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for text, ranges in zip(b.column("text").cast(pa.large_binary()).to_pylist(), b.column("ranges").to_pylist()):
-                gone = repeats.covered(ranges, len(text))
-                spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text
-                out.append((len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+                runs, kept, last = repeats.merged(ranges), hashlib.sha256(), 0
+                for start, end in runs:
+                    kept.update(text[last:start])
+                    last = end
+                kept.update(text[last:])
+                out.append((len(text), sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
             columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return repeats.with_ranges(docs, BYTES, repeated_windows, **options).mapInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeats.with_ranges(docs, BYTES, repeated_windows, batch_units=batch_units, **options).mapInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -5,13 +5,12 @@ whole: it is sharded by anchor (see `repeats`), and a shard's automaton, built w
 just the pieces that can match it. Each automaton counts, for each of its states, the places where the
 state's strings end. Pieces stream through it; while a word is read, suffix links keep the state at the
 match's last `LENGTH` words, and the state's count tells whether that window starts elsewhere too. Maximal
-runs of words covered by such windows are removed.
+runs of words covered by such windows are removed. Words are numbered within a shard by their bytes.
 
-`match_reference` is the same for a reference of its own, of bounded size: its automata are broadcast, shard
-by shard, and give each document's matching statistics.
+`match_reference` is the same for a reference of its own: its shards' automata are broadcast, as many at a time
+as a bound allows, and whole documents are streamed through each for their matching statistics.
 
 Defined results: a null text has no words; rows are documents of their own, so equal texts repeat each other.
-Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,14 +26,10 @@ from pyspark.sql import functions as F
 from . import common, repeats
 
 LENGTH = 35
+#: Words of an automaton at most: some 400 bytes each.
+MOST_WORDS = 1 << 18
 
-
-def word_symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends, first = common.word_spans(data, off, common.BLANK_WORDS)
-    return common.RollingHash(data).spans(starts, ends), first
-
-
-WORDS = repeats.Units(LENGTH, 8, word_symbols, np.uint64)
+WORDS = repeats.Words(LENGTH, 8)
 
 
 class Automaton:
@@ -101,14 +96,35 @@ class Automaton:
             yield size, state
 
 
-def repeated_windows(pieces: list[np.ndarray], weights: np.ndarray) -> list[np.ndarray]:
+def repeated_windows(pieces: list[bytes], weights: np.ndarray) -> list[np.ndarray]:
     """For each piece, which of its windows start elsewhere too."""
-    sequences = [p.tolist() for p in pieces]
+    number: dict[bytes, int] = {}
+    sequences = [[number.setdefault(w, len(number)) for w in p.split(b" ")] for p in pieces]
     automaton = Automaton(sequences, weights.tolist())
     count = automaton.count
     return [np.array([size == LENGTH and count[state] >= 2 for size, state in automaton.matches(s, LENGTH)][LENGTH - 1 :], bool) for s in sequences]
 
 
+def _without(text: bytes, runs: list[tuple[int, int]]) -> tuple[int, str]:
+    """The number of words, and the SHA-256 of those outside of `runs`, joined by blanks."""
+    n, kept, first, k = 0, hashlib.sha256(), True, 0
+    for words, _ in repeats.word_runs(text):
+        begin, end, stay = n, n + len(words), []
+        at = begin
+        while k < len(runs) and runs[k][0] < end:
+            stay += words[at - begin : max(at, runs[k][0]) - begin]
+            at = max(at, min(runs[k][1], end))
+            if runs[k][1] > end:
+                break
+            k += 1
+        stay += words[at - begin :]
+        if stay:
+            kept.update(b" ".join(stay) if first else b" " + b" ".join(stay))
+            first = False
+        n = end
+    return n, kept.hexdigest()
+
+
 def removal_report(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each document."""
 
@@ -116,56 +132,73 @@ def removal_report(docs: DataFrame, **options) -> DataFrame:
         for b in batches:
             out = []
             for text, ranges in zip(b.column("text").cast(pa.large_binary()).to_pylist(), b.column("ranges").to_pylist()):
-                words = text.split()  # of bytes: at \x20\x09-\x0D
-                gone = repeats.covered(ranges, len(words))
-                kept = [w for w, g in zip(words, gone.tolist()) if not g] if ranges else words
-                out.append((len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
+                runs = repeats.merged(ranges)
+                n, kept = _without(text, runs)
+                out.append((n, sum(b - a for a, b in runs), kept))
             columns = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    options = {"most_units": MOST_WORDS, **options}
     return repeats.with_ranges(docs, WORDS, repeated_windows, **options).mapInArrow(remove, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
-def match_reference(docs: DataFrame, reference: DataFrame, length: int = LENGTH, shard_words: int = 200_000, most_bytes: int = 64 << 20) -> DataFrame:
-    """(doc_id, longest, covered): each document's longest match with `reference` in words, and its words in matches of `length` or more.
+def match_reference(docs: DataFrame, reference: DataFrame, length: int = LENGTH, shard_words: int = 100_000, sent_bytes: int = 2 << 20) -> DataFrame:
+    """(doc_id, longest, covered): each document's longest match within a row of `reference`, in words, and its words in matches of `length` or more.
 
-    The reference is checked to be at most `most_bytes` of text; its shards' automata go to the tasks one by one.
+    A reference text is cut into shards of about `shard_words` words that overlap by `length` - 1; a match longer than
+    that can be cut at a shard's end, so `longest` is exact up to `length` and otherwise a lower bound where a text
+    is longer than a shard. Texts of about `sent_bytes` in all are broadcast at a time, so any reference will do: each
+    such part is a pass over the documents, whose result is written before the next part is sent, so a task holds
+    the automata of one part only.
     """
-    total = reference.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    if total > most_bytes:
-        raise ValueError(f"the reference has {total} bytes of text; {most_bytes} can be broadcast")
-    texts = [(r[0] or "").encode() for r in reference.select(F.col("text").cast("string")).toLocalIterator()]
-    shards: list[list[bytes]] = [[]]
-    size = 0
-    for t in texts:
-        if shards[-1] and size > shard_words * 8:
-            shards.append([])
-            size = 0
-        shards[-1].append(t)
-        size += len(t)
-    sent = [docs.sparkSession.sparkContext.broadcast(x) for x in shards]
-
-    def symbols(texts: list[bytes]) -> list[list[int]]:
-        off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        words, first = word_symbols(np.frombuffer(b"".join(texts), np.uint8), off)
-        return [words[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [Automaton(s := symbols(x.value), [1] * len(s)) for x in sent]
-        for b in batches:
-            longest, hit = [], []
-            for s in symbols([x or b"" for x in b.column("text").cast(pa.large_binary()).to_pylist()]):
-                best, change = 0, np.zeros(len(s) + 1, np.int64)
-                for automaton in automata:
-                    for i, (n, _) in enumerate(automaton.matches(s, len(s) + 1)):
-                        best = max(best, n)
-                        if n >= length:
-                            change[i - n + 1] += 1
-                            change[i + 1] -= 1
-                longest.append(best)
-                hit.append(int((np.cumsum(change[:-1]) > 0).sum()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(longest, pa.int64()), pa.array(hit, pa.int64())], ["doc_id", "longest", "covered"])
-
+    state = docs.select("doc_id", F.col("text").cast("string"), F.lit(0).cast("long").alias("longest"), F.array().cast("array<long>").alias("ranges"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(stream, f"doc_id {kind}, longest long, covered long")
+
+    def stream_through(state: DataFrame, part: list[bytes]) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(part)
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automata = []
+            for shard in _shards(sent.value, shard_words, length):
+                number: dict[bytes, int] = {}
+                sequences = [[number.setdefault(w, len(number)) for w in x] for x in shard]
+                automata.append((number, Automaton(sequences, [1] * len(sequences))))
+            for b in batches:
+                longest, ranges = b.column("longest").to_pylist(), b.column("ranges").to_pylist()
+                for j, text in enumerate(b.column("text").cast(pa.large_binary()).to_pylist()):
+                    words = (text or b"").split()
+                    for number, automaton in automata:
+                        for at, (n, _) in enumerate(automaton.matches([number.get(w, -1) for w in words], len(words) + 1)):
+                            longest[j] = max(longest[j], n)
+                            if n >= length:
+                                ranges[j].append(((at - n + 1) << 32) + at + 1)
+                    ranges[j] = [(a << 32) + e for a, e in repeats.merged(ranges[j])]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(longest, pa.int64()), pa.array(ranges, pa.list_(pa.int64()))], ["doc_id", "text", "longest", "ranges"])
+
+        return state.mapInArrow(stream, f"doc_id {kind}, text string, longest long, ranges array<long>")
+
+    held: list[bytes] = []
+    for (text,) in reference.select(F.coalesce(F.col("text").cast("string"), F.lit(""))).toLocalIterator():
+        held.append(text.encode())
+        if sum(map(len, held)) >= sent_bytes:
+            state, held = common.cut(stream_through(state, held)), []
+    state = stream_through(state, held) if held else state
+    covered = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + F.pmod(r, F.lit(1 << 32)) - F.shiftright(r, 32))
+    return state.select("doc_id", "longest", covered.alias("covered"))
+
+
+def _shards(texts: list[bytes], shard_words: int, length: int) -> Iterator[list[list[bytes]]]:
+    """Word sequences, about `shard_words` words at a time."""
+    held: list[list[bytes]] = []
+    size, step = 0, max(shard_words, length)
+    for text in texts:
+        words = text.split()
+        for first in range(0, max(1, len(words) - length + 1), step):
+            held.append(words[first : first + step + length - 1])
+            size += len(held[-1])
+            if size >= shard_words:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
