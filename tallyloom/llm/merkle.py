@@ -2,8 +2,9 @@
 
 A section is a line; its paragraphs are its sentences, cut at 80 characters where none ends. A leaf is the
 hash of a paragraph, a section's hash that of its leaves, the root that of the sections. The fingerprint
-writes the tree down: `root|section=leaf.leaf;section=leaf...`. Hashes are of 128 bits, so equal roots mean
-equal texts; with fewer digits written, the root is that of the short tree and only as good. Where roots differ, sections that differ locate the edit, and the share of common leaves is the likeness.
+writes the tree down: `root|section=leaf.leaf;section=leaf...`. Hashes are of 128 bits up to the root, so equal
+roots mean equal texts; a fingerprint may write fewer digits of the hashes below the root. Where roots differ,
+sections that differ locate the edit, and the share of common leaves is the likeness.
 
 Defined results: a null text is an empty one, with one empty section; two empty texts are alike by 1.
 """
@@ -28,10 +29,10 @@ def hashes(text: Column) -> Column:
 
 
 def tree(hashed: Column, digits: int = DIGITS) -> Column:
-    """The tree over hashes of paragraphs, written down with so many digits of each hash."""
+    """The tree over hashes of paragraphs, written down with so many digits of each hash; hashes are of whole ones."""
     cut = (lambda h: h) if digits == DIGITS else (lambda h: F.left(h, F.lit(digits)))
-    sections = F.transform(hashed, lambda s: F.array_join(F.transform(s, cut), "."))
-    return F.array_join(F.transform(sections, lambda s: F.concat(cut(F.md5(s.cast("binary"))), F.lit("="), s)), ";")
+    section = lambda s: cut(F.md5(F.array_join(s, ".").cast("binary")))
+    return F.array_join(F.transform(hashed, lambda s: F.concat(section(s), F.lit("="), F.array_join(F.transform(s, cut), "."))), ";")
 
 
 def fingerprint(text: Column, digits: int = DIGITS) -> Column:
@@ -39,9 +40,9 @@ def fingerprint(text: Column, digits: int = DIGITS) -> Column:
     return tree(hashes(text), digits)
 
 
-def rooted(written: Column) -> Column:
-    """Puts the root, the hash of the sections, before a tree that is written down."""
-    return F.concat(F.md5(written.cast("binary")), F.lit("|"), written)
+def rooted(whole: Column, written: Column | None = None) -> Column:
+    """Puts the root, the hash of the whole tree, before the tree that is written down."""
+    return F.concat(F.md5(whole.cast("binary")), F.lit("|"), whole if written is None else written)
 
 
 def leaves(mark: Column) -> Column:
@@ -62,6 +63,17 @@ def changed_sections(mark_a: Column, mark_b: Column) -> Column:
     )
 
 
+def _before(firsts: DataFrame, each: int = 1024) -> DataFrame:
+    """Adds `to`, the next larger bucket (the smallest for the largest): by groups of buckets, then by groups of groups."""
+    group = F.floor(F.col("bucket") / each)
+    edges = firsts.groupBy(group.alias("group")).agg(F.min("bucket").alias("low"))
+    order = Window.orderBy("group")  # one row for `each` buckets
+    edges = edges.select("group", F.coalesce(F.lead("low").over(order), F.first("low").over(order)).alias("after"))
+    within = Window.partitionBy("group").orderBy("bucket")
+    placed = firsts.withColumn("group", group).withColumn("inside", F.lead("bucket").over(within))
+    return placed.join(edges, "group").select("bucket", "first", F.coalesce("inside", "after").alias("to"))
+
+
 def with_next(docs: DataFrame, bytes_each: int = 2 << 20) -> DataFrame:
     """(doc_id, text, next_text): the text of the next document in descending doc_id, after the last that of the first.
 
@@ -84,14 +96,12 @@ def with_next(docs: DataFrame, bytes_each: int = 2 << 20) -> DataFrame:
     docs = docs.withColumns({"bucket": F.when(F.col("doc_id").isNull(), -1).otherwise(bucket), "tie": F.xxhash64("text")})
     # the first document of each range goes, as a stand-in, to the end of the range before
     key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")
-    firsts = docs.groupBy("bucket").agg(F.max(key).alias("first"))
-    order = Window.orderBy("bucket")
-    before = F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(order)).alias("to")
-    firsts = firsts.select(F.col("bucket").alias("of"), before, F.col("first.doc_id").alias("fid"), F.col("first.tie").alias("ftie"))
+    firsts = _before(common.cut(docs.groupBy("bucket").agg(F.max(key).alias("first"))))
+    firsts = firsts.select(F.col("bucket").alias("of"), "to", F.col("first.doc_id").alias("fid"), F.col("first.tie").alias("ftie"))
     firsts = F.broadcast(firsts) if ranges <= 100_000 else firsts
     guests = docs.join(firsts, (docs["bucket"] == F.col("of")) & (docs["tie"] == F.col("ftie")) & docs["doc_id"].eqNullSafe(F.col("fid")))
     guests = guests.dropDuplicates(["of"]).select("doc_id", "text", F.col("to").alias("bucket"), "tie", F.lit(1).alias("guest"))
-    both = docs.select("doc_id", "text", "bucket", "tie", F.lit(0).alias("guest")).unionByName(guests)
+    both = docs.select("doc_id", "text", "bucket", "tie", F.lit(0).alias("guest")).unionByName(guests).repartition(ranges, "bucket")
     down = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.desc("tie"))
     return both.select("doc_id", "text", F.lead("text").over(down).alias("next_text"), "guest").filter("guest = 0").drop("guest")
 
@@ -99,8 +109,8 @@ def with_next(docs: DataFrame, bytes_each: int = 2 << 20) -> DataFrame:
 def fingerprint_report(docs: DataFrame, digits: int = DIGITS) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each document.
 
-    digits: of each hash below the root in the two fingerprints, whose root is taken from what is written; the
-    likenesses come from the whole hashes at any number.
+    digits: written of each hash below the root in the two fingerprints; roots and likenesses come from the whole
+    hashes at any number.
     """
     pairs = with_next(docs)
     n = F.length("text")
@@ -109,6 +119,6 @@ def fingerprint_report(docs: DataFrame, digits: int = DIGITS) -> DataFrame:
     found = pairs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(hashes(F.col(t)).alias(h) for t, h in (("text", "a"), ("edited", "b"), ("next_text", "c"))))
     # a section without paragraphs has one empty leaf, as in the written tree
     flat = lambda h: F.array_distinct(F.flatten(F.transform(h, lambda s: F.when(F.size(s) == 0, F.array(F.lit(""))).otherwise(s))))
-    trees = found.select("*", *(flat(F.col(x)).alias(f"l{x}") for x in "abc"), *(tree(F.col(x), digits).alias(f"t{x}") for x in "ab"))
+    trees = found.select("*", *(flat(F.col(x)).alias(f"l{x}") for x in "abc"), *(tree(F.col(x)).alias(f"t{x}") for x in "ab"), *(tree(F.col(x), digits).alias(f"w{x}") for x in "ab"))
     near = lambda x: likeness(F.col("la"), F.col(f"l{x}"), F.col("a"), F.col(x))
-    return trees.select("doc_id", "n_chars", "edited_sha256", rooted(F.col("ta")).alias("fingerprint"), rooted(F.col("tb")).alias("edited_fingerprint"), near("b").alias("near_edited"), near("c").alias("near_next"))
+    return trees.select("doc_id", "n_chars", "edited_sha256", rooted(F.col("ta"), F.col("wa")).alias("fingerprint"), rooted(F.col("tb"), F.col("wb")).alias("edited_fingerprint"), near("b").alias("near_edited"), near("c").alias("near_next"))

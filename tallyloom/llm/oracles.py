@@ -44,18 +44,50 @@ a AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_i
 SELECT doc_id, size, source_size, target, (size * (epochs + (size > 0 AND ahead + size / 2.0 <= target - epochs * source_size)::INT))::BIGINT AS taken FROM a
 """
 
-_TREE = r"""array_to_string([left(md5(x), 8) || '=' || x FOR x IN
-  [array_to_string([left(md5(p), 8) FOR p IN regexp_extract_all(s, '[^.!?]{0,80}[.!?]+|[^.!?]{1,80}')], '.') FOR s IN string_split(TEXT, chr(10))]], ';')"""
-_LEAVES = "list_distinct(regexp_split_to_array(regexp_replace(X, '[0-9a-f]{8}=', '', 'g'), '[.;]'))"
-_NEAR = f"CASE WHEN md5(a) = md5(Y) THEN 1.0::DOUBLE ELSE len(list_intersect({_LEAVES.replace('X', 'a')}, {_LEAVES.replace('X', 'Y')}))::DOUBLE / greatest(len({_LEAVES.replace('X', 'a')}), len({_LEAVES.replace('X', 'Y')})) END"
-MERKLE = f"""
+SUBSTRING_BYTES = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS g FROM d, unnest(range(0, n - 199)) AS t(i)),
+hit AS (SELECT r, i FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(*) > 1)),
+marks AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200, true) AS fresh FROM hit),
+numbered AS (SELECT r, i, sum(fresh::INT) OVER (PARTITION BY r ORDER BY i) AS run FROM marks),
+runs AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY r, run),
+gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS z FROM runs),
+o AS (SELECT r, sum(b - a) AS gone, count(*) AS spans, max(b) AS last, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS kept FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN o USING (r)
+"""
+
+SUBSTRING_WORDS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS g FROM d, unnest(range(1, len(w) - 33)) AS t(i)),
+hit AS (SELECT r, i FROM s WHERE g IN (SELECT g FROM s GROUP BY g HAVING count(*) > 1)),
+marks AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 35, true) AS fresh FROM hit),
+numbered AS (SELECT r, i, sum(fresh::INT) OVER (PARTITION BY r ORDER BY i) AS run FROM marks),
+runs AS (SELECT r, min(i) AS a, max(i) + 35 AS b FROM numbered GROUP BY r, run),
+o AS (SELECT r, sum(b - a) AS gone, list_concat(list(a ORDER BY a), [2147483647]) AS a, list_concat([1], list(b ORDER BY a)) AS b FROM runs GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE flatten([w[b[k]:a[k] - 1] FOR k IN range(1, len(a) + 1)]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN o USING (r)
+"""
+
+
+def merkle(digits: int) -> str:
+    """Roots and likenesses from whole hashes; the fingerprints write so many digits of those below the root."""
+    leaves = "[[md5(p) FOR p IN regexp_extract_all(s, '[^.!?]{0,80}[.!?]+|[^.!?]{1,80}')] FOR s IN string_split(TEXT, chr(10))]"
+    tree = lambda x, n: f"array_to_string([left(md5(array_to_string(s, '.')), {n}) || '=' || array_to_string([left(p, {n}) FOR p IN s], '.') FOR s IN {x}], ';')"
+    flat = lambda x: f"list_distinct(flatten([CASE WHEN len(s) = 0 THEN [''] ELSE s END FOR s IN {x}]))"
+    near = lambda y: f"CASE WHEN a = {y} THEN 1.0::DOUBLE ELSE len(list_intersect({flat('a')}, {flat(y)}))::DOUBLE / greatest(len({flat('a')}), len({flat(y)})) END"
+    return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS nxt FROM d),
 e AS (SELECT *, left(text, length(text) - length(text) // 2) || left(nxt, length(text) // 2) AS edited FROM n),
-t AS (SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {_TREE.replace("TEXT", "text")} AS a, {_TREE.replace("TEXT", "edited")} AS b, {_TREE.replace("TEXT", "nxt")} AS c FROM e)
-SELECT doc_id, n_chars, edited_sha256, md5(a) || '|' || a AS fingerprint, md5(b) || '|' || b AS edited_fingerprint, {_NEAR.replace("Y", "b")} AS near_edited, {_NEAR.replace("Y", "c")} AS near_next FROM t
+t AS (SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {leaves.replace("TEXT", "text")} AS a, {leaves.replace("TEXT", "edited")} AS b, {leaves.replace("TEXT", "nxt")} AS c FROM e)
+SELECT doc_id, n_chars, edited_sha256, md5({tree("a", 32)}) || '|' || {tree("a", digits)} AS fingerprint, md5({tree("b", 32)}) || '|' || {tree("b", digits)} AS edited_fingerprint,
+  {near("b")} AS near_edited, {near("c")} AS near_next FROM t
 """
 
+
 _EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+"
 _IP = "[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+"
 _CARD = "[0-9](?:[\\x20-]?[0-9])+"

@@ -35,7 +35,7 @@ def op7_simhash(spark, sf_dir):
 
 
 def op8_merkle(spark, sf_dir):
-    """With the short hashes that its SQL writes."""
+    """Writes 8 digits of the hashes below the root."""
     return merkle.fingerprint_report(documents(spark, sf_dir), digits=8)
 
 
@@ -67,13 +67,16 @@ QUERIES = {
     )
 }
 
-#: Whole forms of queries whose SQL holds them to less; these have no SQL.
+#: The fingerprints again, with all digits.
 WHOLE = {"op8_merkle_whole": op8_merkle_whole}
 
 ORACLE_SQL = {
     "op1_decontamination": oracles.DECONTAMINATION,
+    "op2_substring_bwt": oracles.SUBSTRING_BYTES,
+    "op4_substring_automaton": oracles.SUBSTRING_WORDS,
     "op5_pii": oracles.PII,
-    "op8_merkle": oracles.MERKLE,
+    "op8_merkle": oracles.merkle(8),
+    "op8_merkle_whole": oracles.merkle(32),
     "op9_mixing": oracles.MIXING,
     "op10_line_dedup": oracles.LINE_DEDUP,
 }
