@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised code handles at a time; bounds its temporary arrays.
 CHUNK_BYTES = 1 << 20
@@ -42,6 +43,52 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for further columns, these or, where the frame has them in large or small letters, longer ones."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Bits of a table of hashes: 16 for each, within these powers of two (64 MB at most).
+LEAST_BITS, MOST_BITS = 20, 29
+
+
+def bit_table(hashes: DataFrame, column: str, n: int) -> np.ndarray:
+    """A table in which the first bits of each of the `n` hashes (a long column) are set; `passes` asks it.
+
+    Beyond its largest size it passes more and more hashes that are not among the `n`, and still all that are.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    slot = F.shiftrightunsigned(column, 64 - bits)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - bits}) & 63 as int))")
+    words = hashes.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # no more rows than the table has words
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return table
+
+
+def passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes (unsigned) have their bit set."""
+    slot = hashes >> np.uint64(64 - (len(table) * 64).bit_length() + 1)
+    return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, n: str) -> DataFrame:
+    """left joined with right, which has one row a key and in column `n` how many rows of left have it.
+
+    Keys of more than a thousandth of left's rows, a thousand at most, are broadcast, so none gathers in a task.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(right.filter(F.col(n) * 1000 > total).limit(1000))
+    cold = left.join(hot.select(key), key, "left_anti").join(right.filter(F.col(n) * 1000 <= total), key)
+    return cold.unionByName(left.join(hot, key))
+
+
 def partitions(spark: SparkSession, n_bytes: int, each: int) -> int:
     """Partitions of about `each` bytes, no fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // each))

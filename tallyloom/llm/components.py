@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in `links` (u, v); the root is a component's smallest node.
 
     Each round hangs every node's larger neighbours, then the node itself, on the smallest neighbour; rounds
-    stop when the links no longer change, after a number that grows with the log of the longest chain. No
+    go on until the links no longer change, after a number that grows with the log of the longest chain. No
     neighbour list is ever gathered, so a node with very many links is no burden for a task.
     """
     links = common.cut(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _summary(links)
-    for _ in range(most_rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -26,9 +26,8 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
         links = common.cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = _summary(links)
         if now == seen:
-            break
+            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _summary(links: DataFrame) -> tuple:

@@ -1,14 +1,15 @@
 """Line dedup: documents probe a sharded minimal perfect hash over the hashes of repeated lines.
 
 The distinct line hashes are counted by a grouped aggregate (partial sums before the shuffle, so a line
-that a third of all documents hold is one row a task). Of those found often enough, each shard gets a
+that a third of all documents hold is one row a task). Of those found in two documents or more, each shard gets a
 minimal perfect hash, built in its own task: level after level of bit arrays, a key's index being the rank
 of its bit. The index leads to compact arrays: a 64-bit fingerprint (the half of the line's 128-bit hash
 that tells members from others), the count, and the largest doc_id. Documents probe the arrays, so lines
-are never joined.
+are never joined; the count says whether a line is found often enough.
 
-Up to `broadcast_bytes` the arrays of all shards are broadcast. Beyond, line hashes are dealt by (shard,
-salt) and meet only their own shard's arrays there; salts split shards that are probed often.
+Up to `broadcast_bytes` the arrays of all shards are broadcast. Beyond, a table of bits (64 MB at most) is
+broadcast, and hashes of lines that it passes are dealt by (shard, salt) and meet only their own shard's arrays
+there; a shard gets a salt for each `probes_each` of its probes.
 
 Defined results: a null or empty text is one empty line; rows are documents of their own even when doc_id
 repeats (each counts, and all rows with the largest doc_id keep the line); a null doc_id is below all others.
@@ -50,8 +51,8 @@ def hash_pair(key: bytes) -> tuple[int, int]:
     return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
-def count_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """(h1, h2, n, last): keys found in at least `min_docs` documents, and the largest doc_id that holds each."""
+def count_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(h1, h2, n, last): keys found in two documents or more, in how many, and the largest doc_id that holds each."""
 
     def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -63,7 +64,7 @@ def count_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (list(zip(*rows)) or ([], [], []))], ["h1", "h2", "doc_id"])
 
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lines_of, "h1 long, h2 long, doc_id long")
-    return found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).filter(F.col("n") >= min_docs)
+    return found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).filter("n >= 2")
 
 
 # ---- minimal perfect hash of one shard
@@ -118,6 +119,14 @@ def probe_shard(shard: dict, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     return out
 
 
+def _often(shard: dict, h1: np.ndarray, h2: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that are members with a count of `min_docs` or more, and their indices."""
+    index = probe_shard(shard, h1, h2)
+    hit = np.flatnonzero(index >= 0)
+    hit = hit[shard["n"][index[hit]] >= min_docs]
+    return hit, index[hit]
+
+
 def _shard_of(h1: np.ndarray, shards: int) -> np.ndarray:
     return h1 % shards  # as Spark's pmod
 
@@ -125,7 +134,7 @@ def _shard_of(h1: np.ndarray, shards: int) -> np.ndarray:
 # ---- the operator
 
 
-def _lines_to_drop(texts: list[bytes], ids: list, min_chars: int, shards: int, load) -> list[set[int]]:
+def _lines_to_drop(texts: list[bytes], ids: list, min_chars: int, min_docs: int, shards: int, load) -> list[set[int]]:
     """Of each text, the numbers of the lines to drop. load: the shard of a number, or None."""
     at, h1, h2 = [], [], []
     for i, text in enumerate(texts):
@@ -143,33 +152,32 @@ def _lines_to_drop(texts: list[bytes], ids: list, min_chars: int, shards: int, l
         if shard is None:
             continue
         mine = np.flatnonzero(of == s)
-        index = probe_shard(shard, a[mine], b[mine])
-        for k, x in zip(mine[index >= 0], index[index >= 0]):
+        hit, index = _often(shard, a[mine], b[mine], min_docs)
+        for k, x in zip(mine[hit], index):
             i, j = at[k]
             if (NO_ID if ids[i] is None else ids[i]) != shard["last"][x]:
                 drop[i].add(j)
     return drop
 
 
-def shard_tables(docs: DataFrame, min_chars: int, min_docs: int, keys_each: int) -> tuple[DataFrame, int, int]:
-    """(shard, arrays) for shards with any key, the number of shards, the number of keys."""
-    repeated = common.cut(count_lines(docs, min_chars, min_docs))
+def shard_tables(docs: DataFrame, min_chars: int, keys_each: int) -> tuple[DataFrame, int, int, DataFrame]:
+    """(shard, arrays) for shards with any key, the number of shards, the number of keys, and the keys."""
+    repeated = common.cut(count_lines(docs, min_chars))
     keys = repeated.count()
     shards = max(1, -(-keys // keys_each))
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        shard = build_shard(*(rows[c].to_numpy() for c in ("h1", "h2", "n", "last")))
-        return pd.DataFrame({"shard": [key[0]], "n": [int(rows["n"].sum())], "arrays": [pickle.dumps(shard, 5)]})
+        return pd.DataFrame({"shard": [key[0]], "arrays": [pickle.dumps(build_shard(*(rows[c].to_numpy() for c in ("h1", "h2", "n", "last"))), 5)]})
 
     dealt = repeated.withColumn("shard", F.pmod("h1", F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(build, "shard long, n long, arrays binary"), shards, keys
+    return common.cut(dealt.groupBy("shard").applyInPandas(build, "shard long, arrays binary")), shards, keys, repeated
 
 
 def decide(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keys_each: int = 50_000, broadcast_bytes: int = 64 << 20):
-    """A function (texts, ids) -> sets of line numbers to drop, for use in tasks; None if the arrays exceed `broadcast_bytes`."""
-    tables, shards, keys = shard_tables(docs, min_chars, min_docs, keys_each)
+    """A function (texts, ids) -> sets of line numbers to drop, for use in tasks; if the arrays exceed `broadcast_bytes`, None. And what `_routed_drops` needs."""
+    tables, shards, keys, repeated = shard_tables(docs, min_chars, keys_each)
     if keys * 24 > broadcast_bytes:
-        return None, tables, shards
+        return None, (tables, shards, keys, repeated)
     sent = docs.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["arrays"]) for r in tables.select("shard", "arrays").collect()})
     opened: dict = {}
 
@@ -179,42 +187,60 @@ def decide(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keys_each: i
             opened[s] = pickle.loads(arrays) if arrays else None
         return opened[s]
 
-    return (lambda texts, ids: _lines_to_drop(texts, ids, min_chars, shards, load)), tables, shards
+    return (lambda texts, ids: _lines_to_drop(texts, ids, min_chars, min_docs, shards, load)), None
+
+
+def _digest(text: bytes | None) -> bytes:
+    return hashlib.md5(text or b"").digest()
 
 
-def _routed_drops(docs: DataFrame, tables: DataFrame, shards: int, min_chars: int, probes_each: int) -> DataFrame:
+def _routed_drops(docs: DataFrame, built: tuple[DataFrame, int, int, DataFrame], min_chars: int, min_docs: int, probes_each: int) -> DataFrame:
     """(digest, doc_id, drop): line numbers to drop, found where (shard, salt) deals line hashes beside arrays.
 
-    Used when the arrays are too large to broadcast. The shard's count of probes gives its number of salts.
+    Used when the arrays are too large to broadcast.
     """
+    tables, shards, keys, repeated = built
+    sent = docs.sparkSession.sparkContext.broadcast(common.bit_table(repeated, "h1", keys).tobytes())
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(sent.value, np.uint64)
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         for b in batches:
             rows = []
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.large_binary()).to_pylist()):
-                digest = hashlib.sha256(text or b"").digest()
+                digest = _digest(text)
                 rows += [(digest, i, j, *hash_pair(k)) for j, x in enumerate((text or b"").split(b"\n")) if (k := line_key(x, min_chars))]
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [()] * 5, kinds)], ["digest", "doc_id", "line", "h1", "h2"])
+            columns = list(zip(*rows)) or [()] * 5
+            passed = common.passes(bits, np.array(columns[3], np.int64).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["digest", "doc_id", "line", "h1", "h2"]).filter(pa.array(passed, pa.bool_()))
 
     def look(key: tuple, lines: pd.DataFrame, arrays: pd.DataFrame) -> pd.DataFrame:
         if not len(lines) or not len(arrays):
             return pd.DataFrame({"digest": [], "doc_id": [], "line": []})
         shard = pickle.loads(arrays["arrays"].iloc[0])
-        index = probe_shard(shard, lines["h1"].to_numpy(np.int64), lines["h2"].to_numpy(np.int64))
-        hit = lines[index >= 0]
-        own = hit["doc_id"].fillna(NO_ID).astype("int64").to_numpy()
-        return hit[own != shard["last"][index[index >= 0]]][["digest", "doc_id", "line"]]
-
-    salts = F.ceil(F.col("n") / F.lit(probes_each)).cast("long")
-    arrays = tables.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
-    most = common.cut(tables.select("shard", salts.alias("salts")))
+        hit, index = _often(shard, lines["h1"].to_numpy(np.int64), lines["h2"].to_numpy(np.int64), min_docs)
+        found = lines.iloc[hit]
+        own = found["doc_id"].fillna(NO_ID).astype("int64").to_numpy()
+        return found[own != shard["last"][index]][["digest", "doc_id", "line"]]
+
     lines = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(probes, "digest binary, doc_id long, line long, h1 long, h2 long")
-    lines = lines.withColumn("shard", F.pmod("h1", F.lit(shards))).join(most, "shard").withColumn("salt", F.pmod(F.xxhash64("digest", "doc_id", "line"), "salts"))
+    lines = common.cut(lines.withColumn("shard", F.pmod("h1", F.lit(shards))))
+    salts = common.cut(lines.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(probes_each)).cast("long").alias("salts")))  # a row a shard
+    salts = F.broadcast(salts) if shards <= 1_000_000 else salts
+    lines = lines.join(salts, "shard").select("digest", "doc_id", "line", "h1", "h2", "shard", F.pmod(F.xxhash64("digest", "doc_id", "line"), "salts").alias("salt"))
+    arrays = tables.join(salts, "shard").select("shard", "arrays", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     found = lines.groupBy("shard", "salt").cogroup(arrays.groupBy("shard", "salt")).applyInPandas(look, "digest binary, doc_id long, line long")
     return found.groupBy("digest", "doc_id").agg(F.collect_set("line").alias("drop"))
 
 
+def _with_drops(docs: DataFrame, routed: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
+    """The documents with their lines to drop in a further column, and its name."""
+    own, digest, doc_id, drop = common.free(docs, "__own", "__digest", "__id", "__drop")
+    keyed = docs.withColumn(own, F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
+    routed = routed.select(F.col("digest").alias(digest), F.col("doc_id").alias(doc_id), F.col("drop").alias(drop))
+    return keyed.join(routed, (F.col(own) == F.col(digest)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id)), "left").select(*keep, drop), drop
+
+
 def _digest_rows(b: pa.RecordBatch, drops) -> pa.RecordBatch:
     texts = [x or b"" for x in b.column("text").cast(pa.large_binary()).to_pylist()]
     out = []
@@ -230,18 +256,16 @@ def line_report(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keys_ea
     """(doc_id, n_lines, n_dropped, kept_sha256) of each document."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
-    drop, tables, shards = decide(docs, min_chars, min_docs, keys_each, broadcast_bytes)
+    drop, built = decide(docs, min_chars, min_docs, keys_each, broadcast_bytes)
     if drop is not None:
         return docs.mapInArrow(lambda batches: (_digest_rows(b, lambda texts, x: drop(texts, x.column("doc_id").to_pylist())) for b in batches), schema)
-    routed = _routed_drops(docs, tables, shards, min_chars, probes_each)
-    docs = docs.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
-    joined = docs.join(routed.withColumnRenamed("doc_id", "id"), (docs["digest"] == routed["digest"]) & docs["doc_id"].eqNullSafe(F.col("id")), "left").select("doc_id", "text", "drop")
-    return joined.mapInArrow(lambda batches: (_digest_rows(b, lambda _, x: [set(d or ()) for d in x.column("drop").to_pylist()]) for b in batches), schema)
+    joined, _ = _with_drops(docs, _routed_drops(docs, built, min_chars, min_docs, probes_each), ["doc_id", "text"])
+    return joined.mapInArrow(lambda batches: (_digest_rows(b, lambda _, x: [set(d or ()) for d in x.column(2).to_pylist()]) for b in batches), schema)
 
 
 def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """The documents, all columns as they are, without the lines that other documents keep; n_chars follows the text."""
-    drop, tables, shards = decide(docs, min_chars, min_docs, broadcast_bytes=broadcast_bytes)
+    drop, built = decide(docs, min_chars, min_docs, broadcast_bytes=broadcast_bytes)
     names, schema = docs.columns, docs.schema
 
     def cleaned(b: pa.RecordBatch, drops) -> pa.RecordBatch:
@@ -260,7 +284,5 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcas
 
     if drop is not None:
         return docs.mapInArrow(lambda batches: (cleaned(b, lambda texts, x: drop(texts, x.column("doc_id").to_pylist())) for b in batches), schema)
-    routed = _routed_drops(docs, tables, shards, min_chars, 200_000).select(F.col("digest").alias("__digest"), F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
-    keyed = docs.withColumn("__own", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
-    joined = keyed.join(routed, (F.col("__own") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left").select(*names, "__drop")
-    return joined.mapInArrow(lambda batches: (cleaned(b, lambda _, x: [set(d or ()) for d in x.column("__drop").to_pylist()]) for b in batches), schema)
+    joined, gone = _with_drops(docs, _routed_drops(docs, built, min_chars, min_docs, 200_000), names)
+    return joined.mapInArrow(lambda batches: (cleaned(b, lambda _, x: [set(d or ()) for d in x.column(gone).to_pylist()]) for b in batches), schema)

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating.
 CYCLE = (3.0, 1.0, 2.0)
@@ -54,18 +56,20 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, share: float = 1.5, m
     quality: (doc_id, weight), weights above 0; documents it lacks weigh 1.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"))
+    slim = common.cut(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size")))  # texts are read once
     sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     wanted = targets(sums, share, most)
     if quality is not None:
         weights = quality.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("weight").cast("double").alias("weight"))
+        low = min(1.0, weights.agg(F.percentile_approx("weight", 0.01)).first()[0] or 1.0)
         slim = slim.join(weights, "doc_id", "left")
     else:
+        low = 1.0
         slim = slim.withColumn("weight", F.lit(1.0))
     wanted = wanted.withColumnRenamed("source", "of")
     keyed = slim.withColumn("key", -F.log(uniform(seed)) / F.coalesce("weight", F.lit(1.0))).join(wanted, F.col("source").eqNullSafe(F.col("of")))
-    # ranges of the key: 1 - exp(-key) is even in (0, 1) for weight 1
-    keyed = keyed.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * F.ceil(F.col("n") / F.lit(rows_each))))
+    # ranges of the key: 1 - exp(-key * low) is even in (0, 1) for weight `low`, and nowhere denser than w / low for weight w above
+    keyed = keyed.withColumn("range", F.floor((1 - F.exp(-F.col("key") * low)) * F.ceil(F.col("n") / F.lit(rows_each))))
     ranges = keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select(F.col("source").alias("rs"), F.col("range").alias("rr"), F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("earlier"))
@@ -88,6 +92,8 @@ def take(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFr
 
     A column of `docs` by one of those names gives way. Rows of equal doc_id share the largest taken.
     """
-    plan = mix(docs, quality, **options).groupBy(F.col("doc_id").alias("__id")).agg(*(F.max(c).alias(f"__{c}") for c in ("size", "source_size", "target", "taken"))).filter(F.col("__taken") > 0)
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    return docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).select(*own, *(F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "taken")))
+    found = ("size", "source_size", "target", "taken")
+    own = [c for c in docs.columns if c.lower() not in found]
+    mark, *names = common.free(docs, "__id", *(f"__{c}" for c in found))
+    plan = mix(docs, quality, **options).groupBy(F.col("doc_id").alias(mark)).agg(*(F.max(c).alias(n) for c, n in zip(found, names))).filter(F.col(names[3]) > 0)
+    return docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col(mark))).select(*own, *(F.col(n).alias(c) for c, n in zip(found, names)))

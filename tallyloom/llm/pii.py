@@ -89,6 +89,32 @@ def _score(kind: str, before: Column, after: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), moved)), 3)
 
 
+def _let(value: Column, then) -> Column:
+    """`then` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def running_sums(steps: Column, block: int = 256) -> Column:
+    """0 and the sums of the first 1, 2, ... elements of an array that is not empty.
+
+    An array that grows is copied at each step, so sums run within blocks, and the blocks' own sums apart.
+    """
+
+    def grow(values: Column) -> Column:
+        return F.aggregate(values, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def blocks(steps: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / block).cast("int")), lambda b: grow(F.slice(steps, b * block + 1, F.lit(block))))
+
+    def moved(inner: Column, before: Column) -> Column:
+        return F.transform(inner, lambda v, b: _let(F.get(before, b), lambda c: F.transform(F.slice(v, F.lit(2), F.size(v)), lambda x: x + c)))
+
+    def joined(inner: Column) -> Column:
+        return _let(grow(F.transform(inner, lambda v: F.element_at(v, -1))), lambda before: F.flatten(moved(inner, before)))
+
+    return F.concat(F.array(F.lit(0)), _let(_let(steps, blocks), joined))
+
+
 def find_spans(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """(doc_id, text, spans): spans of kind, start, end (code points, end exclusive), value and score, by kind, then start."""
     out = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -97,8 +123,7 @@ def find_spans(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     out = out.select("*", *(F.when(F.size(f"{k}_m") > 0, F.split("text", p, -1)).alias(f"{k}_g") for k, p in PATTERNS.items()))
 
     def offsets(k: str) -> Column:  # where each piece between the matches begins
-        steps = F.transform(f"{k}_m", lambda m, i: F.length(m) + F.length(F.get(f"{k}_g", i)))
-        return F.aggregate(steps, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        return running_sums(F.transform(f"{k}_m", lambda m, i: F.length(m) + F.length(F.get(f"{k}_g", i))))
 
     out = out.select("*", *(F.when(F.size(f"{k}_m") > 0, offsets(k)).alias(f"{k}_o") for k in PATTERNS))
 

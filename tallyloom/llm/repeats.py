@@ -32,8 +32,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bits of the table of repeated anchors: 16 for each, within these powers of two.
-LEAST_BITS, MOST_BITS = 20, 29
 #: Windows in a piece at most; a longer stretch makes several pieces.
 PIECE_WINDOWS = 200
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -174,18 +172,7 @@ def anchor_table(docs: DataFrame, units: Bytes) -> tuple[np.ndarray, int]:
 
     found = common.cut(docs.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1"))
     repeated, met = found.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * repeated).bit_length()))
-    slot = F.shiftrightunsigned("anchor", 64 - bits)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(anchor, {64 - bits}) & 63 as int))")
-    words = found.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # no more rows than the table has words
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return table, int(met)
-
-
-def _passes(table: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    slot = anchor >> np.uint64(64 - (len(table) * 64).bit_length() + 1)
-    return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+    return common.bit_table(found, "anchor", repeated), int(met)
 
 
 def _content(piece: bytes) -> tuple[int, int]:
@@ -205,7 +192,7 @@ def _passed(batch: pa.RecordBatch, units: Bytes, sent):
     """(row, first window within the text, anchor, bytes) of the pieces that the table passes."""
     table = np.frombuffer(sent.value, np.uint64)
     for rows, firsts, at, cut, pieces in _chunks(batch, units):
-        for segment, first, anchor, piece in _cut_out(at, cut, pieces, units.length, _passes(table, pieces[0])):
+        for segment, first, anchor, piece in _cut_out(at, cut, pieces, units.length, common.passes(table, pieces[0])):
             yield rows[segment].item(), firsts[segment].item() + first, anchor, piece
 
 

@@ -134,10 +134,14 @@ def links(prints: DataFrame, n: int, tile: int = 4096) -> DataFrame:
     salts = F.ceil(F.col("n") / F.lit(tile)).cast("long")
     part = F.when(salts > 1, F.bit_count("fp").cast("long") * (1 << 40) + F.pmod(F.xxhash64("fp"), salts)).otherwise(F.lit(-1).cast("long"))
     tiles = dealt.join(sizes, ["choice", "key"]).withColumn("part", part).groupBy("choice", "key", "part").agg(F.collect_list("fp").alias("a"), F.min(F.bit_count("fp")).alias("low"), F.max(F.bit_count("fp")).alias("high"))
+    # pairs of tiles are named first, then dealt each by itself, so that a bucket of many tiles is no task's alone
     split = tiles.filter("part >= 0")
-    left, right = split.select("choice", "key", "part", "a", "low", "high"), split.select("choice", "key", F.col("part").alias("part2"), F.col("a").alias("b"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    left, right = split.select("choice", "key", "part", "low", "high"), split.select("choice", "key", F.col("part").alias("part2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     near = (F.col("part") < F.col("part2")) & (F.col("low2") - F.col("high") <= RADIUS) & (F.col("low") - F.col("high2") <= RADIUS)
-    pairs = left.join(right, ["choice", "key"]).filter(near).select("a", "b")
+    named = left.join(right, ["choice", "key"]).filter(near).select("choice", "key", "part", "part2")
+    held = split.select("choice", "key", "part", "a")
+    pairs = named.join(held, ["choice", "key", "part"]).join(held.withColumnsRenamed({"part": "part2", "a": "b"}), ["choice", "key", "part2"])
+    pairs = pairs.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "choice", "key", "part", "part2").select("a", "b")
     work = tiles.select("a", F.array().cast("array<long>").alias("b")).unionByName(pairs)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,13 +160,12 @@ def links(prints: DataFrame, n: int, tile: int = 4096) -> DataFrame:
 def near_duplicates(docs: DataFrame, tile: int = 4096) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each document."""
     marked = common.cut(fingerprints(docs))  # 16 bytes a document; all later steps start from it
-    prints = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    n = prints.count()
-    roots = components(links(prints.select("fp"), n, tile))
-    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    prints = marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    roots = components(links(prints.select("fp"), prints.count(), tile))
+    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
+    named = common.cut(common.join_hot(rooted, ids, "root", "members").select("fp", "component_id", "n"))
+    return common.join_hot(marked, named, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
