@@ -70,10 +70,44 @@ def test_decontamination(spark, docs, none, table, block_bytes):
 
 
 def test_words_of_one_letter_patterns():
-    table = decontaminate.WuManber(1, [b"a", b"bb"])
-    data = np.frombuffer(b"a bb c a" + b"bb", np.uint8)
-    at, window = table.search(decontaminate.Words(data, np.array([0, 8, 8, 10])))
-    assert sorted(zip(at.tolist(), window.tolist())) == [(0, 0), (1, 1), (3, 0), (4, 1)]
+    words = lambda data, *off: decontaminate.Words(np.frombuffer(data, np.uint8), np.array(off))
+    table = decontaminate.WuManber(1, words(b"a bb", 0, 4), np.array([0, 1]))
+    at, pattern = table.search(words(b"a bb c abb", 0, 8, 8, 10))
+    assert sorted((i, table.order[table.members[p]].item()) for i, p in zip(at.tolist(), pattern.tolist())) == [(0, 0), (1, 1), (3, 0), (4, 1)]
+
+
+def test_many_patterns_keep_their_shifts(monkeypatch):
+    """Shifts stay long and tables small as items grow, and blocks of three words find what blocks of two find."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8)))
+    items = [(" ".join(word() for _ in range(100)).encode(), [str(i)]) for i in range(1000)]
+    items += [(items[0][0][:300], ["x"])]
+    patterns = decontaminate.Patterns(items, 10)
+    table = patterns.tables[-1][0]
+    text = " ".join([*(word() for _ in range(5000)), items[7][0].decode(), *(word() for _ in range(50))]).encode()
+    words = decontaminate.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    block = words.windows(np.arange(4990), table.B)
+    assert table.B == 3 and table.shift[table._slot(block)].mean() > 5
+    size = sum(x.nbytes for x in (table.shift, table.whole, table.at, table.suffixes, table.bucket, table.members, table.order, table.words.hashes, table.words.at, table.words.bytes))
+    assert size < 40 * sum(len(t) for t, _ in items)
+    hit, found = patterns.hits(words)
+    monkeypatch.setattr(decontaminate, "MANY", 10**9)
+    again = decontaminate.Patterns(items, 10)
+    assert again.tables[-1][0].B == 2 and found == [{"7"}] and hit.sum() == 100
+    assert np.array_equal(again.hits(words)[0], hit) and again.hits(words)[1] == found
+    first = decontaminate.Words(np.frombuffer(items[0][0], np.uint8), np.array([0, len(items[0][0])]))
+    assert patterns.hits(first)[1] == [{"0", "x"}]
+
+
+def test_segments_of_long_texts_hold_every_window():
+    text = passage(7, 400).encode()
+    whole = decontaminate.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    n = 0
+    for first, data, off in decontaminate._segments(text, 10, 50):
+        words = decontaminate.Words(data, off)
+        assert first == (n - 9 if n else 0) and np.array_equal(words.hashes, whole.hashes[first : first + len(words.hashes)])
+        n = first + len(words.hashes)
+    assert n == len(whole.hashes)
 
 
 # ---- 2 and 4 repeated passages
