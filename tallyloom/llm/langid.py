@@ -7,7 +7,11 @@ language whose prototype has the largest cosine with its bundle.
 
 Bundles are sums of whole numbers, so prototypes do not depend on the order or number of tasks. Training
 sends a vector a language from each task to a grouped sum; the prototypes, a few KB a language, are
-broadcast, after a check of their number.
+broadcast, `LANGUAGES_SENT` at a time: each such block passes over the texts and keeps the better of its best
+language and the one found before.
+
+The pipeline's stage rejects texts without letters, and texts whose cosine with their language's prototype lies far
+below what training texts of that language and length have: `DEVIATIONS` standard deviations below their mean.
 
 Defined results: `und` with score 0 for a null text, one without letters, or where nothing was learned;
 ties go to the first language by code point; training rows with a null lang or text teach nothing.
@@ -19,13 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 DIMENSIONS = 1024
-MOST_LANGUAGES = 4096
+LANGUAGES_SENT = 4096
+#: Of the stage: how far below the mean, the least spread taken, and the texts that a class needs to be judged by.
+DEVIATIONS, LEAST_SPREAD, LEAST_TEXTS = 6.0, 0.02, 30
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
 
@@ -91,11 +97,17 @@ class Bundler:
         order = np.argsort(full)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        counts = np.bincount(row * len(full) + place[column], minlength=rows * len(full)).reshape(rows, len(full))
+        # entries by trigram, then parts of the trigrams, so that counts and vectors held are bounded
+        place = place[column]
+        by_place = np.argsort(place.astype(np.uint16) if len(full) < 1 << 16 else place, kind="stable")
+        place, row = place[by_place], row[by_place]
         out = np.zeros((rows, self.dimensions))
-        for i in range(0, len(full), 4096):  # parts, so that the vectors held are bounded
-            vectors = self._trigram_vectors(full[order[i : i + 4096]]).astype(np.float32)
-            out += counts[:, i : i + 4096].astype(np.float32) @ vectors
+        width = max(64, min(4096, (1 << 21) // max(rows, 1)))
+        for i in range(0, len(full), width):
+            part = slice(*np.searchsorted(place, [i, i + width]))
+            vectors = self._trigram_vectors(full[order[i : i + width]]).astype(np.float32)
+            counts = np.bincount(row[part] * len(vectors) + place[part] - i, minlength=rows * len(vectors)).reshape(rows, len(vectors))
+            out += counts.astype(np.float32) @ vectors
         return out, known
 
 
@@ -120,8 +132,8 @@ def text_groups(texts: list[str], limit: int = common.CHUNK_BYTES, most: int = 5
         yield first, len(texts)
 
 
-def train(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
-    """Prototypes by language, from the text and lang of `docs`."""
+def train(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(lang, vector): prototypes, from the text and lang of `docs`."""
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -139,11 +151,20 @@ def train(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray
 
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", F.col("lang").cast("string")).mapInArrow(bundle, "lang string, place int, v long")
     sums = rows.groupBy("lang", "place").agg(F.sum("v").alias("v"))
-    # a prototype is `dimensions` numbers, so what comes to the driver is bounded by the number of languages
-    found = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("vector")).limit(MOST_LANGUAGES + 1).collect()
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
-    return {r["lang"]: np.array([x["v"] for x in r["vector"]], np.float64) for r in sorted(found, key=lambda r: r["lang"])}
+    return common.cut(sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda x: x["v"]).alias("vector")))
+
+
+def models(prototypes: DataFrame, sent: int = LANGUAGES_SENT) -> Iterator[Model]:
+    """Prototypes in order of their language, `sent` at a time; one model without any where there is none."""
+    held: dict[str, np.ndarray] = {}
+    any_yet = False
+    for r in prototypes.orderBy("lang").toLocalIterator():
+        held[r["lang"]] = np.array(r["vector"], np.float64)
+        if len(held) >= sent:
+            yield Model(held)
+            held, any_yet = {}, True
+    if held or not any_yet:
+        yield Model(held)
 
 
 class Model:
@@ -164,7 +185,7 @@ class Model:
                 scores.append(np.zeros(end - first))
                 continue
             norms = np.linalg.norm(bundles, axis=1)
-            cosine = bundles @ self.matrix.T / np.maximum(norms, 1e-9)[:, None]
+            cosine = np.round(bundles @ self.matrix.T / np.maximum(norms, 1e-9)[:, None], 12)  # the last digits hang on how many are multiplied at once
             best = cosine.argmax(axis=1)
             score = np.where(known, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)
             names += [self.names[i] if k else UNKNOWN for i, k in zip(best, known)]
@@ -177,39 +198,79 @@ def held_out(mod: int, rest: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod == rest
 
 
-def language_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score); learns from the documents that are not held out."""
-    sent = docs.sparkSession.sparkContext.broadcast(Model(train(docs.filter(~held_out(4, 2)))))
+def predicted(docs: DataFrame, prototypes: DataFrame, sent: int = LANGUAGES_SENT) -> tuple[DataFrame, list[str]]:
+    """The documents with two more columns, and their names: the language and its score."""
+    names = common.free(docs, "__lang", "__score")
+    state = docs.select("*", F.lit(None).cast("string").alias(names[0]), F.lit(0.0).alias(names[1]))
+    every = models(prototypes, sent)
+    model, following = next(every), next(every, None)
+    while model is not None:
+        state = _better(state, names, model)
+        if following is not None:
+            state = common.cut(state)  # written before the next block is sent
+        model, following = following, next(every, None) if following is not None else None
+    return state, names
+
+
+def _better(state: DataFrame, names: list[str], model: Model) -> DataFrame:
+    sent = state.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundler = Bundler()
         for b in batches:
-            names, scores = sent.value.predict(b.column("text").to_pylist(), bundler)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
+            langs, scores = sent.value.predict(b.column("text").to_pylist(), bundler)
+            old = zip(b.column(names[0]).to_pylist(), b.column(names[1]).to_pylist())
+            best = [(y, t) if x is None or (y != UNKNOWN and (x == UNKNOWN or t > s)) else (x, s) for (x, s), y, t in zip(old, langs, scores.tolist())]
+            columns = {c: b.column(c) for c in b.schema.names} | {names[0]: pa.array([x for x, _ in best], pa.string()), names[1]: pa.array([s for _, s in best], pa.float64())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out(4, 2).alias("held_out"), F.col("text").cast("string")).mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return state.mapInArrow(predict, state.schema)
 
 
-def keep_known(docs: DataFrame, deviations: float = 3.0, least_letters: int = 40) -> DataFrame:
-    """The documents whose language is not rejected, all columns as they are.
+def language_report(docs: DataFrame, sent: int = LANGUAGES_SENT) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score); learns from the documents that are not held out."""
+    own = docs.select("doc_id", held_out(4, 2).alias("held_out"), F.col("text").cast("string"))
+    state, names = predicted(own, train(docs.filter(~held_out(4, 2))), sent)
+    return state.select("doc_id", "held_out", F.col(names[0]).alias("lang_pred"), F.col(names[1]).alias("score"))
 
-    Rejected are texts without letters, and texts of `least_letters` or more whose cosine with the nearest
-    prototype is within `deviations` of what random vectors have, 1 / sqrt(dimensions). Shorter texts cannot
-    be judged and stay.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(Model(train(docs.filter(~held_out(4, 2)))))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundler = Bundler()
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            names, scores = sent.value.predict(texts, bundler)
-            yield b.filter(pa.array([not rejected(*x) for x in zip(texts, names, scores)], pa.bool_()))
+def n_letters(text: Column) -> Column:
+    """Code points that are letters."""
+    return F.length(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[^\p{L}]+", ""))
+
+
+def length_class(letters: Column) -> Column:
+    """Texts of like length: a class for each doubling."""
+    return F.floor(F.log2(F.greatest(letters, F.lit(1)).cast("double"))).cast("int")
+
 
-    def rejected(text: str | None, name: str, score: float) -> bool:
-        if name != UNKNOWN:
-            return score < deviations / np.sqrt(DIMENSIONS) and len(text) >= least_letters and sum(map(str.isalpha, text)) >= least_letters
-        return not any(map(str.isalpha, text or "")) or bool(sent.value.names)
+def usual_scores(docs: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """(lang, class, low): the least score a text of that language and length may have; null lang for all languages together."""
+    state, (lang, score) = predicted(docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", F.col("lang").cast("string").alias("own")), prototypes)
+    rows = state.filter(F.col(lang) == F.col("own")).select(F.col(lang).alias("lang"), length_class(n_letters(F.col("text"))).alias("class"), F.col(score).alias("score"))
+    sums = common.cut(rows.groupBy("lang", "class").agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.sum(F.col("score") * F.col("score")).alias("ss")))
+    every = sums.groupBy("class").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).select(F.lit(None).cast("string").alias("lang"), "class", "n", "s", "ss")
+    mean = F.col("s") / F.col("n")
+    spread = F.greatest(F.lit(LEAST_SPREAD), F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("n") - mean * mean)))
+    return sums.unionByName(every).filter(F.col("n") >= LEAST_TEXTS).select("lang", "class", (mean - DEVIATIONS * spread).alias("low"))
 
-    return docs.mapInArrow(keep, docs.schema)
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The documents whose language is not rejected, all columns as they are.
+
+    Where a language has too few training texts of a length, all languages' texts of that length judge; where
+    there are too few of those, too, only texts without letters go.
+    """
+    learned = docs.filter(~held_out(4, 2))
+    prototypes = train(learned)
+    low = common.cut(usual_scores(learned, prototypes))  # some 30 rows a language
+    state, (lang, score) = predicted(docs, prototypes)
+    letters, size, own, own_size, own_low, all_size, all_low = common.free(state, "__letters", "__class", "__of", "__of_class", "__low", "__all_class", "__all_low")
+    state = state.withColumn(letters, n_letters(F.col("text"))).withColumn(size, length_class(F.col(letters)))
+    mine = low.filter("lang IS NOT NULL").select(F.col("lang").alias(own), F.col("class").alias(own_size), F.col("low").alias(own_low))
+    every = low.filter("lang IS NULL").select(F.col("class").alias(all_size), F.col("low").alias(all_low))
+    mine = F.broadcast(mine) if mine.count() <= 1_000_000 else mine
+    judged = state.join(mine, (F.col(lang) == F.col(own)) & (F.col(size) == F.col(own_size)), "left").join(F.broadcast(every), F.col(size) == F.col(all_size), "left")
+    nothing_learned = prototypes.isEmpty()
+    known = F.lit(True) if nothing_learned else F.col(lang) != UNKNOWN
+    return judged.filter((F.col(letters) > 0) & known & (F.coalesce(own_low, all_low, F.lit(-1.0)) <= F.col(score))).select(*docs.columns)

@@ -1,6 +1,7 @@
 """Operators against brute force, on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -299,9 +300,62 @@ def test_language(spark, docs, none):
     assert langid.language_report(docs).count() == docs.count() and langid.language_report(none).count() == 0
     kept = langid.keep_known(docs)
     assert kept.schema == docs.schema and kept.filter("text IS NULL OR text = ''").count() == 0
-    one = langid.train(docs.filter("lang = 'en'"))
-    two = langid.train(docs.filter("lang = 'en'").repartition(3))
-    assert list(one) == ["en"] and np.array_equal(one["en"], two["en"])
+    one = langid.train(docs.filter("lang = 'en'")).collect()
+    two = langid.train(docs.filter("lang = 'en'").repartition(3)).collect()
+    assert [x.lang for x in one] == ["en"] and one == two
+    few = langid.language_report(spark.createDataFrame(rows + extra, "doc_id long, text string, lang string"), sent=1).collect()
+    assert {(x.doc_id, x.lang_pred, x.score) for x in few} == {(x.doc_id, x.lang_pred, x.score) for x in out.values()}
+
+
+def test_language_stage_judges_by_length(spark):
+    """Clean texts of every length stay; long ones like no learned language go."""
+    r = random.Random(14)
+    letters = {"aa": "abcde ", "bb": "efghi ", "cc": "ijklm "}
+    rows = [(i, "".join(r.choice(letters[lang]) for _ in range(r.choice((6, 12, 30, 90, 300, 1000)))), lang) for i in range(1500) for lang in [list(letters)[i % 3]]]
+    odd = [(5000 + i, "".join(r.choice("qrstuvwxyzäöü ") for _ in range(600)), None) for i in range(5)]
+    kept = {x.doc_id for x in langid.keep_known(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")).collect()}
+    assert kept == {i for i, t, _ in rows if t.strip()}
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_held_out_quality(spark):
+    """On the test tables: language accuracy, and precision and recall of toxic labels on texts not learned from."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    told = langid.language_report(docs).filter("held_out AND lang_pred <> 'und'").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(x.lang == x.lang_pred for x in told) / len(told) > 0.98
+    found = toxicity.toxicity_report(docs, labels).join(labels.filter("toxic IS NOT NULL"), "doc_id").filter("held_out").collect()
+    right = sum(x.toxic == 1 and x.predicted == 1 for x in found)
+    assert right / max(1, sum(x.predicted for x in found)) > 0.8 and right / sum(x.toxic for x in found) > 0.5
+    ranks = [(x.score, x.toxic) for x in found]
+    pairs = [(a > b) + (a == b) / 2 for a, x in ranks if x for b, y in ranks if not y]
+    assert sum(pairs) / len(pairs) > 0.95
+
+
+def test_fit_against_plain_descent():
+    """The accelerated fit reaches the loss that many plain steps reach."""
+    r = np.random.default_rng(3)
+    ratio = np.zeros(toxicity.SLOTS)
+    ratio[:40] = r.normal(0, 2, 40)
+    texts, toxic = [], np.array([float(i % 3 == 0) for i in range(120)])
+    for y in toxic:
+        places = np.unique(r.choice(40, 12, p=np.where(ratio[:40] * (2 * y - 1) > 0, 2.0, 1.0) / np.where(ratio[:40] * (2 * y - 1) > 0, 2.0, 1.0).sum()))
+        texts.append((places.astype(np.int32), r.integers(1, 5, len(places)).astype(np.uint8)))
+    rows = np.zeros((120, 40))
+    for i, (f, n) in enumerate(texts):
+        rows[i, f] = np.rint(16 * np.log2(1 + n.astype(int))) * ratio[f]
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    weigh = np.where(toxic == 1, 0.5 / toxic.sum(), 0.5 / (1 - toxic).sum())
+    ridge = 1e-3 / 120
+    loss = lambda w, b: (weigh * np.logaddexp(0, -(2 * toxic - 1) * (rows @ w + b))).sum() + ridge / 2 * (w @ w)
+    w, b = np.zeros(40), 0.0
+    for _ in range(4000):
+        e = (1 / (1 + np.exp(-(rows @ w + b))) - toxic) * weigh
+        w, b = w - 2 * (rows.T @ e + ridge * w), b - 2 * e.sum()
+    weight, bias = toxicity.fit(texts, toxic, ratio, rounds=1000)
+    assert loss(weight[:40] / ratio[:40], bias) < loss(w, b) + 0.001
 
 
 def test_bundle_by_definition():

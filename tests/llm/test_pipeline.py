@@ -3,7 +3,7 @@ import re
 import corpus_pipeline as pipeline
 from tallyloom.llm import decontaminate, langid, linededup, simhash
 
-from .test_operators import ITEMS, brute_components, brute_hits, brute_lines, brute_print
+from .test_operators import ITEMS, brute_components, brute_hits, brute_lines, brute_print, sha
 
 
 def test_stages_against_brute_force(spark, docs, table, tmp_path):
@@ -12,19 +12,14 @@ def test_stages_against_brute_force(spark, docs, table, tmp_path):
     own = docs.select("doc_id", "text", "lang", "source", "n_chars")
     own.write.parquet(str(tmp_path / "documents.parquet"))
     rows = [r[:5] for r in table]
-    # 1: texts without letters go, and long ones that are like no language
-    told = {r.doc_id: r.score for r in langid.language_report(own).collect()}
-    letters = [sum(c.isalpha() for c in r[1] or "") for r in rows]
-    rows = [r for r, n in zip(rows, letters) if n and not (n >= 40 and told[r[0]] < 3 / 32)]
-    assert len(rows) >= sum(n > 0 for n in letters) - 3
+    # 1: texts without letters go; no class of lengths has texts enough here to judge by
+    rows = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
     found = pipeline.language(spark, own, str(tmp_path))
     assert found.schema == own.schema and sorted(map(repr, rows)) == sorted(repr(tuple(r)) for r in found.collect())
     # 2
-    drops = {}
-    for r, x in zip(rows, brute_lines(rows)):
-        drops.setdefault(r, x)
     found = pipeline.lines(spark, found, str(tmp_path))
-    assert found.schema.names == own.schema.names and found.count() == len(rows)
+    assert found.schema.names == own.schema.names
+    assert sorted((str(r.doc_id), sha(r.text)) for r in found.collect()) == sorted((str(x[0]), x[3]) for x in brute_lines(rows))
     rows = [tuple(r) for r in found.collect()]
     # 3
     comp = brute_components([(r[0], brute_print(r[1])) for r in rows])
