@@ -178,8 +178,9 @@ def report_of(flags: DataFrame, trades: DataFrame) -> DataFrame:
 
 
 def rejects_of(flags: DataFrame) -> DataFrame:
-    """Rejected rows with their reason."""
-    return flags.filter(F.col("reason").isNotNull()).select(*KEY, "row_idx", *CANONICAL, F.col("reason").alias("rejection_reason"))
+    """Rejected rows with their reason, and with `extras` where the ledger has them."""
+    extras = [c for c in ("extras",) if c in flags.columns]
+    return flags.filter(F.col("reason").isNotNull()).select(*KEY, "row_idx", *CANONICAL, *extras, F.col("reason").alias("rejection_reason"))
 
 
 def clean(bronze: DataFrame, config: EvalConfig) -> Cleaned:
@@ -190,5 +191,5 @@ def clean(bronze: DataFrame, config: EvalConfig) -> Cleaned:
 
 
 def write_rejects(rejects: DataFrame, path: str) -> None:
-    """Rejected rows as CSV with a header."""
-    rejects.write.mode("overwrite").option("header", True).csv(path)
+    """Rejected rows as CSV with a header; quotes within values are doubled."""
+    rejects.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

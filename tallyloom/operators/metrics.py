@@ -194,7 +194,7 @@ def risk_adjusted(facts: DataFrame, grown: DataFrame, fallen: DataFrame, config:
         "excess_kurtosis_returns",
     )
     most = expected_max_sharpe(config.n_trials)
-    return a.select("*", psr(F.lit(0.0)).alias("probabilistic_sharpe_ratio"), psr(F.lit(most)).alias("deflated_sharpe_ratio"), F.lit(config.n_trials).alias("dsr_n_trials"))
+    return a.select("*", psr(F.lit(0.0)).alias("probabilistic_sharpe_ratio"), psr(F.lit(most)).alias("deflated_sharpe_ratio"), F.lit(config.n_trials).alias("dsr_n_trials"), (F.col("n") >= 10).alias("annualised"), (F.col("n") < 30).alias("sharpe_small_sample_corrected"), F.lit(float(most)).alias("psr_reference_sharpe"))
 
 
 def psr(reference: Column) -> Column:

@@ -1,12 +1,18 @@
 """Monte-Carlo resampling of a strategy's trades: four tests, by a counter-based random number.
 
-A draw is a hash of (seed, test, iteration, place), so it does not depend on partitions, and a path can be
-made again anywhere. Paths of all strategies and iterations lie side by side, dealt by (strategy, test,
-iteration); positions are looked up among the strategy's trades by an equi-join.
+A draw is a hash of (seed, test, strategy, iteration, place), so it does not depend on partitions, and a path can be
+made again anywhere. A strategy's pnl, in order, is one row of at most `MOST_TRADES` numbers; copies of it, each with
+a range of iterations, are dealt evenly, and numpy makes the paths of a range and sums them up, so that only the
+sums of paths leave a task. Strategies of more trades go by an equi-join of places with trades and window sums.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,86 +22,164 @@ from .cleaning import KEY
 PERCENTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
 MEASURES = ("total_return", "max_drawdown", "sharpe_ratio", "profit_factor")
 PLACES = 4096
-#: Trades, of all strategies, up to which they go to the places of the paths; beyond, both are dealt by place.
-BROADCAST_TRADES = 1_000_000
+#: Trades of a strategy up to which its pnl is one row; beyond, places and trades are joined.
+MOST_TRADES = 1_000_000
+#: Draws of a test that are held at a time.
+DRAWS = 1 << 18
 PATH = [*KEY, "test", "iteration"]
+#: Multipliers of the 32-bit mixer.
+FIRST, SECOND = 0x21F0AAAD, 0x735A2D97
+#: What each test draws.
+NAMES = {"a": ("a",), "b": ("b",), "c": ("c", "c-len"), "mb": ("mb",)}
 
 
-def draw(seed: str, test: str, *counters: Column) -> Column:
-    """A whole number of 48 bits."""
-    text = F.concat_ws(":", F.lit(seed), F.lit(test), *(c.cast("string") for c in counters))
-    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+# ---- draws: whole numbers of 48 bits
 
 
-def _grid(trades: DataFrame, iterations: int) -> DataFrame:
-    """(strategy_id, n, iteration, k): k from 0 to n - 1 for each iteration."""
-    n = trades.groupBy(*KEY).agg(F.count("*").alias("n"))
-    cells = n.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    # few bytes that become many rows: dealt by path in a set number of partitions, which are not coalesced
-    cells = cells.repartition(int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY, "iteration")
-    # places come in two steps, so that no row holds an array as long as a history
-    cells = cells.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PLACES))))
-    return cells.withColumn("k", F.explode(F.sequence(F.col("block") * PLACES, F.least(F.col("n"), (F.col("block") + 1) * PLACES) - 1))).drop("block")
+def seeds(seed: str, name: str, strategy: str) -> tuple[int, int]:
+    """Two 32-bit numbers for what is drawn for a strategy."""
+    digest = hashlib.md5(f"{seed}:{name}:{strategy}".encode()).hexdigest()
+    return int(digest[:8], 16), int(digest[8:16], 16)
 
 
-def _paths(trades: DataFrame, positions: DataFrame, test: str, join: str = "shuffle_hash") -> DataFrame:
-    """(strategy_id, test, iteration, k, pnl) from (strategy_id, iteration, k, pos).
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(FIRST)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(SECOND)
+    return x ^ (x >> np.uint32(15))
 
-    join: the hint for the trades. Left to itself, Spark takes the places, which come of few bytes, for the
-    smaller side, and broadcasts them.
-    """
-    pnl = trades.select(*KEY, (F.col("seq") - 1).cast("long").alias("pos"), F.col("capped_pnl").alias("pnl"))
-    return positions.join(pnl.hint(join), [*KEY, "pos"]).select(*KEY, F.lit(test).alias("test"), "iteration", "k", "pnl")
 
+def draws(pair: tuple[int, int], iterations: np.ndarray, counters: np.ndarray) -> np.ndarray:
+    """A row for each iteration, a column for each counter."""
+    high, low = (mixed(mixed(np.uint32(k) ^ iterations.astype(np.uint32))[:, None] ^ counters.astype(np.uint32)[None, :]) for k in pair)
+    return (high.astype(np.int64) << 16) | (low >> np.uint32(16)).astype(np.int64)
 
-def bootstrap(trades: DataFrame, config: EvalConfig, join: str = "shuffle_hash") -> DataFrame:
-    """Test A: as many trades, drawn with replacement."""
-    sid = F.col("strategy_id")
-    positions = _grid(trades, config.mc_iterations).withColumn("pos", draw(config.seed, "a", sid, F.col("iteration"), F.col("k")) % F.col("n"))
-    return _paths(trades, positions, "a", join)
 
+def _mixed_column(x: Column) -> Column:
+    def step(v: Column, shift: int, by: int) -> Column:
+        return F.get(F.transform(F.array(v), lambda y: (y.bitwiseXOR(F.shiftright(y, shift)) * F.lit(by)).bitwiseAND(F.lit(0xFFFFFFFF))), 0)
 
-def permutation(trades: DataFrame, config: EvalConfig, join: str = "shuffle_hash") -> DataFrame:
-    """Test B: the trades in another order."""
-    order = Window.partitionBy(*KEY, "iteration").orderBy("u", "k")
-    cells = _grid(trades, config.mc_iterations).withColumn("u", draw(config.seed, "b", F.col("strategy_id"), F.col("iteration"), F.col("k")))
-    positions = cells.select(*KEY, "iteration", F.col("k").alias("pos"), (F.row_number().over(order) - 1).cast("long").alias("k"))
-    return _paths(trades, positions, "b", join)
+    return F.get(F.transform(F.array(step(step(x, 16, FIRST), 15, SECOND)), lambda y: y.bitwiseXOR(F.shiftright(y, 15))), 0)
 
 
-def stationary(trades: DataFrame, config: EvalConfig, join: str = "shuffle_hash") -> DataFrame:
-    """Test C: blocks of random length, sqrt(n) on average, from random starts, wrapping at the end."""
-    sid, i, k = F.col("strategy_id"), F.col("iteration"), F.col("k")
-    cells = _grid(trades, config.mc_iterations)
-    new = (k == 0) | (draw(config.seed, "c-len", sid, i, k) / float(1 << 48) < 1 / F.sqrt(F.col("n").cast("double")))
-    cells = cells.withColumns({"begin": F.when(new, draw(config.seed, "c", sid, i, k) % F.col("n")), "since": F.when(new, k)})
-    upto = Window.partitionBy(*KEY, "iteration").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    pos = (F.last("begin", True).over(upto) + k - F.last("since", True).over(upto)) % F.col("n")
-    return _paths(trades, cells.withColumn("pos", pos), "c", join)
+def _begun(seed: str, name: str) -> Column:
+    """What a strategy's and iteration's draws share: two numbers, as an array."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit(name), F.col("strategy_id").cast("string")))
+    half = lambda at: _mixed_column(F.conv(F.substring(digest, at, 8), 16, 10).cast("long").bitwiseXOR(F.col("iteration").cast("long")))
+    return F.array(half(1), half(9))
 
 
-def block_length(n: Column, config: EvalConfig) -> Column:
-    """The fixed length of blocks: as set, or sqrt(n) rounded half to even; 1 to n."""
-    wanted = F.lit(config.block_length).cast("long") if config.block_length is not None else F.bround(F.sqrt(n.cast("double")), 0).cast("long")
-    return F.greatest(F.lit(1).cast("long"), F.least(wanted, n))
+def draw(begun: Column, counter: Column) -> Column:
+    high, low = (_mixed_column(begun[i].bitwiseXOR(counter.cast("long"))) for i in (0, 1))
+    return F.shiftleft(high, 16).bitwiseOR(F.shiftright(low, 16))
 
 
-def moving_block(trades: DataFrame, config: EvalConfig, join: str = "shuffle_hash") -> DataFrame:
-    """Blocks of fixed length from random starts, wrapping at the end, cut to the history's length."""
-    length = block_length(F.col("n"), config)
-    cells = _grid(trades, config.mc_iterations).withColumn("length", length)
-    begin = draw(config.seed, "mb", F.col("strategy_id"), F.col("iteration"), F.floor(F.col("k") / F.col("length"))) % F.col("n")
-    return _paths(trades, cells.withColumn("pos", (begin + F.col("k") % F.col("length")) % F.col("n")), "mb", join)
+# ---- paths in numpy
 
 
-TESTS = {"a": bootstrap, "b": permutation, "c": stationary, "mb": moving_block}
+def block_of(n: int, config: EvalConfig) -> int:
+    """The fixed length of blocks: as set, or sqrt(n) rounded half to even; 1 to n."""
+    wanted = config.block_length if config.block_length is not None else int(np.rint(np.sqrt(n)))
+    return max(1, min(wanted, n))
+
+
+def positions(test: str, n: int, strategy: str, iterations: np.ndarray, config: EvalConfig) -> np.ndarray:
+    """Which trade comes at each place of a path, a row for each iteration."""
+    k = np.arange(n)
+    own = lambda name, counters=k: draws(seeds(config.seed, name, strategy), iterations, counters)
+    if test == "a":  # as many trades, drawn with replacement
+        return own("a") % n
+    if test == "b":  # the trades in another order
+        return np.argsort(own("b"), axis=1, kind="stable")
+    if test == "c":  # blocks of random length, sqrt(n) on average, from random starts, wrapping at the end
+        fresh = own("c-len") / float(1 << 48) < 1 / np.sqrt(n)
+        fresh[:, 0] = True
+        since = np.maximum.accumulate(np.where(fresh, k, 0), axis=1)
+        return (np.take_along_axis(own("c") % n, since, axis=1) + k - since) % n
+    length = block_of(n, config)  # blocks of fixed length from random starts, wrapping at the end
+    return (np.repeat(own("mb", np.arange(-(-n // length))) % n, length, axis=1)[:, :n] + k % length) % n
+
+
+SUMS = "net double, max_drawdown double, mu double, sd double, won double, lost double"
+
+
+def path_sums(pnl: np.ndarray, start: float) -> list[np.ndarray]:
+    """The columns of `SUMS` for paths of pnl, a row each."""
+    balance = start + np.cumsum(pnl, axis=1)
+    peak = np.maximum(start, np.maximum.accumulate(balance, axis=1))
+    fall = (balance - peak) / np.where(peak > 0, peak, 1.0)
+    before = balance - pnl
+    returns = pnl / np.where(np.abs(before) > EPS, before, 1.0)
+    spread = returns.std(axis=1, ddof=1) if pnl.shape[1] > 1 else np.zeros(len(pnl))
+    return [pnl.sum(axis=1), np.minimum(0.0, fall.min(axis=1)), returns.mean(axis=1), spread, np.where(pnl > 0, pnl, 0.0).sum(axis=1), np.where(pnl < 0, -pnl, 0.0).sum(axis=1)]
+
+
+def sums_in_tasks(trades: DataFrame, config: EvalConfig, tests: tuple[str, ...]) -> DataFrame:
+    """(strategy_id, test, iteration, n, SUMS) of each path, for strategies of up to `MOST_TRADES` trades."""
+    kind = trades.schema["strategy_id"].dataType.simpleString()
+    rows = trades.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("seq", "capped_pnl"))).alias("t"))
+    rows = rows.select(*KEY, F.col("strategy_id").cast("string").alias("name"), F.transform("t", lambda x: x["capped_pnl"]).alias("pnl"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(DRAWS) / F.size("pnl"))).cast("int")
+    rows = rows.select("*", step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(config.mc_iterations - 1), step)).alias("first"))
+    rows = rows.repartition(int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY, "first")
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                pnl, strategy = b.column("pnl")[i].values.to_numpy(zero_copy_only=False), b.column("name")[i].as_py()
+                first = b.column("first")[i].as_py()
+                iterations = np.arange(first, min(first + b.column("step")[i].as_py(), config.mc_iterations))
+                for test in tests:
+                    found = path_sums(pnl[positions(test, len(pnl), strategy or "", iterations, config)], config.start_balance)
+                    same = lambda x, t: pa.array([x] * len(iterations), t)
+                    columns = [same(b.column("strategy_id")[i].as_py(), b.column("strategy_id").type), same(test, pa.string()), pa.array(iterations, pa.int32()), same(len(pnl), pa.int64()), *map(pa.array, found)]
+                    yield pa.RecordBatch.from_arrays(columns, [*KEY, "test", "iteration", "n", *(c.split()[0] for c in SUMS.split(", "))])
+
+    return rows.mapInArrow(resample, f"strategy_id {kind}, test string, iteration int, n long, {SUMS}")
+
+
+# ---- paths as joins
+
+
+def _grid(trades: DataFrame, config: EvalConfig, test: str) -> DataFrame:
+    """(strategy_id, n, iteration, k) and what the test's draws begin with: k from 0 to n - 1 for each iteration."""
+    n = trades.groupBy(*KEY).agg(F.count("*").alias("n"))
+    cells = n.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(config.mc_iterations - 1))))
+    # few bytes that become many rows: dealt by path in a set number of partitions, which are not coalesced
+    cells = cells.repartition(int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY, "iteration")
+    cells = cells.withColumns({f"begun_{name}": _begun(config.seed, name) for name in NAMES[test]})
+    # places come in two steps, so that no row holds an array as long as a history
+    cells = cells.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PLACES))))
+    return cells.withColumn("k", F.explode(F.sequence(F.col("block") * PLACES, F.least(F.col("n"), (F.col("block") + 1) * PLACES) - 1))).drop("block")
 
 
-def path_metrics(paths: DataFrame, per_year: DataFrame, config: EvalConfig) -> DataFrame:
-    """(strategy_id, test, iteration, total_return, max_drawdown, sharpe_ratio, profit_factor) of each path.
+def joined_paths(trades: DataFrame, config: EvalConfig, test: str) -> DataFrame:
+    """(strategy_id, test, iteration, k, pnl): the paths of `positions`, place by place."""
+    k, n = F.col("k"), F.col("n")
+    cells = _grid(trades, config, test)
+    path = Window.partitionBy(*KEY, "iteration")
+    if test == "a":
+        cells = cells.withColumn("pos", draw(F.col("begun_a"), k) % n)
+    elif test == "b":
+        cells = cells.withColumn("u", draw(F.col("begun_b"), k)).select(*KEY, "iteration", k.alias("pos"), (F.row_number().over(path.orderBy("u", "k")) - 1).cast("long").alias("k"))
+    elif test == "c":
+        new = (k == 0) | (draw(F.col("begun_c-len"), k) / float(1 << 48) < 1 / F.sqrt(n.cast("double")))
+        cells = cells.withColumns({"begin": F.when(new, draw(F.col("begun_c"), k) % n), "since": F.when(new, k)})
+        upto = path.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+        cells = cells.withColumn("pos", (F.last("begin", True).over(upto) + k - F.last("since", True).over(upto)) % n)
+    else:
+        wanted = F.lit(config.block_length).cast("long") if config.block_length is not None else F.bround(F.sqrt(n.cast("double")), 0).cast("long")
+        cells = cells.withColumn("length", F.greatest(F.lit(1).cast("long"), F.least(wanted, n)))
+        cells = cells.withColumn("pos", (draw(F.col("begun_mb"), F.floor(k / F.col("length"))) % n + k % F.col("length")) % n)
+    pnl = trades.select(*KEY, (F.col("seq") - 1).cast("long").alias("pos"), F.col("capped_pnl").alias("pnl"))
+    # left to itself, Spark takes the places, which come of few bytes, for the smaller side, and broadcasts them
+    return cells.join(pnl.hint("shuffle_hash"), [*KEY, "pos"]).select(*KEY, F.lit(test).alias("test"), "iteration", "k", "pnl")
 
-    per_year: (strategy_id, trades_per_year).
-    """
+
+def sums_by_joins(trades: DataFrame, config: EvalConfig, tests: tuple[str, ...]) -> DataFrame:
+    """The rows of `sums_in_tasks`, for strategies of any size."""
+    paths = joined_paths(trades, config, tests[0])
+    for t in tests[1:]:
+        paths = paths.unionByName(joined_paths(trades, config, t))
     start = config.start_balance
     upto = Window.partitionBy(*PATH).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     p = F.col("pnl")
@@ -103,7 +187,7 @@ def path_metrics(paths: DataFrame, per_year: DataFrame, config: EvalConfig) -> D
     rows = rows.withColumn("peak", F.greatest(F.lit(start), F.max("balance").over(upto)))
     before = F.col("balance") - p
     rows = rows.withColumns({"dd": (F.col("balance") - F.col("peak")) / F.when(F.col("peak") > 0, F.col("peak")).otherwise(1.0), "R": p / F.when(F.abs(before) > EPS, before).otherwise(1.0)})
-    a = rows.groupBy(*PATH).agg(
+    return rows.groupBy(*PATH).agg(
         F.count("*").alias("n"),
         F.sum(p).alias("net"),
         F.least(F.lit(0.0), F.min("dd")).alias("max_drawdown"),
@@ -112,13 +196,23 @@ def path_metrics(paths: DataFrame, per_year: DataFrame, config: EvalConfig) -> D
         F.coalesce(F.sum(F.when(p > 0, p)), F.lit(0.0)).alias("won"),
         F.coalesce(F.sum(F.when(p < 0, -p)), F.lit(0.0)).alias("lost"),
     )
+
+
+TESTS = tuple(NAMES)
+
+
+def path_metrics(sums: DataFrame, per_year: DataFrame, config: EvalConfig) -> DataFrame:
+    """(strategy_id, test, iteration, total_return, max_drawdown, sharpe_ratio, profit_factor) of each path.
+
+    per_year: (strategy_id, trades_per_year).
+    """
     n, y = F.col("n").cast("double"), F.col("trades_per_year")
     yearly = (n >= 10) & (y > EPS)
     free = F.when(yearly, F.pow(F.lit(1 + config.rf_annual), 1.0 / y) - 1).otherwise(0.0)
     sharpe = F.when(F.col("sd") > EPS, (F.col("mu") - free) * F.when(yearly, F.sqrt(y)).otherwise(1.0) / F.col("sd")).otherwise(0.0)
-    return a.join(per_year.select(*KEY, "trades_per_year"), KEY).select(
+    return sums.join(per_year.select(*KEY, "trades_per_year"), KEY).select(
         *PATH,
-        (F.col("net") / max(EPS, start)).alias("total_return"),
+        (F.col("net") / max(EPS, config.start_balance)).alias("total_return"),
         "max_drawdown",
         (sharpe * F.when(n < 30, F.sqrt(n / 30)).otherwise(1.0)).alias("sharpe_ratio"),
         F.least(F.lit(MOST_PROFIT_FACTOR), F.col("won") / F.greatest(F.lit(EPS), F.col("lost"))).alias("profit_factor"),
@@ -137,33 +231,45 @@ def summaries(metrics: DataFrame, drawdowns: DataFrame | None = None) -> DataFra
     drawdowns: (strategy_id, max_drawdown) of the histories, for the share of paths of test B that fall more
     than twice as far (null for the other tests).
     """
-    points = F.array(*map(F.lit, PERCENTILES))
     if drawdowns is not None:
         metrics = metrics.join(drawdowns.select(*KEY, F.col("max_drawdown").alias("actual")), KEY)
     else:
         metrics = metrics.withColumn("actual", F.lit(None).cast("double"))
     twice = F.avg(F.when(F.col("test") == "b", (F.col("max_drawdown") < 2 * F.col("actual")).cast("double")))
-    return metrics.groupBy(*KEY, "test").agg(
+    found = metrics.groupBy(*KEY, "test").agg(
         F.count("*").alias("iterations"),
-        *(F.percentile(m, points).alias(m) for m in MEASURES),
+        F.collect_list(F.struct(*MEASURES)).alias("paths"),  # mc_iterations at most
         F.avg((F.col("total_return") > 0).cast("double")).alias("robustness_rate"),
         F.avg((F.col("sharpe_ratio") > 1).cast("double")).alias("sharpe_stability"),
         F.avg("sharpe_ratio").alias("mean_sharpe"),
         twice.alias("mdd_2x_probability"),
     )
+    found = found.withColumns({m: F.sort_array(F.transform("paths", lambda x: x[m])) for m in MEASURES})
+    return found.select(*KEY, "test", "iterations", *(_percentiles(m).alias(m) for m in MEASURES), "robustness_rate", "sharpe_stability", "mean_sharpe", "mdd_2x_probability")
+
 
+def _percentiles(name: str) -> Column:
+    """`PERCENTILES` of a sorted array, linear between its elements."""
 
-def run_tests(trades: DataFrame, config: EvalConfig, per_year: DataFrame | None = None, drawdowns: DataFrame | None = None, tests: tuple[str, ...] = tuple(TESTS)) -> DataFrame:
+    def at(p: float) -> Column:
+        place = F.lit(p) * (F.size(name) - 1)
+        low, high = F.get(F.col(name), F.floor(place).cast("int")), F.get(F.col(name), F.ceil(place).cast("int"))
+        return low + (high - low) * (place - F.floor(place))
+
+    return F.array(*map(at, PERCENTILES))
+
+
+def run_tests(trades: DataFrame, config: EvalConfig, per_year: DataFrame | None = None, drawdowns: DataFrame | None = None, tests: tuple[str, ...] = TESTS) -> DataFrame:
     """Summaries of the tests of all strategies; no row where mc_iterations is 0."""
     per_year = inferred_rate(trades) if per_year is None else per_year
     if config.mc_iterations == 0:
-        return summaries(path_metrics(_paths(trades, trades.limit(0).select(*KEY, F.lit(0).alias("iteration"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("pos")), "a"), per_year, config), drawdowns)
-    join = "broadcast" if trades.count() <= BROADCAST_TRADES else "shuffle_hash"
-    paths = None
-    for t in tests:
-        made = TESTS[t](trades, config, join)
-        paths = made if paths is None else paths.unionByName(made)
-    return summaries(path_metrics(paths, per_year, config), drawdowns)
+        return summaries(path_metrics(sums_in_tasks(trades.limit(0), EvalConfig(seed=config.seed), tests), per_year, config), drawdowns)
+    large = trades.groupBy(*KEY).agg(F.count("*").alias("n")).filter(F.col("n") > MOST_TRADES).select(*KEY)
+    if large.isEmpty():
+        sums = sums_in_tasks(trades, config, tests)
+    else:
+        sums = sums_in_tasks(trades.join(large, KEY, "left_anti"), config, tests).unionByName(sums_by_joins(trades.join(large, KEY, "left_semi"), config, tests))
+    return summaries(path_metrics(sums, per_year, config), drawdowns)
 
 
 def correlation(summary: DataFrame) -> DataFrame:

@@ -15,6 +15,14 @@ SHARE_ANCHORS = [(0.0, 0.0), (0.5, 4.0), (0.8, 7.0), (0.95, 10.0)]
 STREAK_ANCHORS = [(3.0, 10.0), (6.0, 6.0), (10.0, 2.0), (15.0, 0.0)]
 COUNT_ANCHORS = [(10.0, 2.0), (30.0, 5.0), (100.0, 8.0), (500.0, 10.0)]
 OUTLIER_ANCHORS = [(0.01, 10.0), (0.05, 6.0), (0.15, 2.0), (0.25, 0.0)]
+# Wording of the reasons.
+KNOCKOUTS = {
+    "trades": "Insufficient sample size: N=%d < 30 trades required for any statistical confidence.",
+    "profit_factor": "Profit Factor %.3f < 1.0 — strategy is unprofitable before costs; no further scoring warranted.",
+    "drawdown": "Maximum Drawdown magnitude %.1f%% exceeds 35%% — catastrophic capital loss inadmissible per risk mandate.",
+    "dsr": "Corrected DSR %.3f < 0.05 — automatic evaluation FAIL (insufficient deflated significance).",
+    "mtm": "Continuous MTM max drawdown %.1f%% exceeds 25%% — fail due to floating equity risk.",
+}
 
 
 def knockout_reason() -> Column:
@@ -23,11 +31,11 @@ def knockout_reason() -> Column:
     dsr, mtm = F.col("deflated_sharpe_ratio"), F.abs("mtm_max_drawdown")
     reasons = F.concat_ws(
         " | ",
-        F.when(n < 30, F.format_string("Only %d trades: at least 30 are needed", n)),
-        F.when(pf < 1.0, F.format_string("Profit factor %.2f is below 1", pf)),
-        F.when(mdd > 0.35, F.format_string("Max drawdown %.1f%% exceeds 35%%", mdd * 100)),
-        F.when(dsr < 0.05, F.format_string("Deflated Sharpe ratio %.3f is below 0.05", dsr)),
-        F.when(mtm > 0.25, F.format_string("Mark-to-market drawdown %.1f%% exceeds 25%%", mtm * 100)),
+        F.when(n < 30, F.format_string(KNOCKOUTS["trades"], n)),
+        F.when(pf < 1.0, F.format_string(KNOCKOUTS["profit_factor"], pf)),
+        F.when(mdd > 0.35, F.format_string(KNOCKOUTS["drawdown"], mdd * 100)),
+        F.when(dsr < 0.05, F.format_string(KNOCKOUTS["dsr"], dsr)),
+        F.when(mtm > 0.25, F.format_string(KNOCKOUTS["mtm"], mtm * 100)),
     )
     return F.when(reasons != "", reasons)
 
@@ -102,6 +110,7 @@ def overfitting(metrics: DataFrame) -> DataFrame:
     dsr, psr, gap = F.col("deflated_sharpe_ratio"), F.col("probabilistic_sharpe_ratio"), F.col("block_vs_iid_gap")
     weak, depends = F.coalesce(dsr < 0.95, F.lit(False)), F.coalesce(gap > 0.10, F.lit(False))
     flag = weak | F.col("regime_unstable") | depends
+    # Wording of the summary.
     summary = F.concat_ws(
         "; ",
         F.when(dsr.isNotNull(), F.format_string("DSR=%.3f (N_trials=%d)", dsr, F.col("dsr_n_trials"))),

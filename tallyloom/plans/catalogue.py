@@ -1,9 +1,7 @@
 """The registered queries over the driver's tables, one for each operator; their SQL is in `ledger_sql`.
 
-Doubles are rounded in both, as sums depend on the order of rows in their last digits.
-
-The SQL of the resampling and score queries makes 20 paths, so the queries of those names make 20 as well.
-`WHOLE` has each of them again, named `<query>_whole`, with the default number of paths and no SQL.
+Doubles are rounded in both, as sums depend on the order of rows in their last digits. The resampling, score and
+card queries make the default number of paths, 1000 a strategy and test.
 """
 
 from __future__ import annotations
@@ -18,17 +16,16 @@ from ..operators import cards, cleaning, metrics, presentation, regime, resample
 from ..sources import adapters, reports
 from . import evaluate, ledger_sql
 from .config import EvalConfig
+from .lineage import settle, shared_folder
 
-CONFIG = EvalConfig(seed="7", mc_iterations=20)
-SUPPLIERS = EvalConfig(seed="7", mc_iterations=20, start_balance=1_000_000.0)
-FULL = EvalConfig(seed="7")
+CONFIG = EvalConfig(seed="7")
+SUPPLIERS = EvalConfig(seed="7", start_balance=1_000_000.0)
 KEY = "strategy_id"
 STRONG, BASE = ("error",), ("error", "view")
 FLAGSHIP = "strategy_overview"
 DIGITS = 9
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = dict(ledger_sql.SQL)
 
 
@@ -50,13 +47,6 @@ def query(f: Callable) -> Callable:
     return f
 
 
-def resampling_query(f: Callable) -> Callable:
-    """Registers f(spark, sf_dir, config) with the paths of the SQL, and as `_whole` with the default number."""
-    QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir, CONFIG))
-    WHOLE[f"{f.__name__}_whole"] = lambda spark, sf_dir: rounded(f(spark, sf_dir, FULL))
-    return f
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -199,6 +189,27 @@ def clean_required_rejects(spark, sf_dir):
     return found.select(KEY, "row_idx", "rejection_reason")
 
 
+@query
+def clean_extras(spark, sf_dir):
+    """Rows that differ only in a column of their own stay apart, and rejects keep that column."""
+    rows = ledger(spark, sf_dir).withColumn("note", F.col("row_idx").cast("string"))
+    rows = rows.withColumns({"extras": F.concat(F.lit('{"note": "'), "note", F.lit('"}')), "quantity": F.when(F.col("row_idx") % 7 != 0, F.col("quantity"))}).drop("note")
+    same = {"deal_id": F.lit("d"), "timestamp": F.lit("2025-01-01").cast("timestamp"), "symbol": F.lit("X"), "side": F.lit("buy"), "exit_price": F.lit(1001.0), "pnl": F.lit(1.0)}
+    got = cleaning.clean(rows.withColumns(same), CONFIG)
+    kept = got.trades.groupBy(KEY).agg(F.count("*").alias("kept"))
+    gone = got.rejects.groupBy(KEY).agg(F.count("*").alias("rejected"), F.max("extras").alias("last_note"))
+    zero = F.lit(0).cast("long")
+    return kept.join(gone, KEY, "full").select(KEY, F.coalesce("kept", zero).alias("kept"), F.coalesce("rejected", zero).alias("rejected"), F.coalesce("last_note", F.lit("")).alias("last_note"))
+
+
+@query
+def clean_rejects_csv(spark, sf_dir):
+    """Rejects written as CSV and read again."""
+    path = shared_folder(spark, "rejects")
+    cleaning.write_rejects(cleaning.clean(spoilt(spark, sf_dir), CONFIG).rejects, path)
+    return spark.read.option("header", True).option("escape", '"').csv(path).select(F.col(KEY).cast("long"), F.col("row_idx").cast("long"), "rejection_reason")
+
+
 @query
 def clean_dedup(spark, sf_dir):
     return cleaning.deduplicated(kept(spark, sf_dir)).select(KEY, "row_idx", "copies")
@@ -329,7 +340,7 @@ def _risk(spark, sf_dir, losing=STRONG):
 
 @query
 def metrics_risk_adj(spark, sf_dir):
-    return _risk(spark, sf_dir).select(KEY, "trades_per_year", "rf_per_trade", "sharpe_per_trade", "sharpe_ratio", "sortino_ratio", "calmar_ratio", "omega_ratio", "romad")
+    return _risk(spark, sf_dir).select(KEY, "trades_per_year", "rf_per_trade", "sharpe_per_trade", "sharpe_ratio", "sortino_ratio", "calmar_ratio", "omega_ratio", "romad", "annualised", "sharpe_small_sample_corrected", "psr_reference_sharpe")
 
 
 @query
@@ -408,96 +419,108 @@ def shown_metrics(spark, sf_dir):
 # ---- resampling
 
 
-def _mc(spark, sf_dir, config, test: str):
+def _mc(spark, sf_dir, test: str, config: EvalConfig = CONFIG):
     rows = evaluate.shared(trades(spark, sf_dir))
     fallen = metrics.drawdown(series.with_equity(rows, config), config)
     out = resample.run_tests(rows, config, drawdowns=fallen, tests=(test,)).drop("test")
     points = [(m, i, round(p * 100)) for m in resample.MEASURES for i, p in enumerate(resample.PERCENTILES)]
-    return out.select("*", *(F.col(m)[i].alias(f"{m}_p{p}") for m, i, p in points)).drop(*resample.MEASURES)
+    return out.select("*", *(F.round(F.col(m)[i], 9 if m == "total_return" else 8).alias(f"{m}_p{p}") for m, i, p in points)).drop(*resample.MEASURES)
 
 
-@resampling_query
-def mc_bootstrap(spark, sf_dir, config):
-    return _mc(spark, sf_dir, config, "a")
+@query
+def mc_bootstrap(spark, sf_dir):
+    return _mc(spark, sf_dir, "a")
 
 
-@resampling_query
-def mc_permutation(spark, sf_dir, config):
-    return _mc(spark, sf_dir, config, "b")
+@query
+def mc_permutation(spark, sf_dir):
+    return _mc(spark, sf_dir, "b")
 
 
-@resampling_query
-def mc_stationary(spark, sf_dir, config):
-    return _mc(spark, sf_dir, config, "c")
+@query
+def mc_stationary(spark, sf_dir):
+    return _mc(spark, sf_dir, "c")
 
 
-@resampling_query
-def mc_moving_block(spark, sf_dir, config):
-    return _mc(spark, sf_dir, config, "mb")
+@query
+def mc_moving_block(spark, sf_dir):
+    return _mc(spark, sf_dir, "mb")
 
 
-@resampling_query
-def mc_correlation_flag(spark, sf_dir, config):
+@query
+def mc_correlation_flag(spark, sf_dir):
     rows = evaluate.shared(trades(spark, sf_dir))
-    return resample.correlation(resample.run_tests(rows, config, tests=("a", "c", "mb")))
+    return resample.correlation(resample.run_tests(rows, CONFIG, tests=("a", "c", "mb")))
 
 
 # ---- score
 
 
-def _scalars(spark, sf_dir, config, losing=STRONG):
-    return evaluate.evaluate(ledger(spark, sf_dir, losing), config).metrics
+def _scalars(spark, sf_dir, losing=STRONG):
+    return evaluate.evaluate(ledger(spark, sf_dir, losing), CONFIG).metrics
 
 
-@resampling_query
-def score_knockouts(spark, sf_dir, config):
-    return scoring.score(_scalars(spark, sf_dir, config, BASE)).select(KEY, "status", F.col("knockout_reason").alias("reason"), "final_score", "label")
+@query
+def score_knockouts(spark, sf_dir):
+    return scoring.score(_scalars(spark, sf_dir, BASE)).select(KEY, "status", F.col("knockout_reason").alias("reason"), "final_score", "label")
 
 
-@resampling_query
-def score_categories(spark, sf_dir, config):
-    return scoring.with_categories(_scalars(spark, sf_dir, config)).select(KEY, *(f"cat_{c}" for c in scoring.WEIGHTS))
+@query
+def score_categories(spark, sf_dir):
+    return scoring.with_categories(_scalars(spark, sf_dir)).select(KEY, *(f"cat_{c}" for c in scoring.WEIGHTS))
 
 
-@resampling_query
-def score_penalties(spark, sf_dir, config):
-    return scoring.with_penalties(_scalars(spark, sf_dir, config, BASE)).select(KEY, *(f"pen_{c}" for c in scoring.penalties()), "penalty_product")
+@query
+def score_penalties(spark, sf_dir):
+    return scoring.with_penalties(_scalars(spark, sf_dir, BASE)).select(KEY, *(f"pen_{c}" for c in scoring.penalties()), "penalty_product")
 
 
-@resampling_query
-def score_final(spark, sf_dir, config):
-    return scoring.score(_scalars(spark, sf_dir, config)).select(KEY, "status", "raw_score", "final_score", "label")
+@query
+def score_final(spark, sf_dir):
+    return scoring.score(_scalars(spark, sf_dir)).select(KEY, "status", "raw_score", "final_score", "label")
 
 
-@resampling_query
-def overfit_estimate(spark, sf_dir, config):
-    return scoring.overfitting(_scalars(spark, sf_dir, config)).drop("summary")
+@query
+def overfit_estimate(spark, sf_dir):
+    return scoring.overfitting(_scalars(spark, sf_dir))
 
 
 # ---- cards and presentation
 
 
-def _cards(spark, sf_dir, config):
+def _cards(spark, sf_dir):
     created = F.timestamp_seconds(F.lit(1_735_689_600) + F.col("strategy_id") * 60)
-    return cards.cards(scoring.score(_scalars(spark, sf_dir, config)), F.concat(F.lit(" User #"), F.col("strategy_id").cast("string")), created, config.seed)
+    return cards.cards(scoring.score(_scalars(spark, sf_dir)), F.concat(F.lit(" User #"), F.col("strategy_id").cast("string")), created, CONFIG.seed)
 
 
-@resampling_query
-def card_json_roundtrip(spark, sf_dir, config):
-    found = _cards(spark, sf_dir, config)
+@query
+def card_json_roundtrip(spark, sf_dir):
+    found = _cards(spark, sf_dir)
     return cards.from_json(cards.as_json(found), found.schema).select("id", "strategy_id", "strategy_name", "seed", F.col("basic.total_trades").alias("total_trades"), F.col("basic.profit_factor").alias("profit_factor"), F.col("scoring.status").alias("status"))
 
 
-@resampling_query
-def card_list(spark, sf_dir, config):
+@query
+def card_list(spark, sf_dir):
     return cards.listing(_cards(spark, sf_dir)).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
-@resampling_query
-def compare_cards(spark, sf_dir, config):
-    found = _cards(spark, sf_dir, config)
-    ids = [r[0] for r in found.filter("strategy_id IN ('0', '1', '2')").orderBy("strategy_id").select("id").collect()]
-    return cards.compare(found, ids).withColumns({c: F.round(c, 6) for c in ("baseline", "value", "delta_pct")})
+@query
+def compare_cards(spark, sf_dir):
+    found = settle(_cards(spark, sf_dir))
+    first = found.filter("strategy_id = '0'").select("id").first()
+    return cards.compare(found, found.select("id"), first["id"] if first else None).withColumns({c: F.round(c, 8) for c in ("baseline", "value", "delta_pct")})
+
+
+@query
+def card_store(spark, sf_dir):
+    """Cards written twice and half of them removed again, as a folder of JSON rows holds them then."""
+    counts = metrics.basic(trades(spark, sf_dir))
+    found = counts.select(cards.card_id(F.concat(F.lit("User "), F.col("strategy_id").cast("string")), F.lit("2025-01-01").cast("timestamp"), F.concat_ws(":", F.lit(CONFIG.seed), F.col("strategy_id").cast("string"))).alias("id"), "strategy_id", "total_trades")
+    path = shared_folder(spark, "cards")
+    cards.save_cards(found.withColumn("total_trades", F.lit(0).cast("long")), path)
+    cards.save_cards(found, path)
+    cards.delete_cards(spark, path, found.filter("strategy_id % 2 = 0").select("id"), found.schema)
+    return cards.load_cards(spark, path, found.schema).select("id", "total_trades")
 
 
 @query

@@ -192,7 +192,7 @@ l AS (SELECT strategy_id, run, (epoch_us(max(timestamp)) - epoch_us(min(timestam
 SELECT strategy_id, coalesce(max(d), 0) AS max_drawdown_duration_days FROM (SELECT DISTINCT strategy_id FROM facts) LEFT JOIN l USING (strategy_id) GROUP BY 1""",
     "max_drawdown_duration_days",
 )
-add("metrics_risk_adj", f"WITH {ALL} SELECT strategy_id, trades_per_year, rf_per_trade, sharpe_per_trade, sharpe_ratio, sortino_ratio, calmar_ratio, omega_ratio, romad FROM risk", "trades_per_year rf_per_trade sharpe_per_trade sharpe_ratio sortino_ratio calmar_ratio omega_ratio romad")
+add("metrics_risk_adj", f"WITH {ALL} SELECT strategy_id, trades_per_year, rf_per_trade, sharpe_per_trade, sharpe_ratio, sortino_ratio, calmar_ratio, omega_ratio, romad, n >= 10 AS annualised, n < 30 AS sharpe_small_sample_corrected, {MAX_OF_2} AS psr_reference_sharpe FROM risk", "trades_per_year rf_per_trade sharpe_per_trade sharpe_ratio sortino_ratio calmar_ratio omega_ratio romad psr_reference_sharpe")
 add("metrics_tail", f"WITH {facts()}, {TAILS} SELECT * FROM tails", "p5 p95 tail_ratio var_95 cvar_95")
 STREAKS = """sa AS (SELECT *, seq - row_number() OVER (PARTITION BY strategy_id, sign(capped_pnl) ORDER BY seq) AS run FROM trades), sl AS (SELECT strategy_id, sign(capped_pnl) AS s, run, count(*) AS len FROM sa GROUP BY ALL),
 streaks AS (SELECT strategy_id, coalesce(max(len) FILTER (WHERE s > 0), 0) AS max_win_streak, coalesce(max(len) FILTER (WHERE s < 0), 0) AS max_loss_streak FROM sl GROUP BY 1)"""
@@ -244,14 +244,30 @@ add("shown_metrics", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN round(val
 
 # ---- resampling
 
-DRAW = "('0x' || substr(md5('7:TEST:' || strategy_id || ':' || iteration || ':' || k), 1, 12))::BIGINT"
-CELLS = "cells AS (SELECT strategy_id, n, i AS iteration, k FROM (SELECT strategy_id, count(*) AS n FROM trades GROUP BY 1), range(20) AS t(i), unnest(range(n)) AS u(k))"
+CELLS = "cells AS (SELECT strategy_id, n, i AS iteration, k FROM (SELECT strategy_id, count(*) AS n FROM trades GROUP BY 1), range(1000) AS t(i), unnest(range(n)) AS u(k))"
+
+
+def mixed(rows: str, x: str, name: str) -> str:
+    """The rows with `name`, the 32-bit mix of the number x."""
+    return f"""SELECT * EXCLUDE (_d), xor(_d, _d >> 15) AS {name} FROM (SELECT * EXCLUDE (_c), (_c * 1935289751::BIGINT) & 4294967295 AS _d FROM (SELECT * EXCLUDE (_b), xor(_b, _b >> 15) AS _c
+  FROM (SELECT *, (xor({x}, {x} >> 16) * 569420461::BIGINT) & 4294967295 AS _b FROM ({rows}))))"""
+
+
+def drawn(rows: str, test: str, name: str, counter: str = "k") -> str:
+    """The rows with `name`, a number of 48 bits from the hash of seed, test, strategy, iteration and counter."""
+    seeds = f"(SELECT strategy_id, ('0x' || substr(h, 1, 8))::BIGINT AS _0, ('0x' || substr(h, 9, 8))::BIGINT AS _1 FROM (SELECT DISTINCT strategy_id, md5('7:{test}:' || strategy_id) AS h FROM trades))"
+    out = f"SELECT r.*, xor(_0, iteration) AS _x, xor(_1, iteration) AS _y FROM ({rows}) r JOIN {seeds} USING (strategy_id)"
+    out = mixed(mixed(out, "_x", "_p"), "_y", "_q")
+    out = mixed(mixed(out, f"xor(_p, {counter})", "_u"), f"xor(_q, {counter})", "_v")
+    return f"SELECT * EXCLUDE (_x, _y, _p, _q, _u, _v), (_u << 16) | (_v >> 16) AS {name} FROM ({out})"
+
+
 POSITIONS = {
-    "a": f"SELECT strategy_id, iteration, k, {DRAW.replace('TEST', 'a')} % n AS pos FROM cells",
-    "b": f"SELECT strategy_id, iteration, row_number() OVER (PARTITION BY strategy_id, iteration ORDER BY {DRAW.replace('TEST', 'b')}, k) - 1 AS k, k AS pos FROM cells",
-    "c": f"""SELECT strategy_id, iteration, k, (last_value(begin IGNORE NULLS) OVER w + k - last_value(since IGNORE NULLS) OVER w) % n AS pos FROM (SELECT *, CASE WHEN fresh THEN {DRAW.replace('TEST', 'c')} % n END AS begin, CASE WHEN fresh THEN k END AS since
-      FROM (SELECT *, k = 0 OR {DRAW.replace('TEST', 'c-len')} / 281474976710656::DOUBLE < 1 / sqrt(n) AS fresh FROM cells)) WINDOW w AS (PARTITION BY strategy_id, iteration ORDER BY k ROWS UNBOUNDED PRECEDING)""",
-    "mb": f"SELECT strategy_id, iteration, kk AS k, ({DRAW.replace('TEST', 'mb')} % n + kk % len) % n AS pos FROM (SELECT strategy_id, n, iteration, k AS kk, len, k // len AS k FROM (SELECT *, greatest(1, least(round_even(sqrt(n), 0)::BIGINT, n)) AS len FROM cells))",
+    "a": f"SELECT strategy_id, iteration, k, d % n AS pos FROM ({drawn('SELECT * FROM cells', 'a', 'd')})",
+    "b": f"SELECT strategy_id, iteration, row_number() OVER (PARTITION BY strategy_id, iteration ORDER BY d, k) - 1 AS k, k AS pos FROM ({drawn('SELECT * FROM cells', 'b', 'd')})",
+    "c": f"""SELECT strategy_id, iteration, k, (last_value(begin IGNORE NULLS) OVER w + k - last_value(since IGNORE NULLS) OVER w) % n AS pos FROM (SELECT *, CASE WHEN fresh THEN d % n END AS begin, CASE WHEN fresh THEN k END AS since
+      FROM (SELECT *, k = 0 OR l / 281474976710656::DOUBLE < 1 / sqrt(n) AS fresh FROM ({drawn(drawn('SELECT * FROM cells', 'c-len', 'l'), 'c', 'd')}))) WINDOW w AS (PARTITION BY strategy_id, iteration ORDER BY k ROWS UNBOUNDED PRECEDING)""",
+    "mb": f"SELECT strategy_id, iteration, k, (d % n + k % len) % n AS pos FROM ({drawn('SELECT *, k // len AS blk FROM (SELECT *, greatest(1, least(round_even(sqrt(n), 0)::BIGINT, n)) AS len FROM cells)', 'mb', 'd', 'blk')})",
 }
 
 
@@ -263,13 +279,13 @@ pp_{test} AS (SELECT *, greatest(10000.0::DOUBLE, max(balance) OVER (PARTITION B
 m0_{test} AS (SELECT strategy_id, iteration, count(*) AS n, sum(pnl) / 10000.0::DOUBLE AS total_return, least(0, min((balance - peak) / CASE WHEN peak > 0 THEN peak ELSE 1 END)) AS max_drawdown, avg(R) AS mu, coalesce(stddev_samp(R), 0) AS sd,
   least(50.0::DOUBLE, coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0) / greatest(1e-9::DOUBLE, coalesce(-sum(pnl) FILTER (WHERE pnl < 0), 0))) AS profit_factor FROM pp_{test} GROUP BY ALL),
 m_{test} AS (SELECT *, CASE WHEN sd > 1e-9 THEN (mu - CASE WHEN n >= 10 THEN pow(1.04::DOUBLE, 1 / y) - 1 ELSE 0 END) * CASE WHEN n >= 10 THEN sqrt(y) ELSE 1 END / sd ELSE 0 END * CASE WHEN n < 30 THEN sqrt(n / 30) ELSE 1 END AS sharpe_ratio FROM m0_{test} JOIN yr USING (strategy_id)),
-s_{test} AS (SELECT strategy_id, count(*) AS iterations, {', '.join(f"[round(q, 9) + 0.0::DOUBLE FOR q IN quantile_cont({m}, [0, 0.05, 0.25, 0.5, 0.75, 0.95, 1])] AS {m}" for m in ("total_return", "max_drawdown", "sharpe_ratio", "profit_factor"))},
+s_{test} AS (SELECT strategy_id, count(*) AS iterations, {', '.join(f"[q + 0.0::DOUBLE FOR q IN quantile_cont({m}, [0, 0.05, 0.25, 0.5, 0.75, 0.95, 1])] AS {m}" for m in ("total_return", "max_drawdown", "sharpe_ratio", "profit_factor"))},
   avg((total_return > 0)::INT) AS robustness_rate, avg((sharpe_ratio > 1)::INT) AS sharpe_stability, avg(sharpe_ratio) AS mean_sharpe FROM m_{test} GROUP BY 1)"""
 
 
 INFERRED = "yr AS (SELECT strategy_id, count(*) * 365.25::DOUBLE / greatest(1, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 86400e6::DOUBLE) AS y FROM trades GROUP BY 1)"
 WHOLE_DAYS = "yr AS (SELECT strategy_id, trades_per_year AS y FROM risk)"
-_POINTS = ", ".join(f"s.{m}[{i + 1}] AS {m}_p{p}" for m in ("total_return", "max_drawdown", "sharpe_ratio", "profit_factor") for i, p in enumerate((0, 5, 25, 50, 75, 95, 100)))
+_POINTS = ", ".join(f"round(s.{m}[{i + 1}], {9 if m == 'total_return' else 8}) AS {m}_p{p}" for m in ("total_return", "max_drawdown", "sharpe_ratio", "profit_factor") for i, p in enumerate((0, 5, 25, 50, 75, 95, 100)))
 for _name, _t in (("mc_bootstrap", "a"), ("mc_permutation", "b"), ("mc_stationary", "c"), ("mc_moving_block", "mb")):
     _twice = "(SELECT avg((m.max_drawdown < 2 * f.max_drawdown)::INT) FROM m_b m JOIN fallen f USING (strategy_id) WHERE m.strategy_id = s.strategy_id)" if _t == "b" else "NULL::DOUBLE"
     add(_name, f"WITH {facts()}, {FALLEN}, {INFERRED}, {CELLS}, {resampled(_t)} SELECT s.* EXCLUDE (total_return, max_drawdown, sharpe_ratio, profit_factor), {_POINTS}, {_twice} AS mdd_2x_probability FROM s_{_t} s", "robustness_rate sharpe_stability mean_sharpe mdd_2x_probability")
@@ -304,9 +320,11 @@ PENALTIES = """pens AS (SELECT *, CASE WHEN abs(max_drawdown) > 0.4 THEN greates
   CASE WHEN win_rate > 0.75 AND average_loss / greatest(1e-9::DOUBLE, average_win) > 2 THEN greatest(0.01::DOUBLE, least(1, exp(-1.5::DOUBLE * average_loss / greatest(1e-9::DOUBLE, average_win) - 2))) ELSE 1.0::DOUBLE END AS pen_martingale FROM cats),
 penned AS (SELECT *, pen_mdd_40pct * pen_cvar_10pct * pen_mc_rr * pen_n_50 * pen_martingale AS penalty_product FROM pens)"""
 #: The mark-to-market curve has its largest fall at a trade's close where no trades overlap, as here.
-SCORED = """ko AS (SELECT *, concat_ws(' | ', CASE WHEN total_trades < 30 THEN printf('Only %d trades: at least 30 are needed', total_trades) END, CASE WHEN profit_factor < 1 THEN printf('Profit factor %.2f is below 1', profit_factor) END,
-  CASE WHEN abs(max_drawdown) > 0.35 THEN printf('Max drawdown %.1f%% exceeds 35%%', abs(max_drawdown) * 100) END, CASE WHEN dsr < 0.05 THEN printf('Deflated Sharpe ratio %.3f is below 0.05', dsr) END,
-  CASE WHEN abs(max_drawdown) > 0.25 THEN printf('Mark-to-market drawdown %.1f%% exceeds 25%%', abs(max_drawdown) * 100) END) AS why FROM penned),
+SCORED = """ko AS (SELECT *, concat_ws(' | ', CASE WHEN total_trades < 30 THEN printf('Insufficient sample size: N=%d < 30 trades required for any statistical confidence.', total_trades) END,
+  CASE WHEN profit_factor < 1 THEN printf('Profit Factor %.3f < 1.0 — strategy is unprofitable before costs; no further scoring warranted.', profit_factor) END,
+  CASE WHEN abs(max_drawdown) > 0.35 THEN printf('Maximum Drawdown magnitude %.1f%% exceeds 35%% — catastrophic capital loss inadmissible per risk mandate.', abs(max_drawdown) * 100) END,
+  CASE WHEN dsr < 0.05 THEN printf('Corrected DSR %.3f < 0.05 — automatic evaluation FAIL (insufficient deflated significance).', dsr) END,
+  CASE WHEN abs(max_drawdown) > 0.25 THEN printf('Continuous MTM max drawdown %.1f%% exceeds 25%% — fail due to floating equity risk.', abs(max_drawdown) * 100) END) AS why FROM penned),
 raws AS (SELECT *, CASE WHEN why = '' THEN greatest(0, least(10, 0.175::DOUBLE * cat_profitability + 0.175::DOUBLE * cat_risk_adj + 0.15::DOUBLE * cat_drawdown + 0.35::DOUBLE * cat_robustness + 0.075::DOUBLE * cat_sanity + 0.075::DOUBLE * cat_sufficiency)) END AS raw_score FROM ko),
 fin AS (SELECT *, CASE WHEN why = '' THEN round_even(greatest(0, least(100, 10 * raw_score * penalty_product)), 0)::INT ELSE 0 END AS final_score, CASE WHEN why = '' THEN 'SCORED' ELSE 'KNOCKED_OUT' END AS status FROM raws),
 scored AS (SELECT *, CASE WHEN status <> 'SCORED' THEN 'KNOCKED_OUT' WHEN final_score >= 90 THEN 'Exceptional' WHEN final_score >= 75 THEN 'Strong' WHEN final_score >= 60 THEN 'Solid' WHEN final_score >= 45 THEN 'Marginal' WHEN final_score >= 30 THEN 'Weak' ELSE 'Poor' END AS label FROM fin)"""
@@ -316,7 +334,9 @@ add("score_knockouts", f"WITH RECURSIVE {everything(BASE)}, {CATEGORIES}, {PENAL
 add("score_categories", f"WITH RECURSIVE {everything()}, {CATEGORIES} SELECT strategy_id, {', '.join(f'cat_{c}' for c in CATS)} FROM cats", " ".join(f"cat_{c}" for c in CATS))
 add("score_penalties", f"WITH RECURSIVE {everything(BASE)}, {CATEGORIES}, {PENALTIES} SELECT strategy_id, {', '.join(f'pen_{c}' for c in PENS)}, penalty_product FROM penned", " ".join(f"pen_{c}" for c in PENS) + " penalty_product")
 add("score_final", f"WITH RECURSIVE {everything()}, {CATEGORIES}, {PENALTIES}, {SCORED} SELECT strategy_id, status, raw_score, final_score, label FROM scored", "raw_score")
-add("overfit_estimate", f"WITH RECURSIVE {everything()} SELECT strategy_id, total_trades AS n_obs, coalesce(dsr < 0.95, false) AS dsr_weak, regime_unstable, coalesce(block_vs_iid_gap > 0.1, false) AS block_dependence, coalesce(dsr < 0.95, false) OR regime_unstable OR coalesce(block_vs_iid_gap > 0.1, false) AS bounded_overfit_flag FROM card")
+add("overfit_estimate", f"""WITH RECURSIVE {everything()}, {psr('0', 'plain')} SELECT strategy_id, total_trades AS n_obs, coalesce(dsr < 0.95, false) AS dsr_weak, regime_unstable, coalesce(block_vs_iid_gap > 0.1, false) AS block_dependence, coalesce(dsr < 0.95, false) OR regime_unstable OR coalesce(block_vs_iid_gap > 0.1, false) AS bounded_overfit_flag,
+  concat_ws('; ', 'DSR=' || printf('%.3f', dsr) || ' (N_trials=2)', 'PSR=' || printf('%.3f', p) || ' (N_obs=' || total_trades || ')', CASE WHEN regime_unstable THEN 'regime unstable (CUSUM/half-sample)' END, 'block−iid RR gap=' || printf('%+.3f', block_vs_iid_gap),
+  CASE WHEN bounded_overfit_flag THEN 'bounded overfit risk elevated' ELSE 'no elevated bounded-overfit flag' END) AS summary FROM card JOIN plain USING (strategy_id)""")
 
 # ---- cards and presentation
 
@@ -328,7 +348,7 @@ _CARD = {
     "basic": _BASICS,
     "growth": ("net_pnl", "total_return", "cagr", "cagr_flagged_insufficient", "mean_return_per_trade", "median_return_per_trade", "skew_returns", "excess_kurtosis_returns"),
     "drawdown": ("max_drawdown", "average_drawdown", "ulcer_index", "recovery_factor", "max_drawdown_duration_days", "mtm_max_drawdown"),
-    "risk_adj": ("trades_per_year", "rf_per_trade", "sharpe_per_trade", "sharpe_ratio", "sortino_ratio", "calmar_ratio", "omega_ratio", "romad", "tail_ratio", "var_95", "cvar_95", "probabilistic_sharpe_ratio", "deflated_sharpe_ratio", "dsr_n_trials"),
+    "risk_adj": ("trades_per_year", "rf_per_trade", "sharpe_per_trade", "sharpe_ratio", "sortino_ratio", "calmar_ratio", "omega_ratio", "romad", "tail_ratio", "var_95", "cvar_95", "probabilistic_sharpe_ratio", "deflated_sharpe_ratio", "dsr_n_trials", "annualised", "sharpe_small_sample_corrected", "psr_reference_sharpe"),
     "behav": ("max_win_streak", "max_loss_streak", "streak_ratio", "runs", "runs_z", "best_trade", "worst_trade", "months", "profitable_month_fraction", "monthly_volatility"),
 }
 _LONG = " UNION ALL ".join(
@@ -342,12 +362,11 @@ add(
 isl AS (SELECT *, sum((dd >= 0)::INT) OVER (PARTITION BY strategy_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM facts), du AS (SELECT strategy_id, run, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 86400e6::DOUBLE AS d FROM isl WHERE dd < 0 GROUP BY ALL),
 {psr('0', 'plain')},
 w AS (SELECT * REPLACE (coalesce(months, 0) AS months, coalesce(runs, 0) AS runs, coalesce(runs_z, 0) AS runs_z), {CARD_ID} AS id, coalesce((SELECT max(d) FROM du WHERE du.strategy_id = scored.strategy_id), 0) AS max_drawdown_duration_days, max_drawdown AS mtm_max_drawdown,
-  max_win_streak / greatest(1, max_loss_streak) AS streak_ratio, p AS probabilistic_sharpe_ratio, dsr AS deflated_sharpe_ratio, 2 AS dsr_n_trials
-  FROM scored JOIN (SELECT strategy_id, net_pnl, total_return, cagr, cagr_flagged_insufficient, mean_return_per_trade, median_return_per_trade FROM growth) USING (strategy_id) JOIN behave USING (strategy_id) JOIN (SELECT strategy_id, var_95 FROM tails) USING (strategy_id) JOIN plain USING (strategy_id)
-  WHERE strategy_id IN (0, 1, 2)), l AS ({_LONG})
+  max_win_streak / greatest(1, max_loss_streak) AS streak_ratio, p AS probabilistic_sharpe_ratio, dsr AS deflated_sharpe_ratio, 2 AS dsr_n_trials, total_trades >= 10 AS annualised, total_trades < 30 AS sharpe_small_sample_corrected, {MAX_OF_2} AS psr_reference_sharpe
+  FROM scored JOIN (SELECT strategy_id, net_pnl, total_return, cagr, cagr_flagged_insufficient, mean_return_per_trade, median_return_per_trade FROM growth) USING (strategy_id) JOIN behave USING (strategy_id) JOIN (SELECT strategy_id, var_95 FROM tails) USING (strategy_id) JOIN plain USING (strategy_id)), l AS ({_LONG})
 SELECT b.metric, l.id, b.value AS baseline, l.value, CASE WHEN l.strategy_id <> 0 AND abs(b.value) > 1e-9 THEN (l.value - b.value) / abs(b.value) * 100 END AS delta_pct FROM l JOIN l b ON b.metric = l.metric AND b.strategy_id = 0 WHERE b.value IS NOT NULL""",
     "baseline value delta_pct",
-    6,
+    8,
 )
 add(
     "pnl_histogram",
@@ -357,3 +376,9 @@ e AS (SELECT strategy_id, least(min(r), -1) AS lo, greatest(max(r), 1) AS hi FRO
 _HEAT = ", ".join(f"max(ret) FILTER (WHERE month LIKE '%-{i:02d}') AS m{i:02d}" for i in range(1, 13))
 add("monthly_heatmap", f"WITH {LFACTS}, {LCURVE}, {MONTHS} SELECT strategy_id, left(month, 4) AS year, {_HEAT} FROM monthly GROUP BY ALL", " ".join(f"m{i:02d}" for i in range(1, 13)))
 add("portfolio_by_symbol_side", f"WITH {trades()} SELECT symbol, side, count(*) AS n, sum(capped_pnl) AS pnl FROM trades GROUP BY CUBE (symbol, side)", "pnl")
+
+# ---- ledgers with columns of their own, the card store
+
+add("clean_extras", f"WITH {bronze()} SELECT strategy_id, count(*) FILTER (WHERE NOT bad) AS kept, count(*) FILTER (WHERE bad) AS rejected, coalesce(max(CASE WHEN bad THEN '{{\"note\": \"' || event_id || '\"}}' END), '') AS last_note FROM (SELECT strategy_id, event_id, event_id % 7 = 0 AS bad FROM (SELECT strategy_id, row_idx AS event_id FROM bronze)) GROUP BY 1")
+add("clean_rejects_csv", f"WITH {SPOILT} SELECT strategy_id, row_idx, reason AS rejection_reason FROM judged WHERE reason IS NOT NULL")
+add("card_store", "SELECT id, total_trades FROM (SELECT 'user-' || user_id || '-20250101-' || substr(md5('7:' || user_id), 1, 4) AS id, user_id, count(*) AS total_trades FROM events GROUP BY user_id) WHERE user_id % 2 = 1")

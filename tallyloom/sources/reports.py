@@ -1,14 +1,16 @@
 """Broker reports (HTML, CSV, XLSX) as bronze ledgers.
 
 Files come through Spark's `binaryFile` reader, one row each, so any store that Spark reads will do; a file
-is parsed where it lies, in an Arrow batch, and becomes rows of texts. Columns that no alias names are kept
-in `extras` (CSV and XLSX) or dropped (HTML).
+is parsed where it lies, in an Arrow batch, and becomes rows of texts. Columns of CSV and XLSX files that no alias
+names are kept in `extras`, JSON text with sorted names, so that rows that differ in them stay apart and rejects have
+them; those of HTML are dropped.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -54,7 +56,9 @@ TABLE_HEADERS = {
     "position_id": ("position_id", "positionid", "position"),
     "deal_id": ("deal_id", "dealid", "deal", "order_id", "orderid"),
 }
+# Words that tell a header row, in two groups for a repeated one, and delimiters of CSV files.
 HEADER_WORDS = ("symbol", "time", "price", "profit", "balance", "volume", "position", "deal")
+NAME_WORDS, VALUE_WORDS = ("symbol", "position", "deal"), ("time", "close", "profit", "price")
 DELIMITERS = ",;\t|"
 
 
@@ -139,47 +143,57 @@ def html_rows(content: bytes) -> list[dict[str, str]]:
     parser.close()
     if not parser.tables:
         return []
-    table = max(parser.tables, key=lambda t: 10_000 if "history" in t["class"] else len(t["rows"]))
-    rows = [(section, body, [(tag, " ".join(text)) for tag, text in cells]) for section, body, cells in table["rows"]]
-    joined = lambda cells: " ".join(text for _, text in cells).lower()
-
-    def header_at() -> int | None:
-        heads = [i for i, r in enumerate(rows) if r[0] == "thead"]
-        if heads:
-            return heads[0]
-        bodies = [i for i, r in enumerate(rows) if r[0] == "tbody" and r[1] == 1]
-        if bodies and (any(tag == "th" for tag, _ in rows[bodies[0]][2]) or any(w in joined(rows[bodies[0]][2]) for w in HEADER_WORDS)):
-            return bodies[0]
-        loose = [i for i, r in enumerate(rows) if r[0] == ""]
-        return loose[0] if loose else (0 if rows else None)
-
-    at = header_at()
-    if at is None:
+    # a table of the history class before all others, then the one of most rows
+    table = max(parser.tables, key=lambda t: ("history" in t["class"], 0 if "history" in t["class"] else len(t["rows"])))
+    rows = [_Row(section, body, cells) for section, body, cells in table["rows"]]
+    head = next(filter(None, (_first(rows, rule) for rule in _HEADER_RULES)), None)
+    if head is None:
         return []
-    places = {i: c for i, (_, text) in enumerate(rows[at][2]) if (c := canonical_html(text))}
-    body = [r for i, r in enumerate(rows) if i != at and r[0] == "tbody" and r[1] == 1] or [r for i, r in enumerate(rows) if i != at and r[0] != "thead"]
-    out: list[dict[str, str]] = []
-    for _, _, cells in body:
-        if not cells:
-            continue
-        line = joined(cells)
-        if not out and any(w in line for w in ("symbol", "position", "deal")) and any(w in line for w in ("time", "close", "profit", "price")):
-            continue  # the header again
-        out.append({c: cells[i][1] for i, c in places.items() if i < len(cells)})
-    return [r for r in out if r]
+    places = {i: c for i, text in enumerate(head.texts) if (c := canonical_html(text))}
+    others = [r for r in rows if r is not head and r.texts]
+    body = [r for r in others if r.first_body] or [r for r in others if r.section != "thead"]
+    while body and body[0].has(NAME_WORDS) and body[0].has(VALUE_WORDS):  # the header again
+        del body[0]
+    found = ({c: r.texts[i] for i, c in places.items() if i < len(r.texts)} for r in body)
+    return [r for r in found if r]
+
+
+class _Row:
+    def __init__(self, section: str, body: int, cells: list):
+        self.section, self.first_body = section, section == "tbody" and body == 1
+        self.texts = [" ".join(text) for _, text in cells]
+        self.titles = any(tag == "th" for tag, _ in cells)
+
+    def has(self, words: tuple[str, ...]) -> bool:
+        line = " ".join(self.texts).lower()
+        return any(w in line for w in words)
+
+
+def _first(rows: list[_Row], rule) -> _Row | None:
+    return next((r for r in rows if rule(r, rows)), None)
+
+
+#: Which row is the header, by the first rule that any row meets.
+_HEADER_RULES = (
+    lambda r, rows: r.section == "thead",
+    lambda r, rows: r is _first(rows, lambda x, _: x.first_body) and (r.titles or r.has(HEADER_WORDS)),
+    lambda r, rows: r.section == "",
+    lambda r, rows: True,
+)
 
 
 # ---- tables of cells
 
 
-def _delimiter(text: str) -> str:
-    lines = text.splitlines()
-    try:
-        return csv.Sniffer().sniff("\n".join(lines[:100])[:32_768], delimiters=DELIMITERS).delimiter
-    except csv.Error:
-        counts = {d: (lines[0] if lines else "").count(d) for d in ",;\t"}
-        best = max(counts, key=lambda d: (counts[d], d != ","))
-        return best if counts[best] else ","
+def _delimiter(text: str, looked_at: int = 50) -> str:
+    """The delimiter that cuts the first lines most evenly: into the header's number of cells, the more cells the better."""
+    lines = [x for x in text[:65_536].splitlines() if x.strip()][:looked_at]
+
+    def evenness(d: str) -> tuple[float, int]:
+        widths = [len(r) for r in csv.reader(lines, delimiter=d)]
+        return (sum(w == widths[0] for w in widths) / len(widths) if widths and widths[0] > 1 else 0.0, widths[0] if widths else 0)
+
+    return max(DELIMITERS, key=evenness)
 
 
 def _plain(value: str) -> str:
@@ -223,7 +237,7 @@ def xlsx_rows(content: bytes) -> list[dict[str, str]]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         shared = ["".join(t.text or "" for t in s.iter(f"{_XML}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        sheet = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))[0]
+        sheet = _first_sheet(z, names)
         lines: list[list[str]] = []
         for row in ElementTree.fromstring(z.read(sheet)).iter(f"{_XML}row"):
             cells: list[str] = []
@@ -244,6 +258,19 @@ def xlsx_rows(content: bytes) -> list[dict[str, str]]:
     return _cells_to_rows(lines[0], lines[1:]) if lines else []
 
 
+def _first_sheet(z: zipfile.ZipFile, names: set[str]) -> str:
+    """The part that holds the workbook's first sheet; the lowest number where the workbook does not say."""
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_XML}sheet"):
+            own = next((v for k, v in sheet.attrib.items() if k.endswith("}id")), None)
+            part = targets.get(own, "").lstrip("/")
+            part = part if part.startswith("xl/") else f"xl/{part}"
+            if part in names:
+                return part
+    return min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+
+
 READERS = {"html": html_rows, "csv": csv_rows, "xlsx": xlsx_rows}
 
 
@@ -262,10 +289,10 @@ def read_reports(found: DataFrame, strategy: Column | None = None) -> DataFrame:
                 rows = READERS[name](content)
                 strategies = pa.array([b.column("strategy_id")[i].as_py()] * len(rows), b.column("strategy_id").type)
                 columns = [pa.array([r.get(c) for r in rows], pa.string()) for c in CANONICAL]
-                extras = pa.array([[(k, v) for k, v in r.items() if k not in CANONICAL] for r in rows], pa.map_(pa.string(), pa.string()))
+                extras = pa.array([json.dumps(x, sort_keys=True, ensure_ascii=False) if (x := {k: v for k, v in r.items() if k not in CANONICAL}) else None for r in rows], pa.string())
                 yield pa.RecordBatch.from_arrays([strategies, pa.array(range(len(rows)), pa.int64()), *columns, extras], ["strategy_id", "row_idx", *CANONICAL, "extras"])
 
-    return ready.mapInArrow(parse, f"strategy_id {kind}, row_idx long, {', '.join(f'{c} string' for c in CANONICAL)}, extras map<string,string>").drop("extras")
+    return ready.mapInArrow(parse, f"strategy_id {kind}, row_idx long, {', '.join(f'{c} string' for c in CANONICAL)}, extras string")
 
 
 # ---- rendering, for round trips

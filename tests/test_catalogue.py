@@ -9,7 +9,6 @@ from tallyloom.plans import catalogue
 from .compare import connection, rows
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"score_categories", "score_penalties", "score_knockouts", "overfit_estimate", "card_list", "compare_cards"}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +22,7 @@ def test_each_query_has_sql():
     assert set(catalogue.QUERIES) == set(catalogue.ORACLE_SQL)
 
 
-@pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(catalogue.QUERIES))
 def test_query(spark, con, name):
     assert rows(catalogue.QUERIES[name](spark, SF).toPandas()) == rows(con.sql(catalogue.ORACLE_SQL[name]).df())
 

@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,9 +42,9 @@ def test_number(spark, text, value):
 
 
 def test_time_and_side(spark):
-    rows = spark.createDataFrame([("03.01.2025 08:00:00",), ("2025-01-03",), ("14/02/2025 10:05",), ("02/14/2025 10:05",), ("8",), (None,)], "t string")
+    rows = spark.createDataFrame([("03.01.2025 08:00:00",), ("2025-01-03",), ("14/02/2025 10:05",), ("02/14/2025 10:05",), ("8",), (None,), ("2025.01.03 08:00:00",), ("2025-01-03T08:00",), ("2025-01-03T08:00:00.5+02:00",), ("3 Jan 2025 8:15 pm",), ("February 3, 2024",), ("2025-25-03 10:00",)], "t string")
     got = [r[0] for r in rows.select(parsing.time(F.col("t")).cast("timestamp_ntz")).collect()]
-    assert got == [dt.datetime(2025, 1, 3, 8), dt.datetime(2025, 1, 3), dt.datetime(2025, 2, 14, 10, 5), dt.datetime(2025, 2, 14, 10, 5), None, None]
+    assert got == [dt.datetime(2025, 1, 3, 8), dt.datetime(2025, 1, 3), dt.datetime(2025, 2, 14, 10, 5), dt.datetime(2025, 2, 14, 10, 5), None, None, dt.datetime(2025, 3, 1, 8), dt.datetime(2025, 1, 3, 8), dt.datetime(2025, 1, 3, 6, 0, 0, 500_000), dt.datetime(2025, 1, 3, 20, 15), dt.datetime(2024, 2, 3), dt.datetime(2025, 3, 25, 10)]
     sides = spark.createDataFrame([(" Buy ",), ("-1",), ("1.0",), ("hold",)], "t string").select(parsing.side(F.col("t"))).collect()
     assert [r[0] for r in sides] == ["long", "short", None, None]
     serial = spark.createDataFrame([(45_660.5,), (1_735_689_600_000.0,), (1_735_689_600.0,)], "n double").select(parsing.serial_time(F.col("n")).cast("timestamp_ntz")).collect()
@@ -127,19 +128,31 @@ def test_cusum(spark):
     assert r.threshold_hit and r.regime_unstable
 
 
-def test_resampling(spark):
+def test_resampling(spark, monkeypatch):
     rows = trades(spark, [(i * 37 % 23) - 9 for i in range(40)])
-    one, two = (sorted(map(str, resample.run_tests(rows.repartition(n), CONFIG).collect())) for n in (1, 3))
+    plain = lambda found: sorted(str([[round(y, 9) for y in x] if isinstance(x, list) else round(x, 9) if isinstance(x, float) else x for x in r]) for r in found.collect())
+    one, two = (plain(resample.run_tests(rows.repartition(n), CONFIG)) for n in (1, 3))
     assert one == two and len(one) == 4
     b = resample.run_tests(rows, CONFIG, tests=("b",)).first()
     assert b.total_return[0] == pytest.approx(b.total_return[-1]) and b.profit_factor[0] == pytest.approx(b.profit_factor[-1])
     assert len(b.max_drawdown) == 7 and all(x <= 0 for x in b.max_drawdown)
-    for test in ("a", "c", "mb"):
-        paths = resample.TESTS[test](rows, CONFIG)
-        assert paths.count() == 40 * 30
+    pnl = np.array([r.capped_pnl for r in rows.orderBy("seq").collect()])
+    for test in resample.TESTS:  # the joins make the very paths that numpy makes
+        made = {}
+        for r in resample.joined_paths(rows, CONFIG, test).collect():
+            made.setdefault(r.iteration, {})[r.k] = r.pnl
+        whole = pnl[resample.positions(test, 40, "1", np.arange(30), CONFIG)]
+        assert [[made[i][k] for k in range(40)] for i in range(30)] == whole.tolist()
     other = resample.run_tests(rows, EvalConfig(seed="12", mc_iterations=30), tests=("a",)).first()
     assert other.total_return != resample.run_tests(rows, CONFIG, tests=("a",)).first().total_return
     assert resample.run_tests(rows, EvalConfig(seed="1", mc_iterations=0)).count() == 0
+    monkeypatch.setattr(resample, "MOST_TRADES", 0)  # all by joins
+    by_joins = resample.run_tests(rows, CONFIG).collect()
+    monkeypatch.undo()
+    for x, y in zip(sorted(by_joins, key=lambda r: r.test), sorted(resample.run_tests(rows, CONFIG).collect(), key=lambda r: r.test)):
+        assert x.total_return == pytest.approx(y.total_return) and x.sharpe_ratio == pytest.approx(y.sharpe_ratio) and x.max_drawdown == pytest.approx(y.max_drawdown)
+    monkeypatch.setattr(resample, "DRAWS", 100)  # several ranges of iterations
+    assert plain(resample.run_tests(rows, CONFIG)) == one
     big = EvalConfig(seed="9007199254740993")
     assert big.seed == "9007199254740993"
 
@@ -227,7 +240,11 @@ def test_card_store(spark, tmp_path):
     table = cards.compare(held, ids)
     delta = {(r.metric, r.id): r.delta_pct for r in table.collect()}
     assert delta[("basic.win_rate", ids[0])] is None and delta[("basic.total_trades", ids[1])] == 0.0
-    assert cards.compare(held, []).count() == 0
+    assert cards.compare(held, []).count() == 0 and cards.load_card(spark, path, ids[1], found.schema).first().id == ids[1]
+    assert table.collect() == cards.compare(held, held.select("id"), ids[0]).collect() == sorted(table.collect(), key=lambda r: (r.metric, r.id))
+    for missing in (lambda: cards.compare(held, [ids[0], "none"]), lambda: cards.load_card(spark, path, "none", found.schema)):
+        with pytest.raises(KeyError):
+            missing()
     assert cards.delete_cards(spark, path, [ids[0]], found.schema) and not cards.delete_cards(spark, path, ["none"], found.schema)
     assert [r.id for r in cards.load_cards(spark, path, found.schema).select("id").collect()] == [ids[1]]
     assert cards.from_json(spark.createDataFrame([("a", "{bad")], "id string, document string"), found.schema).count() == 0
