@@ -564,6 +564,24 @@ def test_perfect_hash():
 # ---- helpers
 
 
+def test_extra_columns_of_any_name(spark):
+    """Columns named like those that operators add for themselves, in large or small letters, pass through."""
+    names = ["__n", "__HITS", "__items", "__digest", "__own", "__Id", "__drop", "__lang", "__score", "__class", "Size", "TAKEN", "__of"]
+    rows = spark.createDataFrame([(i, passage(300 + i, 40), "en", "s", *[f"{n}{i}" for n in names]) for i in range(6)], ["doc_id", "text", "lang", "source", *names])
+    items = spark.createDataFrame([(1, passage(301, 12)), (2, passage(9, 12))], "item_id long, text string")
+    own = {i: tuple(f"{n}{i}" for n in names) for i in range(6)}
+    same = lambda df: {r.doc_id: tuple(r[n] for n in names) for r in df.collect()}
+    assert same(langid.keep_known(rows)) == own
+    for size in (64 << 20, 0):
+        assert same(linededup.drop_lines(rows, broadcast_bytes=size)) == own
+    for size in (8 << 20, 10):
+        assert same(decontaminate.drop_contaminated(rows, items, block_bytes=size)) == {i: x for i, x in own.items() if i != 1}
+    kept = mixing.take(rows)
+    assert [c for c in kept.columns if c.lower() in ("size", "taken")] == ["size", "taken"] and kept.filter("__n IS NULL").count() == 0
+    for report in (pii.pii_report, merkle.fingerprint_report, simhash.near_duplicates, substring_bwt.removal_report, substring_sam.removal_report):
+        assert report(rows).count() == 6
+
+
 def test_word_spans_do_not_cross_texts():
     data, off = np.frombuffer(b"ab cd" + b"ef" + b"" + b" g", np.uint8), np.array([0, 5, 7, 7, 9])
     starts, ends, first = common.word_spans(data, off, common.BLANK_WORDS)
