@@ -1,6 +1,6 @@
 """Corpus pipeline over `documents`: five stages, each on all that the one before kept.
 
-1. language: documents without a recognised language go.
+1. language: documents without letters go, and those far less like their language than its texts of that length are.
 2. lines: lines that many documents repeat stay in one of them.
 3. near duplicates: of each group linked by SimHash the smallest doc_id stays.
 4. decontamination: documents that hold a benchmark window go.
@@ -13,7 +13,7 @@ having no letters), extra columns pass through, an empty table gives an empty ta
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,8 +48,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other; what each keeps is written to the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    place = f"{shared.rstrip('/')}/corpus-{spark.range(1).selectExpr('uuid() AS u').first()[0]}"
+    place = f"{common.shared_folder(spark).rstrip('/')}/corpus-{uuid.uuid4()}"
     docs = common.documents(spark, sf_dir)
     for number, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{number}-{name}")
