@@ -51,6 +51,8 @@ def block_numbers(data: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 def by_symbol(symbols: np.ndarray) -> np.ndarray:
     """The stable order of symbols below 2^32, by their halves, which numpy sorts in linear time."""
+    if symbols.dtype == np.uint16:
+        return np.argsort(symbols, kind="stable")
     low = np.argsort(symbols.astype(np.uint16), kind="stable")
     high = (symbols >> 16).astype(np.uint16)
     return low[np.argsort(high[low], kind="stable")] if high.any() else low
@@ -63,13 +65,12 @@ class Transform:
         self.suffix, self.symbol, self.has = suffix, symbol, has
 
 
-def transform(suffix: np.ndarray, symbols: np.ndarray, begins: np.ndarray, rounds: int) -> Transform:
+def transform(suffix: np.ndarray, symbols: np.ndarray, ends_here: np.ndarray, begins: np.ndarray, rounds: int) -> Transform:
     """Of one shard. suffix: its places in text order; begins: for each place the first of its piece.
 
     `rounds` blocks reach beyond any piece's end, so the order is final.
     """
-    ends = symbols[suffix] < 0  # too near the end of its piece to begin a block
-    last = suffix[ends]
+    last = suffix[ends_here[suffix]]
     order = suffix
     for _ in range(rounds):
         preceding = order - BLOCK
@@ -78,7 +79,7 @@ def transform(suffix: np.ndarray, symbols: np.ndarray, begins: np.ndarray, round
         order = np.concatenate([last, preceding])
     before = order - BLOCK
     has = before >= begins[order]
-    return Transform(order, np.maximum(symbols[np.where(has, before, order)], 0), has)
+    return Transform(order, symbols[np.where(has, before, order)], has)
 
 
 def merge(a: Transform, b: Transform, rounds: int) -> tuple[Transform, np.ndarray]:
@@ -91,8 +92,8 @@ def merge(a: Transform, b: Transform, rounds: int) -> tuple[Transform, np.ndarra
     head = np.zeros(ends, bool)
     head[len(a.suffix) - int(a.has.sum()) :] = True
     interval = np.zeros(n, np.int64)
-    symbol, has = np.empty(n, np.int64), np.empty(n, bool)
-    prefix = np.full(n, rounds)
+    symbol, has = np.empty(n, a.symbol.dtype), np.empty(n, bool)
+    prefix = np.full(n, rounds, np.int16)
     prefix[:1] = 0
     for done in range(rounds):
         symbol[~of_b], symbol[of_b] = a.symbol, b.symbol
@@ -120,15 +121,17 @@ def repeated_windows(pieces: list[bytes], weights: np.ndarray) -> list[np.ndarra
     data = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
     begins = np.repeat(first, sizes)
     left = np.repeat(first + sizes - 1, sizes) - np.arange(len(data))  # bytes to the piece's end
-    symbols = np.full(len(data), -1, np.int64)
-    whole = np.flatnonzero(left >= BLOCK)
-    symbols[whole] = block_numbers(data, whole)
+    ends_here = left < BLOCK  # too near the end of its piece to begin a block
+    whole = np.flatnonzero(~ends_here)
+    numbers = block_numbers(data, whole)
+    symbols = np.zeros(len(data), np.uint16 if len(numbers) and numbers.max() < 1 << 16 else np.int64)
+    symbols[whole] = numbers
     rounds = int(sizes.max()) // BLOCK + 1
     cuts = [0, *(np.flatnonzero(np.diff(first // SHARD_UNITS)) + 1), len(pieces)] if len(pieces) > 1 else [0, 1]
     if len(cuts) == 2 and len(pieces) > 1:
         cuts = [0, len(pieces) // 2, len(pieces)]
     ends = np.append(first, len(data))
-    shards = [transform(np.arange(ends[x], ends[y]), symbols, begins, rounds) for x, y in zip(cuts[:-1], cuts[1:])]
+    shards = [transform(np.arange(ends[x], ends[y]), symbols, ends_here, begins, rounds) for x, y in zip(cuts[:-1], cuts[1:])]
     # the order of a merged transform is final only if refined to the pieces' ends; the last merge needs a window's depth
     while len(shards) > 2:
         shards = [merge(*shards[i : i + 2], rounds)[0] if i + 1 < len(shards) else shards[i] for i in range(0, len(shards), 2)]
@@ -143,7 +146,7 @@ def repeated_windows(pieces: list[bytes], weights: np.ndarray) -> list[np.ndarra
     return [flags[a : a + n - LENGTH] for a, n in zip(first, sizes)]
 
 
-def removal_report(docs: DataFrame, batch_units: int = 4 * SHARD_UNITS, **options) -> DataFrame:
+def removal_report(docs: DataFrame, batch_units: int = 60_000, **options) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
