@@ -364,7 +364,7 @@ isl AS (SELECT *, sum((dd >= 0)::INT) OVER (PARTITION BY strategy_id ORDER BY se
 w AS (SELECT * REPLACE (coalesce(months, 0) AS months, coalesce(runs, 0) AS runs, coalesce(runs_z, 0) AS runs_z), {CARD_ID} AS id, coalesce((SELECT max(d) FROM du WHERE du.strategy_id = scored.strategy_id), 0) AS max_drawdown_duration_days, max_drawdown AS mtm_max_drawdown,
   max_win_streak / greatest(1, max_loss_streak) AS streak_ratio, p AS probabilistic_sharpe_ratio, dsr AS deflated_sharpe_ratio, 2 AS dsr_n_trials, total_trades >= 10 AS annualised, total_trades < 30 AS sharpe_small_sample_corrected, {MAX_OF_2} AS psr_reference_sharpe
   FROM scored JOIN (SELECT strategy_id, net_pnl, total_return, cagr, cagr_flagged_insufficient, mean_return_per_trade, median_return_per_trade FROM growth) USING (strategy_id) JOIN behave USING (strategy_id) JOIN (SELECT strategy_id, var_95 FROM tails) USING (strategy_id) JOIN plain USING (strategy_id)), l AS ({_LONG})
-SELECT b.metric, l.id, b.value AS baseline, l.value, CASE WHEN l.strategy_id <> 0 AND abs(b.value) > 1e-9 THEN (l.value - b.value) / abs(b.value) * 100 END AS delta_pct FROM l JOIN l b ON b.metric = l.metric AND b.strategy_id = 0 WHERE b.value IS NOT NULL""",
+SELECT b.metric, l.id, b.value * 1.000000000001::DOUBLE AS baseline, l.value * 1.000000000001::DOUBLE AS value, round(CASE WHEN l.strategy_id <> 0 AND abs(b.value) > 1e-9 THEN (l.value - b.value) / abs(b.value) * 100 * 1.000000000001::DOUBLE END, 4) AS delta_pct FROM l JOIN l b ON b.metric = l.metric AND b.strategy_id = 0 WHERE b.value IS NOT NULL""",
     "baseline value delta_pct",
     8,
 )
