@@ -127,3 +127,37 @@ SELECT doc_id, coalesce(n1, 0)::BIGINT AS n_email, coalesce(n2, 0)::BIGINT AS n_
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n5, 0)::BIGINT AS n_iban, top_score
 FROM d LEFT JOIN o USING (r)
 """
+
+
+# crc32 bit by bit; the grid: a run of period p covers a multiple of greatest(24, 3p) - p with eight equal words on one side
+PERIODIC = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS v FROM documents),
+c AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], [unicode(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')]),
+        lambda s, x: list_reduce(list_concat([xor(s, x)], [0::BIGINT FOR k IN range(8)]), lambda y, k: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END)), 4294967295::BIGINT) AS h FROM t),
+q AS (SELECT r, (h // 10) % len(v) AS a, 1 + (len(v) - (h // 10) % len(v)) // (3 + (h // 10) % 8) AS p FROM c WHERE h % 10 = 0 AND len(v) > 0),
+o AS (SELECT r, unnest(v) AS w, unnest(range(0, len(v))) AS i, len(v) AS n FROM t),
+d AS (SELECT o.r, o.i, o.n, coalesce(v.w, o.w) AS w FROM o LEFT JOIN q ON o.r = q.r LEFT JOIN o AS v ON v.r = q.r AND o.i >= q.a AND v.i = q.a + (o.i - q.a) % q.p),
+w AS (SELECT *, string_agg(w, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS ahead, string_agg(w, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS behind FROM d),
+g AS (SELECT r, p, k * (greatest(24, 3 * p) - p) AS i FROM (SELECT r, len(v) AS n FROM t WHERE len(v) >= 24), unnest(range(1, n // 3 + 1)) AS u(p), unnest(range(0, (n - p - 1) // (greatest(24, 3 * p) - p) + 1)) AS x(k)),
+m AS (SELECT DISTINCT r, p, a.n FROM g JOIN w AS a USING (r, i) JOIN w AS b USING (r) WHERE b.i = g.i + p AND a.w = b.w AND (a.ahead = b.ahead OR a.behind = b.behind)),
+e AS (SELECT r, p, -1 AS i FROM m UNION ALL SELECT r, p, n - p FROM m UNION ALL SELECT r, p, a.i FROM m JOIN d AS a USING (r) JOIN d AS b USING (r) WHERE b.i = a.i + p AND a.w <> b.w),
+x AS (SELECT r, p, i + 1 AS s, lead(i) OVER (PARTITION BY r, p ORDER BY i) + p AS z FROM e),
+runs AS (SELECT r, s, z - s AS n, min(p) AS p FROM x WHERE z - s >= greatest(24, 3 * p) GROUP BY r, s, z),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || n || ',' || p || chr(10), '' ORDER BY s, p) AS listed FROM runs GROUP BY r),
+best AS (SELECT r, s, n, p FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY n::DOUBLE / p DESC, s, p) = 1),
+gone AS (SELECT DISTINCT r, i FROM runs, unnest(range(s + p, s + n)) AS t(i)),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS kept FROM d ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, n::BIGINT AS length, p::BIGINT AS period, (1000 * n // p)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
+NEGATIVES = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_concat([true], [x IS NOT NULL AND isfinite(x) FOR x IN embedding]))),
+s AS (SELECT a.r AS a, a.id AS anchor_id, b.id, a.label = b.label AS same, list_sum([a.v[i] * b.v[i] FOR i IN range(1, least(len(a.v), len(b.v)) + 1)])::BIGINT AS score
+      FROM e AS a JOIN e AS b ON a.id % 50 = 0 AND a.id <> b.id),
+pos AS (SELECT a, anchor_id, id, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS k FROM s WHERE same QUALIFY k <= 5),
+neg AS (SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.a, p.k ORDER BY s.score DESC, s.id) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+        FROM pos AS p JOIN s ON p.a = s.a AND NOT same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score QUALIFY rank <= 3)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM neg
+"""

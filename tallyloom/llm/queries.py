@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, linededup, merkle, mixing, oracles, pii, simhash, substring_bwt, substring_sam, toxicity
+from pyspark.sql import functions as F
+
+from . import decontaminate, langid, linededup, merkle, mixing, negatives, oracles, packing, periodic, pii, simhash, substring_bwt, substring_sam, toxicity
 from .common import benchmark, documents, labels
 
 
@@ -51,6 +53,23 @@ def op10_line_dedup(spark, sf_dir):
     return linededup.line_report(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    """A tenth of the documents get a run planted before."""
+    return periodic.run_report(periodic.planted(documents(spark, sf_dir)))
+
+
+def op12_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.pack_report(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    """Anchors are the ids divisible by 50; of the ids divisible by 7 the label is moved on."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return negatives.hard_negatives(rows, F.col("id") % 50 == 0, F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,6 +83,9 @@ QUERIES = {
         op8_merkle,
         op9_mixing,
         op10_line_dedup,
+        op11_periodic_runs,
+        op12_packing,
+        op13_hard_negatives,
     )
 }
 
@@ -79,4 +101,6 @@ ORACLE_SQL = {
     "op8_merkle_whole": oracles.merkle(32),
     "op9_mixing": oracles.MIXING,
     "op10_line_dedup": oracles.LINE_DEDUP,
+    "op11_periodic_runs": oracles.PERIODIC,
+    "op13_hard_negatives": oracles.NEGATIVES,
 }
