@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parsing, scalars
-from ..operators import cards, cleaning, metrics, presentation, regime, resample, scoring, series
+from ..operators import cards, cleaning, metrics, presentation, regime, resample, scoring, series, validation
 from ..sources import adapters, reports
 from . import evaluate, ledger_sql
 from .config import EvalConfig
@@ -485,6 +485,44 @@ def overfit_estimate(spark, sf_dir):
     return scoring.overfitting(_scalars(spark, sf_dir))
 
 
+# ---- backtest overfitting
+
+
+@query
+def cscv_choices(spark, sf_dir):
+    return validation.cscv(facts(spark, sf_dir), 8)
+
+
+@query
+def cscv_overfitting_probability(spark, sf_dir):
+    return validation.overfitting_probability(validation.cscv(facts(spark, sf_dir), 12))
+
+
+@query
+def purged_folds(spark, sf_dir):
+    """Lines as trades of suppliers, open for as many days as their quantity, many at once."""
+    order = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    out = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias(KEY), F.row_number().over(order).alias("seq"), (out - F.round("l_quantity").cast("long") * 86_400_000_000).alias("entry"), out.alias("exit"), (0.055 - F.col("l_discount")).alias("R"))
+    return validation.purged_folds(rows, folds=5, embargo=0.02)
+
+
+def _windows(spark, sf_dir):
+    rows = supplier_trades(spark, sf_dir).select(KEY, "timestamp", (F.col("capped_pnl") / SUPPLIERS.start_balance).alias("R"))
+    return validation.walk_forward(rows, inside=12, outside=3)
+
+
+@query
+def walk_forward_windows(spark, sf_dir):
+    return _windows(spark, sf_dir)
+
+
+@query
+def walk_forward_efficiency(spark, sf_dir):
+    found = validation.walk_forward_efficiency(_windows(spark, sf_dir))
+    return found.withColumn("efficiency", F.round("efficiency", 6))
+
+
 # ---- cards and presentation
 
 

@@ -338,6 +338,54 @@ add("overfit_estimate", f"""WITH RECURSIVE {everything()}, {psr('0', 'plain')} S
   concat_ws('; ', 'DSR=' || printf('%.3f', dsr) || ' (N_trials=2)', 'PSR=' || printf('%.3f', p) || ' (N_obs=' || total_trades || ')', CASE WHEN regime_unstable THEN 'regime unstable (CUSUM/half-sample)' END, 'block−iid RR gap=' || printf('%+.3f', block_vs_iid_gap),
   CASE WHEN bounded_overfit_flag THEN 'bounded overfit risk elevated' ELSE 'no elevated bounded-overfit flag' END) AS summary FROM card JOIN plain USING (strategy_id)""")
 
+# ---- backtest overfitting
+
+
+def choices(blocks: int) -> str:
+    """CTEs up to `ranked`, a row for each choice of half the blocks."""
+    side = lambda name, inside: f"sum(n) FILTER ({inside}) AS n_{name}, sum(s) FILTER ({inside}) AS s_{name}, sum(q) FILTER ({inside}) AS q_{name}"
+    ratio = lambda x: f"round(CASE WHEN coalesce(n_{x}, 0) >= 2 AND sqrt(greatest(0, (q_{x} - s_{x} * s_{x} / n_{x}) / (n_{x} - 1))) > 1e-9 THEN s_{x} / n_{x} / sqrt(greatest(0, (q_{x} - s_{x} * s_{x} / n_{x}) / (n_{x} - 1))) ELSE 0 END, 9) AS r_{x}"
+    return f"""span AS (SELECT min(epoch_us(timestamp)) AS lo, max(epoch_us(timestamp)) AS hi FROM facts),
+cells AS (SELECT strategy_id, (epoch_us(timestamp) - lo) * {blocks} // (hi - lo + 1) AS b, count(*) AS n, sum(R) AS s, sum(R * R) AS q FROM facts, span GROUP BY ALL),
+masks AS (SELECT i AS mask FROM range({1 << blocks}) AS t(i) WHERE bit_count(i) = {blocks // 2}),
+sides AS (SELECT mask, strategy_id, {side('i', '(mask >> b) & 1 = 1')}, {side('o', '(mask >> b) & 1 = 0')} FROM cells, masks GROUP BY ALL),
+ratios AS (SELECT mask, strategy_id, {ratio('i')}, {ratio('o')} FROM sides),
+tops AS (SELECT * FROM ratios QUALIFY row_number() OVER (PARTITION BY mask ORDER BY r_i DESC, strategy_id) = 1),
+ranked AS (SELECT t.mask AS in_sample, t.strategy_id AS best_strategy, t.r_i AS in_sharpe, t.r_o AS out_sharpe, (count(*) FILTER (r.r_o < t.r_o) + (count(*) FILTER (r.r_o = t.r_o) + 1) / 2) / (count(*) + 1) AS relative_rank
+  FROM tops t JOIN ratios r USING (mask) GROUP BY ALL)"""
+
+
+add("cscv_choices", f"WITH {facts()}, {choices(8)} SELECT *, ln(relative_rank / (1 - relative_rank)) AS logit FROM ranked", "in_sharpe out_sharpe relative_rank logit")
+add(
+    "cscv_overfitting_probability",
+    f"WITH {facts()}, {choices(12)} SELECT count(*) AS combinations, avg((relative_rank < 0.5)::INT) AS pbo, avg((out_sharpe < 0)::INT) AS loss_probability, avg(ln(relative_rank / (1 - relative_rank))) AS mean_logit, regr_slope(out_sharpe, in_sharpe) AS degradation FROM ranked",
+    "pbo loss_probability mean_logit degradation",
+)
+_SHARPE = "CASE WHEN count(*) FILTER ({0}) >= 2 AND stddev_samp(t.R) FILTER ({0}) > 1e-9 THEN avg(t.R) FILTER ({0}) / stddev_samp(t.R) FILTER ({0}) ELSE 0 END"
+_TRAIN, _TEST = "t.fold <> f.fold AND NOT (t.a <= f.z + f.gap AND t.z >= f.a)", "t.fold = f.fold"
+add(
+    "purged_folds",
+    f"""WITH lines AS (SELECT l_suppkey AS strategy_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax) AS seq,
+  epoch_us(l_shipdate) AS z, epoch_us(l_shipdate) - round(l_quantity)::BIGINT * 86400000000 AS a, 0.055::DOUBLE - l_discount AS R, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
+t AS (SELECT *, ((seq - 1) * 5) // n AS fold FROM lines),
+gaps AS (SELECT strategy_id, floor(0.02::DOUBLE * (max(z) - min(a)))::BIGINT AS gap FROM t GROUP BY 1),
+f AS (SELECT strategy_id, fold, min(a) AS a, max(z) AS z, any_value(gap) AS gap FROM t JOIN gaps USING (strategy_id) GROUP BY 1, 2)
+SELECT f.strategy_id, f.fold::INT AS fold, count(*) FILTER ({_TEST}) AS n_test, count(*) FILTER (t.fold <> f.fold AND t.a <= f.z AND t.z >= f.a) AS n_purged, count(*) FILTER (t.fold <> f.fold AND t.a > f.z AND t.a <= f.z + f.gap) AS n_embargoed,
+  count(*) FILTER ({_TRAIN}) AS n_train, avg(t.R) FILTER ({_TRAIN}) AS train_mean, avg(t.R) FILTER ({_TEST}) AS test_mean, {_SHARPE.format(_TRAIN)} AS train_sharpe, {_SHARPE.format(_TEST)} AS test_sharpe
+FROM f JOIN t USING (strategy_id) GROUP BY f.strategy_id, f.fold""",
+    "train_mean test_mean train_sharpe test_sharpe",
+)
+_WALK = f"""{LINES}, mths AS (SELECT strategy_id, year(timestamp) * 12 + month(timestamp) - 1 AS m, count(*) AS n, sum(capped_pnl / 1000000.0::DOUBLE) AS s FROM ltrades GROUP BY ALL),
+starts AS (SELECT strategy_id, unnest(range(min(m) + 12, max(m) - 1, 3)) AS m FROM mths GROUP BY strategy_id),
+walk AS (SELECT strategy_id, w.m, coalesce(sum(n) FILTER (x.m < w.m), 0)::BIGINT AS n_inside, coalesce(sum(n) FILTER (x.m >= w.m), 0)::BIGINT AS n_outside, coalesce(sum(s) FILTER (x.m < w.m), 0) AS year_inside, coalesce(sum(s) FILTER (x.m >= w.m), 0) * 4 AS year_outside
+  FROM starts w JOIN mths x USING (strategy_id) WHERE x.m BETWEEN w.m - 12 AND w.m + 2 GROUP BY ALL)"""
+add("walk_forward_windows", f"WITH {_WALK} SELECT strategy_id, printf('%04d-%02d', (m // 12)::INT, (m % 12 + 1)::INT) AS month, n_inside, n_outside, year_inside, year_outside FROM walk", "year_inside year_outside")
+add(
+    "walk_forward_efficiency",
+    f"WITH {_WALK} SELECT strategy_id, count(*) AS windows, avg(year_inside) AS mean_inside, avg(year_outside) AS mean_outside, round(CASE WHEN abs(avg(year_inside)) > 1e-9 THEN avg(year_outside) / avg(year_inside) END, 6) AS efficiency FROM walk WHERE n_inside > 0 GROUP BY 1",
+    "mean_inside mean_outside",
+)
+
 # ---- cards and presentation
 
 CARD_ID = "'user-' || strategy_id || '-' || strftime(to_timestamp(1735689600 + strategy_id * 60) AT TIME ZONE 'UTC', '%Y%m%d') || '-' || substr(md5('7:' || strategy_id), 1, 4)"
