@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..plans.config import EPS
 
 # Coefficients of the rational approximation of the inverse normal distribution.
-ACKLAM_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+ACKLAM_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577459007291e02, -3.066479806614716e01, 2.506628277459239e00)
 ACKLAM_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
-ACKLAM_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+ACKLAM_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163459698151e00)
 ACKLAM_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
 ACKLAM_LOW = 0.02425
 EULER_GAMMA = 0.5772156649
@@ -26,19 +26,34 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x > 7, 1.0).when(x < -7, 0.0).otherwise(0.5 + F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * series)
 
 
+def _horner(coefficients: tuple[float, ...], x):
+    out = coefficients[0]
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def _middle(q):
+    return q * _horner(ACKLAM_A, q * q) / _horner((*ACKLAM_B, 1.0), q * q)
+
+
+def _low_tail(q):
+    return _horner(ACKLAM_C, q) / _horner((*ACKLAM_D, 1.0), q)
+
+
 def normal_inverse(p: float) -> float:
     """The inverse normal distribution of a setting; at most 8 either way."""
-    if p <= 0:
-        return -8.0
-    if p >= 1:
-        return 8.0
-    horner = lambda c, x: sum(k * x ** (len(c) - 1 - i) for i, k in enumerate(c))
-    if p < ACKLAM_LOW or p > 1 - ACKLAM_LOW:
-        q = math.sqrt(-2 * math.log(min(p, 1 - p)))
-        tail = horner(ACKLAM_C, q) / horner((*ACKLAM_D, 1.0), q)
-        return tail if p < 0.5 else -tail
-    q = p - 0.5
-    return q * horner(ACKLAM_A, q * q) / horner((*ACKLAM_B, 1.0), q * q)
+    if not 0 < p < 1:
+        return -8.0 if p <= 0 else 8.0
+    if p < ACKLAM_LOW:
+        return _low_tail(math.sqrt(-2 * math.log(p)))
+    return -_low_tail(math.sqrt(-2 * math.log(1 - p))) if p > 1 - ACKLAM_LOW else _middle(p - 0.5)
+
+
+def normal_inverse_of(p: Column) -> Column:
+    """The same of a column."""
+    root = lambda x: F.sqrt(-2 * F.log(x))
+    return F.when(p <= 0, -8.0).when(p >= 1, 8.0).when(p < ACKLAM_LOW, _low_tail(root(p))).when(p > 1 - ACKLAM_LOW, -_low_tail(root(1 - p))).otherwise(_middle(p - 0.5))
 
 
 def expected_max_sharpe(n_trials: int, mean: float = 0.0, sigma: float = 1.0) -> float:
@@ -49,6 +64,13 @@ def expected_max_sharpe(n_trials: int, mean: float = 0.0, sigma: float = 1.0) ->
     return mean + sigma * ((1 - EULER_GAMMA) * high + EULER_GAMMA * higher)
 
 
+def expected_max_sharpe_of(n_trials: Column) -> Column:
+    """The same of a column of numbers of trials, for Sharpe ratios of mean 0 and deviation 1."""
+    n = n_trials.cast("double")
+    high, higher = normal_inverse_of(1 - 1 / n), normal_inverse_of(1 - 1 / (n * math.e))
+    return F.when(n <= 1, 0.0).otherwise((1 - EULER_GAMMA) * high + EULER_GAMMA * higher)
+
+
 def sigmoid(x: Column, middle: float, slope: float) -> Column:
     """0 to 10, 5 at `middle`."""
     return 10.0 / (1.0 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), slope * (x - middle)))))

@@ -108,8 +108,13 @@ def unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ingest_alias_resolve(spark, sf_dir):
-    names = ["Close Time", "P&L", "Net P&L", "Order ID", "Lots", "Price In", "Rollover", "Comment", "Sell Price", "Balance", "profit_loss", "account_value", "close_time", "Fees"]
-    return spark.createDataFrame([(n, reports.canonical_html(n), reports.canonical_table(n)) for n in names], "name string, html string, plain string")
+    """Each order is a header: one of the known names, written in one of four ways, or its priority, which is none."""
+    names = sorted({n for known in (reports.HTML_HEADERS, reports.TABLE_HEADERS) for held in known.values() for n in held})
+    key = F.col("o_orderkey")
+    plain = F.get(F.array(*map(F.lit, names)), (key % len(names)).cast("int"))
+    name = F.when(key % 11 == 0, F.col("o_orderpriority")).when(key % 4 == 0, F.upper(plain)).when(key % 4 == 1, F.initcap(plain)).when(key % 4 == 2, F.concat(F.lit(" "), F.replace(plain, F.lit(" "), F.lit("  \u00a0")), F.lit("\t"))).otherwise(plain)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", name.alias("name"))
+    return rows.select("o_orderkey", "name", reports.canonical_html_of(F.col("name")).alias("html"), reports.canonical_table_of(F.col("name")).alias("plain"))
 
 
 @query
@@ -386,7 +391,10 @@ def psr(spark, sf_dir):
 
 @query
 def expected_max_sharpe(spark, sf_dir):
-    return spark.createDataFrame([(n, round(scalars.expected_max_sharpe(n), 6)) for n in (1, 2, 7, 10, 25, 50)], "n_trials int, reference double")
+    """As if each of a user's events were a trial, and for all users together each user."""
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("trials_of")).agg(F.count("*").alias("n_trials"))
+    rows = rows.unionByName(rows.agg(F.lit("all users").alias("trials_of"), F.count("*").alias("n_trials")))
+    return rows.select("trials_of", "n_trials", F.round(scalars.expected_max_sharpe_of(F.col("n_trials")), 8).alias("reference"))
 
 
 @query

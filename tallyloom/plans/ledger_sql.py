@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from ..functions import scalars
+from ..sources import reports
+
 SQL: dict[str, str] = {}
 
 
@@ -76,11 +79,15 @@ lc AS (SELECT *, greatest(1000000.0::DOUBLE, max(balance) OVER (PARTITION BY str
 
 # ---- sources and parsing
 
+_HEADERS = {kind: "(VALUES " + ", ".join(f"('{n}', '{c}')" for c, names in known.items() for n in names) + ") AS {0}(name, known)" for kind, known in (("html", reports.HTML_HEADERS), ("plain", reports.TABLE_HEADERS))}
+_NAMES = sorted({n for known in (reports.HTML_HEADERS, reports.TABLE_HEADERS) for held in known.values() for n in held})
 add(
     "ingest_alias_resolve",
-    """SELECT * FROM (VALUES ('Close Time', 'timestamp', NULL), ('P&L', 'pnl', NULL), ('Net P&L', 'pnl', NULL), ('Order ID', 'deal_id', NULL), ('Lots', 'quantity', 'quantity'), ('Price In', 'entry_price', NULL),
-  ('Rollover', 'swap', 'swap'), ('Comment', NULL, NULL), ('Sell Price', 'exit_price', NULL), ('Balance', 'balance', 'balance'), ('profit_loss', NULL, 'pnl'), ('account_value', NULL, 'balance'), ('close_time', NULL, 'timestamp'),
-  ('Fees', NULL, 'commission')) AS t(name, html, plain)""",
+    f"""WITH p AS (SELECT *, [{', '.join(f"'{n}'" for n in _NAMES)}][o_orderkey % {len(_NAMES)} + 1] AS plain FROM orders),
+n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN o_orderpriority WHEN o_orderkey % 4 = 0 THEN upper(plain) WHEN o_orderkey % 4 = 1 THEN array_to_string([upper(w[1]) || w[2:] FOR w IN string_split(plain, ' ')], ' ')
+  WHEN o_orderkey % 4 = 2 THEN ' ' || replace(plain, ' ', '  ' || chr(160)) || chr(9) ELSE plain END AS name FROM p)
+SELECT o_orderkey, n.name, h.known AS html, t.known AS plain FROM n LEFT JOIN {_HEADERS['html'].format('h')} ON h.name = trim(regexp_replace(lower(n.name), '[\\s\\x{{A0}}]+', ' ', 'g'))
+LEFT JOIN {_HEADERS['plain'].format('t')} ON t.name = lower(regexp_replace(n.name, '^\\s+|\\s+$', '', 'g'))""",
 )
 add("ingest_number_parse_us", "SELECT o_orderkey, round(o_totalprice, 2) AS value FROM orders", "value")
 add("ingest_number_parse_eu", "SELECT o_orderkey, -round(o_totalprice, 2) AS value FROM orders", "value")
@@ -173,7 +180,7 @@ def psr(reference: str, name: str = "pv") -> str:
 
 
 #: Expected maximum of 2 trials, from the rational approximation.
-MAX_OF_2 = "0.5197553440809076::DOUBLE"
+MAX_OF_2 = "0.5197552898469945::DOUBLE"
 ALL = f"{facts()}, {BASIC}, {GROWTH}, {FALLEN}, {TAILS}, {RISK}"
 add("strategy_overview", f"WITH {facts()}, {BASIC}, {FALLEN} SELECT strategy_id, total_trades, win_rate, profit_factor, max_drawdown, recovery_factor, total_return FROM basics JOIN fallen USING (strategy_id) JOIN (SELECT strategy_id, sum(capped_pnl) / 10000.0::DOUBLE AS total_return FROM trades GROUP BY 1) USING (strategy_id)", "win_rate profit_factor max_drawdown recovery_factor total_return")
 add("metrics_basic", f"WITH {trades()}, {BASIC} SELECT * FROM basics", "win_rate loss_rate average_win average_loss profit_factor payoff_ratio expectancy expectancy_per_risk long_win_rate short_win_rate")
@@ -224,7 +231,25 @@ BASE = "'error', 'view'"
 add("regime_flag", f"WITH RECURSIVE {facts(BASE)}, {CUSUM}, {HALVES}, {FLAG} SELECT * FROM regime")
 add("psr", f"WITH {ALL}, {psr('0')} SELECT strategy_id, p AS probabilistic_sharpe_ratio FROM pv", "probabilistic_sharpe_ratio")
 add("dsr", f"WITH {ALL}, {psr(MAX_OF_2)} SELECT strategy_id, p AS deflated_sharpe_ratio FROM pv", "deflated_sharpe_ratio")
-add("expected_max_sharpe", "SELECT * FROM (VALUES (1, 0.0::DOUBLE), (2, 0.519755::DOUBLE), (7, 1.386774::DOUBLE), (10, 1.574598::DOUBLE), (25, 1.99715::DOUBLE), (50, 2.276303::DOUBLE)) AS t(n_trials, reference)")
+def _ratio(top: tuple[float, ...], bottom: tuple[float, ...], x: str) -> str:
+    """A quotient of polynomials, powers written out."""
+    terms = lambda c: " + ".join(f"({k!r}::DOUBLE) * pow({x}, {len(c) - 1 - i})" for i, k in enumerate(c))
+    return f"(({terms(top)}) / ({terms((*bottom, 1.0))}))"
+
+
+def _inverse(p: str) -> str:
+    tail = lambda x: _ratio(scalars.ACKLAM_C, scalars.ACKLAM_D, f"sqrt(-2 * ln({x}))")
+    return f"CASE WHEN {p} < 0.02425 THEN {tail(p)} WHEN {p} > 0.97575 THEN -{tail(f'(1 - {p})')} ELSE ({p} - 0.5) * {_ratio(scalars.ACKLAM_A, scalars.ACKLAM_B, f'({p} - 0.5)^2')} END"
+
+
+add(
+    "expected_max_sharpe",
+    f"""WITH u AS (SELECT user_id::VARCHAR AS trials_of, count(*) AS n_trials FROM events GROUP BY 1), t AS (SELECT * FROM u UNION ALL SELECT 'all users', count(*) FROM u),
+p AS (SELECT *, (1 - 1 / n_trials)::DOUBLE AS p, 1 - 1 / (n_trials * exp(1)) AS o FROM t)
+SELECT trials_of, n_trials, CASE WHEN n_trials <= 1 THEN 0 ELSE (1 - 0.5772156649::DOUBLE) * ({_inverse('p')}) + 0.5772156649::DOUBLE * ({_inverse('o')}) END AS reference FROM p""",
+    "reference",
+    8,
+)
 add("norm_cdf", f"SELECT event_id, {cdf('x')} AS p FROM (SELECT event_id, (value - 50) / 25 AS x FROM events)", "p")
 add("norm_sigmoid", "SELECT event_id, 10 / (1 + exp(-0.1::DOUBLE * (value - 50))) AS up, 10 - 10 / (1 + exp(-0.1::DOUBLE * (value - 50))) AS down FROM events", "up down")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parsing import header
+from ..functions.parsing import header, header_of
 from .adapters import CANONICAL, TEXT_FIELDS
 
 # Headers of HTML reports, by canonical column.
@@ -72,11 +72,27 @@ def canonical_table(name: str) -> str | None:
     return next((c for c, names in TABLE_HEADERS.items() if key in names), None)
 
 
+def _looked_up(headers: dict[str, tuple[str, ...]], key: Column) -> Column:
+    pairs = [x for c, names in headers.items() for n in names for x in (F.lit(n), F.lit(c))]
+    return F.element_at(F.create_map(*pairs), key)
+
+
+def canonical_html_of(name: Column) -> Column:
+    """canonical_html of a column of headers."""
+    return _looked_up(HTML_HEADERS, header_of(name))
+
+
+def canonical_table_of(name: Column) -> Column:
+    """canonical_table of a column of headers."""
+    return _looked_up(TABLE_HEADERS, F.lower(F.regexp_replace(name, r"^\s+|\s+$", "")))
+
+
 def format_of(path: Column, content: Column) -> Column:
-    """html, csv or xlsx, by the name's ending, else by the first byte that is no blank."""
+    """html, csv or xlsx, by the name's ending, else html where the first byte that is no blank is `<`, however many
+    blanks or lines come before; a byte order mark may come first."""
     ending = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    start = F.decode(F.substring(content, 1, 256), "ISO-8859-1")
-    return F.when(ending.isin("html", "htm"), "html").when(ending == "csv", "csv").when(ending.isin("xlsx", "xlsm"), "xlsx").otherwise(F.when(F.ltrim(start).startswith("<"), "html").otherwise("csv"))
+    tagged = F.decode(content, "ISO-8859-1").rlike(r"^(?:\xEF\xBB\xBF)?[\x09-\x0D\x20]*+<")
+    return F.when(ending.isin("html", "htm"), "html").when(ending == "csv", "csv").when(ending.isin("xlsx", "xlsm"), "xlsx").otherwise(F.when(tagged, "html").otherwise("csv"))
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
