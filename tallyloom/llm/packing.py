@@ -36,9 +36,9 @@ from . import common
 CAPACITY = 1024
 END = 2
 #: Pieces of a batch, islands of an unfinished one, epochs between migrations at most, generations of an epoch.
-BATCH, ISLANDS, EPOCHS, GENERATIONS = 8192, 4, 3, 60
+BATCH, ISLANDS, EPOCHS, GENERATIONS = 8192, 4, 2, 20
 #: One in so many sequences of a batch, the least filled, goes to the next round.
-HANDED = 16
+HANDED = 8
 POPULATION = 6
 #: Cuts whose ids a worker keeps at most; characters tokenized together.
 KEPT, STRETCH = 1 << 19, 1 << 20
@@ -53,6 +53,22 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
+class _Seen(dict):
+    """Ids of cuts, each asked of the model when it is first met."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, cut: str) -> bytes:
+        if len(self) >= KEPT:
+            for late in list(islice(self, KEPT // 2, None)):  # frequent cuts were met early
+                del self[late]
+        ids = [t.id for t in self.model.tokenize(cut.encode().decode("latin-1").translate(_BYTES))]
+        self[cut] = found = pack_ids(f"<{len(ids)}I", *ids)
+        return found
+
+
 class Tokens:
     """Ids of texts, by a tokenizer's JSON.
 
@@ -66,26 +82,17 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(rules)
-        self.model = self.tokenizer.model
         read = json.loads(rules)
         before = read.get("pre_tokenizer") or {}
         self.by_cuts = read.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and read["model"].get("type") == "BPE" and not read["model"].get("dropout")
         self.added = [t["content"] for t in read.get("added_tokens", [])]
-        self.seen: dict[str, bytes] = {}
+        self.seen = _Seen(self.tokenizer.model)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _known(self, text: str) -> bytes:
-        cuts = _CUTS.findall(text)
-        new = set(cuts).difference(self.seen)
-        if len(self.seen) + len(new) > KEPT:
-            self.seen = dict(islice(self.seen.items(), KEPT // 2))  # frequent cuts were met early
-            new = set(cuts).difference(self.seen)
-        for c in new:
-            ids = [t.id for t in self.model.tokenize(c.encode().decode("latin-1").translate(_BYTES))]
-            self.seen[c] = pack_ids(f"<{len(ids)}I", *ids)
-        return b"".join(map(self.seen.__getitem__, cuts))
+        return b"".join(map(self.seen.__getitem__, _CUTS.findall(text)))
 
     def ids(self, text: str) -> bytes:
         """The ids, four bytes each, the lowest first."""
@@ -266,18 +273,19 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
         yield x.values.to_numpy().astype(np.int64) if x.values is not None else np.zeros(0, np.int64)
 
 
-def _packed_batches(batches: DataFrame, capacity: int, islands: int, epochs: int, generations: int) -> DataFrame:
-    """(batch, packing) of batches (batch, lengths)."""
+def _packed_batches(batches: DataFrame, n: int, capacity: int, islands: int, epochs: int, generations: int) -> DataFrame:
+    """(batch, packing) of `n` batches (batch, lengths)."""
 
     def start(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
+            _tokens.clear()  # a worker that has made ids before needs them no more
             out, done = [], []
             for lengths in _lists(b.column("lengths")):
                 out.append(first_packing(lengths, capacity))
                 done.append(int(out[-1].max(initial=-1)) + 1 <= lower_bound(lengths, capacity))
             yield pa.RecordBatch.from_arrays([b.column("batch"), pa.array(out, pa.list_(pa.int32())), pa.array(done)], ["batch", "packing", "done"])
 
-    first = common.cut(batches.mapInArrow(start, "batch long, packing array<int>, done boolean"))
+    first = common.cut(batches.coalesce(n).mapInArrow(start, "batch long, packing array<int>, done boolean"))
     found = [first.filter("done").select("batch", "packing")]
     state = batches.join(first.filter("NOT done"), "batch").select("batch", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", F.array("packing").alias("packings"))
     schema = "batch long, island int, lengths array<int>, packings array<array<int>>, done boolean, sequences int, filled double"
@@ -296,7 +304,7 @@ def _packed_batches(batches: DataFrame, capacity: int, islands: int, epochs: int
                     kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())), pa.bool_(), pa.int32(), pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], ["batch", "island", "lengths", "packings", "done", "sequences", "filled"])
 
-        state = common.cut(state.repartition("batch", "island").mapInArrow(live, schema))
+        state = common.cut(state.repartition(n * islands).mapInArrow(live, schema))
         best = state.groupBy("batch").agg(F.min_by(F.col("packings")[0], F.struct("sequences", -F.col("filled"), "island")).alias("packing"), F.bool_or("done").alias("done"))
         last = epoch == epochs - 1
         found.append(best.filter(F.lit(last) | F.col("done")).select("batch", "packing"))
@@ -320,7 +328,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, batch: int = BATCH, islands
         n = max(1, round(left / batch))
         dealt = rest.groupBy(F.pmod(F.xxhash64("uid", F.lit(number)), F.lit(n)).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("uid", "length"))).alias("items"))
         dealt = common.cut(dealt.select("batch", "items.uid", "items.length").toDF("batch", "uids", "lengths"))
-        packed = _packed_batches(dealt.select("batch", "lengths"), capacity, islands, epochs, generations)
+        packed = _packed_batches(dealt.select("batch", "lengths"), n, capacity, islands, epochs, generations)
         alone = n == 1
 
         def place(parts: Iterator[pa.RecordBatch], alone: bool = alone) -> Iterator[pa.RecordBatch]:
@@ -337,7 +345,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, batch: int = BATCH, islands
                     size = len(uids)
                     yield pa.RecordBatch.from_arrays([pa.array(uids), pa.array(lengths.astype(np.int32)), pa.array(np.full(size, batch_number)), pa.array(packing), pa.array(offset), pa.array(again[packing])], ["uid", "length", "batch", "sequence", "offset", "again"])
 
-        placed = common.cut(dealt.join(packed, "batch").mapInArrow(place, "uid long, length int, batch long, sequence long, offset long, again boolean"))
+        placed = common.cut(dealt.join(packed, "batch").coalesce(n).mapInArrow(place, "uid long, length int, batch long, sequence long, offset long, again boolean"))
         numbered = F.lit(number << 56).bitwiseOR(F.shiftleft("batch", 20)).bitwiseOR(F.col("sequence"))
         done = done.unionByName(placed.filter("NOT again").select("uid", numbered.alias("sequence_id"), "offset"))
         rest, number = placed.filter("again").select("uid", "length"), number + 1
