@@ -41,7 +41,7 @@ BATCH, ISLANDS, EPOCHS, GENERATIONS = 8192, 4, 2, 20
 HANDED = 8
 POPULATION = 6
 #: Cuts whose ids a worker keeps at most; characters tokenized together.
-KEPT, STRETCH = 1 << 19, 1 << 20
+KEPT, STRETCH = 1 << 20, 1 << 20
 
 #: Characters of which every Unicode version knows what they are, and how the byte-level pattern cuts text of them.
 _KNOWN = re.compile("[\t-\r -~À-ÖØ-öø-ſ]*")
@@ -174,13 +174,13 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 def best_fit(lengths: np.ndarray, packing: np.ndarray, fill: list[int], which: np.ndarray, capacity: int) -> None:
     """Places the pieces `which`, the longest first, each in the sequence with the least room that holds it; else in a new one."""
+    if not len(which):
+        return
     rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
     open_rooms = 0
-    for number, used in enumerate(fill):
-        rooms[capacity - used].append(number)
-    for room in range(1, capacity + 1):
-        if rooms[room]:
-            open_rooms |= 1 << room
+    for number in np.flatnonzero(capacity - np.array(fill, np.int64) >= lengths[which].min()).tolist():  # the others hold none of them
+        rooms[capacity - fill[number]].append(number)
+        open_rooms |= 1 << (capacity - fill[number])
     for i in which[np.argsort(-lengths[which], kind="stable")].tolist():
         need = int(lengths[i])
         fits = open_rooms >> need
