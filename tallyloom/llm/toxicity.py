@@ -3,8 +3,8 @@
 A text's features are its character n-grams (`GRAMS` code points, A-Z lower-cased, blanks as one kind, a blank
 before and after the text), hashed to `SLOTS` places; a feature's value is log2(1 + its count). The ratio of a
 place is the log of its smoothed share among toxic texts over that among the others, summed over every labelled
-text that may be learned from. Places met less than `LEAST` times or with a ratio within `FLAT` of 0 tell nothing
-and are left out. Logistic regression on the values times their ratios gives the weights; both classes weigh alike
+text that may be learned from. Places whose values sum to less than `least` or whose ratio lies within `flat` of 0 tell little
+and are left out; with both 0 none but those with a ratio of 0 is. Logistic regression on the values times their ratios gives the weights; both classes weigh alike
 in the fit, and the intercept is then moved by half the log of the classes' odds, between equal classes and the
 classes as frequent as in the labels.
 
@@ -32,16 +32,18 @@ from .langid import held_out
 BITS = 20
 SLOTS = 1 << BITS
 GRAMS = (4, 5, 6)
-LEAST = 3
-FLAT = 0.5
-#: Values of counts, log2(1 + count), in sixteenths: whole numbers, so that sums do not depend on their order.
-VALUES = np.rint(16 * np.log2(1 + np.arange(256))).astype(np.int64)
+LEAST, FLAT = 3.0, 0.5
 #: Small letters for A-Z, a blank for each of \x09-\x0D.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 FOLD[9:14] = 32
 
 
+def values(counts: np.ndarray) -> np.ndarray:
+    """log2(1 + count) in sixteenths: whole numbers, so that sums do not depend on their order."""
+    return np.rint(16 * np.log2(1.0 + counts)).astype(np.int64)
+
+
 def grams_of(text: bytes) -> np.ndarray:
     """The places of a text's n-grams, with repeats."""
     data = FOLD[np.frombuffer(b" " + text + b" ", np.uint8)]
@@ -52,12 +54,12 @@ def grams_of(text: bytes) -> np.ndarray:
 
 
 def features(column: pa.Array, used: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, counts up to 255) of each text, of the places in `used` only where given."""
+    """(places, counts) of each text, of the places in `used` only where given."""
     data, off = common.utf8(column)
     for a, b in zip(off[:-1], off[1:]):
         found = grams_of(data[a:b].tobytes())
         places, counts = np.unique(found if used is None else found[used[found]], return_counts=True)
-        yield places, np.minimum(counts, 255)
+        yield places, counts
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most_sent: int = 8_000_000) -> DataFrame:
@@ -94,7 +96,7 @@ def class_counts(rows: DataFrame) -> DataFrame:
         for b in batches:
             for (places, counts), toxic in zip(features(b.column("text")), b.column("toxic").to_pylist()):
                 k = 0 if toxic >= 1 else 1
-                sums[k, places] += VALUES[counts]
+                sums[k, places] += values(counts)
                 sums[k, SLOTS] += 1
                 sums[k, SLOTS + 1] += len(places)
         at = np.flatnonzero(sums.any(axis=0))
@@ -110,21 +112,21 @@ def sample_features(rows: DataFrame, shares: tuple[float, float], used: np.ndarr
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.unpackbits(sent.value, count=SLOTS).astype(bool)
         for b in batches:
-            found = [(places.tobytes(), counts.astype(np.uint8).tobytes()) for places, counts in features(b.column("text"), mask)]
+            found = [(places.tobytes(), counts.astype(np.int32).tobytes()) for places, counts in features(b.column("text"), mask)]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array([x[i] for x in found], pa.binary()) for i in (0, 1))], ["toxic", "slots", "counts"])
 
     share = F.when(F.col("toxic") >= 1, F.lit(shares[0])).otherwise(F.lit(shares[1]))
     drawn = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < share * (1 << 20)).select("text", "toxic")
     got = drawn.mapInArrow(pick, "toxic int, slots binary, counts binary").toArrow()
     rows = sorted(zip(got["slots"].to_pylist(), got["counts"].to_pylist(), got["toxic"].to_pylist()))  # the fit does not depend on the order of tasks
-    return [(np.frombuffer(x, np.int32), np.frombuffer(n, np.uint8)) for x, n, _ in rows], np.array([y >= 1 for *_, y in rows], np.float64)
+    return [(np.frombuffer(x, np.int32), np.frombuffer(n, np.int32)) for x, n, _ in rows], np.array([y >= 1 for *_, y in rows], np.float64)
 
 
 def fit(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, ratio: np.ndarray, rounds: int = 100, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights by place (ratio included) and intercept: accelerated gradient descent on the logistic loss, both classes alike."""
     row = np.repeat(np.arange(len(texts)), [len(f) for f, _ in texts])
     place, column = np.unique(np.concatenate([f for f, _ in texts]), return_inverse=True)
-    x = VALUES[np.concatenate([n for _, n in texts])] * ratio[place][column]
+    x = values(np.concatenate([n for _, n in texts])) * ratio[place][column]
     x /= np.maximum(np.sqrt(np.bincount(row, weights=x * x, minlength=len(texts))), 1e-9)[row]  # rows of unit length
     weight, bias = np.zeros(len(place)), 0.0
     ahead, bias_ahead, t = weight, bias, 1.0
@@ -159,13 +161,13 @@ class Model:
         mask[self.used], weight[self.used], square[self.used] = True, self.weight, self.square
 
         def scores(column: pa.Array) -> np.ndarray:
-            z = [self.bias + (weight[f] * (v := VALUES[n])).sum() / np.sqrt(max((square[f] * v * v).sum(), 1e-9)) for f, n in features(column, mask)]
+            z = [self.bias + (weight[f] * (v := values(n))).sum() / np.sqrt(max((square[f] * v * v).sum(), 1e-9)) for f, n in features(column, mask)]
             return 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -500, 500)))
 
         return scores
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_each: int = 1500, fit_features: int = 8_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, fit_each: int = 1500, fit_features: int = 8_000_000, least: float = LEAST, flat: float = FLAT) -> Model:
     rows = labelled(docs, labels)
     counts = class_counts(rows).toArrow().to_pandas()  # at most SLOTS + 2 rows
     totals = counts[counts["slot"] == -1]
@@ -180,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_each: int = 1500, fit_features
     p[counts["slot"]] = counts["toxic"] / 16
     q[counts["slot"]] = counts["clean"] / 16
     ratio = np.log(((p + 1) / (n_toxic + 2)) / ((q + 1) / (n_clean + 2)))
-    ratio[(p + q < LEAST) | (np.abs(ratio) < FLAT)] = 0
+    ratio[(p + q == 0) | (p + q < least) | (np.abs(ratio) < flat)] = 0  # a place never met tells nothing
     shares = tuple(min(1.0, fit_each / n, fit_features / 2 / max(w, 1)) for n, w in zip((n_toxic, n_clean), wide))
     texts, toxic = sample_features(rows, shares, ratio != 0)
     if not ratio.any() or not len(texts):

@@ -1,4 +1,4 @@
-"""Operators 11 to 13 against brute force."""
+"""Operators 3 and 11 to 13 against brute force."""
 
 import random
 import zlib
@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import negatives, packing, periodic
+from tallyloom.llm import common, negatives, packing, periodic, toxicity
 
 tokenizer = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
@@ -264,3 +264,63 @@ def test_large_components():
     assert negatives.inner(big, big).tolist() == [[negatives.LIMIT, -negatives.LIMIT, (1 << 60) + 3 * (1 << 20)], [-negatives.LIMIT, negatives.LIMIT, -(1 << 60) + (1 << 20)], [(1 << 60) + 3 * (1 << 20), -(1 << 60) + (1 << 20), 1 << 41]]
     middle = np.array([[2.0**29, 1.0]])
     assert negatives.inner(middle, middle).tolist() == [[(1 << 58) + 1]]
+
+
+# ---- toxicity
+
+
+def brute_features(text):
+    """Counts by place: every run of 4, 5 and 6 characters, one by one."""
+    text = " " + "".join(c.lower() if "A" <= c <= "Z" else " " if c in "\t\n\x0b\x0c\r" else c for c in text or "") + " "
+    counts = {}
+    for n in (4, 5, 6):
+        for i in range(len(text) - n + 1):
+            raw = np.frombuffer(text[i : i + n].encode(), np.uint8)
+            place = int(common.mix(common.RollingHash(raw).spans(np.array([0]), np.array([len(raw)])) ^ np.uint64(n))[0] >> np.uint64(44))
+            counts[place] = counts.get(place, 0) + 1
+    return counts
+
+
+def brute_scores(rows, labels, least, flat):
+    """Counts, ratios and scores in dictionaries; the fit itself is tested by its own."""
+    toxic_ids = {}
+    for i, y in labels:
+        toxic_ids[i] = max(y, toxic_ids.get(i, 0))
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    value = lambda n: round(16 * np.log2(1 + n))
+    known = [(brute_features(t), toxic_ids[i]) for i, t in rows if i in toxic_ids and not held(i)]
+    sums = ({}, {})
+    for features, y in known:
+        for place, n in features.items():
+            sums[y][place] = sums[y].get(place, 0) + value(n) / 16
+    n_clean, n_toxic = (sum(y == c for _, y in known) for c in (0, 1))
+    ratio = {}
+    for place in sums[0].keys() | sums[1].keys():
+        q, p = (sums[c].get(place, 0) for c in (0, 1))
+        r = np.log(((p + 1) / (n_toxic + 2)) / ((q + 1) / (n_clean + 2)))
+        if p + q >= least and abs(r) >= flat and r:
+            ratio[place] = r
+    texts = sorted((np.array(sorted(k for k in f if k in ratio), np.int32).tobytes(), np.array([f[k] for k in sorted(f) if k in ratio], np.int32).tobytes(), y) for f, y in known)
+    dense = np.zeros(toxicity.SLOTS)
+    dense[list(ratio)] = list(ratio.values())
+    weight, bias = toxicity.fit([(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)) for a, b, _ in texts], np.array([float(y) for *_, y in texts]), dense)
+    bias += np.log(n_toxic / n_clean) / 2
+    out = {}
+    for i, t in rows:
+        f = {k: value(n) for k, n in brute_features(t).items() if k in ratio}
+        length = np.sqrt(max(sum((ratio[k] * v) ** 2 for k, v in f.items()), 1e-9))
+        out[i] = 1 / (1 + np.exp(-(bias + sum(weight[k] * v for k, v in f.items()) / length)))
+    return out
+
+
+@pytest.mark.parametrize("least, flat", [(3.0, 0.5), (0.0, 0.0)])
+def test_toxicity_is_brute_force(spark, least, flat):
+    r = random.Random(6)
+    words = ["nice", "Bad é", "vile\tthing", "tree", "stone", "awful", "plain", "日本"]
+    rows = [(i, " ".join(r.choice(words[1:3] + words[5:6] if i % 3 == 0 else words) for _ in range(r.randint(0, 9)))) for i in range(70)]
+    rows += [(70, None), (71, "vile " * 700), (72, "tree " * 900)]  # counts far above 255
+    labels = [(i, int(i % 3 == 0)) for i in range(60)] + [(71, 1), (72, 0), (0, 0)]
+    got = toxicity.toxicity_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int"), least=least, flat=flat).collect()
+    want = brute_scores(rows, labels, least, flat)
+    assert {x["doc_id"]: x["score"] for x in got} == {i: pytest.approx(s, abs=1e-9) for i, s in want.items()}
+    assert all(x["predicted"] == int(x["score"] >= 0.5) for x in got)
