@@ -1,7 +1,8 @@
 """Cleaning of bronze ledgers: nine steps from raw rows to trades, rejects and a report.
 
 Text columns go through the parsers, typed columns are taken as they are. Duplicates are one grouped
-aggregate; all later steps are projections and windows over a strategy, so rows are dealt by strategy once.
+aggregate; all later steps are projections and scans along a strategy, so rows are dealt by strategy once, or by
+chunks of strategies where one has more than `chunk_rows` rows.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing
 from ..plans.config import EvalConfig
+from ..plans.lineage import settle
 from ..sources.adapters import CANONICAL
+from . import scans
+from .quantiles import quantiles
 
 REQUIRED = ("timestamp", "side", "quantity", "entry_price", "exit_price")
 NUMBERS = ("quantity", "entry_price", "exit_price", "gross_pnl", "commission", "swap", "pnl", "balance")
@@ -107,7 +111,7 @@ def deduplicated(rows: DataFrame) -> DataFrame:
 
 def numbered(rows: DataFrame) -> DataFrame:
     """Rows with `seq`, from 1 by time and place in the input."""
-    return rows.withColumn("seq", F.row_number().over(by_strategy().orderBy("timestamp", "row_idx")))
+    return scans.numbered(rows, ["timestamp", "row_idx"])
 
 
 def flipped(rows: DataFrame) -> DataFrame:
@@ -125,11 +129,20 @@ def imputed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"pnl": F.when(need, F.coalesce("gross_pnl", naive) + fees).otherwise(F.col("pnl")), "imputed": need})
 
 
+def with_median(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a strategy's median; of chunks, whose strategies may be large, by counting."""
+    if scans.CHUNK not in rows.columns:
+        return rows.withColumn(name, F.percentile(value, F.lit(0.5)).over(by_strategy()))
+    rows = settle(rows)
+    found = quantiles(rows.select(*KEY, value.cast("double").alias("v")), [0.5]).select(*KEY, F.col("q")[0].alias(name))
+    sizes = rows.groupBy(*KEY).agg(F.count("*").alias("_rows"))
+    return scans.join_hot(rows, sizes.join(found, KEY, "left"), "strategy_id", "_rows").drop("_rows")
+
+
 def capped(rows: DataFrame, factor: float) -> DataFrame:
     """pnl clamped to the median by `factor` median absolute deviations: median, mad, capped_pnl, is_outlier."""
-    whole = by_strategy()
-    rows = rows.withColumn("median", F.percentile("pnl", F.lit(0.5)).over(whole))
-    rows = rows.withColumn("mad", F.percentile(F.abs(F.col("pnl") - F.col("median")), F.lit(0.5)).over(whole))
+    off = F.abs(F.col("pnl") - F.col("median"))
+    rows = with_median(with_median(rows, "median", F.col("pnl")), "mad", off)
     cap = F.when(F.col("mad") * factor > 0, F.col("mad") * factor).otherwise(1e-9)
     return rows.withColumns(
         {
@@ -141,26 +154,29 @@ def capped(rows: DataFrame, factor: float) -> DataFrame:
 
 def balanced(rows: DataFrame, start_balance: float) -> DataFrame:
     """balance_after: the reported balances if a strategy has all of them, else start plus running pnl."""
-    whole = F.bool_and(F.col("balance").isNotNull()).over(by_strategy())
-    return rows.withColumn("balance_after", F.when(whole, F.col("balance")).otherwise(F.lit(start_balance) + F.sum("pnl").over(running())))
+    rows = scans.of_strategy(scans.running_sums(rows, {"_sum": F.col("pnl")}), {"_whole": F.bool_and(F.col("balance").isNotNull())})
+    return rows.withColumn("balance_after", F.when(F.col("_whole"), F.col("balance")).otherwise(F.lit(start_balance) + F.col("_sum"))).drop("_whole", "_sum")
 
 
 def gapped(rows: DataFrame) -> DataFrame:
     """duration_seconds: since the trade before closed; 1 for the first and for ties."""
-    gap = (F.unix_micros("timestamp") - F.unix_micros(F.lag("timestamp").over(in_order()))) / 1e6
-    return rows.withColumn("duration_seconds", F.when(gap > 0, gap).otherwise(1.0))
+    gap = (F.unix_micros("timestamp") - F.unix_micros("_before")) / 1e6
+    return scans.lagged(rows, {"_before": F.col("timestamp")}).withColumn("duration_seconds", F.when(gap > 0, gap).otherwise(1.0)).drop("_before")
 
 
 TRADE = ["strategy_id", "seq", "position_id", "deal_id", "timestamp", "symbol", "side", "quantity", "entry_price", "exit_price", "gross_pnl", "commission", "swap", "pnl", "capped_pnl", "balance_after", "entry_notional", "is_outlier", "duration_seconds"]
 
 
 def trades_of(flags: DataFrame, config: EvalConfig) -> DataFrame:
-    """Steps 3 to 9 on flagged rows: the trades."""
+    """Steps 3 to 9 on flagged rows: the trades; with `chunk` if any strategy has more than `chunk_rows` rows."""
     kept = flags.filter(~F.col("adjustment") & F.col("reason").isNull()).drop("adjustment", "reason")
-    rows = imputed(flipped(numbered(deduplicated(kept).drop("copies"))))
+    rows = deduplicated(kept).drop("copies")
+    if scans.hot_strategies(flags, config.chunk_rows):
+        rows = scans.in_chunks(rows, ["timestamp", "row_idx"], config.chunk_rows)
+    rows = imputed(flipped(numbered(rows)))
     rows = gapped(balanced(capped(rows, config.mad_cap_factor), config.start_balance))
     rows = rows.withColumns({"symbol": F.coalesce("symbol", F.lit("UNKNOWN")), "commission": F.coalesce("commission", F.lit(0.0)), "swap": F.coalesce("swap", F.lit(0.0)), "entry_notional": F.col("quantity") * F.col("entry_price")})
-    return rows.select(*TRADE)
+    return rows.select(*TRADE, *(c for c in (scans.CHUNK,) if c in rows.columns))
 
 
 def report_of(flags: DataFrame, trades: DataFrame) -> DataFrame:

@@ -6,12 +6,14 @@ then a grouped aggregate of it, or of it joined with a strategy's scalars.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import expected_max_sharpe, normal_cdf
 from ..plans.config import DAYS_A_YEAR, EPS, MOST_PROFIT_FACTOR, EvalConfig
-from .cleaning import KEY, by_strategy, in_order, running
+from . import scans
+from .cleaning import KEY
+from .quantiles import quantiles
 from .series import curve_points, islands, marked_equity, monthly_returns, with_equity, with_returns
 
 DAY = 86_400.0
@@ -78,17 +80,20 @@ def _moments(a: DataFrame) -> dict[str, Column]:
 
 def growth(facts: DataFrame, config: EvalConfig) -> DataFrame:
     """Net pnl, total return, CAGR over whole days, mean and median return, skewness and kurtosis."""
+    whole = scans.CHUNK not in facts.columns
     a = facts.groupBy(*KEY).agg(
         F.count("*").alias("n"),
         F.sum("capped_pnl").alias("net_pnl"),
         F.min("timestamp").alias("_first"),
         F.max("timestamp").alias("_last"),
         F.avg("R").alias("mean_return_per_trade"),
-        F.percentile("R", F.lit(0.5)).alias("median_return_per_trade"),
+        *((F.percentile("R", F.lit(0.5)).alias("median_return_per_trade"),) if whole else ()),
         F.stddev_samp("R").alias("_sd"),
         F.skewness("R").alias("_g1"),
         F.kurtosis("R").alias("_g2"),
     )
+    if not whole:
+        a = a.join(quantiles(facts.select(*KEY, F.col("R").alias("v")), [0.5]).select(*KEY, F.col("q")[0].alias("median_return_per_trade")), KEY, "left")
     start = config.start_balance
     a = a.withColumns({"days": F.floor((F.unix_micros("_last") - F.unix_micros("_first")) / (DAY * 1e6)), "_end": F.lit(start) + F.col("net_pnl")})
     enough = (F.col("n") >= 2) & (F.col("days") >= 7)
@@ -139,10 +144,9 @@ def marked_drawdown(trades: DataFrame, config: EvalConfig) -> DataFrame:
 
 def with_rates(facts: DataFrame, config: EvalConfig) -> DataFrame:
     """Adds n, trades_per_year, rf_per_trade and annualiser of the strategy to each trade."""
-    whole = by_strategy()
     at = F.unix_micros("timestamp")
-    days = F.floor((F.max(at).over(whole) - F.min(at).over(whole)) / (DAY * 1e6))
-    rows = facts.withColumns({"n": F.count("*").over(whole), "_days": days})
+    rows = scans.of_strategy(facts, {"n": F.count("*"), "_from": F.min(at), "_to": F.max(at)})
+    rows = rows.withColumn("_days", F.floor((F.col("_to") - F.col("_from")) / (DAY * 1e6))).drop("_from", "_to")
     n = F.col("n").cast("double")
     per_year = F.when(n >= 2, n * DAYS_A_YEAR / F.greatest(F.lit(1.0), F.col("_days").cast("double"))).otherwise(n)
     rows = rows.withColumn("trades_per_year", per_year).drop("_days")
@@ -153,8 +157,13 @@ def with_rates(facts: DataFrame, config: EvalConfig) -> DataFrame:
 
 def tails(facts: DataFrame) -> DataFrame:
     """(strategy_id, p5, p95, tail_ratio, var_95, cvar_95): extremes instead of percentiles below ten trades."""
-    whole = by_strategy()
-    rows = facts.withColumns({"_n": F.count("*").over(whole), "_p": F.percentile("R", F.array(F.lit(0.05), F.lit(0.95))).over(whole), "_lo": F.min("R").over(whole), "_hi": F.max("R").over(whole)})
+    values = {"_n": F.count("*"), "_lo": F.min("R"), "_hi": F.max("R")}
+    if scans.CHUNK not in facts.columns:
+        rows = scans.of_strategy(facts, {**values, "_p": F.percentile("R", F.array(F.lit(0.05), F.lit(0.95)))})
+    else:
+        sizes = facts.groupBy(*KEY).agg(*(c.alias(n) for n, c in values.items()))
+        found = quantiles(facts.select(*KEY, F.col("R").alias("v")), [0.05, 0.95]).withColumnRenamed("q", "_p")
+        rows = scans.join_hot(facts, sizes.join(found, KEY, "left"), "strategy_id", "_n")
     pick = lambda i, edge: F.when(F.col("_n") >= 10, F.col("_p")[i]).when(F.col("_n") >= 2, F.col(edge)).otherwise(0.0)
     rows = rows.select(*KEY, "R", pick(0, "_lo").alias("p5"), pick(1, "_hi").alias("p95"))
     a = rows.groupBy(*KEY, "p5", "p95").agg(F.avg(F.when(F.col("R") <= F.col("p5"), F.col("R"))).alias("_tail"))
@@ -208,9 +217,8 @@ def psr(reference: Column) -> Column:
 
 def streaks(trades: DataFrame) -> DataFrame:
     """(strategy_id, max_win_streak, max_loss_streak, streak_ratio); ties break both."""
-    sign = F.signum("capped_pnl")
-    rows = trades.withColumn("_s", sign).withColumn("_new", F.coalesce(F.col("_s") != F.lag("_s").over(in_order()), F.lit(True)))
-    rows = rows.withColumn("_run", F.sum(F.col("_new").cast("int")).over(running()))
+    rows = scans.lagged(trades.withColumn("_s", F.signum("capped_pnl")), {"_before": F.col("_s")})
+    rows = scans.running_sums(rows.withColumn("_new", F.coalesce(F.col("_s") != F.col("_before"), F.lit(True)).cast("int")), {"_run": F.col("_new")})
     runs = rows.groupBy(*KEY, "_run", "_s").agg(F.count("*").alias("_length"))
     longest = lambda s, name: F.coalesce(F.max(F.when(F.col("_s") == s, F.col("_length"))), F.lit(0).cast("long")).alias(name)
     out = runs.groupBy(*KEY).agg(longest(1, "max_win_streak"), longest(-1, "max_loss_streak"))
@@ -219,9 +227,8 @@ def streaks(trades: DataFrame) -> DataFrame:
 
 def runs_test(trades: DataFrame) -> DataFrame:
     """(strategy_id, runs, runs_z): sign changes among wins and losses against their expected number."""
-    rows = trades.withColumn("_s", F.when(F.col("capped_pnl") != 0, F.signum("capped_pnl")))
-    before = F.last("_s", True).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_new", F.col("_s").isNotNull() & F.coalesce(F.col("_s") != before, F.lit(True)))
+    rows = scans.lagged(trades.withColumn("_s", F.when(F.col("capped_pnl") != 0, F.signum("capped_pnl"))), {"_before": F.col("_s")}, skip_nulls=True)
+    rows = rows.withColumn("_new", F.col("_s").isNotNull() & F.coalesce(F.col("_s") != F.col("_before"), F.lit(True)))
     a = rows.groupBy(*KEY).agg(F.count_if("_new").alias("runs"), F.count_if(F.col("_s") > 0).alias("_w"), F.count_if(F.col("_s") < 0).alias("_l"))
     w, lost = F.col("_w").cast("double"), F.col("_l").cast("double")
     mean = 1 + 2 * w * lost / F.greatest(w + lost, F.lit(1.0))

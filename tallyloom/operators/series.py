@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.config import EPS, EvalConfig
-from .cleaning import KEY, by_strategy, in_order, running
+from . import scans
+from .cleaning import KEY
 
 
 def with_returns(trades: DataFrame, config: EvalConfig) -> DataFrame:
@@ -15,13 +16,15 @@ def with_returns(trades: DataFrame, config: EvalConfig) -> DataFrame:
     Numerators are capped pnl, denominators the reported or rebuilt balance before the trade; one unusable
     balance sends the whole strategy to the trade's notional instead.
     """
-    reported = F.bool_and(F.col("balance_after").isNotNull()).over(by_strategy())
-    lagged = F.coalesce(F.lag("balance_after").over(in_order()), F.col("balance_after") - F.col("capped_pnl"))
-    built = F.lit(config.start_balance) + F.coalesce(F.sum("capped_pnl").over(in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rows = trades.withColumn("balance_before", F.when(reported, lagged).otherwise(built))
-    usable = F.bool_and(F.coalesce(F.abs("balance_before") > EPS, F.lit(False))).over(by_strategy())
+    rows = scans.lagged(scans.running_sums(trades, {"_sum": F.col("capped_pnl")}), {"_last": F.col("balance_after"), "_built": F.col("_sum")})
+    rows = scans.of_strategy(rows, {"_reported": F.bool_and(F.col("balance_after").isNotNull())})
+    lagged = F.coalesce("_last", F.col("balance_after") - F.col("capped_pnl"))
+    built = F.lit(config.start_balance) + F.coalesce("_built", F.lit(0.0))
+    rows = rows.withColumn("balance_before", F.when(F.col("_reported"), lagged).otherwise(built))
+    rows = scans.of_strategy(rows, {"_usable": F.bool_and(F.coalesce(F.abs("balance_before") > EPS, F.lit(False)))})
     notional = F.when(F.abs("entry_notional") > EPS, F.col("entry_notional")).otherwise(1.0)
-    return rows.withColumn("R", F.when(usable, F.col("capped_pnl") / F.col("balance_before")).otherwise(F.col("capped_pnl") / notional))
+    rows = rows.withColumn("R", F.when(F.col("_usable"), F.col("capped_pnl") / F.col("balance_before")).otherwise(F.col("capped_pnl") / notional))
+    return rows.drop("_sum", "_last", "_built", "_reported", "_usable")
 
 
 def fall(balance: Column, peak: Column) -> Column:
@@ -30,8 +33,8 @@ def fall(balance: Column, peak: Column) -> Column:
 
 def with_equity(trades: DataFrame, config: EvalConfig) -> DataFrame:
     """Adds balance (start plus running capped pnl), peak and dd of the closed-trade curve to each trade."""
-    rows = trades.withColumn("balance", F.lit(config.start_balance) + F.sum("capped_pnl").over(running()))
-    rows = rows.withColumn("peak", F.greatest(F.lit(config.start_balance), F.max("balance").over(running())))
+    rows = scans.running_sums(trades, {"balance": F.col("capped_pnl")}).withColumn("balance", F.lit(config.start_balance) + F.col("balance"))
+    rows = scans.running_max(rows, "peak", F.col("balance")).withColumn("peak", F.greatest(F.lit(config.start_balance), "peak"))
     return rows.withColumn("dd", fall(F.col("balance"), F.col("peak")))
 
 
@@ -80,4 +83,4 @@ def monthly_returns(equity: DataFrame) -> DataFrame:
 
 def islands(rows: DataFrame, inside: Column, name: str) -> DataFrame:
     """Adds `name`, a number for each run of consecutive rows; rows outside of runs begin a new number."""
-    return rows.withColumn(name, F.sum((~inside).cast("int")).over(running()))
+    return scans.running_sums(rows, {name: (~inside).cast("int")})

@@ -374,6 +374,12 @@ def cusum_full(spark, sf_dir):
     return regime.cusum(facts(spark, sf_dir), CONFIG)
 
 
+@query
+def cusum_halves(spark, sf_dir):
+    found = regime.cusums(facts(spark, sf_dir), CONFIG)
+    return found.select(KEY, *(F.col(f"{h}.{c}").alias(f"{h}_{c}") for h in ("first", "second") for c in ("s_plus_peak", "s_minus_peak", "hits", "threshold_hit")))
+
+
 @query
 def regime_halves(spark, sf_dir):
     return regime.halves(facts(spark, sf_dir))

@@ -24,6 +24,8 @@ class EvalConfig:
     block_length: int | None = None
     n_trials: int = 2
     sr_trials: tuple[float, ...] = (0.0, 1.0)
+    #: Strategies of more trades than this have theirs in chunks of this size, each a task's work.
+    chunk_rows: int = 1 << 20
     #: Decimal text, so that 128-bit seeds survive every format.
     seed: str = field(default_factory=lambda: str(secrets.randbits(128)))
 
@@ -34,5 +36,7 @@ class EvalConfig:
             raise ValueError("sr_trials must hold 2 or more Sharpe ratios")
         if not self.seed.isdecimal():
             raise ValueError("seed must be a decimal number, as text")
+        if self.chunk_rows < 1:
+            raise ValueError("chunk_rows must be 1 or more")
         if self.start_balance <= 0 or self.mc_iterations < 0:
             raise ValueError("start_balance must be above 0 and mc_iterations 0 or more")

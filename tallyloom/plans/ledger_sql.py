@@ -225,6 +225,10 @@ hc AS (SELECT *, ((n1 - 1) * s1 * s1 + (n2 - 1) * s2 * s2) / greatest(1, n1 + n2
 halves AS (SELECT strategy_id, n, CASE WHEN n >= 4 THEN m1 - m2 ELSE 0 END AS mean_return_gap, CASE WHEN n >= 4 THEN CASE WHEN s1 > 1e-9 THEN m1 / s1 ELSE 0 END - CASE WHEN s2 > 1e-9 THEN m2 / s2 ELSE 0 END ELSE 0 END AS sharpe_half_gap,
   CASE WHEN n >= 4 AND pooled > 0 THEN sqrt(pooled * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n2)) ELSE 0 END AS gap_error FROM hc)"""
 add("cusum_full", f"WITH RECURSIVE {facts()}, {CUSUM} SELECT * FROM cusum", "s_plus_peak s_minus_peak")
+# the same walk over halves as strategies of their own, numbers 2s and 2s + 1
+_OWN = f"all_facts AS (SELECT *, count(*) OVER (PARTITION BY strategy_id) AS _n FROM whole), facts AS (SELECT * REPLACE (strategy_id * 2 + (seq > _n // 2)::INT AS strategy_id, CASE WHEN seq > _n // 2 THEN seq - _n // 2 ELSE seq END AS seq) FROM all_facts WHERE _n >= 4)"
+_PARTS = ", ".join(f"max({c}) FILTER (strategy_id % 2 = {i}) AS {h}_{c}" for i, h in enumerate(("first", "second")) for c in ("s_plus_peak", "s_minus_peak", "hits", "threshold_hit"))
+add("cusum_halves", f"WITH RECURSIVE {facts().replace('facts AS (', 'whole AS (')}, {_OWN}, {CUSUM}, two AS (SELECT strategy_id // 2 AS strategy_id, {_PARTS} FROM cusum GROUP BY strategy_id // 2) SELECT u.strategy_id, two.* EXCLUDE (strategy_id) FROM (SELECT DISTINCT strategy_id FROM whole) u LEFT JOIN two USING (strategy_id)", "first_s_plus_peak first_s_minus_peak second_s_plus_peak second_s_minus_peak")
 add("regime_halves", f"WITH {facts()}, {HALVES} SELECT * FROM halves", "mean_return_gap sharpe_half_gap gap_error")
 FLAG = "regime AS (SELECT strategy_id, threshold_hit, threshold_hit OR (gap_error > 1e-9 AND abs(mean_return_gap) > 2 * gap_error) OR abs(sharpe_half_gap) > 0.5 AS regime_unstable FROM cusum JOIN halves USING (strategy_id))"
 BASE = "'error', 'view'"
