@@ -3,7 +3,8 @@
 For each wanted rank a range of values is kept that holds it. A round cuts each range into bins, counts its values
 by bin in partial sums, and goes on with the bin that holds the rank, from that bin's smallest to its largest value;
 a range of one value is the answer. No task holds a group's values, only counts by bin. Rounds with even bins
-and with bins that widen by powers follow each other, so values of very different sizes take few rounds, too.
+and with bins even in powers follow each other, so values of very different sizes take few rounds, too; a round with even
+bins always parts a range's smallest value from its largest, so rounds come to an end.
 """
 
 from __future__ import annotations
@@ -48,6 +49,11 @@ def quantiles(values: DataFrame, shares: list[float], bins: int = BINS) -> DataF
     return found.select("strategy_id", F.array(*map(between, shares)).alias("q"))
 
 
+def _powers(v: Column) -> Column:
+    """Grows with v, by as much for each power of a value; no logarithm of a double is below -745."""
+    return F.when(v == 0, 0.0).otherwise(F.signum(v) * (F.log(F.abs(v)) + 746.0))
+
+
 def _refined(values: DataFrame, ends: DataFrame, state: DataFrame, bins: int, widening: bool) -> DataFrame:
     """Each rank's range, cut once."""
     ranges = state.select("strategy_id", "lo", "hi").distinct().groupBy("strategy_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
@@ -59,7 +65,7 @@ def _refined(values: DataFrame, ends: DataFrame, state: DataFrame, bins: int, wi
     wide = F.col("hi") / 2 - F.col("lo") / 2
     share = F.when(wide > 1e-300, F.try_divide(v / 2 - F.col("lo") / 2, wide)).otherwise(F.try_divide(v - F.col("lo"), F.col("hi") - F.col("lo")))
     if widening:
-        share = F.log1p(share * 2.0**40) / F.log1p(F.lit(2.0**40))
+        share = F.coalesce(F.try_divide(_powers(v) - _powers(F.col("lo")), _powers(F.col("hi")) - _powers(F.col("lo"))), F.lit(0.0))
     number = F.least(F.lit(bins - 1), F.floor(share * bins).cast("int"))
     counts = met.groupBy("strategy_id", "lo", "hi", number.alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("z"))
     before = Window.partitionBy("strategy_id", "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,12 +4,17 @@ A draw is a hash of (seed, test, strategy, iteration, place), so it does not dep
 made again anywhere. A strategy's pnl, in order, is one row of at most `MOST_TRADES` numbers; copies of it, each with
 a range of iterations, are dealt evenly, and numpy makes the paths of a range and sums them up, so that only the
 sums of paths leave a task. Strategies of more trades go by an equi-join of places with trades and window sums.
+
+With `rng="numpy"` the draws are those of one sequential generator for each strategy, seeded with the setting's seed, through
+tests A, B, C and the moving block in this order, as a program that evaluates one strategy at a time makes them. Such
+a stream cannot be entered in the middle, so each strategy is one row and one task's work, whatever its size.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +31,8 @@ PLACES = 4096
 MOST_TRADES = 1_000_000
 #: Draws of a test that are held at a time.
 DRAWS = 1 << 18
+#: Draws of a test for which a strategy's pnl is copied to a task of its own, and copies at most: what is shuffled grows with trades.
+DRAWS_OF_TASK, COPIES = 1 << 22, 64
 PATH = [*KEY, "test", "iteration"]
 #: Multipliers of the 32-bit mixer.
 FIRST, SECOND = 0x21F0AAAD, 0x735A2D97
@@ -99,6 +106,27 @@ def positions(test: str, n: int, strategy: str, iterations: np.ndarray, config:
     return (np.repeat(own("mb", np.arange(-(-n // length))) % n, length, axis=1)[:, :n] + k % length) % n
 
 
+def replayed(rng: np.random.Generator, test: str, n: int, config: EvalConfig) -> np.ndarray:
+    """The positions of a generator's next path; the calls and their order are what counts."""
+    if test == "a":
+        return rng.integers(0, n, size=n)
+    if test == "b":
+        return rng.permutation(n)
+    k = np.arange(n)
+    if test == "mb":
+        length = block_of(n, config)
+        starts = np.array([rng.integers(0, n) for _ in range(0, n, length)])
+        return (starts[k // length] + k % length) % n
+    share = 1 / max(1.0, np.sqrt(n))
+    begins = {0: rng.integers(0, n)}
+    for place in range(1, n):  # whether a block begins is drawn before where
+        if rng.random() < share:
+            begins[place] = rng.integers(0, n)
+    since = np.fromiter(begins, np.int64)
+    block = np.searchsorted(since, k, "right") - 1
+    return (np.fromiter(begins.values(), np.int64)[block] + k - since[block]) % n
+
+
 SUMS = "net double, max_drawdown double, mu double, sd double, won double, lost double"
 
 
@@ -113,13 +141,20 @@ def path_sums(pnl: np.ndarray, start: float) -> list[np.ndarray]:
     return [pnl.sum(axis=1), np.minimum(0.0, fall.min(axis=1)), returns.mean(axis=1), spread, np.where(pnl > 0, pnl, 0.0).sum(axis=1), np.where(pnl < 0, -pnl, 0.0).sum(axis=1)]
 
 
+def range_of(n: Column, iterations: int) -> Column:
+    """How many iterations of a strategy with n trades a task makes."""
+    copies = F.least(F.lit(COPIES), F.greatest(F.lit(1), F.ceil(F.lit(iterations) * n.cast("double") / DRAWS_OF_TASK)))
+    return F.ceil(F.lit(iterations) / copies).cast("int")
+
+
 def sums_in_tasks(trades: DataFrame, config: EvalConfig, tests: tuple[str, ...]) -> DataFrame:
     """(strategy_id, test, iteration, n, SUMS) of each path, for strategies of up to `MOST_TRADES` trades."""
     kind = trades.schema["strategy_id"].dataType.simpleString()
     rows = trades.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("seq", "capped_pnl"))).alias("t"))
     rows = rows.select(*KEY, F.col("strategy_id").cast("string").alias("name"), F.transform("t", lambda x: x["capped_pnl"]).alias("pnl"))
-    step = F.greatest(F.lit(1), F.floor(F.lit(DRAWS) / F.size("pnl"))).cast("int")
-    rows = rows.select("*", step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(config.mc_iterations - 1), step)).alias("first"))
+    sequential = config.rng == "numpy"
+    rows = rows.select("*", (F.lit(config.mc_iterations) if sequential else range_of(F.size("pnl"), config.mc_iterations)).alias("step"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(config.mc_iterations - 1), F.col("step"))).alias("first"))
     rows = rows.repartition(int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY, "first")
 
     def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +162,14 @@ def sums_in_tasks(trades: DataFrame, config: EvalConfig, tests: tuple[str, ...])
             for i in range(len(b)):
                 pnl, strategy = b.column("pnl")[i].values.to_numpy(zero_copy_only=False), b.column("name")[i].as_py()
                 first = b.column("first")[i].as_py()
-                iterations = np.arange(first, min(first + b.column("step")[i].as_py(), config.mc_iterations))
-                for test in tests:
-                    found = path_sums(pnl[positions(test, len(pnl), strategy or "", iterations, config)], config.start_balance)
+                end, held = min(first + b.column("step")[i].as_py(), config.mc_iterations), max(1, DRAWS // len(pnl))
+                rng = np.random.default_rng(int(config.seed)) if sequential else None
+                for test, at in product(TESTS if sequential else tests, range(first, end, held)):
+                    iterations = np.arange(at, min(at + held, end))
+                    places = np.stack([replayed(rng, test, len(pnl), config) for _ in iterations]) if sequential else positions(test, len(pnl), strategy or "", iterations, config)
+                    if test not in tests:
+                        continue  # drawn for those that follow
+                    found = path_sums(pnl[places], config.start_balance)
                     same = lambda x, t: pa.array([x] * len(iterations), t)
                     columns = [same(b.column("strategy_id")[i].as_py(), b.column("strategy_id").type), same(test, pa.string()), pa.array(iterations, pa.int32()), same(len(pnl), pa.int64()), *map(pa.array, found)]
                     yield pa.RecordBatch.from_arrays(columns, [*KEY, "test", "iteration", "n", *(c.split()[0] for c in SUMS.split(", "))])
@@ -265,13 +305,32 @@ def run_tests(trades: DataFrame, config: EvalConfig, per_year: DataFrame | None
     if config.mc_iterations == 0:
         return summaries(path_metrics(sums_in_tasks(trades.limit(0), EvalConfig(seed=config.seed), tests), per_year, config), drawdowns)
     large = trades.groupBy(*KEY).agg(F.count("*").alias("n")).filter(F.col("n") > MOST_TRADES).select(*KEY)
-    if large.isEmpty():
+    if config.rng == "numpy" or large.isEmpty():
         sums = sums_in_tasks(trades, config, tests)
     else:
         sums = sums_in_tasks(trades.join(large, KEY, "left_anti"), config, tests).unionByName(sums_by_joins(trades.join(large, KEY, "left_semi"), config, tests))
     return summaries(path_metrics(sums, per_year, config), drawdowns)
 
 
+def described(summary: DataFrame, trades: DataFrame, config: EvalConfig) -> DataFrame:
+    """The summaries with what tests say of each other: flagged_worse_than_a (test C), block_length, iid_robustness_rate,
+    iid_sharpe_stability and block_vs_iid_gap (moving block); null for the other tests."""
+    counts = trades.groupBy(*KEY).agg(F.count("*").alias("_n"))
+    wanted = F.lit(config.block_length).cast("long") if config.block_length is not None else F.bround(F.sqrt(F.col("_n").cast("double")), 0).cast("long")
+    iid = summary.filter("test = 'a'").select(*KEY, F.col("robustness_rate").alias("_rr"), F.col("sharpe_stability").alias("_st"))
+    flags = correlation(summary).select(*KEY, F.col("correlation_flag").alias("_flag"))
+    rows = summary.join(counts, KEY).join(iid, KEY, "left").join(flags, KEY)
+    of = lambda test, c: F.when(F.col("test") == test, c)
+    added = {
+        "flagged_worse_than_a": of("c", F.col("_flag")),
+        "block_length": of("mb", F.greatest(F.lit(1), F.least(wanted, F.col("_n")))),
+        "iid_robustness_rate": of("mb", F.col("_rr")),
+        "iid_sharpe_stability": of("mb", F.col("_st")),
+        "block_vs_iid_gap": of("mb", F.col("_rr") - F.col("robustness_rate")),
+    }
+    return rows.withColumns(added).drop("_n", "_rr", "_st", "_flag")
+
+
 def correlation(summary: DataFrame) -> DataFrame:
     """(strategy_id, correlation_flag, effective_test, rr, stability, block_rr, block_vs_iid_gap) from the summaries.
 

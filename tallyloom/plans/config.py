@@ -26,6 +26,8 @@ class EvalConfig:
     sr_trials: tuple[float, ...] = (0.0, 1.0)
     #: Strategies of more trades than this have theirs in chunks of this size, each a task's work.
     chunk_rows: int = 1 << 20
+    #: "counter": a draw is a hash of what it is for; "numpy": draws follow one sequential generator for each strategy.
+    rng: str = "counter"
     #: Decimal text, so that 128-bit seeds survive every format.
     seed: str = field(default_factory=lambda: str(secrets.randbits(128)))
 
@@ -36,6 +38,8 @@ class EvalConfig:
             raise ValueError("sr_trials must hold 2 or more Sharpe ratios")
         if not self.seed.isdecimal():
             raise ValueError("seed must be a decimal number, as text")
+        if self.rng not in ("counter", "numpy"):
+            raise ValueError("rng must be counter or numpy")
         if self.chunk_rows < 1:
             raise ValueError("chunk_rows must be 1 or more")
         if self.start_balance <= 0 or self.mc_iterations < 0:

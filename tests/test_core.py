@@ -134,6 +134,63 @@ def test_cusum(spark):
     assert r.threshold_hit and r.regime_unstable
 
 
+def test_sequential_generator(spark):
+    """Percentiles of tests A, B, C and the moving block, worked out with numpy alone, one draw after the other."""
+    config = EvalConfig(seed="9007199254740993", mc_iterations=40, rng="numpy")
+    r = np.random.default_rng(1)
+    histories = {1: np.round(r.normal(20, 90, 47), 2), 2: np.round(r.normal(-5, 30, 5), 2)}
+    days = {1: 46, 2: 4}
+    rows = [(s, i, float(x), dt.datetime(2024, 1, 1) + dt.timedelta(days=i - 1)) for s, v in histories.items() for i, x in enumerate(v, 1)]
+    trades = spark.createDataFrame(rows, "strategy_id long, seq int, capped_pnl double, timestamp timestamp").repartition(3)
+    got = {(x.strategy_id, x.test): x for x in resample.run_tests(trades, config).collect()}
+    only_c = {(x.strategy_id, x.test): x for x in resample.run_tests(trades, config, tests=("c",)).collect()}
+    for s, pnl in histories.items():
+        rng, n = np.random.default_rng(9007199254740993), len(pnl)
+        year = n * 365.25 / max(1.0, days[s])
+        for test in ("a", "b", "c", "mb"):
+            net, sharpe = [], []
+            for _ in range(40):
+                if test == "a":
+                    at = rng.integers(0, n, size=n)
+                elif test == "b":
+                    at = rng.permutation(n)
+                elif test == "c":
+                    at = [rng.integers(0, n)]
+                    while len(at) < n:
+                        at.append(rng.integers(0, n) if rng.random() < 1 / np.sqrt(n) else (at[-1] + 1) % n)
+                else:
+                    length, at = round(np.sqrt(n)), []
+                    while len(at) < n:
+                        begin = rng.integers(0, n)
+                        at += [(begin + j) % n for j in range(length)]
+                    at = at[:n]
+                path = pnl[np.array(at)]
+                returns = path / (10_000 + np.cumsum(path) - path)
+                free = 1.04 ** (1 / year) - 1 if n >= 10 else 0.0
+                net.append(path.sum() / 10_000)
+                sharpe.append((returns.mean() - free) / returns.std(ddof=1) * (np.sqrt(year) if n >= 10 else 1.0) * (np.sqrt(n / 30) if n < 30 else 1.0))
+            x = got[s, test]
+            points = [0, 5, 25, 50, 75, 95, 100]
+            assert x.total_return == pytest.approx(np.percentile(net, points), abs=1e-12) and x.sharpe_ratio == pytest.approx(np.percentile(sharpe, points), abs=1e-9)
+        assert only_c[s, "c"].total_return == got[s, "c"].total_return and only_c[s, "c"].sharpe_ratio == got[s, "c"].sharpe_ratio and len(only_c) == 2
+    told = {(x.strategy_id, x.test): x for x in resample.described(resample.run_tests(trades, config), trades, config).collect()}
+    assert told[1, "mb"].block_length == 7 and told[2, "mb"].block_length == 2 and told[1, "a"].block_length is None
+    assert told[1, "mb"].iid_robustness_rate == got[1, "a"].robustness_rate and told[1, "c"].flagged_worse_than_a in (True, False) and told[1, "b"].flagged_worse_than_a is None
+
+
+def test_copies_of_large_strategies(spark, monkeypatch):
+    """A strategy's pnl is copied a set number of times at most; ranges of iterations change no path."""
+    sizes = spark.createDataFrame([(n,) for n in (1, 66, 10_000, 100_000, 1_000_000)], "n long")
+    steps = [r[0] for r in sizes.select(resample.range_of(F.col("n"), 1000)).collect()]
+    assert [-(-1000 // s) for s in steps] == [1, 1, 3, 24, 63]
+    rows = [(1, i, float(i % 7 - 2), dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)) for i in range(1, 90)]
+    trades = spark.createDataFrame(rows, "strategy_id long, seq int, capped_pnl double, timestamp timestamp")
+    whole = sorted(map(tuple, resample.run_tests(trades, EvalConfig(seed="7", mc_iterations=30)).collect()), key=repr)
+    monkeypatch.setattr(resample, "DRAWS_OF_TASK", 300)
+    monkeypatch.setattr(resample, "DRAWS", 200)
+    assert sorted(map(tuple, resample.run_tests(trades, EvalConfig(seed="7", mc_iterations=30)).collect()), key=repr) == whole
+
+
 def test_resampling(spark, monkeypatch):
     rows = trades(spark, [(i * 37 % 23) - 9 for i in range(40)])
     plain = lambda found: sorted(str([[round(y, 9) for y in x] if isinstance(x, list) else round(x, 9) if isinstance(x, float) else x for x in r]) for r in found.collect())
