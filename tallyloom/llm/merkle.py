@@ -4,7 +4,7 @@ A section is a line; its paragraphs are its sentences, cut at 80 characters wher
 hash of a paragraph, a section's hash that of its leaves, the root that of the sections. The fingerprint
 writes the tree down: `root|section=leaf.leaf;section=leaf...`. Hashes are of 128 bits up to the root, so equal
 roots mean equal texts; a fingerprint may write fewer digits of the hashes below the root. Where roots differ,
-sections that differ locate the edit, and the share of common leaves is the likeness.
+sections that differ, place by place, locate the edit, and the share of common leaves is the likeness.
 
 Defined results: a null text is an empty one, with one empty section; two empty texts are alike by 1.
 """
@@ -55,12 +55,16 @@ def likeness(leaves_a: Column, leaves_b: Column, root_a: Column, root_b: Column)
     return F.when(root_a == root_b, 1.0).otherwise(shared)
 
 
+def differing(sections_a: Column, sections_b: Column) -> Column:
+    """Numbers, from 0, of the places at which two arrays of sections differ, those that only one has included; one look at each place."""
+    same = F.zip_with(sections_a, sections_b, lambda x, y: x.eqNullSafe(y))
+    return F.filter(F.transform(same, lambda s, i: F.when(~s, i)), lambda i: i.isNotNull())
+
+
 def changed_sections(mark_a: Column, mark_b: Column) -> Column:
-    """Numbers, from 0, of the sections of the first fingerprint whose hash the second lacks."""
+    """Numbers, from 0, of the sections in which two fingerprints differ; for equal roots none is looked at."""
     names = lambda m: F.transform(F.split(F.substring_index(m, "|", -1), ";", -1), lambda s: F.substring_index(s, "=", 1))
-    return F.when(F.left(mark_a, F.lit(32)) == F.left(mark_b, F.lit(32)), F.array().cast("array<int>")).otherwise(
-        F.filter(F.transform(names(mark_a), lambda s, i: F.when(~F.array_contains(names(mark_b), s), i)), lambda i: i.isNotNull())
-    )
+    return F.when(F.left(mark_a, F.lit(32)) == F.left(mark_b, F.lit(32)), F.array().cast("array<int>")).otherwise(differing(names(mark_a), names(mark_b)))
 
 
 def _before(firsts: DataFrame, each: int = 1024) -> DataFrame:
@@ -107,7 +111,8 @@ def with_next(docs: DataFrame, bytes_each: int = 2 << 20) -> DataFrame:
 
 
 def fingerprint_report(docs: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each document.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_changed, first_changed,
+    last_changed) of each document: the last three say how many sections differ from the edited text's, the first and the last of them (null for none).
 
     digits: written of each hash below the root in the two fingerprints; roots and likenesses come from the whole
     hashes at any number.
@@ -120,5 +125,7 @@ def fingerprint_report(docs: DataFrame, digits: int = DIGITS) -> DataFrame:
     # a section without paragraphs has one empty leaf, as in the written tree
     flat = lambda h: F.array_distinct(F.flatten(F.transform(h, lambda s: F.when(F.size(s) == 0, F.array(F.lit(""))).otherwise(s))))
     trees = found.select("*", *(flat(F.col(x)).alias(f"l{x}") for x in "abc"), *(tree(F.col(x)).alias(f"t{x}") for x in "ab"), *(tree(F.col(x), digits).alias(f"w{x}") for x in "ab"))
+    # sections are equal where the hashes of their paragraphs are
+    trees = trees.withColumn("changed", F.when(F.col("ta") == F.col("tb"), F.array().cast("array<int>")).otherwise(differing(F.col("a"), F.col("b"))))
     near = lambda x: likeness(F.col("la"), F.col(f"l{x}"), F.col("a"), F.col(x))
-    return trees.select("doc_id", "n_chars", "edited_sha256", rooted(F.col("ta"), F.col("wa")).alias("fingerprint"), rooted(F.col("tb"), F.col("wb")).alias("edited_fingerprint"), near("b").alias("near_edited"), near("c").alias("near_next"))
+    return trees.select("doc_id", "n_chars", "edited_sha256", rooted(F.col("ta"), F.col("wa")).alias("fingerprint"), rooted(F.col("tb"), F.col("wb")).alias("edited_fingerprint"), near("b").alias("near_edited"), near("c").alias("near_next"), F.size("changed").cast("long").alias("n_changed"), F.get("changed", F.lit(0)).cast("long").alias("first_changed"), F.try_element_at("changed", F.lit(-1)).cast("long").alias("last_changed"))

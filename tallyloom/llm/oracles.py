@@ -84,7 +84,8 @@ n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), firs
 e AS (SELECT *, left(text, length(text) - length(text) // 2) || left(nxt, length(text) // 2) AS edited FROM n),
 t AS (SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {leaves.replace("TEXT", "text")} AS a, {leaves.replace("TEXT", "edited")} AS b, {leaves.replace("TEXT", "nxt")} AS c FROM e)
 SELECT doc_id, n_chars, edited_sha256, md5({tree("a", 32)}) || '|' || {tree("a", digits)} AS fingerprint, md5({tree("b", 32)}) || '|' || {tree("b", digits)} AS edited_fingerprint,
-  {near("b")} AS near_edited, {near("c")} AS near_next FROM t
+  {near("b")} AS near_edited, {near("c")} AS near_next, coalesce(len(w), 0)::BIGINT AS n_changed, w[1]::BIGINT AS first_changed, w[-1]::BIGINT AS last_changed
+FROM (SELECT *, [i - 1 FOR i IN range(1, greatest(len(a), len(b)) + 1) IF a[i] IS DISTINCT FROM b[i]] AS w FROM t)
 """
 
 
@@ -93,6 +94,7 @@ _IP = "[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+"
 _CARD = "[0-9](?:[\\x20-]?[0-9])+"
 _PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
 _IBAN = "\\b[A-Z]{2}[0-9]{2}(?:[\\x20-]?[A-Z0-9]){11,30}"
+_SSN = "\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b"
 
 
 def _kind(kind: str, pattern: str, valid: str, score: str) -> str:
@@ -120,11 +122,12 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text
 {_kind("card", _CARD, _LUHN, _score("card"))},
 {_kind("phone", _PHONE, f"length({_D}) BETWEEN 9 AND 15", _score("phone"))},
 {_kind("iban", _IBAN, _MOD97, _score("iban"))},
-s AS (SELECT 1 AS k, * FROM email_ok UNION ALL SELECT 2, * FROM ip_ok UNION ALL SELECT 3, * FROM card_ok UNION ALL SELECT 4, * FROM phone_ok UNION ALL SELECT 5, * FROM iban_ok WHERE score >= 0.5),
-o AS (SELECT r, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2, count(*) FILTER (WHERE k = 3) AS n3, count(*) FILTER (WHERE k = 4) AS n4, count(*) FILTER (WHERE k = 5) AS n5,
+{_kind("ssn", _SSN, "NOT regexp_matches(v, '^(?:000|666|9)|-00-|-0000$')", _score("ssn"))},
+s AS (SELECT 1 AS k, * FROM email_ok UNION ALL SELECT 2, * FROM ip_ok UNION ALL SELECT 3, * FROM card_ok UNION ALL SELECT 4, * FROM phone_ok UNION ALL SELECT 5, * FROM iban_ok WHERE score >= 0.5 UNION ALL SELECT 6, * FROM ssn_ok WHERE score >= 0.5),
+o AS (SELECT r, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2, count(*) FILTER (WHERE k = 3) AS n3, count(*) FILTER (WHERE k = 4) AS n4, count(*) FILTER (WHERE k = 5) AS n5, count(*) FILTER (WHERE k = 6) AS n6, string_agg(printf('%.1f', score), ',' ORDER BY k, s) AS scores,
   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (WHERE k < 5) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans, max(score) AS top_score FROM s GROUP BY r)
 SELECT doc_id, coalesce(n1, 0)::BIGINT AS n_email, coalesce(n2, 0)::BIGINT AS n_ip, coalesce(n3, 0)::BIGINT AS n_card, coalesce(n4, 0)::BIGINT AS n_phone,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n5, 0)::BIGINT AS n_iban, top_score
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n5, 0)::BIGINT AS n_iban, coalesce(n6, 0)::BIGINT AS n_ssn, coalesce(scores, '') AS scores, top_score
 FROM d LEFT JOIN o USING (r)
 """
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import common, negatives, packing, periodic, toxicity
+from tallyloom.llm import common, langid, linededup, merkle, negatives, packing, periodic, pii, simhash, toxicity
 
 tokenizer = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
@@ -324,3 +324,56 @@ def test_toxicity_is_brute_force(spark, least, flat):
     want = brute_scores(rows, labels, least, flat)
     assert {x["doc_id"]: x["score"] for x in got} == {i: pytest.approx(s, abs=1e-9) for i, s in want.items()}
     assert all(x["predicted"] == int(x["score"] >= 0.5) for x in got)
+
+
+# ---- personal data: context decides; fingerprints: edits are located; texts of some megabytes
+
+
+def test_context_decides_over_added_spans(spark):
+    iban, ssn = "DE89 3704 0044 0532 0130 00", "123-45-6789"
+    texts = {
+        f"pay to {iban} today": ("iban", 0.7),
+        f"bank account {iban} today": ("iban", 1.0),
+        f"serial part {iban} serial part": None,
+        f"bank serial {iban}": ("iban", 0.7),
+        f"my social security number is {ssn}": ("ssn", 0.7),
+        f"number {ssn} here": None,
+        f"ssn of part {ssn}": None,
+        "ssn 000-45-6789, 123-00-6789, 987-65-4321 and 123-45-0000": None,
+        f"ssn {ssn}" + " x" * 60 + f" {ssn}": ("ssn", 0.7),
+    }
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in pii.pii_report(own).collect()}
+    for i, (text, want) in enumerate(texts.items()):
+        kind_and_score = [tuple(s) for s in zip((p.split(":")[0] for p in got[i]["spans"].split(",") if p), map(float, filter(None, got[i]["scores"].split(","))))]
+        assert [s for s in kind_and_score if s[0] in ("iban", "ssn")] == ([want] if want else []), text
+    assert got[4]["n_ssn"] == 1 and got[0]["n_iban"] == 1 and got[2]["top_score"] is None
+
+
+def test_edits_are_located(spark):
+    lines = [f"Line {i}. It has two sentences." for i in range(9)]
+    edited = lines[:3] + ["Line 3. It has other sentences."] + lines[4:8]
+    rows = [("\n".join(lines), "\n".join(edited)), ("\n".join(lines), "\n".join(lines)), ("", "a"), ("a\nb", "b\na")]
+    marks = spark.createDataFrame(rows, "a string, b string").select(merkle.changed_sections(merkle.rooted(merkle.fingerprint(F.col("a"))), merkle.rooted(merkle.fingerprint(F.col("b")))).alias("c"))
+    assert [r["c"] for r in marks.collect()] == [[3, 8], [], [0], [0, 1]]
+    docs = spark.createDataFrame([(2, "\n".join(lines)), (1, "zzz"), (0, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_changed"], r["first_changed"], r["last_changed"]) for r in merkle.fingerprint_report(docs).collect()}
+    kept = "\n".join(lines)[: -(len("\n".join(lines)) // 2)]
+    first = kept.count("\n")
+    assert got == {2: (9 - first, first, 8), 1: (1, 0, 0), 0: (0, None, None)}
+
+
+def test_texts_of_megabytes(spark):
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(500)]
+    line = lambda: " ".join(r.choice(words) for _ in range(12))
+    text = "\n".join(f"{line()} user{i}@mail.example.org." for i in range(30_000))
+    assert len(text) > 2_500_000
+    docs = spark.createDataFrame([(1, text, "en"), (2, line(), "en"), (3, line(), "fr"), (5, line(), "en")], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    one = lambda out: {x["doc_id"]: x for x in out.collect()}[1]
+    assert one(pii.pii_report(docs))["n_email"] == 30_000
+    assert (one(merkle.fingerprint_report(docs, 8))["n_chars"], one(linededup.line_report(docs))["n_lines"]) == (len(text), 30_000)
+    assert int(one(simhash.near_duplicates(docs))["fingerprint"], 16) == int.from_bytes(simhash.fingerprint(text.encode()), "big")
+    assert 0 <= one(toxicity.toxicity_report(docs, marks))["score"] <= 1 and one(langid.language_report(docs))["lang_pred"] in ("en", "fr", "und")
+    assert one(periodic.run_report(docs))["n_runs"] == 0
