@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parsing, scalars
-from ..operators import cards, cleaning, metrics, presentation, regime, resample, scoring, series, validation
+from ..operators import cards, cleaning, metrics, presentation, regime, resample, scorecards, scoring, series, validation
 from ..sources import adapters, reports
 from . import evaluate, ledger_sql
 from .config import EvalConfig
@@ -551,6 +551,35 @@ def card_json_roundtrip(spark, sf_dir):
     return cards.from_json(cards.as_json(found), found.schema).select("id", "strategy_id", "strategy_name", "seed", F.col("basic.total_trades").alias("total_trades"), F.col("basic.profit_factor").alias("profit_factor"), F.col("scoring.status").alias("status"))
 
 
+@query
+def scorecards_whole(spark, sf_dir):
+    """Whole cards through JSON and back; some of every part."""
+    done = evaluate.evaluate(ledger(spark, sf_dir), CONFIG)
+    created = F.timestamp_seconds(F.lit(1_735_689_600) + F.col("strategy_id") * 60)
+    found = scorecards.whole_cards(done, F.concat(F.lit("User "), F.col("strategy_id").cast("string")), created, CONFIG)
+    back = cards.from_json(cards.as_json(found), found.schema)
+    m, last = F.col("metrics"), F.element_at("equity_curve", -1)
+    return back.select(
+        "name",
+        m["basic"]["total_trades"].alias("total_trades"),
+        m["basic"]["expectancy_per_unit_risk"].alias("expectancy_per_unit_risk"),
+        m["growth"]["net_pnl"].alias("net_pnl"),
+        m["risk_adj"]["sharpe_ratio"].alias("sharpe_ratio"),
+        m["behav"]["runs_z_score"].alias("runs_z_score"),
+        m["behav"]["regime_check"]["regime_unstable_flag"].alias("regime_unstable"),
+        "correlation_flag",
+        F.col("monte_carlo.test_a.robustness_rate").alias("iid_robustness_rate"),
+        F.col("moving_block.block_length").alias("block_length"),
+        F.col("cleaning_report.rows_received").alias("rows_received"),
+        F.col("overfitting.n_obs").alias("n_obs"),
+        F.col("scoring.status").alias("status"),
+        F.col("scoring.final_score").alias("final_score"),
+        F.size("equity_curve").cast("long").alias("points"),
+        F.round(last["balance"], 6).alias("last_balance"),
+        F.size("monthly_returns").cast("long").alias("months"),
+    )
+
+
 @query
 def card_list(spark, sf_dir):
     return cards.listing(_cards(spark, sf_dir)).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))

@@ -419,6 +419,14 @@ add(
 
 CARD_ID = "'user-' || strategy_id || '-' || strftime(to_timestamp(1735689600 + strategy_id * 60) AT TIME ZONE 'UTC', '%Y%m%d') || '-' || substr(md5('7:' || strategy_id), 1, 4)"
 add("card_json_roundtrip", f"WITH RECURSIVE {everything()}, {CATEGORIES}, {PENALTIES}, {SCORED} SELECT {CARD_ID} AS id, strategy_id::VARCHAR AS strategy_id, ' User #' || strategy_id AS strategy_name, '7' AS seed, total_trades, profit_factor, status FROM scored", "profit_factor")
+add(
+    "scorecards_whole",
+    f"""WITH RECURSIVE {everything()}, {CATEGORIES}, {PENALTIES}, {SCORED}
+SELECT 'User ' || strategy_id AS name, total_trades, expectancy_per_risk AS expectancy_per_unit_risk, (SELECT sum(capped_pnl) FROM trades t WHERE t.strategy_id = scored.strategy_id) AS net_pnl, sharpe_ratio, coalesce(runs_z, 0) AS runs_z_score, regime_unstable, correlation_flag, iid_robustness_rate,
+  greatest(1, least(round_even(sqrt(total_trades), 0)::INT, total_trades))::INT AS block_length, received AS rows_received, total_trades AS n_obs, status, final_score, total_trades + 1 AS points,
+  (SELECT round(max_by(balance, seq), 6) FROM facts f WHERE f.strategy_id = scored.strategy_id) AS last_balance, coalesce(months, 0) AS months FROM scored""",
+    "expectancy_per_unit_risk net_pnl sharpe_ratio runs_z_score iid_robustness_rate",
+)
 add("card_list", f"WITH RECURSIVE {everything()}, {CATEGORIES}, {PENALTIES}, {SCORED} SELECT {CARD_ID} AS id, ' User #' || strategy_id AS strategy_name, (to_timestamp(1735689600 + strategy_id * 60) AT TIME ZONE 'UTC') AS created_at, total_trades, final_score, label, status FROM scored")
 _BASICS = ("total_trades", "win_count", "loss_count", "tie_count", "win_rate", "loss_rate", "average_win", "average_loss", "profit_factor", "payoff_ratio", "expectancy", "expectancy_per_risk", "long_count", "short_count", "long_win_rate", "short_win_rate")
 _CARD = {
