@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing, scalars
 from ..operators import cards, cleaning, metrics, presentation, regime, resample, scorecards, scoring, series, validation
-from ..sources import adapters, reports
+from ..sources import adapters, deals, reports
 from . import evaluate, ledger_sql
 from .config import EvalConfig
 from .lineage import settle, shared_folder
@@ -180,6 +180,28 @@ def ingest_xlsx_roundtrip(spark, sf_dir):
     return _read_back(spark, sf_dir, "xlsx")
 
 
+@query
+def deals_fifo(spark, sf_dir):
+    """Lines as deals of suppliers: lines of odd numbers open, those of even numbers close; returned lines are of short positions."""
+    order = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    opens, short = F.col("l_linenumber") % 2 == 1, F.col("l_returnflag") == "R"
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias(KEY),
+        F.col("l_linestatus").alias("symbol"),
+        F.row_number().over(order).alias("row_idx"),
+        F.col("l_shipdate").cast("timestamp").alias("time"),
+        F.when(opens, "in").otherwise("out").alias("direction"),
+        F.when(opens == short, "sell").otherwise("buy").alias("type"),
+        (F.col("l_quantity") / 100).alias("volume"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        (-F.col("l_tax")).alias("commission"),
+        F.lit(0.0).alias("swap"),
+        F.lit(None).cast("double").alias("profit"),
+    )
+    found = deals.ledger(rows.withColumn("deal_id", F.col("row_idx").cast("string")))
+    return found.select(KEY, "symbol", "side", "deal_id", "quantity", "entry_price", "exit_price", "commission", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
+
+
 # ---- cleaning
 
 

@@ -98,6 +98,19 @@ add("ingest_sha256", "SELECT page_id || '.html' AS path, 'html' AS format, sha25
 for _kind in ("csv", "html", "xlsx"):
     add(f"ingest_{_kind}_roundtrip", f"WITH {bronze(chr(39) + 'error' + chr(39) + ', ' + chr(39) + 'view' + chr(39))} SELECT strategy_id, deal_id, symbol, date_trunc('second', timestamp) AS timestamp, side, quantity, entry_price, exit_price, pnl FROM bronze", "exit_price pnl")
 
+# deals laid end to end by running volumes, every opening one against every closing one that it overlaps
+add(
+    "deals_fifo",
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax) AS id FROM lineitem),
+d AS (SELECT l_suppkey AS strategy_id, l_linestatus AS symbol, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_linenumber % 2 = 1 AS opens, id, l_shipdate AS t, l_extendedprice / l_quantity AS price, -l_tax AS fee,
+  round(l_quantity / 100 * 100000000)::BIGINT AS u FROM n),
+r AS (SELECT *, sum(u) OVER (PARTITION BY strategy_id, symbol, side, opens ORDER BY t, id) - u AS a, sum(u) OVER (PARTITION BY strategy_id, symbol, side, opens ORDER BY t, id) AS z FROM d)
+SELECT strategy_id, symbol, side, i.id || '-' || o.id AS deal_id, (least(i.z, o.z) - greatest(i.a, o.a)) / 100000000 AS quantity, i.price AS entry_price, o.price AS exit_price,
+  (i.fee / i.u + o.fee / o.u) * (least(i.z, o.z) - greatest(i.a, o.a)) AS commission, o.t AS timestamp
+FROM (SELECT * FROM r WHERE opens) i JOIN (SELECT * FROM r WHERE NOT opens) o USING (strategy_id, symbol, side) WHERE i.a < o.z AND o.a < i.z""",
+    "quantity entry_price exit_price commission",
+)
+
 # ---- cleaning
 
 add("clean_adjustments", f"WITH {SPOILT} SELECT strategy_id, count(*) FILTER (WHERE adjustment) AS adjustments, count(*) AS n FROM flags GROUP BY 1")
