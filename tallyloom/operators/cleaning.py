@@ -206,6 +206,28 @@ def clean(bronze: DataFrame, config: EvalConfig) -> Cleaned:
     return Cleaned(trades, rejects_of(flags), report_of(flags, trades))
 
 
-def write_rejects(rejects: DataFrame, path: str) -> None:
-    """Rejected rows as CSV with a header; quotes within values are doubled."""
-    rejects.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def with_extras(rows: DataFrame) -> DataFrame:
+    """The column `extras`, JSON objects, as a column for each key that any row has, by name; keys of other columns' names get a `_`."""
+    if "extras" not in rows.columns:
+        return rows
+    keys = sorted(r[0] for r in rows.select(F.explode(F.json_object_keys("extras"))).distinct().collect())  # column names
+    others = [c for c in rows.columns if c != "extras"]
+    taken, named = {c.lower() for c in others}, {}
+    for key in keys:
+        name = key
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        named[name] = F.try_element_at(F.from_json("extras", "map<string,string>"), F.lit(key))
+    return rows.select(*others, *(c.alias(n) for n, c in named.items()))
+
+
+def write_rejects(rejects: DataFrame, path: str) -> bool:
+    """Rejected rows as CSV with a header, with all columns that any of them has; whether there were any, nothing is written for none.
+
+    Quotes within values are doubled.
+    """
+    if rejects.isEmpty():
+        return False
+    with_extras(rejects).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    return True

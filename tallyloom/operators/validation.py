@@ -196,3 +196,24 @@ def walk_forward_efficiency(windows: DataFrame) -> DataFrame:
     """
     a = windows.filter("n_inside > 0").groupBy(*KEY).agg(F.count("*").alias("windows"), F.avg("year_inside").alias("mean_inside"), F.avg("year_outside").alias("mean_outside"))
     return a.withColumn("efficiency", F.when(F.abs("mean_inside") > EPS, F.col("mean_outside") / F.col("mean_inside")))
+
+
+# ---- gates of the design that the score itself does not have
+
+
+def adjusted_sharpe(sharpe: Column, skew: Column, excess_kurtosis: Column) -> Column:
+    """A Sharpe ratio less what negative skewness and fat tails take from it."""
+    return sharpe * (1 + skew / 6 * sharpe - excess_kurtosis / 24 * sharpe * sharpe)
+
+
+def design_gates(metrics: DataFrame, pbo: Column, least_trades: int = 100, win_rate: float = 0.8, loss_ratio: float = 3.0, most_pbo: float = 0.5) -> DataFrame:
+    """(strategy_id, adjusted_sharpe, too_few_trades, martingale, overfit, passed): stricter gates beside the knockouts of the score.
+
+    metrics: total_trades, win_rate, average_win, average_loss, sharpe_per_trade, skew_returns and excess_kurtosis_returns by
+    strategy; pbo: the probability of overfitting of the strategies' selection, null where unknown, which passes.
+    """
+    few = F.col("total_trades") < least_trades
+    uneven = (F.col("win_rate") > win_rate) & (F.col("average_loss") / F.greatest(F.lit(EPS), F.col("average_win")) > loss_ratio)
+    overfit = F.coalesce(pbo > most_pbo, F.lit(False))
+    adjusted = adjusted_sharpe(F.col("sharpe_per_trade"), F.col("skew_returns"), F.col("excess_kurtosis_returns"))
+    return metrics.select(*KEY, adjusted.alias("adjusted_sharpe"), few.alias("too_few_trades"), uneven.alias("martingale"), overfit.alias("overfit"), (~few & ~uneven & ~overfit).alias("passed"))

@@ -233,7 +233,8 @@ def clean_extras(spark, sf_dir):
 def clean_rejects_csv(spark, sf_dir):
     """Rejects written as CSV and read again."""
     path = shared_folder(spark, "rejects")
-    cleaning.write_rejects(cleaning.clean(spoilt(spark, sf_dir), CONFIG).rejects, path)
+    if not cleaning.write_rejects(cleaning.clean(spoilt(spark, sf_dir), CONFIG).rejects, path):
+        return spark.createDataFrame([], "strategy_id long, row_idx long, rejection_reason string")
     return spark.read.option("header", True).option("escape", '"').csv(path).select(F.col(KEY).cast("long"), F.col("row_idx").cast("long"), "rejection_reason")
 
 
@@ -534,6 +535,14 @@ def cscv_overfitting_probability(spark, sf_dir):
     return validation.overfitting_probability(validation.cscv(facts(spark, sf_dir), 12))
 
 
+@query
+def design_gates(spark, sf_dir):
+    f = settle(facts(spark, sf_dir, BASE))
+    pbo = validation.overfitting_probability(validation.cscv(f, 8)).first()["pbo"]  # one number
+    found = metrics.basic(f).join(metrics.risk_adjusted(f, metrics.growth(f, CONFIG), metrics.drawdown(f, CONFIG), CONFIG).drop("n"), KEY)
+    return validation.design_gates(found, F.lit(pbo).cast("double"))
+
+
 @query
 def purged_folds(spark, sf_dir):
     """Lines as trades of suppliers, open for as many days as their quantity, many at once."""

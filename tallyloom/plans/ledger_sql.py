@@ -403,6 +403,14 @@ add(
     f"WITH {facts()}, {choices(12)} SELECT count(*) AS combinations, avg((relative_rank < 0.5)::INT) AS pbo, avg((out_sharpe < 0)::INT) AS loss_probability, avg(ln(relative_rank / (1 - relative_rank))) AS mean_logit, regr_slope(out_sharpe, in_sharpe) AS degradation FROM ranked",
     "pbo loss_probability mean_logit degradation",
 )
+add(
+    "design_gates",
+    f"""WITH {facts(BASE)}, {BASIC}, {GROWTH}, {FALLEN}, {TAILS}, {RISK}, {choices(8)}, pbo AS (SELECT avg((relative_rank < 0.5)::INT) > 0.5 AS overfit FROM ranked),
+g AS (SELECT strategy_id, sharpe_per_trade * (1 + skew_returns / 6 * sharpe_per_trade - excess_kurtosis_returns / 24 * sharpe_per_trade * sharpe_per_trade) AS adjusted_sharpe, total_trades < 100 AS too_few_trades,
+  win_rate > 0.8 AND average_loss / greatest(1e-9::DOUBLE, average_win) > 3 AS martingale, overfit FROM basics JOIN (SELECT * EXCLUDE (n) FROM risk) USING (strategy_id), pbo)
+SELECT *, NOT too_few_trades AND NOT martingale AND NOT overfit AS passed FROM g""",
+    "adjusted_sharpe",
+)
 _SHARPE = "CASE WHEN count(*) FILTER ({0}) >= 2 AND stddev_samp(t.R) FILTER ({0}) > 1e-9 THEN avg(t.R) FILTER ({0}) / stddev_samp(t.R) FILTER ({0}) ELSE 0 END"
 _TRAIN, _TEST = "t.fold <> f.fold AND NOT (t.a <= f.z + f.gap AND t.z >= f.a)", "t.fold = f.fold"
 add(

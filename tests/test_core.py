@@ -346,6 +346,16 @@ def test_overfitting_summary(spark):
     assert r.bounded_overfit_flag and r.summary.startswith("DSR=0.900 (N_trials=2); PSR=0.970 (N_obs=120); block−iid RR gap=+0.200")
 
 
+def test_rejects_have_all_columns_of_any(spark, tmp_path):
+    rows = spark.createDataFrame([(1, '{"note": "a \\"b\\"", "Symbol": "s"}', "r"), (2, None, "r"), (3, '{"other": 5}', "r")], "row_idx long, extras string, symbol string")
+    path = str(tmp_path / "rejects")
+    assert cleaning.write_rejects(rows, path)
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
+    assert back.columns == ["row_idx", "symbol", "Symbol_", "note", "other"]
+    assert {r.row_idx: (r.Symbol_, r.note, r.other) for r in back.collect()} == {"1": ("s", 'a "b"', None), "2": (None, None, None), "3": (None, None, "5")}
+    assert not cleaning.write_rejects(rows.limit(0), str(tmp_path / "none")) and not (tmp_path / "none").exists()
+
+
 def test_stream(spark, tmp_path):
     data = bronze(spark, [{"pnl": p} for p in (100.0, -50.0, 500.0)]).select("strategy_id", "timestamp", "deal_id", "pnl")
     for i in range(3):
@@ -359,6 +369,17 @@ def test_stream(spark, tmp_path):
     w = stream.windowed_pnl(stream.first_seen(source), late=None).writeStream.format("memory").queryName("days").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).start()
     w.processAllAvailable()
     w.stop()
+    # a window is written once the watermark is past it; the same trades as a table give the same rows
+    told = {(r.strategy_id, r.begin): (r.trades, r.pnl) for r in spark.sql("SELECT * FROM days").collect()}
+    whole = {(r.strategy_id, r.begin): (r.trades, r.pnl) for r in stream.windowed_pnl(data, late=None).collect()}
+    assert set(told) <= set(whole) and all(whole[k] == v for k, v in told.items())
+    again = stream.windowed_pnl(stream.first_seen(source), late=None).writeStream.format("memory").queryName("all_days").outputMode("update").option("checkpointLocation", str(tmp_path / "c3")).start()
+    again.processAllAvailable()
+    again.stop()
+    last = {}
+    for r in spark.sql("SELECT * FROM all_days").collect():
+        last[r.strategy_id, r.begin] = max(last.get((r.strategy_id, r.begin), (0, 0.0)), (r.trades, r.pnl))
+    assert {k: v[0] for k, v in last.items()} == {k: v[0] for k, v in whole.items()}
 
 
 def test_empty_and_odd_input(spark):

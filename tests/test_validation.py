@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.operators import intervals, validation
 
@@ -153,3 +154,12 @@ def test_walk_forward_without_return_inside(spark):
     trades = [(1, dt.datetime(2024, m, 5), r) for m, r in ((1, 0.1), (2, -0.1), (3, 0.2))]
     row = validation.walk_forward_efficiency(validation.walk_forward(spark.createDataFrame(trades, RETURNS), 2, 1)).first()
     assert row["efficiency"] is None and row["mean_outside"] == pytest.approx(2.4)
+
+
+def test_design_gates(spark):
+    rows = [(1, 100, 0.5, 2.0, 1.0, 0.2, 0.0, 0.0), (2, 99, 0.5, 2.0, 1.0, 0.2, -1.0, 6.0), (3, 500, 0.81, 1.0, 3.1, 0.1, 0.0, 0.0), (4, 500, 0.80, 1.0, 9.0, 0.1, 0.0, 0.0), (5, 500, 0.9, 0.0, 0.0, 0.0, 0.0, 0.0)]
+    frame = spark.createDataFrame(rows, "strategy_id long, total_trades long, win_rate double, average_win double, average_loss double, sharpe_per_trade double, skew_returns double, excess_kurtosis_returns double")
+    got = {r["strategy_id"]: tuple(r)[1:] for r in validation.design_gates(frame, F.lit(0.5)).collect()}
+    assert got[1] == (0.2, False, False, False, True) and got[2] == (pytest.approx(0.2 * (1 - 0.2 / 6 - 6 * 0.04 / 24)), True, False, False, False)
+    assert [got[i][2] for i in (3, 4, 5)] == [True, False, False]
+    assert not any(r["passed"] for r in validation.design_gates(frame, F.lit(0.51)).collect()) and validation.design_gates(frame, F.lit(None).cast("double")).filter("passed").count() == 3
