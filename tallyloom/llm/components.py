@@ -13,16 +13,17 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs every node's larger neighbours, then the node itself, on the smallest neighbour; rounds
     go on until the links no longer change, after a number that grows with the log of the longest chain. No
-    neighbour list is ever gathered, so a node with very many links is no burden for a task.
+    neighbour list is ever gathered, and links of a node that has very many of them meet its smallest neighbour where
+    they are (`join_hot`), so such a node is no burden for a task.
     """
     links = common.cut(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _summary(links)
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+        large = common.cut(common.join_hot(both.filter("v > u"), least.filter("n > 0"), "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = common.join_hot(large, low, "u", "n").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = common.cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = _summary(links)
         if now == seen:

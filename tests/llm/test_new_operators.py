@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import common, langid, linededup, merkle, negatives, packing, periodic, pii, simhash, toxicity
+from tallyloom.llm import common, components, langid, linededup, merkle, negatives, packing, periodic, pii, simhash, toxicity
 
 tokenizer = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
@@ -377,3 +377,33 @@ def test_texts_of_megabytes(spark):
     assert int(one(simhash.near_duplicates(docs))["fingerprint"], 16) == int.from_bytes(simhash.fingerprint(text.encode()), "big")
     assert 0 <= one(toxicity.toxicity_report(docs, marks))["score"] <= 1 and one(langid.language_report(docs))["lang_pred"] in ("en", "fr", "und")
     assert one(periodic.run_report(docs))["n_runs"] == 0
+
+
+# ---- components with a node that most links share
+
+
+def test_components_around_a_frequent_node(spark):
+    r = random.Random(12)
+    pairs = [(0, i) for i in range(1, 700)] + [(i, 5000 + i) for i in range(300)] + [(8000 + i, 8001 + i) for i in range(60)] + [(r.randint(9000, 9400), r.randint(9000, 9400)) for _ in range(250)]
+    roots = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while roots[x] != x:
+            x = roots[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        roots[b] = a
+    links = spark.createDataFrame(pairs, "u long, v long").repartition(4)
+    got = {x["node"]: x["root"] for x in components.components(links).collect()}
+    joined = {x for a, b in pairs if a != b for x in (a, b)}
+    assert {x: got.get(x, x) for x in joined} == {x: root(x) for x in joined}
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held = common.join_hot(both, least, "u", "n").filter("u = 0").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(held) >= 3 and max(h["count"] for h in held) < 400  # its 699 links stay where they are
