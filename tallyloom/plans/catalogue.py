@@ -646,6 +646,16 @@ def monthly_heatmap(spark, sf_dir):
     return presentation.monthly_heatmap(series.monthly_returns(series.equity_curve(supplier_trades(spark, sf_dir), SUPPLIERS)))
 
 
+@query
+def percentile_chart(spark, sf_dir):
+    return presentation.percentile_chart(resample.run_tests(settle(trades(spark, sf_dir)), CONFIG, tests=("a",))).withColumn("value", F.round("value", 7))
+
+
+@query
+def drawdown_chart(spark, sf_dir):
+    return presentation.drawdown_chart(series.equity_curve(trades(spark, sf_dir), CONFIG))
+
+
 @query
 def portfolio_by_symbol_side(spark, sf_dir):
     return trades(spark, sf_dir).cube("symbol", "side").agg(F.count("*").alias("n"), F.sum("capped_pnl").alias("pnl"))

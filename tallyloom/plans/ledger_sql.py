@@ -479,6 +479,13 @@ add(
     f"""WITH {facts()}, {CURVE}, r AS (SELECT strategy_id, seq, (balance - lag(balance) OVER w) / CASE WHEN lag(peak) OVER w > 0 THEN lag(balance) OVER w ELSE 1 END * 100 AS r FROM curve WINDOW w AS (PARTITION BY strategy_id ORDER BY seq)),
 e AS (SELECT strategy_id, least(min(r), -1) AS lo, greatest(max(r), 1) AS hi FROM r WHERE seq > 0 GROUP BY 1) SELECT strategy_id, greatest(0, least(29, floor((r - lo) / ((hi - lo) / 30))))::INT AS bin, count(*) AS n FROM r JOIN e USING (strategy_id) WHERE seq > 0 GROUP BY ALL""",
 )
+_LINES = (("TR %", "total_return", 100), ("MDD %", "max_drawdown", 100), ("Sharpe", "sharpe_ratio", 1), ("PF", "profit_factor", 1))
+add(
+    "percentile_chart",
+    f"WITH {facts()}, {INFERRED}, {CELLS}, {resampled('a')} "
+    + " UNION ALL ".join(f"SELECT strategy_id, '{n}' AS series, ['p0', 'p5', 'p25', 'p50', 'p75', 'p95', 'p100'][i] AS point, (i - 1)::INT AS place, round({m}[i] * {by}, 7) + 0.0::DOUBLE AS value FROM s_a, range(1, 8) AS t(i)" for n, m, by in _LINES),
+)
+add("drawdown_chart", f"WITH {facts()}, {CURVE} SELECT strategy_id, seq::INT AS seq, strftime(t, '%Y-%m-%d') AS day, balance, peak, dd * 100 AS dd_percent, min(dd) OVER (PARTITION BY strategy_id) * 100 AS mdd_percent FROM curve", "balance peak dd_percent mdd_percent")
 _HEAT = ", ".join(f"max(ret) FILTER (WHERE month LIKE '%-{i:02d}') AS m{i:02d}" for i in range(1, 13))
 add("monthly_heatmap", f"WITH {LFACTS}, {LCURVE}, {MONTHS} SELECT strategy_id, left(month, 4) AS year, {_HEAT} FROM monthly GROUP BY ALL", " ".join(f"m{i:02d}" for i in range(1, 13)))
 add("portfolio_by_symbol_side", f"WITH {trades()} SELECT symbol, side, count(*) AS n, sum(capped_pnl) AS pnl FROM trades GROUP BY CUBE (symbol, side)", "pnl")

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import cards, scorecards
+from tallyloom.operators import cards, presentation, scorecards
 from tallyloom.plans import evaluate
 from tallyloom.plans.config import EvalConfig
 from tallyloom.sources import adapters
@@ -80,3 +80,29 @@ def test_schemas(found):
     assert card["created_at"]["format"] == "date-time" and card["monthly_returns"]["additionalProperties"]["type"] == ["number", "null"]
     assert card["metrics"]["properties"]["basic"]["properties"]["total_trades"]["type"] == ["integer", "null"]
     assert made["ScoringConfig"]["properties"]["n_trials"]["type"] == "integer" and card["equity_curve"]["items"]["type"] == "object"
+
+
+def test_overfit_table(found):
+    rows = {}
+    for r in presentation.overfit_table(found).collect():
+        rows.setdefault(r["id"], {})[r["signal"]] = r["value"]
+    card = {r["id"]: r for r in found.collect()}
+    for i, table in rows.items():
+        o = card[i]["overfitting"]
+        assert len(table) == 13 and table["N_obs (PSR sample size)"] == str(o["n_obs"]) and table["Regime unstable (CUSUM)"] == ("yes" if o["regime_unstable"] else "no")
+        psr = o["probabilistic_sharpe_ratio"]
+        assert table["Probabilistic Sharpe (PSR)"] == ("—" if psr is None else f"{psr:.4f}") and table["i.i.d. RR (Test A)"] == f"{o['iid_robustness_rate'] * 100:.1f}%"
+        assert table["Moving-block L"] == str(card[i]["moving_block"]["block_length"])
+
+
+def test_radar_and_overlay(found):
+    card = {r["id"]: r for r in found.collect()}
+    radar = {}
+    for r in presentation.radar_chart(found).collect():
+        radar.setdefault(r["id"], {})[r["category"]] = r["value"]
+    for i, values in radar.items():
+        held = card[i]["scoring"]["category_scores"]
+        assert list(values) == ["Profit", "RiskAdj", "DD", "Robust", "Sanity", "Suff"] and values["DD"] == (held["drawdown"] if held else 0.0)
+    short = next(c for c in card.values() if c["equity_curve"])
+    lines = [tuple(r) for r in presentation.equity_overlay(found).orderBy("place").collect()]
+    assert [(x[0], x[1], x[4]) for x in lines] == [(short["id"], f"{short['name']} ({short['scoring']['final_score']})", p["balance"]) for p in short["equity_curve"]]
