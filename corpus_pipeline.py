@@ -46,11 +46,20 @@ STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_dup
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other; what each keeps is written to the shared folder and read again."""
+def run(spark: SparkSession, sf_dir: str, keep_stages: bool = False) -> DataFrame:
+    """The stages one after the other; what each keeps is written to the shared folder and read again.
+
+    A stage's rows are removed once the next one's are written, unless keep_stages; the last one's stay. What operators
+    checkpoint on the way goes when Spark's cleaner finds it unused, if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     place = f"{common.shared_folder(spark).rstrip('/')}/corpus-{uuid.uuid4()}"
-    docs = common.documents(spark, sf_dir)
+    docs, before = common.documents(spark, sf_dir), None
     for number, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{place}/{number}-{name}")
-        docs = spark.read.parquet(f"{place}/{number}-{name}")
+        here = f"{place}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(here)
+        docs = spark.read.parquet(here)
+        if before and not keep_stages:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        before = here
     return docs
