@@ -44,3 +44,17 @@ def test_stages_take_empty_tables(spark, docs, tmp_path):
     for name, stage in pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0, name
     assert [m.__name__ for m in (langid, linededup, simhash, decontaminate)] and pipeline.ORACLE_SQL is None
+
+
+def test_finished_stages_are_removed(spark):
+    import os
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        return
+    kept = lambda whole: sorted({os.path.basename(os.path.dirname(f.removeprefix("file://"))) for f in whole.inputFiles()})
+    place = lambda whole: os.path.dirname(os.path.dirname(whole.inputFiles()[0].removeprefix("file://")))
+    short = pipeline.run(spark, sf)
+    assert kept(short) == ["4-mix"] and os.listdir(place(short)) == ["4-mix"] and short.count() > 0
+    full = pipeline.run(spark, sf, keep_stages=True)
+    assert sorted(os.listdir(place(full))) == [f"{i}-{n}" for i, (n, _) in enumerate(pipeline.STAGES)] and full.count() == short.count()
