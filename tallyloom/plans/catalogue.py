@@ -362,7 +362,7 @@ def metrics_dd_duration(spark, sf_dir):
 
 
 def _risk(spark, sf_dir, losing=STRONG):
-    f = evaluate.shared(facts(spark, sf_dir, losing))
+    f = settle(facts(spark, sf_dir, losing))
     return metrics.risk_adjusted(f, metrics.growth(f, CONFIG), metrics.drawdown(f, CONFIG), CONFIG)
 
 
@@ -388,7 +388,7 @@ def metrics_runs_z(spark, sf_dir):
 
 @query
 def metrics_behavioural(spark, sf_dir):
-    rows = evaluate.shared(supplier_trades(spark, sf_dir))
+    rows = settle(supplier_trades(spark, sf_dir))
     return metrics.behavioural(rows, series.monthly_returns(series.equity_curve(rows, SUPPLIERS))).select(KEY, "best_trade", "worst_trade", "months", "profitable_month_fraction", "monthly_volatility")
 
 
@@ -410,7 +410,7 @@ def regime_halves(spark, sf_dir):
 
 @query
 def regime_flag(spark, sf_dir):
-    return regime.regime_check(evaluate.shared(facts(spark, sf_dir, BASE)), CONFIG).select(KEY, "threshold_hit", "regime_unstable")
+    return regime.regime_check(settle(facts(spark, sf_dir, BASE)), CONFIG).select(KEY, "threshold_hit", "regime_unstable")
 
 
 @query
@@ -457,7 +457,7 @@ def shown_metrics(spark, sf_dir):
 
 
 def _mc(spark, sf_dir, test: str, config: EvalConfig = CONFIG):
-    rows = evaluate.shared(trades(spark, sf_dir))
+    rows = settle(trades(spark, sf_dir))
     fallen = metrics.drawdown(series.with_equity(rows, config), config)
     out = resample.run_tests(rows, config, drawdowns=fallen, tests=(test,)).drop("test")
     points = [(m, i, round(p * 100)) for m in resample.MEASURES for i, p in enumerate(resample.PERCENTILES)]
@@ -486,7 +486,7 @@ def mc_moving_block(spark, sf_dir):
 
 @query
 def mc_correlation_flag(spark, sf_dir):
-    rows = evaluate.shared(trades(spark, sf_dir))
+    rows = settle(trades(spark, sf_dir))
     return resample.correlation(resample.run_tests(rows, CONFIG, tests=("a", "c", "mb")))
 
 

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cards, cleaning, metrics, resample, scoring, series
+from ..operators import cards, cleaning, metrics, resample, scans, scoring, series
 from .config import EvalConfig
 from .lineage import settle
 
@@ -48,7 +48,8 @@ def evaluate(bronze: DataFrame, config: EvalConfig) -> Evaluation:
     """
     flags = cleaning.flagged(bronze)
     trades = settle(cleaning.trades_of(flags, config))
-    facts = shared(metrics.trade_facts(trades.repartition("strategy_id"), config))
+    # chunks of strategies stay as they are dealt
+    facts = shared(metrics.trade_facts(trades if scans.CHUNK in trades.columns else trades.repartition("strategy_id"), config))
     report = settle(cleaning.report_of(flags, trades))
     joined, resampled = scalars(facts, report, config)
     equity = series.curve_points(facts, config)
@@ -61,7 +62,7 @@ def scorecards(evaluation: Evaluation, name: Column, created: Column, config: Ev
 
 def overview(bronze: DataFrame, config: EvalConfig) -> DataFrame:
     """(strategy_id, total_trades, win_rate, profit_factor, max_drawdown, total_return): the shortest useful answer."""
-    facts = shared(series.with_equity(cleaning.clean(bronze, config).trades, config))
+    facts = settle(series.with_equity(cleaning.clean(bronze, config).trades, config))
     fallen = metrics.drawdown(facts, config).select("strategy_id", "max_drawdown", "recovery_factor")
     net = facts.groupBy("strategy_id").agg((F.sum("capped_pnl") / config.start_balance).alias("total_return"))
     return metrics.basic(facts).select("strategy_id", "total_trades", "win_rate", "profit_factor").join(fallen, "strategy_id").join(net, "strategy_id")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import cleaning, cusum, metrics, quantiles, regime, scans, series
+from tallyloom.plans import evaluate
 from tallyloom.plans.config import EvalConfig
 from tallyloom.plans.lineage import settle
 from tallyloom.sources import adapters
@@ -83,6 +84,15 @@ def test_regime(facts):
     same(facts, lambda f, c: regime.regime_check(f, c).drop("cusum_first_half", "cusum_second_half"))
 
 
+def test_a_whole_evaluation(bronze):
+    got = []
+    for config in (WHOLE, CHUNKS):
+        rows = evaluate.evaluate(bronze, replace(config, mc_iterations=10)).scored
+        rows = rows.select("strategy_id", "total_trades", "status", "final_score", "sharpe_ratio", "max_drawdown", "mtm_max_drawdown", "tail_ratio", "median_return_per_trade", "runs_z", "regime_unstable", "robustness_rate", "max_loss_streak")
+        got.append(sorted(repr(tuple(round(x, 8) + 0.0 if isinstance(x, float) else x for x in r)) for r in rows.collect()))
+    assert got[0] == got[1] and len(got[0]) > 3
+
+
 def plain_cusum(values, k=0.5, h=4.0):
     x = np.array(values)
     sd = x.std(ddof=1) if len(x) > 1 else 0.0
