@@ -35,13 +35,14 @@ def shared(df: DataFrame) -> DataFrame:
 def scalars(facts: DataFrame, report: DataFrame, config: EvalConfig) -> tuple[DataFrame, DataFrame]:
     """All metrics with resampling outcomes and the report's counts, and the resampling summaries."""
     found = settle(metrics.all_metrics(facts, config))
-    resampled = resample.run_tests(facts, config, found.select("strategy_id", "trades_per_year"), found.select("strategy_id", "max_drawdown"))
+    # a row for each strategy and test, from which score, estimate and cards all start
+    resampled = settle(resample.run_tests(facts, config, found.select("strategy_id", "trades_per_year"), found.select("strategy_id", "max_drawdown")))
     counts = report.select("strategy_id", "rows_received", "outliers_tagged")
     return found.join(resample.correlation(resampled.filter("test <> 'b'")), "strategy_id", "left").join(counts, "strategy_id"), resampled
 
 
 def evaluate(bronze: DataFrame, config: EvalConfig) -> Evaluation:
-    """Everything an evaluation yields; cleaning and metrics run at once, the rest when it is used.
+    """Everything an evaluation yields; cleaning, metrics and resampling run at once, the rest when it is used.
 
     Trades are settled, dealt by strategy once and kept with their series (on disk where memory is short): a
     dozen branches start from them, and none has to shuffle them again. `facts.unpersist()` frees them.
