@@ -388,3 +388,30 @@ def test_empty_and_odd_input(spark):
     one = evaluate.evaluate(bronze(spark, [{"pnl": 5.0}]), CONFIG)
     r = one.scored.first()
     assert r.status == "KNOCKED_OUT" and r.total_trades == 1 and set(CANONICAL) <= set(got.rejects.columns)
+
+
+def test_positions_are_the_definition_and_their_arrays_fit_a_cache():
+    import tracemalloc
+
+    config = EvalConfig(seed="7")
+    for n in (1, 2, 3, 40, 1000, 70_000):
+        iterations, k = np.arange(5, 8), np.arange(n)
+        own = lambda name, counters=k: resample.draws(resample.seeds("7", name, "s"), iterations, counters)
+        at = lambda test: resample.positions(test, n, "s", iterations, config).tolist()
+        assert at("a") == (own("a") % n).tolist()
+        assert at("b") == np.argsort(own("b"), axis=1, kind="stable").tolist()
+        fresh = own("c-len") / float(1 << 48) < 1 / np.sqrt(n)
+        fresh[:, 0] = True
+        since = np.maximum.accumulate(np.where(fresh, k, 0), axis=1)
+        assert at("c") == ((np.take_along_axis(own("c") % n, since, axis=1) + k - since) % n).tolist()
+    keys = np.array([[5, 3, 5, 3, 1 << 47]])
+    assert resample._order(keys).tolist() == [[1, 3, 0, 2, 4]]
+    pair = resample.seeds("7", "c-len", "s")
+    found = resample.draws(pair, np.arange(3), np.arange(50))
+    for limit in (int(found[1, 7]), int(found[1, 7]) + 1, 0, 1 << 48):  # also where only lower bits decide
+        assert (resample.below(pair, np.arange(3), np.arange(50), limit) == (found < limit)).all()
+    pnl = np.linspace(-50.0, 60.0, 1000)
+    tracemalloc.start()
+    resample.path_sums(np.take(pnl, resample.positions("c", 1000, "s", np.arange(max(1, resample.DRAWS // 1000)), config)), 10_000.0)
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
