@@ -33,3 +33,14 @@ def test_entry(spark):
     if not os.path.isdir(SF):
         pytest.skip("no test tables here")
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_settled_trades_are_narrow(spark, monkeypatch):
+    """Queries that need a trade's outcome only write nothing else to the shared folder."""
+    from tallyloom.plans import catalogue
+
+    settled, plain = [], catalogue.settle
+    monkeypatch.setattr(catalogue, "settle", lambda df: settled.append(df.columns) or plain(df))
+    catalogue.metrics_behavioural(spark, "/root/testdata/sf0.001")
+    catalogue.mc_bootstrap(spark, "/root/testdata/sf0.001")
+    assert settled == [["strategy_id", "seq", "timestamp", "capped_pnl"]] * 2
