@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from ..plans.config import EPS
 from ..plans.lineage import settle
 from .cleaning import KEY
-from .intervals import overlaps
 
 #: Digits of a Sharpe ratio by which strategies are ranked, so that ranks do not hang on the order of sums.
 RANKED = 9
@@ -129,27 +128,29 @@ def _sharpe(n: Column, s: Column, q: Column) -> Column:
     return F.when((n >= 2) & (sd > EPS), s / n / sd).otherwise(0.0)
 
 
-def purged_folds(trades: DataFrame, folds: int = 5, embargo: float = 0.01, buckets: int = 256) -> DataFrame:
+def purged_folds(trades: DataFrame, folds: int = 5, embargo: float = 0.01) -> DataFrame:
     """A row for each strategy and test fold: n_test, n_purged, n_embargoed, n_train, and mean and Sharpe ratio of both sides.
 
     trades: (strategy_id, seq, entry, exit, R), seq from 1 in the order of time, entry and exit in microseconds. Folds are
     runs of consecutive trades, as even as they can be; a fold's span goes from its first entry to its last exit.
     Of the other trades those that were open at any time of the span are purged, and those entered after it within
     `embargo` of the strategy's whole time are embargoed. What training keeps is the strategy's sums less those of
-    the fold and of what was removed, so only removed trades meet a fold, through `overlaps`. A strategy with fewer
+    the fold and of what was removed. A strategy's spans, at most `folds`, are one small array that meets its trades where they
+    are; the spans a trade meets are summed up there, so no copy of a trade is dealt. A strategy with fewer
     trades than folds has fewer folds; a trade with entry and exit swapped counts from the earlier to the later.
     """
     rows = trades.select(*KEY, "seq", F.least("entry", "exit").alias("start"), F.greatest("entry", "exit").alias("end"), "R")
     whole = rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.sum("R").alias("s"), F.sum(F.col("R") * F.col("R")).alias("q"), F.floor(F.lit(embargo) * (F.max("end") - F.min("start"))).alias("gap"))
-    rows = rows.join(whole.select(*KEY, "n"), KEY).withColumn("fold", F.expr(f"cast((seq - 1) * {folds} div n as int)")).drop("n")
+    rows = rows.join(whole.select(*KEY, "n"), KEY)
+    rows = rows.withColumn("fold", F.expr(f"cast((seq - 1) * {folds} div n as int)")).drop("n")
     tests = rows.groupBy(*KEY, "fold").agg(F.count("*").alias("n_test"), F.sum("R").alias("_s"), F.sum(F.col("R") * F.col("R")).alias("_q"), F.min("start").alias("begin"), F.max("end").alias("last"))
     tests = settle(tests.join(whole, KEY))
-    low, high = tests.agg(F.min("begin"), F.max("last")).first()
-    width = max(1, ((high or 0) - (low or 0)) // buckets)
-    spans = tests.select(*KEY, F.col("fold").alias("test"), "begin", "last", (F.col("last") + F.col("gap")).alias("finish"))
-    met = overlaps(rows, spans, KEY, width).filter(F.col("fold") != F.col("test"))
-    held = F.col("start") <= F.col("last")
-    gone = met.groupBy(*KEY, F.col("test").alias("fold")).agg(F.count_if(held).alias("n_purged"), F.count_if(~held).alias("n_embargoed"), F.sum("R").alias("_gs"), F.sum(F.col("R") * F.col("R")).alias("_gq"))
+    span = F.struct(F.col("fold").alias("test"), "begin", "last", (F.col("last") + F.col("gap")).alias("finish"))
+    spans = tests.groupBy(*KEY).agg(F.collect_list(span).alias("spans"))
+    meets = lambda x: (x["test"] != F.col("fold")) & (F.col("start") <= x["finish"]) & (x["begin"] <= F.col("end"))
+    met = rows.join(spans, KEY).select(*KEY, "start", "R", F.explode(F.filter("spans", meets)).alias("x"))
+    held = F.col("start") <= F.col("x.last")
+    gone = met.groupBy(*KEY, F.col("x.test").alias("fold")).agg(F.count_if(held).alias("n_purged"), F.count_if(~held).alias("n_embargoed"), F.sum("R").alias("_gs"), F.sum(F.col("R") * F.col("R")).alias("_gq"))
     none, zero = F.lit(0).cast("long"), F.lit(0.0)
     all_rows = tests.join(gone, [*KEY, "fold"], "left").withColumns({"n_purged": F.coalesce("n_purged", none), "n_embargoed": F.coalesce("n_embargoed", none)})
     all_rows = all_rows.withColumns({"n_train": F.col("n") - F.col("n_test") - F.col("n_purged") - F.col("n_embargoed"), "_ts": F.col("s") - F.col("_s") - F.coalesce("_gs", zero), "_tq": F.col("q") - F.col("_q") - F.coalesce("_gq", zero)})

@@ -4,7 +4,7 @@ import datetime as dt
 
 import numpy as np
 
-from tallyloom.operators import metrics, resample
+from tallyloom.operators import metrics, resample, validation
 from tallyloom.plans import evaluate
 from tallyloom.plans.config import EvalConfig
 
@@ -42,3 +42,20 @@ def test_groups_of_metrics_are_settled_apart(spark, monkeypatch):
     monkeypatch.setattr(metrics, "settle", lambda df: settled.append(df.columns) or plain(df))
     evaluate.evaluate(ledger(spark), CONFIG, ("a", "c", "mb"))
     assert [c[0] for c in settled] == ["strategy_id"] * 7 and sum("median_return_per_trade" in c for c in settled) == 1
+
+
+def test_purged_folds_deal_no_copy_of_a_trade(spark):
+    """Long trades touch many stretches of time, but what is shuffled are sums by strategy and fold."""
+    day = 86_400_000_000
+    rows = spark.range(4000).selectExpr("id % 2 as strategy_id", "cast(id div 2 + 1 as int) as seq", f"id * {day} as entry", f"(id + id % 900) * {day} as exit", "cast(id % 7 - 3 as double) as R").localCheckpoint()
+    plan = validation.purged_folds(rows, folds=5, embargo=0.02)
+    assert "_bucket" not in plan._jdf.queryExecution().analyzed().toString()
+    found = {(r.strategy_id, r.fold): r for r in plan.collect()}
+    trades = [(x.seq, min(x.entry, x.exit), max(x.entry, x.exit)) for x in rows.filter("strategy_id = 1").collect()]
+    gap = int(0.02 * (max(e for _, _, e in trades) - min(s for _, s, _ in trades)))
+    for fold in range(5):
+        own = [t for t in trades if (t[0] - 1) * 5 // len(trades) == fold]
+        begin, last = min(t[1] for t in own), max(t[2] for t in own)
+        others = [t for t in trades if t not in own]
+        purged = sum(s <= last and e >= begin for _, s, e in others)
+        assert (found[1, fold].n_purged, found[1, fold].n_embargoed) == (purged, sum(last < s <= last + gap for _, s, _ in others))
