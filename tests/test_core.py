@@ -221,6 +221,17 @@ def test_resampling(spark, monkeypatch):
     assert big.seed == "9007199254740993"
 
 
+@pytest.mark.parametrize("most", [resample.MOST_TRADES, 0])  # in tasks, by joins
+def test_a_path_that_nets_nothing_is_no_gain(spark, monkeypatch, most):
+    """0.1 + 0.2 - 0.3 leaves 5.6e-17 or less, by the order of the sum; what is no rounding counts, however small."""
+    monkeypatch.setattr(resample, "MOST_TRADES", most)
+    pnls = {1: (0.1, 0.2, -0.3), 2: (0.1, 0.2, -0.3 + 1e-12), 3: (50_000.01, -50_000.0), 4: (-0.1, -0.2, 0.3), 5: (0.0, 0.0)}
+    rows = spark.createDataFrame([(s, i + 1, p, T0 + dt.timedelta(days=i)) for s, all_of in pnls.items() for i, p in enumerate(all_of)], "strategy_id long, seq int, capped_pnl double, timestamp timestamp")
+    found = {r.strategy_id: r for r in resample.run_tests(rows, CONFIG, tests=("b",)).collect()}
+    assert {s: r.robustness_rate for s, r in found.items()} == {1: 0.0, 2: 1.0, 3: 1.0, 4: 0.0, 5: 0.0}
+    assert found[1].total_return == [0.0] * 7 and found[3].total_return[3] == pytest.approx(1e-6)
+
+
 BASE = {"total_trades": 100, "profit_factor": 3.0, "max_drawdown": -0.1, "deflated_sharpe_ratio": 0.99, "mtm_max_drawdown": -0.1, "win_rate": 0.6, "payoff_ratio": 2.0, "expectancy_per_risk": 0.8, "sharpe_ratio": 2.0, "sortino_ratio": 3.0, "calmar_ratio": 2.0, "profitable_month_fraction": 0.8, "ulcer_index": 0.03, "recovery_factor": 5.0, "robustness_rate": 0.95, "sharpe_stability": 0.9, "runs_z": 0.2, "skew_returns": 0.5, "excess_kurtosis_returns": 1.0, "tail_ratio": 1.5, "max_loss_streak": 3, "outliers_tagged": 1, "rows_received": 100, "average_loss": 1.0, "average_win": 2.0, "cvar_95": 0.02}
 
 
