@@ -52,10 +52,16 @@ def radar_chart(cards: DataFrame) -> DataFrame:
     return cards.select("id", "name", F.posexplode(points).alias("place", "p")).select("id", "name", "place", "p.*")
 
 
-def equity_overlay(cards: DataFrame) -> DataFrame:
-    """(id, label, place, day, balance): the curves of whole cards, labelled with name and final score; cards without a curve have no rows."""
-    label = F.format_string("%s (%d)", "name", F.col("scoring.final_score"))
-    rows = cards.select("id", label.alias("label"), F.posexplode("equity_curve").alias("place", "p"))
+def equity_overlay(cards: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(id, label, place, day, balance): the curves of whole cards, labelled with name and final score.
+
+    parts: `scorecards.curve_parts`, the curves that cards leave to rows of their own; without it such cards have no rows.
+    """
+    label = F.format_string("%s (%d)", "name", F.col("scoring.final_score")).alias("label")
+    rows = cards.select("id", label, F.posexplode("equity_curve").alias("place", "p"))
+    if parts is not None:
+        long = parts.join(F.broadcast(cards.filter("equity_curve IS NULL").select("id", label)), "id").select("id", "label", "first", F.posexplode("equity_curve").alias("place", "p"))
+        rows = rows.unionByName(long.select("id", "label", (F.col("first") + F.col("place")).alias("place"), "p"))
     return rows.select("id", "label", "place", F.date_format("p.t", "yyyy-MM-dd").alias("day"), "p.balance")
 
 

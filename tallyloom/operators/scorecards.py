@@ -1,7 +1,7 @@
 """Whole scorecards: everything an evaluation yields for a strategy in one nested row, with the field names that saved cards have.
 
-A card holds its curve as an array up to `most_points` points; a longer curve stays the table it is
-(`Evaluation.equity`), and the card says null, as one row is one task's work.
+A card holds its curve as an array up to `most_points` points, as one row is one task's work; a longer curve comes
+whole as rows of its own, `curve_parts`, each a stretch of as many points, and the card says null.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ DISCLAIMER = (
     "The overfitting risk reported here is a bounded estimate derived exclusively from static trade-history analysis."
 )
 VERSION = "1.2"
+#: Points of a curve that one row holds.
+MOST_POINTS = 100_000
 
 # Fields of saved cards; where a metric has another name here, that follows the sign.
 METRICS = {
@@ -87,17 +89,36 @@ def resampling(resampled: DataFrame, trades: DataFrame, config: EvalConfig) -> D
     return wide.select(*KEY, runs.alias("monte_carlo"), F.when(F.col("mb").isNotNull(), block).alias("moving_block"))
 
 
-def whole_cards(evaluation: Any, name: Column, created: Column, config: EvalConfig, files: DataFrame | None = None, most_points: int = 100_000) -> DataFrame:
-    """A card for each strategy of a `plans.evaluate.Evaluation`.
+def _long(equity: DataFrame, most_points: int) -> DataFrame:
+    """Strategies whose curve has more points; few, as each has so many."""
+    return F.broadcast(equity.groupBy(*KEY).agg(F.count("*").alias("_n")).filter(F.col("_n") > most_points).select(*KEY))
+
+
+def _curve(points: DataFrame, *by: Column) -> DataFrame:
+    """One row a strategy (and `by`), its points in order as an array `equity_curve`."""
+    held = points.groupBy(*KEY, *by).agg(F.array_sort(F.collect_list(F.struct("seq", "t", "balance", "peak", "dd"))).alias("_curve"))
+    return held.withColumn("equity_curve", F.transform("_curve", lambda p: F.struct(p["t"].alias("t"), p["balance"].alias("balance"), p["peak"].alias("peak"), p["dd"].alias("dd")))).drop("_curve")
+
+
+def _id(name: Column, created: Column, config: EvalConfig) -> Column:
+    return card_id(name, created, F.concat_ws(":", F.lit(config.seed), F.col("strategy_id").cast("string"))).alias("id")
+
+
+def curve_parts(evaluation: Any, name: Column, created: Column, config: EvalConfig, most_points: int = MOST_POINTS) -> DataFrame:
+    """(id, first, equity_curve): the curves that are too long for their cards, in stretches of `most_points` points; first: the place of a stretch's first point."""
+    points = evaluation.equity.join(_long(evaluation.equity, most_points), KEY, "left_semi")
+    first = (F.floor(F.col("seq") / most_points) * most_points).cast("long").alias("first")
+    return _curve(points, first).select(_id(name, created, config), "first", "equity_curve")
+
+
+def whole_cards(evaluation: Any, name: Column, created: Column, config: EvalConfig, files: DataFrame | None = None, most_points: int = MOST_POINTS) -> DataFrame:
+    """A card for each strategy of a `plans.evaluate.Evaluation`; `curve_parts` has the curves of more than `most_points` points.
 
     name, created: expressions on strategy_id. files: (strategy_id, name, sha256, format) of the ledgers' reports, where they come of files.
     """
     # only rows with an opening time of their own could be flagged, and ledgers have none
     report = evaluation.report.select(*KEY, F.struct(*_named(REPORT), F.lit(0).cast("long").alias("rows_flagged_zero_duration"), F.lit(None).cast("string").alias("rejected_file")).alias("cleaning_report"))
-    point = F.struct("seq", "t", "balance", "peak", "dd")
-    short = evaluation.equity.groupBy(*KEY).agg(F.count("*").alias("_n")).filter(F.col("_n") <= most_points).select(*KEY)
-    curve = evaluation.equity.join(short, KEY, "left_semi").groupBy(*KEY).agg(F.array_sort(F.collect_list(point)).alias("_curve"))
-    curve = curve.select(*KEY, F.transform("_curve", lambda p: F.struct(p["t"].alias("t"), p["balance"].alias("balance"), p["peak"].alias("peak"), p["dd"].alias("dd"))).alias("equity_curve"))
+    curve = _curve(evaluation.equity.join(_long(evaluation.equity, most_points), KEY, "left_anti"))
     months = evaluation.monthly.groupBy(*KEY).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("month", "ret")))).alias("monthly_returns"))
     over = evaluation.overfitting.select(*KEY, "n_obs", "bounded_overfit_flag", "summary")
     rows = evaluation.scored.join(over, KEY).join(report, KEY).join(resampling(evaluation.resampled, evaluation.trades, config), KEY, "left").join(curve, KEY, "left").join(months, KEY, "left")
@@ -117,9 +138,8 @@ def whole_cards(evaluation: Any, name: Column, created: Column, config: EvalConf
         "bounded_overfit_flag",
         "summary",
     )
-    salt = F.concat_ws(":", F.lit(config.seed), F.col("strategy_id").cast("string"))
     return rows.select(
-        card_id(name, created, salt).alias("id"),
+        _id(name, created, config),
         name.alias("name"),
         created.alias("created_at"),
         F.lit(config.seed).alias("seed"),

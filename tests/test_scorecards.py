@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import cards, presentation, scorecards
-from tallyloom.plans import evaluate
+from tallyloom.plans import catalogue, evaluate
 from tallyloom.plans.config import EvalConfig
 from tallyloom.sources import adapters
 
@@ -106,3 +106,23 @@ def test_radar_and_overlay(found):
     short = next(c for c in card.values() if c["equity_curve"])
     lines = [tuple(r) for r in presentation.equity_overlay(found).orderBy("place").collect()]
     assert [(x[0], x[1], x[4]) for x in lines] == [(short["id"], f"{short['name']} ({short['scoring']['final_score']})", p["balance"]) for p in short["equity_curve"]]
+
+
+def test_long_curves_come_in_parts(spark, tmp_path, monkeypatch):
+    """Curves too long for a card's row are whole in the query, and in order in the chart."""
+    r = random.Random(5)
+    rows = [(i, u, f"2024-01-0{1 + i // 20} 10:{i % 60:02d}:00", "view", round(r.uniform(1, 9), 2)) for u, n in ((1, 95), (2, 12)) for i in range(n)]
+    table = spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    table.write.parquet(f"{tmp_path}/events.parquet")
+    few = EvalConfig(seed="7", mc_iterations=5)
+    monkeypatch.setattr(catalogue, "CONFIG", few)
+    query = lambda: {x["name"]: x for x in catalogue.QUERIES["scorecards_whole"](spark, str(tmp_path)).collect()}
+    whole = query()
+    monkeypatch.setattr(scorecards, "MOST_POINTS", 40)
+    assert query() == whole and {n: x["points"] for n, x in whole.items()} == {"User 1": 96, "User 2": 13}
+    done = evaluate.evaluate(catalogue.ledger(spark, str(tmp_path)), few)
+    made = (done, F.lit("My Test"), F.lit("2025-01-02").cast("timestamp"), few)
+    parts = scorecards.curve_parts(*made, most_points=40)
+    assert [(x["first"], len(x["equity_curve"])) for x in parts.orderBy("first").collect()] == [(0, 40), (40, 40), (80, 16)]
+    drawn = lambda most: presentation.equity_overlay(scorecards.whole_cards(*made, most_points=most), scorecards.curve_parts(*made, most_points=most)).orderBy("id", "place").collect()
+    assert drawn(40) == drawn(100) and len(drawn(40)) == 109
