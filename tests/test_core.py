@@ -426,3 +426,12 @@ def test_positions_are_the_definition_and_their_arrays_fit_a_cache():
     resample.path_sums(np.take(pnl, resample.positions("c", 1000, "s", np.arange(max(1, resample.DRAWS // 1000)), config)), 10_000.0)
     assert tracemalloc.get_traced_memory()[1] < 4 << 20
     tracemalloc.stop()
+
+
+@pytest.mark.parametrize("chunk_rows", [1 << 20, 2])
+def test_a_balance_back_at_its_peak_ends_a_fall(spark, chunk_rows):
+    """Summed in doubles, the fifth trade ends 4e-12 below the peak that it is back at; a hundredth below it is a fall."""
+    config = EvalConfig(seed="11", chunk_rows=chunk_rows)
+    for last, days in ((2275.7, 1.0), (2275.69, 3.0)):
+        rows = metrics.trade_facts(trades(spark, [3102.64, 7868.87, -780.53, -1495.17, last, -402.46], config), config)
+        assert metrics.drawdown_duration(rows).first()["max_drawdown_duration_days"] == days
